@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import shared_dir, text_of
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 ids, packed into sequences."""
+    from .packing import pack, pieces
+
+    cut = pieces(_documents(spark, sf_dir), capacity=2048, end_id=0)
+    return pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written in byte planes and read back, by document."""
+    from .token_output import read_ids, write_ids
+
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    write_ids(_documents(spark, sf_dir), path, end_id=1)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose white-space-normalised texts are equal."""
     from .exact_dedup import exact_groups
@@ -47,7 +65,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
+    "op7_token_output": op7_token_output,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
