@@ -31,6 +31,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and the components of links at 4 bits or fewer."""
+    from .simhash import hex_of, near_duplicates
+
+    rows = near_duplicates(_documents(spark, sf_dir), shingle=4, max_bits=4)
+    return rows.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with weights 1, 2, 3 and at most 3 epochs takes of each document."""
     from .mixing import mix
@@ -63,12 +71,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir)).drop("text_hash")
 
 
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found to every vector whose id is divisible by 20."""
+    from .graph_ann import nearest
+
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vecs, vecs.filter("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_output": op7_token_output,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_graph_ann": op10_graph_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
