@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import fold, shared_dir, text_of
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three of four folds."""
+    from .language_id import predict_language, train
+
+    docs = _documents(spark, sf_dir)
+    held = fold("doc_id", 4) == 2
+    model = train(docs.filter(~held), max_rows=4000)
+    rows = predict_language(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return rows.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 2048 ids, packed into sequences."""
     from .packing import pack, pieces
@@ -64,6 +75,23 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is toxic, learnt from four of five folds of the labels."""
+    from .toxicity import score_toxicity, train, training_labels
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, training_labels(labels), max_labelled=20_000)
+    rows = score_toxicity(docs.select("doc_id", "text"), model)
+    score = F.col("toxicity.score")
+    return rows.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.segments").alias("passages"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose white-space-normalised texts are equal."""
     from .exact_dedup import exact_groups
@@ -81,10 +109,12 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_output": op7_token_output,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
 }
