@@ -2,7 +2,8 @@
 
 Training: for every word and every word beginning of four letters, log-odds of
 occurring in toxic against clean documents under an informative Dirichlet prior
-(the rate in both together), kept where they are significant. Scoring: each word
+(the rate in both together), kept where they are significant and nearly
+always toxic. Scoring: each word
 has its log-odds, any other word a small negative score; one linear scan finds
 all maximal-scoring segments (Ruzzo and Tompa); a segment of score S among n
 words has the extreme-value (Karlin-Altschul) expectation K n exp(-lambda S) in
@@ -153,7 +154,8 @@ def train(
     label_col: str = "toxic",
     max_labelled: int = 20_000,
     prior: float = 0.1,
-    least_z: float = 3.0,
+    least_z: float = 2.4,
+    least_ratio: float = 5.0,
 ) -> ToxicityModel:
     """A model from at most max_labelled labelled rows, those first by a hash of the id.
 
@@ -178,7 +180,10 @@ def train(
     odds = lambda hits, n: F.log(hits / F.greatest(F.lit(n + prior * total) - hits, F.lit(0.5)))
     delta = odds(in_toxic, n_toxic) - odds(in_clean, n_clean)
     z = delta / F.sqrt(1 / in_toxic + 1 / in_clean)
-    table = _counts(rows).select("feature", delta.alias("w"), z.alias("z"), in_clean.alias("c")).filter((F.col("z") >= least_z) & (F.col("w") > 0))
+    # a feature counts if, prior included, it occurs least_ratio times as often in toxic as in clean documents;
+    # its score is the log-odds less one standard error
+    table = _counts(rows).filter(in_toxic >= least_ratio * in_clean).withColumns({"d": delta, "z": z, "c": in_clean})
+    table = table.select("feature", (F.col("d") - F.col("d") / F.col("z")).alias("w"), "z", "c").filter((F.col("z") >= least_z) & (F.col("d") > 0))
     found = table.collect()
     model = ToxicityModel({r["feature"]: (r["w"], r["z"]) for r in found})
     # lambda: the mean of exp(lambda x score) over a clean text's words is 1
