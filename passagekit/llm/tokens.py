@@ -69,7 +69,7 @@ class WordEncoder:
     than itself are encoded whole.
     """
 
-    def __init__(self, path: str | None = None, most_bytes: int = 110 << 20):
+    def __init__(self, path: str | None = None, most_bytes: int = 40 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
