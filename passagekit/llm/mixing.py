@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, text_of
 
 #: The hash has 63 bits; its upper bits make the bins of the histogram.
-_BIN_SHIFT = 63 - 16
+_BIN_SHIFT = 63 - 12
 
 
 def water_fill(sources: DataFrame, scratch: Scratch, max_epochs: float) -> DataFrame:
