@@ -1,10 +1,30 @@
-"""The corpus pipeline: stages over documents, each calling one operator of passagekit.llm."""
+"""The corpus pipeline: stages over documents, each calling one operator of passagekit.llm.
+
+Every stage works on all rows its predecessor kept and, but for the last,
+returns rows with the columns of documents. run() hands a stage's result on as
+a Parquet table in the shared folder, as the stages' callers do.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from passagekit.llm.common import Scratch
 from passagekit.llm.exact_dedup import drop_exact_copies
+from passagekit.llm.mixing import mix
+from passagekit.llm.packing import pack, pieces
+from passagekit.llm.simhash import drop_near_copies
+from passagekit.llm.toxicity import score_toxicity, train, training_labels
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier holds for toxic go; it learns from the training folds of labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, training_labels(labels))
+    return score_toxicity(docs, model, out="__toxicity").filter(F.col("__toxicity.score") < 0.5).drop("__toxicity")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,4 +32,43 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays, the one with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those that it doesn't take go."""
+    mixed = mix(docs).filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return mixed.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 ids."""
+    cut = pieces(docs, capacity=2048, end_id=0)
+    return pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: The stages learn a classifier and pack by local search, which SQL can't express.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every whole document under a GRU and under the unigram base."""
+    from .common import Scratch
+    from .gru_lm import score, train
+
+    docs = _documents(spark, sf_dir)
+    scratch = Scratch(spark, "gru-lm")
+    model, counts = train(docs.filter(fold("doc_id", 10) != 0), scratch)
+    rows = score(docs, model, counts, scratch)
+    return rows.select(
+        "doc_id",
+        (fold("doc_id", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles and the components of links at 4 bits or fewer."""
     from .simhash import hex_of, near_duplicates
@@ -107,16 +127,25 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vecs, vecs.filter("vec_id % 20 = 0"), k=20)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
