@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 #: Marks stripped by every profile, the stretching sign, annotation marks.
@@ -44,7 +45,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composition; null stays null."""
     return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
@@ -176,7 +177,8 @@ def detect_language(c: Column | str, votes: dict[str, tuple[str, ...]] | None =
         "es": ("el", "la", "de", "y", "los"),
     }
     words = F.split(F.lower(_col(c)), r"\s+")
-    marks = F.array(*(F.struct(F.size(F.filter(words, lambda w, v=v: w.isin(*v))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, v) in enumerate(votes.items())))
+    hits = lambda common: F.size(F.filter(words, lambda w: w.isin(*common)))
+    marks = F.array(*(F.struct(hits(v).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, v) in enumerate(votes.items())))
     best = F.array_max(marks)
     return F.when(is_arabic(c), "ar").when(best["n"] > 0, best["lang"]).otherwise("unknown")
 
