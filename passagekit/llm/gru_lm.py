@@ -290,8 +290,9 @@ def train(
     # Good and Turing: words met once tell the share of those not met; at least one in as many tokens
     unseen = 1.0 if not rare else min(0.9, max(once, 1) / (rare + 1))
 
-    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(id_col).alias("h")).orderBy("h", "i").limit(sample_docs).select("i")
-    some = docs.join(F.broadcast(ids), docs[id_col] == ids["i"]).select(F.xxhash64("i").alias("h"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null")
+    ids = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(sample_docs).select("i").distinct()
+    some = rows.join(F.broadcast(ids), "i").select(F.xxhash64("i").alias("h"), "t")  # at most sample_docs ids
     known = {w: i for i, w in enumerate(words)}
     sent = docs.sparkSession.sparkContext.broadcast(known)
 

@@ -174,13 +174,12 @@ def train(
     Rows without a language, an id or a letter in their text teach nothing; with
     none left the model knows no language and predicts UNKNOWN.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    key = F.xxhash64(F.col(id_col))
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).dropna()
     # the first of each language by a hash of the id, narrow, then at most max_rows of all
     turn = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    ids = rows.select(F.col(lang_col).alias("l"), F.col(id_col).alias("i"), key.alias("h")).withColumn("n", turn)
-    ids = ids.filter(F.col("n") <= max_rows).orderBy("n", "l").limit(max_rows).select("i", "l")
-    chosen = rows.join(F.broadcast(ids), (rows[id_col] == F.col("i")) & (rows[lang_col] == F.col("l")))
+    ids = rows.select("l", "i", F.xxhash64("i").alias("h")).withColumn("n", turn)
+    ids = ids.filter(F.col("n") <= max_rows).orderBy("n", "l", "i").limit(max_rows).select("i", "l").distinct()
+    chosen = rows.join(F.broadcast(ids), ["i", "l"])  # at most max_rows rows
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -194,7 +193,7 @@ def train(
                     out += [(lang, w.tobytes()) for w in own[::step][:per_text]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "w"])
 
-    got = chosen.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(cut, "lang string, w binary").collect()
+    got = chosen.select("l", "t").mapInArrow(cut, "lang string, w binary").collect()
     if not got:
         return ByteCnn([], window)
     import numpy as np

@@ -167,7 +167,7 @@ def train(
     own = own.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_labelled)
     own = scratch.put(own)
     # at most max_labelled rows of two numbers
-    rows = docs.join(F.broadcast(own), docs[id_col] == own["i"]).select("y", text_of(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("t")).join(F.broadcast(own), "i").select("y", "t")
     rows = scratch.put(rows)
     n_toxic, n_clean = rows.agg(F.count(F.when(F.col("y") == 1, 1)), F.count(F.when(F.col("y") == 0, 1))).first()
     if not n_toxic or not n_clean:
