@@ -84,7 +84,7 @@ def shard(
     text_col: str = "text",
     tolerance: float = 1e-3,
     probes: int = 64,
-    piece_bytes: int = 64 << 20,
+    piece_bytes: int = 16 << 20,
 ) -> DataFrame:
     """df with size, shard and slot.
 
