@@ -168,17 +168,25 @@ def train(
     per_text: int = 6,
     window: int = 128,
     epochs: int = 5,
+    max_languages: int = 500,
 ) -> ByteCnn:
-    """A network from at most max_rows rows with a language, per_text windows of each.
+    """A network from at most max_rows rows of the max_languages most frequent languages, per_text windows of each.
 
     Rows without a language, an id or a letter in their text teach nothing; with
     none left the model knows no language and predicts UNKNOWN.
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).dropna()
-    # the first of each language by a hash of the id, narrow, then at most max_rows of all
+    # a hash of the id picks about twice each language's share, so that few rows are ranked
+    langs = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(max_languages).collect()
+    if not langs:
+        return ByteCnn([], window)
+    share = -(-max_rows // len(langs))
+    below = {r["l"]: min((1 << 63) - 1, (2 * share + 64 << 63) // r["count"]) for r in langs}
+    bound = F.create_map(*(F.lit(x) for kv in below.items() for x in kv))
+    h = F.shiftrightunsigned(F.xxhash64("i"), 1)
+    ids = rows.select("l", "i", h.alias("h")).filter(F.col("h") <= bound[F.col("l")])
     turn = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    ids = rows.select("l", "i", F.xxhash64("i").alias("h")).withColumn("n", turn)
-    ids = ids.filter(F.col("n") <= max_rows).orderBy("n", "l", "i").limit(max_rows).select("i", "l").distinct()
+    ids = ids.withColumn("n", turn).orderBy("n", "l", "i").limit(max_rows).select("i", "l").distinct()
     chosen = rows.join(F.broadcast(ids), ["i", "l"])  # at most max_rows rows
 
     def cut(batches: Iterator) -> Iterator:
