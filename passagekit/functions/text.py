@@ -112,21 +112,16 @@ def first_filled(*cols: str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in cols), F.lit(""))
 
 
+def _with(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with value worked out once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def without_stop_words(words: Column, stop: tuple[str, ...] | list[str] | None = None) -> Column:
     """Words that are not in the stop list, both normalised for search."""
     stop = STOP_WORDS if stop is None else stop
     folded = F.transform(F.array(*(F.lit(s) for s in stop)).cast("array<string>"), lambda s: normalize_search(s))
-    return F.filter(words, lambda w: ~F.array_contains(folded, w))
-
-
-def _strip_first(w: Column, affixes: tuple[str, ...], front: bool, least: int) -> Column:
-    """The first affix of the list that fits and leaves `least` letters is taken off."""
-    out = None
-    for a in affixes:
-        cut = F.substring(w, len(a) + 1, 1 << 30) if front else F.substr(w, F.lit(1), F.length(w) - len(a))
-        fits = (F.startswith(w, F.lit(a)) if front else F.endswith(w, F.lit(a))) & (F.length(w) - len(a) >= least)
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return w if out is None else out.otherwise(w)
+    return _with(folded, lambda st: F.filter(words, lambda w: ~F.array_contains(st, w)))
 
 
 def heuristic_stem(
@@ -136,10 +131,15 @@ def heuristic_stem(
     suffixes: tuple[str, ...] = STEM_SUFFIXES,
     least: int = 3,
 ) -> Column:
-    """Valid letters only, one prefix and one suffix off, the rest joined by hyphens."""
+    """Valid letters only, one prefix and one suffix off, the rest joined by hyphens.
+
+    The first prefix of the list that leaves `least` letters goes; of suffixes
+    that end alike, the longest that leaves as many.
+    """
     w = F.regexp_replace(_col(c), f"[^{letters}]", "")
-    w = _strip_first(_strip_first(w, prefixes, True, least), suffixes, False, least)
-    return F.array_join(F.filter(F.split(w, ""), lambda x: x != ""), "-")
+    w = F.regexp_replace(w, f"^(?:{'|'.join(prefixes)})(?=.{{{least}}})", "")
+    w = F.regexp_replace(w, f"^(.{{{least},}}?)(?:{'|'.join(suffixes)})$", "$1")
+    return F.regexp_replace(w, "(?<=.)(?=.)", "-")
 
 
 def clitic_candidates(w: Column, prefixes: tuple[str, ...] = CLITIC_PREFIXES, suffixes: tuple[str, ...] = CLITIC_SUFFIXES, least: int = 2) -> Column:
@@ -223,11 +223,10 @@ def even_sample(items: Column, k: int) -> Column:
 
 def match_positions(text: Column | str, forms: Column, normalizer=normalize_clean) -> Column:  # noqa: ANN001
     """Positions (from 0) of the words whose normal form contains that of any form."""
-    words = F.filter(F.split(_col(text), r"(?U)\s+"), lambda x: x != "")
-    plain = F.transform(words, lambda w: normalizer(w))
+    plain = F.transform(F.filter(F.split(_col(text), r"(?U)\s+"), lambda x: x != ""), lambda w: normalizer(w))
     wanted = F.filter(F.transform(forms, lambda f: normalizer(f)), lambda f: f != "")
-    hit = lambda i: F.exists(wanted, lambda f: F.contains(F.element_at(plain, i + 1), f))
-    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.size(words) - 1), hit))
+    hits = lambda fs: F.transform(plain, lambda w, i: F.when(F.exists(fs, lambda f: F.contains(w, f)), i))
+    return F.filter(_with(wanted, hits), lambda i: i.isNotNull())
 
 
 def title_of(c: Column | str, most: int = 48) -> Column:

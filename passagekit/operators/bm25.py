@@ -72,7 +72,8 @@ def search(
     found = scores(index, queries, text, qid, normalizer=normalizer)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
-    order = Window.partitionBy(qid).orderBy(F.col("score").desc(), "ord")
+    # sums of the same parts in another order are the same score
+    order = Window.partitionBy(qid).orderBy(F.round("score", 9).desc(), "ord")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fill and min_score is None:
         first = index.docs.orderBy("ord").limit(2 * k).select("doc", "ord")  # 2k rows

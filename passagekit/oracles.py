@@ -61,7 +61,7 @@ asked AS ({asked}),
 sc AS (SELECT qid, doc, sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score
        FROM asked JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (doc), st GROUP BY qid, doc),
 al AS (SELECT q.qid, dl.doc, coalesce(sc.score, 0e0) AS score FROM (SELECT DISTINCT qid FROM asked) q, dl LEFT JOIN sc ON sc.qid = q.qid AND sc.doc = dl.doc),
-bm AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank FROM al QUALIFY rank < {k})"""
+bm AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) - 1 AS rank FROM al QUALIFY rank < {k})"""
 
 
 _ONE = f"SELECT 0 AS qid, unnest(string_split('{QUESTION}', ' ')) AS term"
@@ -173,7 +173,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN lang = 'en' AND n_chars % 2 = 0 THEN length(text) ELSE 0 END AS en FROM documents""",
     "neighbors": """SELECT conv_id, turn, array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '|') AS context FROM conversations""",
     "neighbor_context": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)
-        SELECT DISTINCT a.conv_id, a.turn FROM p a JOIN p h ON a.conv_id = h.conv_id AND abs(a.pos - h.pos) <= 1 WHERE contains(h.text, '?')""",
+        SELECT DISTINCT a.conv_id, a.turn FROM p a JOIN p h ON a.conv_id = h.conv_id AND abs(a.pos - h.pos) <= 1 WHERE length(h.text) % 7 = 0""",
     "prev_next": """SELECT conv_id || ':' || turn AS id, lag(conv_id || ':' || turn) OVER w AS prev_id, lead(conv_id || ':' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "chapter_list": "SELECT conv_id, arg_min(role, turn) AS role, md5(arg_min(text, turn)) AS text, count(*) AS verse_count FROM conversations GROUP BY conv_id",
     "chapter_detail": "SELECT conv_id, turn, role, text, count(*) OVER () AS verse_count FROM conversations WHERE conv_id = 3",
