@@ -7,6 +7,7 @@ hand: the query side is small or not, and Spark sees its size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,17 +31,21 @@ class Bm25Index:
         return {"docs": self.docs, "postings": self.postings, "terms": self.terms, "corpus": self.corpus}
 
 
-def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None) -> Bm25Index:  # noqa: ANN001
-    """ordinal breaks ties between equal scores (the place in the corpus); the id if not given."""
+def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None, keep: Callable[[DataFrame], DataFrame] = lambda t: t) -> Bm25Index:  # noqa: ANN001
+    """ordinal breaks ties between equal scores (the place in the corpus); the id if not given.
+
+    keep is applied to each table that later steps read more than once; pass
+    session.materialized to have them written and not worked out anew.
+    """
     words = tokens(text) if normalizer is None else tokens(text, normalizer)
     rows = df.select(F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord"), words.alias("w"))
-    docs = rows.select("doc", "ord", F.size("w").alias("dl"))
-    postings = rows.select("doc", F.explode("w").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    docs = keep(rows.select("doc", "ord", F.size("w").alias("dl")))
+    postings = keep(rows.select("doc", F.explode("w").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf")))
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
     terms = terms.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = terms.agg(F.avg("raw").alias("mean_idf"))
-    terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    terms = keep(terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")))
     return Bm25Index(docs, postings, terms, corpus.crossJoin(F.broadcast(mean)))
 
 

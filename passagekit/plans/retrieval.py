@@ -94,15 +94,18 @@ def similar(
     floor: float = 0.25,
     min_score: float = rerank.MIN_SCORE,
     qid: str = "qid",
+    keep: Callable[[DataFrame], DataFrame] = lambda t: t,
 ) -> DataFrame:
     """Similar passages: root candidates and BM25 hits, pooled, re-ranked, weighed by coverage, gated, cut.
 
+    keep is applied to the small tables that later steps read more than once.
+
     queries: (qid, text, terms): terms is the text BM25 gets. roots: (qid, root,
     ord). posts: (root, doc). docs: (doc, passage). Without a scorer the pool is
     cut as it stands: root candidates with their coverage score, BM25 hits with 0.
     """
     checked(limit)
-    weights = coverage.root_weights(roots, posts, n, qid)
+    weights = keep(coverage.root_weights(roots, posts, n, qid))
     by_root = coverage.candidates(weights, posts, qid)
     by_term = bm25.search(index, queries, F.col("terms"), BM25_POOL, qid).withColumn("score", F.lit(0.0))
     if attributes is not None and filters:
@@ -117,7 +120,7 @@ def similar(
     if scorer is None:
         return pool.filter(F.col("pos") < limit).select(qid, "doc", "score", F.col("pos").alias("rank"))
     pool = pool.join(queries.select(qid, "text"), qid).join(docs, "doc")
-    ranked = rerank.rerank(pool, scorer(F.col("text"), F.col("passage")), qid=qid)
+    ranked = keep(rerank.rerank(pool, scorer(F.col("text"), F.col("passage")), qid=qid).drop("text", "passage"))
     ranked = coverage.fractions(ranked, weights, posts, qid)
     ranked = rerank.full_coverage_gate(rerank.blended(ranked, floor, qid), qid=qid)
     return rerank.threshold(ranked, min_score, limit=limit, qid=qid).select(qid, "doc", F.col("rerank_score").alias("score"), "cov", "rank")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import bm25, context, coverage, evaluate, fusion, inverted, lexical, prompts, rerank, store, vectors
 from .plans import chat, ingest, retrieval
+from .session import materialized
 from .sinks.writers import last_vectors
 from .sources.readers import parse_morphology
 
@@ -41,7 +42,7 @@ def _segments(docs: DataFrame) -> DataFrame:
 
 
 def _posts(docs: DataFrame) -> DataFrame:
-    return _segments(docs).select("root", F.split("verse_id", ":")[1].cast("long").alias("doc")).distinct()
+    return materialized(_segments(docs).select("root", F.split("verse_id", ":")[1].cast("long").alias("doc")).distinct())
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def _query_roots(queries: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame) -> bm25.Bm25Index:
-    return bm25.build(docs, "doc_id", F.col("text"))
+    return bm25.build(docs, "doc_id", F.col("text"), keep=materialized)
 
 
 def _r(c: str) -> Column:
@@ -93,7 +94,7 @@ def heuristic_stem(spark, d):
 
 # --- inverted index -----------------------------------------------------------
 def inverted_index(spark, d):
-    rows = inverted.root_index(_segments(_t(spark, d, "documents")))
+    rows = inverted.root_index(materialized(_segments(_t(spark, d, "documents"))))
     return rows.select("root", F.array_join("forms_found", "|").alias("forms"), F.array_join("verses", "|").alias("verses"), "count")
 
 
@@ -116,7 +117,7 @@ def morphology_index(spark, d):
 
 # --- ranking ------------------------------------------------------------------
 def bm25_stats(spark, d):
-    return _index(_t(spark, d, "documents")).terms.select("term", "df", _r("idf"))
+    return bm25.build(_t(spark, d, "documents"), "doc_id", F.col("text")).terms.select("term", "df", _r("idf"))
 
 
 def bm25_topk(spark, d):
@@ -191,7 +192,7 @@ def _similar(spark, d, scorer) -> DataFrame:
     docs, asked = _t(spark, d, "documents"), _asked(spark, d)
     terms = F.array_join(X.without_stop_words(X.tokens("text"), STOP), " ")
     asked = asked.withColumn("terms", F.coalesce(F.nullif(terms, F.lit("")), F.col("text")))
-    return retrieval.similar(asked, _query_roots(asked), _posts(docs), _index(docs), docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("passage")), F.lit(docs.count()), scorer)
+    return retrieval.similar(asked, _query_roots(asked), _posts(docs), _index(docs), docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("passage")), F.lit(docs.count()), scorer, keep=materialized)
 
 
 def similar_pipeline(spark, d):
@@ -221,7 +222,7 @@ def threshold_gate(spark, d):
 # --- lookup -------------------------------------------------------------------
 def lexical_lookup(spark, d):
     docs, asked = _t(spark, d, "documents"), _asked(spark, d)
-    index = inverted.root_index(_segments(docs))
+    index = inverted.root_index(materialized(_segments(docs)))
     records = docs.select(F.concat_ws(":", F.substring("source", 4, 9), F.col("doc_id").cast("string")).alias("id"), "n_chars")
     rows = lexical.lookup(_query_roots(asked), index, records, 30)
     return rows.select("qid", "root", F.array_join("forms", "|").alias("forms"), "occurrences_count", F.array_join(F.transform("verses", lambda v: v["id"]), "|").alias("sampled"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dir: dict[str, str] = {}
 
 
 def session(name: str = "passagekit", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -21,3 +26,21 @@ def session(name: str = "passagekit", master: str | None = None, shuffle_partiti
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="passagekit-")
+    return "file://" + _own_dir[app]
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read from there: what several steps read is worked out once."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
