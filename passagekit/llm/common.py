@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: ASCII white space as Java regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="passagekit-")
-    return "file://" + _own_dir[app]
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -62,10 +49,3 @@ def text_of(col: str = "text") -> Column:
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = "_" + name
-    return name

@@ -21,7 +21,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_of
 from .components import components
 
 #: Rows of a unit up to which pairs are swept together with those of other units.
@@ -29,7 +29,7 @@ _SMALL = 32
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of each whole text as a signed long; no words: 0."""
+    """(id, h, fp): a hash of each whole text and its 64-bit SimHash as a signed long; no words: 0."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -40,7 +40,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for k, value in enumerate(batch.column(1)):
+            for k, value in enumerate(batch.column(2)):
                 text = value.as_py()
                 words = text.encode("utf-8", "replace").lower().split() if text else []
                 if not words:
@@ -57,10 +57,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     bits = np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     ones += bits.sum(axis=0, dtype=np.int32)
                 out[k] = weights[2 * ones > n].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc", "h", "fp"])
 
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc long, fp long").withColumnRenamed("doc", id_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "doc long, h long, fp long").withColumnRenamed("doc", id_col)
 
 
 def hex_of(fp: Column) -> Column:
@@ -208,7 +208,7 @@ def near_duplicates(
     max_bits: int = 4,
     n_pivots: int = 12,
 ) -> DataFrame:
-    """One row per input row: id, fp, component_id (the least id reachable over links).
+    """One row per input row: id, h (hash of the text), fp, root (one fp of the component), component_id (the least id reachable over links).
 
     Null and empty texts have fingerprint 0 and link like any other. Equal
     fingerprints are one node, so copies are never expanded into pairs. Null ids
@@ -221,12 +221,14 @@ def near_duplicates(
     nodes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = scratch.put(nodes)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "component_id")
-    return docs.join(nodes, "fp").select(id_col, "fp", "component_id")
+    nodes = nodes.join(least, "root").select("fp", "root", "component_id")
+    return docs.join(nodes, "fp").select(id_col, "h", "fp", "root", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of df whose id is the least of its component, one for each."""
-    kept = near_duplicates(df, id_col, text_col, shingle, max_bits).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__doc")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["__doc"]), "left_semi").dropDuplicates([id_col])
+    """One whole row of df for each component: the one with the least id; of several with that id, one."""
+    rows = near_duplicates(df, id_col, text_col, shingle, max_bits).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("h"))).alias("k")).select(F.col("k.i").alias("__doc"), F.col("k.h").alias("__hash"))
+    keyed = df.withColumn("__h", F.xxhash64(text_of(text_col)))
+    same = keyed[id_col].eqNullSafe(kept["__doc"]) & (keyed["__h"] == kept["__hash"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")
