@@ -82,7 +82,8 @@ def search(
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fill and min_score is None:
         first = index.docs.orderBy("ord").limit(2 * k).select("doc", "ord")  # 2k rows
-        blank = queries.select(qid).distinct().crossJoin(F.broadcast(first))
-        blank = blank.join(found.select(qid, "doc"), [qid, "doc"], "left_anti").withColumn("score", F.lit(0.0))
-        found = found.drop("rank").unionByName(blank).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        blank = queries.select(qid).distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(None).cast("double"))
+        # a document that was found keeps its score; max passes over the nulls of the fill
+        both = found.drop("rank").unionByName(blank).groupBy(qid, "doc", "ord").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+        found = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select(qid, "doc", "score", (F.col("rank") - 1).alias("rank"))
