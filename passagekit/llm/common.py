@@ -13,12 +13,14 @@ from ..session import shared_dir
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     ``put`` writes and rereads a DataFrame, so that later steps neither repeat
     its work nor depend on blocks of one executor; ``drop`` deletes a table that
-    no later step reads. Tables that a returned DataFrame still reads stay.
+    no later step reads. Tables that a returned DataFrame still reads stay, for
+    whoever clears the shared folder after the job.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -30,12 +32,13 @@ class Scratch:
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = path, out  # held, so that the number stays its own
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.paths.pop(id(t), None):
+            path, _ = self.paths.pop(id(t), (None, None))
+            if path:
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -7,7 +7,6 @@ from .queries import ARABIC, PREFIXES, QUESTION, STOP, SUFFIXES
 
 _WS = r"\s+"
 _TOK = rf"list_filter(string_split_regex(lower(coalesce(text, '')), '{_WS}'), lambda x: x <> '')"
-_DIGITS = "6"
 
 
 def _list(words: tuple[str, ...]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,6 +29,14 @@ def session(name: str = "passagekit", master: str | None = None, shuffle_partiti
     return builder.getOrCreate()
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers get the folder of this package on their path, where it isn't there by other means (--py-files)."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
     there = spark.conf.get("spark.checkpoint.dir", None)
