@@ -84,14 +84,17 @@ def shard(
     text_col: str = "text",
     tolerance: float = 1e-3,
     probes: int = 64,
-    piece_bytes: int = 16 << 20,
+    piece_bytes: int = 4 << 20,
+    task_bytes: int = 256 << 20,
 ) -> DataFrame:
     """df with size, shard and slot.
 
     size: UTF-8 bytes of the text (null: none) plus 1. Shards get nearly equal
     sums of size. Each shard is written in pieces of about piece_bytes (dealt by
-    the id's hash, sorted by text hash within), so no task gets a whole shard;
-    slot numbers a shard's rows from 0, piece after piece. Null ids count as one
+    the id's hash, sorted by text hash within), so no task gets a whole shard,
+    and pieces are small enough to spread evenly over tasks; the exchange has
+    the session's number of partitions, or more where a task would get above
+    task_bytes. slot numbers a shard's rows from 0, piece after piece. Null ids count as one
     id. An empty table gives no rows; columns of df named like a result are replaced.
     """
     scratch = Scratch(df.sparkSession, "shards")
@@ -114,6 +117,9 @@ def shard(
     scratch.drop(keys)
     rows = df.drop("size", "shard", "slot").withColumns({"size": size, "__k": key, "__t": tie})
     rows = rows.withColumns({"shard": placed(F.col("__k"), F.col("__t")), "__p": piece(F.col("__t"))})
+    tasks = -(-total // task_bytes)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "shard", "__p")
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("shard", "__p").orderBy("__k", "__t", id_col)))
     rows = rows.join(cells.withColumnRenamed("__s", "shard"), ["shard", "__p"])
     return rows.withColumn("slot", F.col("__before") + F.col("__n") - 1).drop("__k", "__t", "__p", "__n", "__before")
