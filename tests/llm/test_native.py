@@ -17,10 +17,11 @@ def no_python(df):
 
 
 # --- sharding
-@pytest.mark.parametrize("name", ["awkward", "clashing"])
-def test_shards_are_even_and_gapless(request, name):
+@pytest.mark.parametrize(("name", "task_bytes"), [("awkward", 256 << 20), ("clashing", 256 << 20), ("awkward", 5000)])
+def test_shards_are_even_and_gapless(request, name, task_bytes):
+    """task_bytes 5000: the exchange gets more partitions than the session's."""
     df = request.getfixturevalue(name)
-    out = shard(df, 4, piece_bytes=2000)
+    out = shard(df, 4, piece_bytes=2000, task_bytes=task_bytes)
     rows = out.select("doc_id", F.col("size"), "shard", "slot", "text").collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
     assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in rows)
