@@ -2,13 +2,14 @@
 
 Training: for every word and every word beginning of four letters, log-odds of
 occurring in toxic against clean documents under an informative Dirichlet prior
-(the rate in both together), kept where they are significant and nearly
-always toxic. Scoring: each word
-has its log-odds, any other word a small negative score; one linear scan finds
+(the rate in both together), kept where they are significant, those of clean
+words too. How significant, and how high the lower bound of a toxic feature's
+log-odds, is chosen by cross-validation on the training sample. Scoring: each
+word has its log-odds, any other word a small negative score; one linear scan finds
 all maximal-scoring segments (Ruzzo and Tompa); a segment of score S among n
 words has the extreme-value (Karlin-Altschul) expectation K n exp(-lambda S) in
 clean text; significant segments' evidence is summed, and a logistic curve
-fitted on the training sample makes it a probability.
+fitted on the training sample's out-of-fold evidence makes it a probability.
 
 The classifier is fitted on a bounded sample of labelled rows (max_labelled);
 what is collected or broadcast is bounded by that sample.
@@ -59,7 +60,7 @@ def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, in
 
 @dataclass
 class ToxicityModel:
-    """weights: log-odds of significant features with their z; gap: score of any other word."""
+    """weights: log-odds of features with their z, of which those that pass the bounds count; gap: score of any other word."""
 
     weights: dict[str, tuple[float, float]]
     gap: float = -0.05
@@ -68,6 +69,13 @@ class ToxicityModel:
     slope: float = 1.0
     bias: float = 0.0
     most_expected: float = 0.05
+    least_z: float = 0.0
+    least_odds: float = 0.0
+    most_cached: int = 300_000
+
+    def counts(self, w: float, z: float) -> bool:
+        """Whether a feature with log-odds w is significant; toxic ones also need log-odds of least_odds."""
+        return (z >= self.least_z and w >= self.least_odds) if z > 0 else z <= -self.least_z
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of words, and (first word, last word, score, expectation) of all maximal segments."""
@@ -96,12 +104,12 @@ class ToxicityModel:
 
     def _cache(self) -> dict[str, float]:
         if "_words" not in self.__dict__:
-            weights = self.weights
+            weights, counts, most = self.weights, self.counts, self.most_cached
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
-                    best = max((weights[f] for f in _features(word) if f in weights), key=lambda x: abs(x[1]), default=(0.0, 0.0))
-                    if len(self) < 300_000:
+                    best = max((weights[f] for f in _features(word) if f in weights and counts(*weights[f])), key=lambda x: abs(x[1]), default=(0.0, 0.0))
+                    if len(self) < most:
                         self[word] = best[0]
                     return best[0]
 
@@ -112,23 +120,70 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_words"}
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents of each label that have it."""
+def _counts(rows: DataFrame, folds: int) -> DataFrame:
+    """(feature, toxic, clean, uses): arrays by fold of the documents of each label that have it, and of its places in clean ones.
+
+    The empty feature's uses are the clean documents' words.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            by = (Counter(), Counter())
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[label].update({f for w in set(_WORDS.findall(text.lower())) for f in _features(w)})
-            keys = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())],
-                ["feature", "toxic", "clean"],
-            )
+            by: dict[tuple[str, int], list[int]] = {}
+            for label, fold_no, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = Counter(_WORDS.findall(text.lower()))
+                own: Counter = Counter()
+                for w, n in words.items():
+                    for f in _features(w):
+                        own[f] += n
+                for f, n in own.items():
+                    x = by.setdefault((f, fold_no), [0, 0, 0])
+                    x[label] += 1
+                    x[2] += 0 if label else n
+                by.setdefault(("", fold_no), [0, 0, 0])[2] += 0 if label else words.total()
+            keys, values = list(by), list(by.values())
+            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([v[k] for v in values], pa.int64()) for k in (1, 0, 2))], ["feature", "f", "toxic", "clean", "uses"])
+
+    found = rows.select("y", "f", "t").mapInArrow(run, "feature string, f int, toxic long, clean long, uses long")
+    by_fold = lambda c: F.array(*(F.sum(F.when(F.col("f") == k, F.col(c)).otherwise(0)) for k in range(folds))).alias(c)
+    return found.groupBy("feature").agg(by_fold("toxic"), by_fold("clean"), by_fold("uses"))
+
+
+def _log_odds(toxic, clean, n_toxic: int, n_clean: int, prior: float):  # noqa: ANN001, ANN202
+    """Log-odds of features (arrays of counts) less one standard error, and their z."""
+    import numpy as np
 
-    return rows.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Dirichlet prior: a share of the sample's weight, dealt by the rate in both labels together
+    rate = (toxic + clean) * prior
+    in_toxic, in_clean = np.maximum(toxic + rate, 1e-9), np.maximum(clean + rate, 1e-9)
+    odds = lambda hits, n: np.log(hits / np.maximum(n + prior * (n_toxic + n_clean) - hits, 0.5))
+    delta = odds(in_toxic, n_toxic) - odds(in_clean, n_clean)
+    error = np.sqrt(1 / in_toxic + 1 / in_clean)
+    return np.sign(delta) * np.maximum(np.abs(delta) - error, 0), delta / error
+
+
+def _rate(model: ToxicityModel, uses: dict[str, int], words: int) -> float:
+    """lambda: the mean of exp(lambda x score) over a clean text's words is 1."""
+    kept = {f: x for f, x in model.weights.items() if model.counts(*x)}
+    places = {f: uses[f] for f in kept}
+    for f, x in kept.items():
+        if f[_START:] not in ("", "~"):
+            start = f[:_START] + "~"  # a word takes its own score or its beginning's
+            if start in kept:
+                if abs(x[1]) >= abs(kept[start][1]):
+                    places[start] -= uses[f]
+                else:
+                    places[f] = 0
+    mass = [(n / max(1, words), kept[f][0]) for f, n in places.items() if n]
+    rest = max(0.01, 1 - sum(m for m, _ in mass))
+    low, high = 1e-3, 4.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        s = sum(m * math.exp(min(700.0, mid * w)) for m, w in mass) + rest * math.exp(mid * model.gap)
+        low, high = (mid, high) if s < 1 else (low, mid)
+    return max(0.05, low)
 
 
 def _logistic(x: list[float], y: list[int], ridge: float = 1e-2) -> tuple[float, float]:
@@ -154,64 +209,87 @@ def train(
     label_col: str = "toxic",
     max_labelled: int = 20_000,
     prior: float = 0.1,
-    least_z: float = 2.4,
-    least_ratio: float = 5.0,
+    bounds: tuple[tuple[float, float], ...] = ((2.4, 0.0), (2.4, 0.7), (2.4, 1.4), (4.0, 0.7), (4.0, 1.4)),
+    folds: int = 3,
 ) -> ToxicityModel:
     """A model from at most max_labelled labelled rows, those first by a hash of the id.
 
-    Ids with several labels take the greatest; null labels and ids are passed
-    over. Without labels of both kinds every text scores below one half.
+    Of bounds (least z, least log-odds of a toxic feature) those are taken whose
+    out-of-fold evidence tells the labels best. Ids with several labels take the
+    greatest; null labels and ids are passed over. Without labels of both kinds
+    every text scores below one half.
     """
+    import numpy as np
+
     scratch = Scratch(docs.sparkSession, "toxicity")
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
     own = own.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_labelled)
     own = scratch.put(own)
     # at most max_labelled rows of two numbers
-    rows = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("t")).join(F.broadcast(own), "i").select("y", "t")
-    rows = scratch.put(rows)
-    n_toxic, n_clean = rows.agg(F.count(F.when(F.col("y") == 1, 1)), F.count(F.when(F.col("y") == 0, 1))).first()
+    rows = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("t")).join(F.broadcast(own), "i")
+    rows = scratch.put(rows.select("y", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(folds)).cast("int").alias("f"), "t"))
+    sizes = np.zeros((2, folds), int)
+    for r in rows.groupBy("y", "f").count().collect():
+        sizes[r["y"], r["f"]] = r["count"]
+    n_clean, n_toxic = sizes.sum(axis=1).tolist()
     if not n_toxic or not n_clean:
         scratch.drop(own, rows)
         return ToxicityModel({}, bias=-1.0, slope=0.0)
-    total = n_toxic + n_clean
-    # Dirichlet prior: a tenth of the sample's weight, dealt by the rate in both labels together
-    rate = (F.col("toxic") + F.col("clean")) * F.lit(prior)
-    in_toxic, in_clean = F.col("toxic") + rate, F.col("clean") + rate
-    odds = lambda hits, n: F.log(hits / F.greatest(F.lit(n + prior * total) - hits, F.lit(0.5)))
-    delta = odds(in_toxic, n_toxic) - odds(in_clean, n_clean)
-    z = delta / F.sqrt(1 / in_toxic + 1 / in_clean)
-    # a feature counts if, prior included, it occurs least_ratio times as often in toxic as in clean documents;
-    # its score is the log-odds less one standard error
-    table = _counts(rows).filter(in_toxic >= least_ratio * in_clean).withColumns({"d": delta, "z": z, "c": in_clean})
-    table = table.select("feature", (F.col("d") - F.col("d") / F.col("z")).alias("w"), "z", "c").filter((F.col("z") >= least_z) & (F.col("d") > 0))
-    found = table.collect()
-    model = ToxicityModel({r["feature"]: (r["w"], r["z"]) for r in found})
-    # lambda: the mean of exp(lambda x score) over a clean text's words is 1
-    words = max(1.0, rows.filter("y = 0").agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 1)
-    mass = [(min(1.0, r["c"] / words), r["w"]) for r in found if not r["feature"].endswith("~")]
-    p = min(0.99, sum(m for m, _ in mass))
-    low, high = 1e-3, 4.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        s = sum(m * math.exp(min(700.0, mid * w)) for m, w in mass) + (1 - p) * math.exp(mid * model.gap)
-        low, high = (mid, high) if s < 1 else (low, mid)
-    model.rate = max(0.05, low)
+    # a part: the folds a model learns from; the last is all of them
+    parts = [[k for k in range(folds) if k != out] for out in range(folds)] + [list(range(folds))]
+    if (np.minimum(sizes, 1).sum(axis=1) < 2).any():
+        parts = parts[-1:]  # too few labels to leave any out
+    n_of = [(int(sizes[1, p].sum()), int(sizes[0, p].sum())) for p in parts]
+    loosest = min(z for z, _ in bounds)
+
+    def select(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            toxic, clean = (np.array(batch.column(k).to_pylist(), float).reshape(-1, folds) for k in (1, 2))
+            keep = np.array([f == "" for f in batch.column(0).to_pylist()], bool)
+            for p, n in zip(parts, n_of, strict=True):
+                keep |= np.abs(_log_odds(toxic[:, p].sum(axis=1), clean[:, p].sum(axis=1), *n, prior)[1]) >= loosest
+            yield batch.filter(pa.array(keep))
+
+    counted = _counts(rows, folds)
+    found = counted.mapInArrow(select, counted.schema).collect()
+    toxic, clean, uses = (np.array([r[c] for r in found], float).reshape(-1, folds) for c in ("toxic", "clean", "uses"))
+    names = [r["feature"] for r in found]
+    models: list[list[ToxicityModel]] = []  # by part and bounds
+    for p, n in zip(parts, n_of, strict=True):
+        w, z = _log_odds(toxic[:, p].sum(axis=1), clean[:, p].sum(axis=1), *n, prior)
+        weights = {f: (float(a), float(b)) for f, a, b in zip(names, w, z, strict=True) if f and abs(b) >= loosest}
+        places = dict(zip(names, uses[:, p].sum(axis=1).tolist(), strict=True))
+        models.append([ToxicityModel(weights, least_z=a, least_odds=b, most_cached=20_000) for a, b in bounds])
+        for m in models[-1]:
+            m.rate = _rate(m, places, places.get("", 0))
+    final, tried = models[-1], models[:-1] or models
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             x = []
-            for text in batch.column(1).to_pylist():
-                n, segments = model.segments(text)
-                x.append(model.evidence(n, segments))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["y", "x"])
-
-    fit = rows.mapInArrow(score, "y int, x double").collect()
-    # labels of one kind are rare, and a curve between them may be steep: evidence of up to 60 tells enough
-    model.slope, model.bias = _logistic([min(60.0, r["x"]) for r in fit], [r["y"] for r in fit])
+            for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x.append([m.evidence(*m.segments(text)) for m in tried[fold_no % len(tried)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+    fit = rows.select("y", "f", "t").mapInArrow(score, "y int, x array<double>").collect()
+    y, best = [r["y"] for r in fit], None
+    for k in range(len(bounds)):
+        # labels of one kind are rare, and a curve between them may be steep: evidence of up to 60 tells enough
+        x = [min(60.0, r["x"][k]) for r in fit]
+        slope, bias = _logistic(x, y)
+        side = np.where(np.array(y) == 1, -1.0, 1.0)
+        loss = float(np.logaddexp(0, side * (slope * np.array(x) + bias)).mean())
+        if best is None or loss < best[0]:
+            best = loss, k, slope, bias
+    _, k, slope, bias = best
+    model = final[k]
+    kept = {f: x for f, x in model.weights.items() if model.counts(*x)}
     scratch.drop(own, rows)
-    return model
+    return ToxicityModel(kept, rate=model.rate, slope=slope, bias=bias)
 
 
 def scorer(model: ToxicityModel):  # noqa: ANN201

@@ -177,6 +177,42 @@ def test_toxicity_of_held_out_documents(spark):
     assert any(w in ("vile", "nasty", "grotty") for w in sure["text"].split()[first["first"] : first["last"] + 1])
 
 
+def test_toxicity_with_rare_labels_and_words_that_clean_texts_quote(spark):
+    """Words over one in ten of whose documents are clean, though their rate in toxic ones is far higher."""
+    rng = random.Random(4)
+    bad = [f"vile{k}" for k in range(6)]
+    rows, labels = [], []
+    for k in range(3000):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 100))]
+        toxic = int(rng.random() < 0.04)
+        at = rng.randint(0, len(words))
+        if toxic:
+            words[at:at] = rng.sample(bad, 4)
+        elif rng.random() < 0.1:
+            words.insert(at, rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, toxicity.training_labels(lab))
+    held = {r[0] for r in lab.filter(fold("doc_id", 5) == 0).select("doc_id").collect()}
+    got = [(model.probability(t) >= 0.5, bool(labels[d][2])) for d, t in rows if d in held]
+    assert sum(a and b for a, b in got) >= 0.95 * sum(b for _, b in got)
+    assert sum(a and not b for a, b in got) <= 0.01 * len(got)
+
+
+def test_toxicity_keeps_what_speaks_for_clean(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 2
+        words = [f"w{rng.randint(0, 99)}" for _ in range(30)] + ["vile" if toxic else "kindly"] * 2
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, toxic))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.weights["vile"][0] > 0 > model.weights["kindly"][0]
+
+
 def test_toxicity_edges(spark, clashing, empty):
     none = toxicity.train(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.probability("x") < 0.5 and none.probability(None) < 0.5
