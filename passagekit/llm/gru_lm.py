@@ -5,8 +5,8 @@ Counts of all training words are exact and made by Spark. The frequent words
 rarer words form one class, whose known members share by their counts and whose
 unseen ones get the share that words met once have in it. Words are clustered
 into classes by the documents they occur in; a GRU, trained by truncated
-backpropagation on a bounded sample of documents, gives the next token's class,
-and the class's counts over the whole corpus give the word:
+backpropagation on a bounded sample of documents, gives the next token's class
+(that of frequent words outside the sample has its share of the whole corpus), and the class's counts over the whole corpus give the word:
 log P(text) = sum of log P(class | all before) + log P(word | class).
 State is carried from window to window and starts anew with each document.
 """
@@ -34,7 +34,7 @@ class Gru:
 
         rng = np.random.default_rng(seed)
         make = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
-        self.hidden, self.n_class = hidden, n_class
+        self.hidden, self.n_class, self.loose = hidden, n_class, 0.0  # loose: fixed share of LOOSE, which is never trained
         self.p = {"x": make(n_in, 3 * hidden), "u": make(hidden, 3 * hidden), "o": make(hidden, n_class), "b": np.zeros(n_class, np.float32), "ub": np.zeros(3 * hidden, np.float32)}
 
     def step(self, x, h):  # noqa: ANN001, ANN201
@@ -53,7 +53,11 @@ class Gru:
 
         s = hs @ self.p["o"] + self.p["b"]
         s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
+        if self.loose:
+            s += np.log1p(-self.loose)
+            s[:, LOOSE] = np.log(self.loose)
+        return s
 
     def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3) -> None:  # noqa: ANN001
         """Truncated backpropagation over (steps, lanes) arrays; fresh marks first tokens, where the state is zero."""
@@ -317,14 +321,15 @@ def train(
     mass = np.bincount(cls, weights=c[: len(cls)], minlength=n_class)
     own_n = min(own_inputs, len(words))
     gru = Gru(n_class + own_n, n_class, hidden)
+    mass[RARE], mass[END] = rare, n_docs
+    gru.p["b"] = np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32)
+    gru.p["b"][LOOSE] = -1e9  # no target of the sample; its share is set below
     end = math.log10(((n_docs or 0) + 0.1) / denominator)
     model = LanguageModel(words, cls.astype(np.int64), np.log10(np.maximum(c, 1e-9) / np.maximum(mass[cls], 1e-9)), np.log10((c + 0.1) / denominator), own_n, gru, end, n, denominator, rare, unseen)
     if sample:
         pairs = [model.sequences(d) for d in sample]
         x, y = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]).astype(np.int64)
         fresh = np.concatenate([np.r_[1, np.zeros(len(a) - 1)] for a, _ in pairs])
-        share = np.bincount(y, minlength=n_class) + 0.5
-        gru.p["b"] = np.log(share / share.sum()).astype(np.float32)
         lanes = max(1, min(48, len(x) // 400))
         steps_n = len(x) // lanes
         if steps_n >= 20:
@@ -332,6 +337,8 @@ def train(
             # a small sample is gone through several times
             for _ in range(max(1, min(6, sample_tokens // (2 * len(x))))):
                 gru.train(deal(x), deal(y), deal(fresh))
+    gru.loose = min(0.999, max(1e-12, float(mass[LOOSE]) / max(1, n)))
+    gru.p["x"][LOOSE] = gru.p["x"][RARE]
     return model, counts
 
 

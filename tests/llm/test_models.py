@@ -78,6 +78,16 @@ def test_lm_edges(spark, clashing, empty):
     assert gru_lm.score(clashing, none, no_counts, scratch).count() == clashing.count()
 
 
+def test_frequent_words_outside_the_sample_have_their_share_of_the_corpus(spark):
+    docs = spark.createDataFrame([(k, f"g{k % 40} " * 20 + "all of them " * 4) for k in range(400)], "doc_id long, text string")
+    model, counts = gru_lm.train(docs, Scratch(spark, "t"), sample_docs=5)
+    c = {r["word"].encode(): r["c"] for r in counts.collect()}
+    outside = sum(c[w] for w, k in zip(model.words, model.classes, strict=True) if k == gru_lm.LOOSE)
+    assert outside > 0.4 * model.train_tokens
+    p = np.exp(model.gru.log_probs(np.random.default_rng(5).uniform(-1, 1, (50, model.gru.hidden)).astype(np.float32)))
+    assert np.allclose(p[:, gru_lm.LOOSE], outside / model.train_tokens, rtol=1e-4) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
 def test_lanes_score_like_single_sequences():
     rng = np.random.default_rng(2)
     net = gru_lm.Gru(9, 7, 8)
