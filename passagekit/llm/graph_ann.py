@@ -4,10 +4,12 @@ Vectors are dealt into shards of bounded size by a hash of the vector, so equal
 vectors share a shard and one node. In each shard a graph is built in batches
 that double in size: greedy (beam) searches over the graph so far propose
 neighbours, relaxed distance pruning keeps diverse edges, and reverse edges are
-added and pruned in turn. Largest inner product is made a distance by one more
-coordinate, which gives all vectors of a shard the same length. A query is beam
-searched in every shard, in blocks of queries, and the shards' best are merged;
-scores are computed anew in double precision from the original vectors.
+added and pruned in turn. That graph is of directions, so the lengths of vectors
+don't bend it. Largest inner product also depends on length, so every node then
+asks as a query would: a beam search by inner product in its direction, whose
+best become edges too. A query is beam searched by inner product in every shard,
+and the shards' best are merged; scores are computed anew in double precision
+from the original vectors.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from .common import Scratch
 def beam_search(x, norms, graph, entry: int, q, beam: int):  # noqa: ANN001, ANN202
     """For each query the beam nearest nodes found (ids, distances), nearest first; -1 where there are fewer.
 
-    All queries of a block advance together, each expanding its nearest node not yet expanded.
+    norms: squared lengths of x for Euclidean distance, None for the largest inner product. A node's neighbours
+    must differ. All queries of a block advance together, each expanding its nearest node not yet expanded.
     """
     import numpy as np
 
+    norms = np.zeros(len(x), np.float32) if norms is None else norms
     k, degree = len(q), graph.shape[1]
     width = beam + degree
     ids = np.full((k, width), -1, np.int32)
@@ -129,12 +133,33 @@ def build_graph(x, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: i
     return graph, entry
 
 
-def _level(x):  # noqa: ANN001, ANN202
-    """x with the coordinate that gives all rows one length, so that nearest means largest inner product."""
+def asked_edges(x, u, graph, entry: int, degree: int, beam: int, block: int = 512):  # noqa: ANN001, ANN202
+    """graph with up to degree more columns: of each node the nodes of largest inner product with its direction, as found by beam search."""
     import numpy as np
 
-    norms = (x.astype(np.float64) ** 2).sum(axis=1)
-    return np.c_[x, np.sqrt(np.maximum(norms.max() - norms, 0))].astype(np.float32)
+    more = np.full((len(x), degree), -1, np.int32)
+    for i in range(0, len(x), block):
+        own = np.arange(i, min(len(x), i + block))
+        near, _ = beam_search(x, None, graph, entry, u[own], max(beam, degree + 1))
+        near = np.where(near == own[:, None], -1, near)
+        first = np.argsort(near < 0, axis=1, kind="stable")[:, :degree]
+        more[own] = np.take_along_axis(near, first, axis=1)
+    wide = -np.sort(-np.concatenate([graph, more], axis=1), axis=1)
+    wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = -1
+    return wide
+
+
+def _scaled(x):  # noqa: ANN001, ANN202
+    """(rows by the greatest length of all, directions), float32; safe for any finite doubles."""
+    import numpy as np
+
+    own = np.abs(x).max(axis=1, keepdims=True)
+    u = x / own
+    n = np.sqrt((u**2).sum(axis=1, keepdims=True))
+    u /= n
+    top = own.max()
+    length = own / top * n  # of the longest component of all
+    return (u * (length / length.max())).astype(np.float32), u.astype(np.float32)
 
 
 def _usable(vec: str) -> F.Column:
@@ -143,9 +168,11 @@ def _usable(vec: str) -> F.Column:
     return F.coalesce((F.size(vec) > 0) & F.forall(vec, sound) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows: int, degree: int, beam: int, alpha: float, copies: int) -> DataFrame:
+def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows: int, degree: int, asked: int, beam: int, alpha: float, copies: int, least_shards: int = 8) -> DataFrame:
     """One row per shard: shard, dim, data (vectors, ids of up to copies equal rows, graph, entry as npz).
 
+    Shards have shard_rows distinct vectors at most (on average of the hash), which bounds a task's memory and
+    time; there are least_shards of them where each still gets 1024, so that small tables build in parallel too.
     Vectors of one dimension make an index of their own; all rows are in it, but
     of equal vectors beyond the copies-th id, which no list of that length can hold.
     """
@@ -153,7 +180,8 @@ def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows
     vecs = vecs.filter("id is not null").withColumn("h", F.xxhash64("v"))
     rank = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
     vecs = scratch.put(vecs.withColumn("r", rank).filter(F.col("r") <= copies).drop("r"))
-    shards = max(1, -(-vecs.select("h").distinct().count() // shard_rows))
+    kinds = vecs.select("h").distinct().count()
+    shards = max(1, -(-kinds // shard_rows), min(least_shards, -(-kinds // 1024)))
 
     def build(table):  # noqa: ANN001, ANN202
         import numpy as np
@@ -164,7 +192,11 @@ def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows
         ids = np.asarray(table.column("id"), np.int64)
         x, node = np.unique(flat, axis=0, return_inverse=True)
         order = np.lexsort((ids, node.ravel()))
-        graph, entry = build_graph(_level(x), degree, beam, alpha)
+        scaled, u = _scaled(x)
+        graph, entry = build_graph(u, degree, beam, alpha)
+        graph = asked_edges(scaled, u, graph, entry, asked, beam * 3 // 4)
+        exact = x.astype(np.float32)
+        x = exact if np.array_equal(exact, x) else x
         out = io.BytesIO()
         np.savez(out, x=x, node=node.ravel()[order].astype(np.int32), ids=ids[order], graph=graph, entry=entry)
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "data": pa.array([out.getvalue()], pa.binary())})
@@ -179,25 +211,34 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    shard_rows: int = 8192,
+    shard_rows: int = 1 << 17,
     degree: int = 32,
+    asked: int = 16,
     build_beam: int = 64,
-    beam: int = 96,
+    beam: int = 128,
     alpha: float = 1.2,
-    block: int = 256,
+    block: int = 1 << 14,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k of df nearest to each of queries by inner product, found by beam search.
 
     Nearest first, ties to the smaller id; a query's own id is no candidate.
     Vectors that are null, zero or hold null or non-finite components, and rows
     without an id, take no part; vectors of other lengths are never compared.
-    A query id that occurs with several vectors counts once for each.
+    A query id that occurs with several vectors counts once for each. Finite
+    components of any size are searched; a product beyond a double is infinite,
+    one that is no number counts as minus infinity. An empty table gives no rows; other
+    columns are ignored.
+
+    A shard is read once for every block of queries, so its cost is one beam
+    search a query and shard; degree edges of a node come from the pruned graph
+    of directions, asked from searches by inner product.
     """
     scratch = Scratch(df.sparkSession, "graph-ann")
-    shards = index(df, scratch, id_col, vec_col, shard_rows, degree, build_beam, alpha, k + 1)
+    shards = index(df, scratch, id_col, vec_col, shard_rows, degree, asked, build_beam, alpha, k + 1)
     ask = queries.filter(_usable(vec_col)).select(F.col(id_col).cast("long").alias("q"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     ask = ask.filter("q is not null").withColumn("dim", F.size("v")).distinct()
-    blocks = max(1, -(-ask.count() // block))
+    many = ask.count()
+    blocks = max(1, -(-many // block), min(4, -(-many // 256)))
     ask = ask.withColumn("b", F.pmod(F.xxhash64("q", "v"), F.lit(blocks)))
     ask = ask.groupBy("dim", "b").agg(F.collect_list(F.struct("q", "v")).alias("x"))
     ask = ask.select("dim", F.col("x.q").alias("q"), F.flatten(F.col("x.v")).alias("v"))
@@ -217,14 +258,17 @@ def nearest(
                 v = np.asarray(batch.column(2)[r].values, np.float64).reshape(-1, dim)
                 with np.load(io.BytesIO(batch.column(3)[r].as_py())) as z:
                     x, node, ids, graph, entry = (z[n] for n in ("x", "node", "ids", "graph", "entry"))
-                level = _level(x)
-                flat = np.c_[v, np.zeros(len(v))].astype(np.float32)
-                found, _ = beam_search(level, (level**2).sum(axis=1), graph, int(entry), flat, max(beam, k + 1))
+                x, scaled = x.astype(np.float64), _scaled(x.astype(np.float64))[0]
+                flat = _scaled(v)[1]
+                parts = [beam_search(scaled, None, graph, int(entry), flat[i : i + 256], max(beam, k + 1))[0] for i in range(0, len(flat), 256)]
+                found = np.concatenate(parts)
                 first = np.searchsorted(node, np.arange(len(x) + 1))
                 out_q, out_v, out_id, out_s = [], [], [], []
                 for i in range(len(q)):
                     own = found[i][found[i] >= 0]
-                    score = (x[own] * v[i]).sum(axis=1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = (x[own] * v[i]).sum(axis=1)
+                    score[np.isnan(score)] = -np.inf
                     many = first[own + 1] - first[own]
                     at = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     cid, cs = ids[at], np.repeat(score, many)

@@ -2,14 +2,16 @@
 
 Training: for every word and every word beginning of four letters, log-odds of
 occurring in toxic against clean documents under an informative Dirichlet prior
-(the rate in both together), kept where they are significant, those of clean
-words too. How significant, and how high the lower bound of a toxic feature's
-log-odds, is chosen by cross-validation on the training sample. Scoring: each
-word has its log-odds, any other word a small negative score; one linear scan finds
-all maximal-scoring segments (Ruzzo and Tompa); a segment of score S among n
-words has the extreme-value (Karlin-Altschul) expectation K n exp(-lambda S) in
-clean text; significant segments' evidence is summed, and a logistic curve
-fitted on the training sample's out-of-fold evidence makes it a probability.
+(the rate in both together), less one standard error. Words that speak for clean
+keep their negative log-odds; how significant a toxic feature has to be is chosen
+by cross-validation on the training sample. Scoring: each word has its log-odds,
+a word that says nothing a small negative score; one linear scan finds all
+maximal-scoring segments (Ruzzo and Tompa); a segment of score S among n words
+has the extreme-value (Karlin-Altschul) expectation K n exp(-lambda S) in clean
+text, lambda from the tokens' frequencies there and K by maximum likelihood from
+the best segments of clean texts left out of training; significant segments'
+evidence is summed, and a logistic curve fitted on the training sample's
+out-of-fold evidence makes it a probability.
 
 The classifier is fitted on a bounded sample of labelled rows (max_labelled);
 what is collected or broadcast is bounded by that sample.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,29 +40,40 @@ def _features(word: str) -> tuple[str, ...]:
 
 
 def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments of a row of runs (first, last, score), as (first, last, score); linear time."""
-    found: list[list] = []  # first, last, cumulative left of it, cumulative right of it
-    total = 0.0
+    """All maximal-scoring segments of a row of runs (first, last, score), as (first, last, score)."""
+    rising, total = [], 0.0
     for first, last, s in scores:
-        left, total = total, total + s
-        if s <= 0:
-            continue
-        now = [first, last, left, total]
+        if s > 0:
+            rising.append((first, last, total, total + s))
+        total += s
+    return _maximal(rising)
+
+
+def _maximal(rising: Iterable[tuple[int, int, float, float]]) -> list[tuple[int, int, float]]:
+    """The segments from the runs of positive score: (first, last, sum left of it, sum with it), in linear time.
+
+    Every candidate knows the nearest one before it whose left sum is smaller, so a search passes over
+    whatever an earlier one has passed over.
+    """
+    found: list[tuple[int, int, float, float, int]] = []
+    for first, last, left, right in rising:
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            first, left = found[j][0], found[j][2]
+            before = found[j][4]
             del found[j:]
-        found.append(now)
-    return [(a, b, r - lo) for a, b, lo, r in found]
+            j = before
+        found.append((first, last, left, right, j))
+    return [(a, b, r - lo) for a, b, lo, r, _ in found]
 
 
 @dataclass
 class ToxicityModel:
-    """weights: log-odds of features with their z, of which those that pass the bounds count; gap: score of any other word."""
+    """weights: log-odds of features with their z, of which those that count() lets pass; gap: score of a word without any."""
 
     weights: dict[str, tuple[float, float]]
     gap: float = -0.05
@@ -74,22 +87,22 @@ class ToxicityModel:
     most_cached: int = 300_000
 
     def counts(self, w: float, z: float) -> bool:
-        """Whether a feature with log-odds w is significant; toxic ones also need log-odds of least_odds."""
-        return (z >= self.least_z and w >= self.least_odds) if z > 0 else z <= -self.least_z
+        """Clean features count wherever their log-odds are surer than their error; toxic ones have bounds of their own."""
+        return (z >= self.least_z and w >= self.least_odds) if z > 0 else z <= -1
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of words, and (first word, last word, score, expectation) of all maximal segments."""
+        import numpy as np
+
         words = _WORDS.findall(text.lower()) if text else []
-        get = self._cache().__getitem__
-        runs, at = [], 0
-        for i, w in enumerate(map(get, words)):
-            if w:
-                if i > at:
-                    runs.append((at, i - 1, self.gap * (i - at)))
-                runs.append((i, i, w))
-                at = i + 1
-        n = max(1, len(words))
-        return len(words), [(a, b, s, self.k * n * math.exp(-self.rate * s)) for a, b, s in maximal_segments(runs)]
+        if not words:
+            return 0, []
+        own = np.fromiter(map(self._cache().__getitem__, words), np.float64, len(words))
+        upto, at = np.cumsum(own), np.flatnonzero(own > 0)
+        right, at = upto[at].tolist(), at.tolist()
+        found = _maximal((i, i, upto.item(i - 1) if i else 0.0, r) for i, r in zip(at, right, strict=True))
+        n = len(words)
+        return n, [(a, b, s, self.k * n * math.exp(-self.rate * s)) for a, b, s in found]
 
     def evidence(self, n: int, segments: list[tuple[int, int, float, float]]) -> float:
         """Minus the log of the expectations of all significant segments together, or of the best one."""
@@ -104,11 +117,11 @@ class ToxicityModel:
 
     def _cache(self) -> dict[str, float]:
         if "_words" not in self.__dict__:
-            weights, counts, most = self.weights, self.counts, self.most_cached
+            weights, counts, most, gap = self.weights, self.counts, self.most_cached, self.gap
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
-                    best = max((weights[f] for f in _features(word) if f in weights and counts(*weights[f])), key=lambda x: abs(x[1]), default=(0.0, 0.0))
+                    best = max((weights[f] for f in _features(word) if f in weights and counts(*weights[f])), key=lambda x: abs(x[1]), default=(gap, 0.0))
                     if len(self) < most:
                         self[word] = best[0]
                     return best[0]
@@ -216,8 +229,9 @@ def train(
 
     Of bounds (least z, least log-odds of a toxic feature) those are taken whose
     out-of-fold evidence tells the labels best. Ids with several labels take the
-    greatest; null labels and ids are passed over. Without labels of both kinds
-    every text scores below one half.
+    greatest; null labels and ids are passed over; rows that repeat an id all
+    count. Without labels of both kinds, so with empty tables too, every text
+    scores below one half.
     """
     import numpy as np
 
@@ -249,7 +263,8 @@ def train(
             toxic, clean = (np.array(batch.column(k).to_pylist(), float).reshape(-1, folds) for k in (1, 2))
             keep = np.array([f == "" for f in batch.column(0).to_pylist()], bool)
             for p, n in zip(parts, n_of, strict=True):
-                keep |= np.abs(_log_odds(toxic[:, p].sum(axis=1), clean[:, p].sum(axis=1), *n, prior)[1]) >= loosest
+                z = _log_odds(toxic[:, p].sum(axis=1), clean[:, p].sum(axis=1), *n, prior)[1]
+                keep |= (z >= loosest) | (z <= -1)
             yield batch.filter(pa.array(keep))
 
     counted = _counts(rows, folds)
@@ -259,13 +274,32 @@ def train(
     models: list[list[ToxicityModel]] = []  # by part and bounds
     for p, n in zip(parts, n_of, strict=True):
         w, z = _log_odds(toxic[:, p].sum(axis=1), clean[:, p].sum(axis=1), *n, prior)
-        weights = {f: (float(a), float(b)) for f, a, b in zip(names, w, z, strict=True) if f and abs(b) >= loosest}
+        weights = {f: (float(a), float(b)) for f, a, b in zip(names, w, z, strict=True) if f and (b >= loosest or b <= -1)}
         places = dict(zip(names, uses[:, p].sum(axis=1).tolist(), strict=True))
         models.append([ToxicityModel(weights, least_z=a, least_odds=b, most_cached=20_000) for a, b in bounds])
         for m in models[-1]:
             m.rate = _rate(m, places, places.get("", 0))
     final, tried = models[-1], models[:-1] or models
 
+    def best_ones(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        texts, sums = 0, [0.0] * len(bounds)
+        for batch in batches:
+            for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                texts += 1
+                for k, m in enumerate(tried[fold_no % len(tried)]):
+                    n, segments = m.segments(text)
+                    sums[k] += max(1, n) * math.exp(-m.rate * max((s for _, _, s, _ in segments), default=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([texts], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], ["n", "x"])
+
+    # the likeliest K for best scores S of n words with P(S < s) = exp(-K n exp(-lambda s))
+    tails = rows.filter("y = 0").select("y", "f", "t").mapInArrow(best_ones, "n long, x array<double>").collect()
+    for k in range(len(bounds)):
+        share = sum(r["n"] for r in tails) / max(1e-9, sum(r["x"][k] for r in tails))
+        for of_part in models:
+            of_part[k].k = min(1.0, max(1e-6, share))
+
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -289,7 +323,7 @@ def train(
     model = final[k]
     kept = {f: x for f, x in model.weights.items() if model.counts(*x)}
     scratch.drop(own, rows)
-    return ToxicityModel(kept, rate=model.rate, slope=slope, bias=bias)
+    return ToxicityModel(kept, rate=model.rate, k=model.k, slope=slope, bias=bias)
 
 
 def scorer(model: ToxicityModel):  # noqa: ANN201
@@ -311,7 +345,11 @@ def scorer(model: ToxicityModel):  # noqa: ANN201
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """df with a struct column: score (0 to 1) and segments (significant passages as word positions)."""
+    """df with a struct column: score (0 to 1) and segments (significant passages as word positions).
+
+    Null texts score as empty ones do; every row is scored for itself, so equal rows score alike; an empty
+    table gives no rows. A column of df that is named like out is replaced, all others stay.
+    """
     return df.withColumn(out, scorer(model)(F.col(text_col).cast("string")))
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -166,6 +167,35 @@ def test_segments_match_their_definition():
         assert [(a, b, pytest.approx(s)) for a, b, s in got] == best_segments(v)
 
 
+def test_segments_in_linear_time():
+    """Runs that rise and fall, with sinking and with rising levels: the worst case of a backward scan."""
+    for down in (-2.0, -0.5, -1.0):
+        runs = [(i, i, 1.0 if i % 2 else down) for i in range(200_000)]
+        began = time.process_time()
+        assert sum(1 for _ in toxicity.maximal_segments(runs)) >= 1
+        assert time.process_time() - began < 1
+
+
+def test_expectations_fit_clean_texts(spark):
+    """Best segments of clean texts that training has not seen: expectations of 1 on average, and small ones as rare as they say.
+
+    Scores are few and far between here, so how many stay below a given expectation is bounded from one side only.
+    """
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(2400):
+        toxic = k % 4 == 0
+        words = [f"w{rng.randint(0, 300)}" if rng.random() > (0.12 if toxic else 0.03) else rng.choice(["vile", "nasty", "grotty", "mean"]) for _ in range(60)]
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    docs = spark.createDataFrame(rows[:1600], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels[:1600], "doc_id long, quality int, toxic int"))
+    best = [min((s[3] for s in model.segments(t)[1]), default=model.k * 60) for (_, t), lab in zip(rows[1600:], labels[1600:], strict=True) if not lab[2]]
+    assert 0 < model.k < 1 and 0.7 < sum(best) / len(best) < 1.4
+    for e in (0.05, 0.1, 0.5):
+        assert sum(x <= e for x in best) / len(best) < 1 - math.exp(-e) + 0.05
+
+
 def test_toxicity_of_held_out_documents(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -147,3 +147,30 @@ def test_graph_search_small(spark, vectors):
     assert nearest(few, few, 20).count() == 6
     assert nearest(few.limit(0), few.limit(0), 20).count() == 0
     assert nearest(df.filter("vec_id = 5"), df.filter("vec_id = 5"), 20).count() == 0
+
+
+@pytest.mark.parametrize(("n", "spread"), [(2500, 0.0), (9000, 0.5), (2500, 1.0)])
+def test_recall_whatever_the_lengths(spark, n, spread):
+    """64 dimensions, lengths from equal to a hundredfold apart, and one vector far longer than all others."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    x *= np.exp(rng.normal(0, spread, (n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[1234] *= 3000 if spread else 1
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit / (20 * n / 20) >= 0.95
+
+
+def test_components_near_the_ends_of_a_double(spark):
+    rows = [(k, [(-1.0) ** k * 1e300 * (k + 1), 1e-300 * k, 5e307 if k == 3 else 1.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df, 5).collect()
+    assert len(got) == 150 and not any(np.isnan(r["score"]) for r in got)
