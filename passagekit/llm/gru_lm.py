@@ -1,20 +1,24 @@
-"""Language-model scoring with a gated recurrent network and a class-factored softmax.
-
-Counts of all training words are exact and made by Spark. The frequent words
-(a bounded number, by a count threshold) go to the workers with their class;
-rarer words form one class, whose known members share by their counts and whose
-unseen ones get the share that words met once have in it. Words are clustered
-into classes by the documents they occur in; a GRU, trained by truncated
-backpropagation on a bounded sample of documents, gives the next token's class
-(that of frequent words outside the sample has its share of the whole corpus), and the class's counts over the whole corpus give the word:
-log P(text) = sum of log P(class | all before) + log P(word | class).
-State is carried from window to window and starts anew with each document.
+"""Language-model scoring with a gated recurrent network and a class-factored output softmax.
+
+Counts of all training words are exact and made by Spark. A bounded number of
+frequent words have outputs of their own, in classes of equal size, dealt by the
+documents the words occur in; all rarer words are one more class (and frequent
+ones that the sample lacks another, with its fixed share of the corpus). The network
+gives log P(text) = sum of log P(class | all before) + log P(word | class, all
+before), both softmaxes over its state. Within the class of rare words, words
+share by their counts, and unseen ones get the share that words met once have.
+
+The network learns by truncated backpropagation on a sample of the training
+documents that grows with the square root of the corpus and never reaches the
+driver: each task learns on its own part from the parameters of the last round,
+and their means, made by Spark chunk by chunk, begin the next. State is carried
+from window to window and starts anew with each document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -23,19 +27,27 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-END, RARE, LOOSE = 0, 1, 2  # classes: end of text, rare or unseen words, frequent words not in the sample
+END, RARE, LOOSE = 0, 1, 2  # classes: end of text, rare or unseen words, frequent words that the sample lacks
+_CHUNK = 4096  # parameters in one row while means are taken
 
 
 class Gru:
-    """Inputs (numbers below n_in) to log-probabilities of n_class classes."""
+    """Inputs (numbers below n_in) to log-probabilities of n_class classes and of the words in each.
 
-    def __init__(self, n_in: int, n_class: int, hidden: int = 32, seed: int = 1):
+    ends: for each class the number of words in it and all before it; words are numbered class by class.
+    """
+
+    def __init__(self, n_in: int, n_class: int, hidden: int = 32, seed: int = 1, ends=None):  # noqa: ANN001
         import numpy as np
 
         rng = np.random.default_rng(seed)
         make = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
         self.hidden, self.n_class, self.loose = hidden, n_class, 0.0  # loose: fixed share of LOOSE, which is never trained
+        self.ends = np.zeros(n_class, np.int64) if ends is None else np.asarray(ends, np.int64)
+        n_words = int(self.ends[-1])
         self.p = {"x": make(n_in, 3 * hidden), "u": make(hidden, 3 * hidden), "o": make(hidden, n_class), "b": np.zeros(n_class, np.float32), "ub": np.zeros(3 * hidden, np.float32)}
+        if n_words:  # words start with the share of their counts, whatever comes before
+            self.p |= {"w": np.zeros((n_words, hidden), np.float32), "wb": np.zeros(n_words, np.float32)}
 
     def step(self, x, h):  # noqa: ANN001, ANN201
         """One step: rows of the input table, the state; returns the new state and what the way back needs."""
@@ -59,8 +71,35 @@ class Gru:
             s[:, LOOSE] = np.log(self.loose)
         return s
 
-    def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3) -> None:  # noqa: ANN001
-        """Truncated backpropagation over (steps, lanes) arrays; fresh marks first tokens, where the state is zero."""
+    def _by_class(self, words):  # noqa: ANN001, ANN202
+        """(rows, first word, end of words) for each class of which there are words (-1: none)."""
+        import numpy as np
+
+        at = np.flatnonzero(words >= 0)
+        cls = np.searchsorted(self.ends, words[at], side="right")
+        order = np.argsort(cls, kind="stable")
+        at, cls = at[order], cls[order]
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(at) else []
+        for a, b in zip(first, np.r_[first[1:], len(at)] if len(at) else [], strict=True):
+            c = int(cls[a])
+            yield at[int(a) : int(b)], int(self.ends[c - 1]) if c else 0, int(self.ends[c])
+
+    def word_log_probs(self, hs, words):  # noqa: ANN001, ANN201
+        """log P(word | class, state) of each row's word; 0 where it is -1."""
+        import numpy as np
+
+        out = np.zeros(len(words), np.float32)
+        for at, a, b in self._by_class(words):
+            s = hs[at] @ self.p["w"][a:b].T + self.p["wb"][a:b]
+            s -= s.max(axis=1, keepdims=True)
+            out[at] = s[np.arange(len(at)), words[at] - a] - np.log(np.exp(s).sum(axis=1))
+        return out
+
+    def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3, lanes_word=None, progress: tuple[float, float] = (0.0, 1.0)) -> None:  # noqa: ANN001
+        """Truncated backpropagation over (steps, lanes) arrays; fresh marks first tokens, where the state is zero.
+
+        lanes_word: the target words' numbers (-1: none). progress: which part of the training this is; the pace sinks.
+        """
         import numpy as np
 
         steps, lanes = lanes_in.shape
@@ -83,7 +122,18 @@ class Gru:
             d /= lanes * window
             g = {k: np.zeros_like(x) for k, x in self.p.items()}
             g["o"], g["b"] = hs.T @ d, d.sum(axis=0)
-            dh_out = (d @ self.p["o"].T).reshape(window, lanes, n)
+            dh_flat = d @ self.p["o"].T
+            if lanes_word is not None:
+                words = lanes_word[at : at + window].ravel()
+                for rows, first, end in self._by_class(words):
+                    s = hs[rows] @ self.p["w"][first:end].T + self.p["wb"][first:end]
+                    s = np.exp(s - s.max(axis=1, keepdims=True))
+                    s /= s.sum(axis=1, keepdims=True)
+                    s[np.arange(len(rows)), words[rows] - first] -= 1
+                    s /= lanes * window
+                    g["w"][first:end], g["wb"][first:end] = s.T @ hs[rows], s.sum(axis=0)
+                    dh_flat[rows] += s @ self.p["w"][first:end]
+            dh_out = dh_flat.reshape(window, lanes, n)
             dx_all, da_all, dh = np.empty((window, lanes, 3 * n), np.float32), np.empty((window, lanes, 3 * n), np.float32), np.zeros_like(h)
             for k in reversed(range(window)):
                 z, r, c, ac = saved[k]
@@ -99,15 +149,16 @@ class Gru:
             np.add.at(g["x"], xs.ravel(), dx_all.reshape(-1, 3 * n))
             norm = float(np.sqrt(sum((x**2).sum() for x in g.values())))
             t += 1
-            pace = rate * min(1.0, 0.1 + (1 - at / steps) * 1.2)
+            done = progress[0] + (progress[1] - progress[0]) * at / steps
+            pace = rate * min(1.0, 0.1 + (1 - done) * 1.2)
             for k in self.p:
                 x = g[k] * min(1.0, 1.0 / (norm + 1e-8))
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v2[k] = 0.99 * v2[k] + 0.01 * x * x
                 self.p[k] -= (pace * m[k] / (1 - 0.9**t) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
 
-    def score(self, inputs: list, targets: list, lanes: int = 384, window: int = 64):  # noqa: ANN201
-        """Sum of natural log class probabilities of each sequence (arrays of equal lengths).
+    def score(self, inputs: list, targets: list, lanes: int = 384, window: int = 64, words: list | None = None):  # noqa: ANN201
+        """Sum of natural log probabilities of each sequence's classes and, if given, words (arrays of equal lengths).
 
         Sequences are dealt over lanes, longest first, and follow each other in
         a lane; all lanes advance together, and finished lanes drop out.
@@ -130,6 +181,7 @@ class Gru:
         order = np.argsort(-load)
         xs = [np.concatenate([inputs[i] for i in dealt[k]]) for k in order]
         ys = [np.concatenate([targets[i] for i in dealt[k]]) for k in order]
+        ws = None if words is None else [np.concatenate([words[i] for i in dealt[k]]) for k in order]
         own = [np.repeat(np.array(dealt[k]), [len(inputs[i]) for i in dealt[k]]) for k in order]
         load = load[order]
         h, table = np.zeros((lanes, self.hidden), np.float32), self.p["x"]
@@ -137,10 +189,12 @@ class Gru:
             live = int((load > at).sum())
             w = min(window, int(load[0]) - at)
             x, y, seq = (np.zeros((w, live), np.int64), np.zeros((w, live), np.int64), np.full((w, live), -1))
-            fresh = np.zeros((w, live), bool)
+            fresh, word = np.zeros((w, live), bool), np.full((w, live), -1)
             for k in range(live):
                 n = min(w, int(load[k]) - at)
                 x[:n, k], y[:n, k], seq[:n, k] = xs[k][at : at + n], ys[k][at : at + n], own[k][at : at + n]
+                if ws is not None:
+                    word[:n, k] = ws[k][at : at + n]
                 first = own[k][at - 1] if at else -1
                 fresh[:n, k] = np.diff(own[k][at : at + n], prepend=first) != 0
             h = h[:live]
@@ -157,6 +211,8 @@ class Gru:
             for i in range(0, len(flat), 8192):
                 part = self.log_probs(flat[i : i + 8192])
                 lp[i : i + 8192] = part[np.arange(len(part)), goal[i : i + 8192]]
+            if ws is not None:
+                lp += self.word_log_probs(flat, word.ravel())
             seq = seq.ravel()
             real = seq >= 0
             out += np.bincount(seq[real], weights=lp[real], minlength=len(out))
@@ -193,11 +249,11 @@ def word_counts(docs: DataFrame, text_col: str = "text", most: int = 300_000) ->
 
 @dataclass
 class LanguageModel:
-    """What scoring needs: the frequent words' numbers, and by number their logs and classes."""
+    """What scoring needs: the frequent words' numbers, and by number their places among the outputs and logs."""
 
     words: list[bytes]
-    classes: object  # class of each frequent word
-    in_class: object  # log10 P(word | class)
+    place: object  # of each frequent word its number among the network's words; -1: rare, -2: not in the sample
+    in_rare: object  # log10 P(word | class) of those without a number; 0 for words with outputs
     base: object  # log10 of the unigram base
     n_inputs_own: int  # frequent words with an input row of their own
     gru: Gru
@@ -216,40 +272,61 @@ class LanguageModel:
         return {k: v for k, v in self.__dict__.items() if k != "_n"}
 
     def sequences(self, idx):  # noqa: ANN001, ANN201
-        """Inputs and target classes of a text's word numbers (-1: rare or unseen), the end included."""
+        """Inputs, target classes and target words (-1: none) of a text's word numbers (-1: unknown), the end included."""
         import numpy as np
 
-        cls = np.where(idx >= 0, self.classes[idx], RARE)
+        word = np.where(idx >= 0, self.place[idx], -1)
+        cls = np.where(word >= 0, np.searchsorted(self.gru.ends, word, side="right"), np.where(word == -2, LOOSE, RARE))
+        word = np.maximum(word, -1)
         inp = np.where((idx >= 0) & (idx < self.n_inputs_own), self.gru.n_class + idx, cls)
-        return np.r_[END, inp].astype(np.int32), np.r_[cls, END].astype(np.int16)
+        return np.r_[END, inp].astype(np.int32), np.r_[cls, END].astype(np.int16), np.r_[word, -1].astype(np.int32)
+
+
+def _sums(rows: DataFrame, make: Callable) -> object:
+    """The means, by weight, of the float32 vectors that make(batches) gives in each task, as (vector, weight).
+
+    The vectors are summed by Spark chunk by chunk, so the driver gets one vector, whatever the number of tasks.
+    """
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        vector, weight = make(batches)
+        if weight:
+            parts = [vector[i : i + _CHUNK] for i in range(0, len(vector), _CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary()), pa.array([float(weight)] * len(parts))], ["chunk", "v", "n"])
+
+    def mean(table):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        total, weight = 0.0, 0.0
+        for v, n in sorted(zip(table.column("v").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            total, weight = total + np.frombuffer(v, "<f4").astype(np.float64) * n, weight + n
+        return pa.table({"chunk": table.column("chunk")[:1], "v": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), "n": pa.array([weight])})
+
+    kind = "chunk int, v binary, n double"
+    found = sorted(rows.mapInArrow(run, kind).groupBy("chunk").applyInArrow(mean, kind).collect(), key=lambda r: r["chunk"])
+    return (np.frombuffer(b"".join(bytes(r["v"]) for r in found), "<f4").copy(), found[0]["n"]) if found else (np.zeros(0, np.float32), 0.0)
 
 
-def _classes(docs: list, n_words: int, n_classes: int, dim: int = 32, frequent: int = 3000, seed: int = 2):  # noqa: ANN202
-    """Clusters of words by the documents they occur in; LOOSE for words in none."""
+def _balanced(vec, classes: int):  # noqa: ANN001, ANN202
+    """Rows dealt to classes of equal size (at most one apart) by halving along the widest direction: class numbers."""
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    r = rng.normal(size=(n_words + 1, dim)).astype(np.float32)
-    r[min(frequent, n_words) :] = 0
-    vec = np.stack([r[d].sum(axis=0) / max(1, len(d)) ** 0.5 for d in docs])
-    vec -= vec.mean(axis=0)
-    vec /= np.linalg.norm(vec, axis=1, keepdims=True) + 1e-9
-    tokens = np.concatenate(docs)
-    own = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    own, tokens = own[tokens >= 0], tokens[tokens >= 0]
-    seen = np.bincount(tokens, minlength=n_words)
-    w = np.stack([np.bincount(tokens, weights=vec[own, k], minlength=n_words) for k in range(dim)], axis=1) / np.maximum(seen, 1)[:, None]
-    out = np.full(n_words, LOOSE, np.int64)
-    there = np.flatnonzero(seen)
-    if len(there):
-        x, weight = w[there], np.sqrt(seen[there])
-        centre = x[rng.choice(len(x), min(n_classes, len(x)), replace=False)]
-        for _ in range(12):
-            near = ((x**2).sum(1)[:, None] - 2 * x @ centre.T + (centre**2).sum(1)).argmin(axis=1)
-            size = np.bincount(near, weights=weight, minlength=len(centre))
-            new = np.stack([np.bincount(near, weights=weight * x[:, k], minlength=len(centre)) for k in range(dim)], axis=1)
-            centre = np.where(size[:, None] > 0, new / np.maximum(size, 1e-9)[:, None], centre)
-        out[there] = LOOSE + 1 + near
+    out = np.zeros(len(vec), np.int64)
+    parts = [(np.arange(len(vec)), 0, classes)]
+    while parts:
+        own, first, many = parts.pop()
+        if many == 1 or len(own) < 2:
+            out[own] = first
+            continue
+        x = vec[own] - vec[own].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        along *= np.sign(along[np.argmax(np.abs(along))] or 1)
+        own, left = own[np.argsort(along, kind="stable")], many // 2
+        cut = len(own) * left // many
+        parts += [(own[:cut], first, left), (own[cut:], first + left, many - left)]
     return out
 
 
@@ -259,17 +336,22 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_words: int = 1 << 16,
-    n_classes: int = 40,
+    max_outputs: int = 8192,
+    n_classes: int = 64,
     hidden: int = 32,
-    sample_docs: int = 2000,
-    sample_tokens: int = 800_000,
-    own_inputs: int = 500,
+    own_inputs: int = 2000,
+    learnt: float = 5e5,
+    rounds: int = 4,
+    task_tokens: int = 500_000,
 ) -> tuple[LanguageModel, DataFrame]:
     """The model and the table of all word counts (word, c).
 
-    Counts cover every training text. Bounded, as parameters: frequent words at
-    the workers (max_words) and the sample on which the network learns
-    (sample_docs first by a hash of the id, sample_tokens).
+    Counts cover every training text. The network learns on sqrt(learnt x tokens)
+    tokens: the documents whose id's hash falls below that share of all, and where
+    that is more than there are, on all of them several times. Bounded, as
+    parameters: frequent words at the workers (max_words) and words with outputs
+    (max_outputs). Rows without an id are counted, not learnt from; rows that
+    repeat an id share their fate. An empty table gives a model that knows no word.
     """
     import math
 
@@ -289,14 +371,9 @@ def train(
             break
         least = max(2, r["c"])
     frequent = sorted(((r["word"].encode(), r["c"]) for r in counts.filter(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
-    words, c = [w for w, _ in frequent], np.array([x for _, x in frequent] or [0], float)
-    rare, once = counts.filter(F.col("c") < least).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 1, 1))).first()
-    # Good and Turing: words met once tell the share of those not met; at least one in as many tokens
-    unseen = 1.0 if not rare else min(0.9, max(once, 1) / (rare + 1))
+    words, c = [w for w, _ in frequent], np.array([x for _, x in frequent], float)
+    once = counts.filter("c = 1").count()
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null")
-    ids = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(sample_docs).select("i").distinct()
-    some = rows.join(F.broadcast(ids), "i").select(F.xxhash64("i").alias("h"), "t")  # at most sample_docs ids
     known = {w: i for i, w in enumerate(words)}
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -305,39 +382,96 @@ def train(
 
         get = sent.value.get
         for batch in batches:
-            out = [np.fromiter(map(get, w := _words(t), repeat(-1)), np.int32, len(w)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["h", "idx"])
-
-    sample, left = [], sample_tokens
-    for r in sorted(some.mapInArrow(number, "h long, idx binary").collect(), key=lambda r: r["h"]):
-        idx = np.frombuffer(bytes(r["idx"]), np.int32)[: max(0, left)]
-        left -= len(idx) + 1
-        sample.append(idx)
-        if left <= 0:
-            break
-    sent.unpersist()
-    cls = _classes(sample, len(words), n_classes) if words and sample else np.full(max(1, len(words)), LOOSE)
-    n_class = LOOSE + 1 + n_classes
-    mass = np.bincount(cls, weights=c[: len(cls)], minlength=n_class)
-    own_n = min(own_inputs, len(words))
-    gru = Gru(n_class + own_n, n_class, hidden)
+            out = [np.fromiter(map(get, w := _words(t), repeat(-1)), np.int32, len(w)).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["idx"])
+
+    wanted = math.sqrt(learnt * max(1, n))
+    share = min(1.0, wanted / max(1, n))
+    passes = max(1, round(wanted / max(1.0, share * n)))
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11)  # 53 bits
+    some = docs.filter(F.col(id_col).isNotNull() & (h < F.lit(int(share * (1 << 53))))).select(F.col(text_col).cast("string"))
+    # dealt by rows, not by a key, so that no document's copies fill a task
+    sample = scratch.put(some.mapInArrow(number, "idx binary").repartition(max(1, math.ceil(share * n / task_tokens))))
+
+    n_out = min(max_outputs, len(words))
+    dim = 32
+
+    def texts(batches: Iterator) -> list:
+        return [np.frombuffer(x, np.int32) for x in sorted(v.as_py() for b in batches for v in b.column(0))]
+
+    def neighbours(batches: Iterator) -> tuple:
+        """Of each word the sum of its documents' vectors, and in how many places it is; a rare word's are the last row's."""
+        r = np.random.default_rng(2).normal(size=(n_out + 1, dim)).astype(np.float32)
+        r[-1] = 0
+        out = np.zeros((n_out + 1, dim + 1), np.float64)
+        for d in texts(batches):
+            own, many = np.unique(np.where((d >= 0) & (d < n_out), d, n_out), return_counts=True)
+            doc = (r[own] * many[:, None]).sum(axis=0)
+            out[own, :dim] += many[:, None] * (doc / (np.linalg.norm(doc) + 1e-9))
+            out[own, dim] += many
+        return out.ravel(), 1
+
+    near, tasks = _sums(sample, neighbours)
+    near = near.reshape(-1, dim + 1) * tasks if len(near) else np.zeros((n_out + 1, dim + 1))
+    met, lacking = np.flatnonzero(near[:n_out, dim] > 0), np.flatnonzero(near[:n_out, dim] == 0)
+    mean = near[:n_out, :dim].sum(axis=0) / max(1.0, near[:n_out, dim].sum())
+    vec = near[met, :dim] / near[met, dim:] - mean
+    classes = max(1, min(n_classes, len(met)))
+    cls = _balanced(vec / (np.linalg.norm(vec, axis=1, keepdims=True) + 1e-9), classes) + LOOSE + 1
+    order = np.argsort(cls, kind="stable")
+    place = np.full(len(words), -1, np.int64)
+    place[met[order]] = np.arange(len(met))
+    place[lacking] = -2
+    n_class = LOOSE + 1 + classes
+    gru = Gru(n_class + min(own_inputs, len(words)), n_class, hidden, ends=np.cumsum(np.bincount(cls, minlength=n_class)))
+    mass = np.bincount(cls, weights=c[met], minlength=n_class)
+    loose = c[lacking].sum()
+    rare = total - int(c[met].sum() + loose)
     mass[RARE], mass[END] = rare, n_docs
     gru.p["b"] = np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32)
     gru.p["b"][LOOSE] = -1e9  # no target of the sample; its share is set below
-    end = math.log10(((n_docs or 0) + 0.1) / denominator)
-    model = LanguageModel(words, cls.astype(np.int64), np.log10(np.maximum(c, 1e-9) / np.maximum(mass[cls], 1e-9)), np.log10((c + 0.1) / denominator), own_n, gru, end, n, denominator, rare, unseen)
-    if sample:
-        pairs = [model.sequences(d) for d in sample]
-        x, y = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]).astype(np.int64)
-        fresh = np.concatenate([np.r_[1, np.zeros(len(a) - 1)] for a, _ in pairs])
-        lanes = max(1, min(48, len(x) // 400))
-        steps_n = len(x) // lanes
-        if steps_n >= 20:
-            deal = lambda a: a[: lanes * steps_n].reshape(lanes, steps_n).T
-            # a small sample is gone through several times
-            for _ in range(max(1, min(6, sample_tokens // (2 * len(x))))):
-                gru.train(deal(x), deal(y), deal(fresh))
-    gru.loose = min(0.999, max(1e-12, float(mass[LOOSE]) / max(1, n)))
+    if len(met):
+        gru.p["wb"] = np.log(c[met[order]] / mass[cls[order]]).astype(np.float32)
+    # Good and Turing: words met once tell the share of those not met; at least one in as many tokens
+    unseen = 1.0 if not rare else min(0.9, max(once, 1) / (rare + 1))
+    in_rare = np.where(place == -1, np.log10((1 - unseen) * np.maximum(c, 1) / max(1, rare)) if unseen < 1 else 0.0, 0.0)
+    in_rare[lacking] = np.log10(c[lacking] / max(1, loose))
+    end = math.log10((n_docs + 0.1) / denominator)
+    model = LanguageModel(words, np.r_[place, -1], np.r_[in_rare, 0.0], np.r_[np.log10((c + 0.1) / denominator), 0.0], min(own_inputs, len(words)), gru, end, n, denominator, rare, unseen)
+
+    model.words = []  # the sample has numbers
+    for k in range(rounds if tasks else 0):
+        start = docs.sparkSession.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator, start=start, k: int = k) -> tuple:  # noqa: ANN001
+            m = start.value
+            own = texts(batches)
+            if not own:
+                return np.zeros(0, np.float32), 0
+            x, y, w = (np.concatenate(a) for a in zip(*map(m.sequences, own), strict=True))
+            fresh = np.zeros(len(x), np.int8)
+            fresh[np.cumsum([0, *(len(d) + 1 for d in own[:-1])])] = 1
+            lanes = max(1, min(96, len(x) // 400))
+            steps = len(x) // lanes
+            deal = lambda a: a[: lanes * steps].reshape(lanes, steps).T
+            # each round has its part of the steps, passes times where all of the corpus is not enough
+            todo = range(k * passes, (k + 1) * passes)
+            for part in todo:
+                a, b = steps * (part % rounds) // rounds, steps * (part % rounds + 1) // rounds
+                window = min(20, b - a)
+                if window > 0:
+                    m.gru.train(deal(x)[a:b], deal(y)[a:b].astype(np.int64), deal(fresh)[a:b], window, lanes_word=deal(w)[a:b], progress=(part / (passes * rounds), (part + 1) / (passes * rounds)))
+            return np.concatenate([v.ravel() for v in m.gru.p.values()]), len(x)
+
+        flat, _ = _sums(sample, learn)
+        start.unpersist()
+        at = 0
+        for name, old in gru.p.items() if len(flat) else ():
+            gru.p[name] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+    model.words = words
+    sent.unpersist()
+    gru.loose = min(0.999, max(1e-12, float(loose) / max(1, n)))
     gru.p["x"][LOOSE] = gru.p["x"][RARE]
     return model, counts
 
@@ -346,7 +480,8 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
     """One row per input row: id, n_tokens, n_known, base_score, score (log10 probabilities of the whole text).
 
     Null and empty texts are one end token. Rows are told apart by their place
-    in a written table, so repeated ids stay apart.
+    in a written table, so repeated ids stay apart. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = "rid long, doc long, n_tokens long, n_known long, base double, model double, rare array<struct<w:string,n:int>>"
@@ -359,13 +494,13 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
         get, ln10 = m.numbers().get, np.log(10)
 
         def rows(items: list) -> pa.RecordBatch:
-            class_log = m.gru.score([x[4][0] for x in items], [x[4][1] for x in items]) / ln10
+            log = m.gru.score(*([x[4][k] for x in items] for k in (0, 1)), words=[x[4][2] for x in items]) / ln10
             rid, doc, n, k, _, base, inside, rare = zip(*items, strict=True)
             values = pa.array([w for r in rare for w in r], pa.string()), pa.array([c for r in rare for c in r.values()], pa.int32())
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, ["w", "n"]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(class_log + np.array(inside)), listed],
+                [pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(log + np.array(inside)), listed],
                 ["rid", "doc", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
@@ -376,7 +511,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
                 idx = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 there = idx[idx >= 0]
                 rare = Counter(words[i].decode() for i in np.flatnonzero(idx < 0))
-                held.append((rid, doc, len(words) + 1, len(there) + 1, m.sequences(idx), float(m.base[there].sum()) + m.base_end, float(m.in_class[there].sum()), rare))
+                held.append((rid, doc, len(words) + 1, len(there) + 1, m.sequences(idx), float(m.base[there].sum()) + m.base_end, float(m.in_rare[there].sum()), rare))
                 tokens += len(words) + 1
                 if tokens > 3_000_000 or len(held) >= 20_000:
                     yield rows(held)

@@ -81,24 +81,57 @@ def test_lm_edges(spark, clashing, empty):
 
 def test_frequent_words_outside_the_sample_have_their_share_of_the_corpus(spark):
     docs = spark.createDataFrame([(k, f"g{k % 40} " * 20 + "all of them " * 4) for k in range(400)], "doc_id long, text string")
-    model, counts = gru_lm.train(docs, Scratch(spark, "t"), sample_docs=5)
+    model, counts = gru_lm.train(docs, Scratch(spark, "t"), learnt=2.0)
     c = {r["word"].encode(): r["c"] for r in counts.collect()}
-    outside = sum(c[w] for w, k in zip(model.words, model.classes, strict=True) if k == gru_lm.LOOSE)
+    outside = sum(c[w] for w, k in zip(model.words, model.place, strict=False) if k == -2)
     assert outside > 0.4 * model.train_tokens
     p = np.exp(model.gru.log_probs(np.random.default_rng(5).uniform(-1, 1, (50, model.gru.hidden)).astype(np.float32)))
     assert np.allclose(p[:, gru_lm.LOOSE], outside / model.train_tokens, rtol=1e-4) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_classes_are_balanced():
+    rng = np.random.default_rng(4)
+    for n, classes in ((1, 1), (7, 3), (100, 7), (1000, 64)):
+        sizes = np.bincount(gru_lm._balanced(rng.normal(size=(n, 5)) + 3 * rng.integers(0, 2, (n, 1)), classes), minlength=classes)
+        assert sizes.sum() == n and sizes.max() - sizes.min() <= 2
+    near = np.repeat(np.eye(4), 8, axis=0) + rng.normal(0, 0.01, (32, 4))
+    assert len(set(gru_lm._balanced(near, 4)[:8])) == 1
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    docs = spark.createDataFrame([(k, f"g{k % 9} some g{k % 5} of these words g{k % 3}") for k in range(60)], "doc_id long, text string")
+    model, _ = gru_lm.train(docs, Scratch(spark, "t"))
+    h = np.random.default_rng(5).uniform(-1, 1, (20, model.gru.hidden)).astype(np.float32)
+    p, total = np.exp(model.gru.log_probs(h)), 0
+    first = 0
+    for k, end in enumerate(model.gru.ends):
+        for w in range(first, end):
+            total = total + p[:, k] * np.exp(model.gru.word_log_probs(h, np.full(20, w)))
+        first = end
+    assert first == len(set("some of these words".split())) + 9 and np.allclose(total + p[:, gru_lm.END] + p[:, gru_lm.RARE], 1, atol=1e-4)
+
+
+def test_one_id_on_many_rows(spark):
+    """All rows of one id are learnt from, on the executors, and score apart."""
+    docs = spark.createDataFrame([(1, f"same id w{k % 7}") for k in range(3000)], "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    model, counts = gru_lm.train(docs, scratch)
+    rows = gru_lm.score(docs, model, counts, scratch).collect()
+    assert len(rows) == 3000 and {r["n_known"] for r in rows} == {4} and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
 def test_lanes_score_like_single_sequences():
     rng = np.random.default_rng(2)
-    net = gru_lm.Gru(9, 7, 8)
+    net = gru_lm.Gru(9, 7, 8, ends=[0, 0, 3, 8, 8, 8, 8])
+    net.p["w"], net.p["wb"] = rng.normal(size=(8, 8)).astype(np.float32), rng.normal(size=8).astype(np.float32)
     seqs = [(rng.integers(0, 9, n), rng.integers(0, 7, n)) for n in (1, 5, 70, 200, 3, 64, 65)]
-    got = net.score([a for a, _ in seqs], [b for _, b in seqs], lanes=3, window=16)
-    for (x, y), s in zip(seqs, got, strict=True):
+    words = [np.where(y == 2, rng.integers(0, 3, len(y)), np.where(y == 3, rng.integers(3, 8, len(y)), -1)) for _, y in seqs]
+    got = net.score([a for a, _ in seqs], [b for _, b in seqs], lanes=3, window=16, words=words)
+    for (x, y), w, s in zip(seqs, words, got, strict=True):
         h, want = np.zeros((1, 8), np.float32), 0.0
-        for a, b in zip(x, y, strict=True):
+        for a, b, k in zip(x, y, w, strict=True):
             h, _ = net.step(net.p["x"][[a]], h)
-            want += float(net.log_probs(h)[0, b])
+            want += float(net.log_probs(h)[0, b]) + _word_log(net, h, k)
         assert s == pytest.approx(want, rel=1e-4)
 
 
@@ -113,14 +146,23 @@ def test_gru_gradients_lower_the_loss():
     assert before < -1 and score() > -0.1
 
 
+def _word_log(net, h, word):
+    if word < 0:
+        return 0.0
+    a, b = (0, 3) if word < 3 else (3, 8)
+    s = net.p["w"][a:b] @ h[0] + net.p["wb"][a:b]
+    return float(s[word - a] - np.log(np.exp(s).sum()))
+
+
 def test_gru_gradients_are_the_slopes():
     """With windows as long as the text, one step's change of each weight has the sign of the measured slope."""
     rng = np.random.default_rng(3)
     x, y = rng.integers(0, 5, (12, 2)), rng.integers(0, 4, (12, 2))
     fresh = np.zeros((12, 2))
     fresh[[0, 5]] = 1
-    net = gru_lm.Gru(5, 4, 6)
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net = gru_lm.Gru(5, 4, 6, ends=[0, 0, 3, 8])
+    net.p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in net.p.items()}
+    w = np.where(y == 2, rng.integers(0, 3, y.shape), np.where(y == 3, rng.integers(3, 8, y.shape), -1))
 
     def loss():
         out = 0.0
@@ -128,7 +170,7 @@ def test_gru_gradients_are_the_slopes():
             h = np.zeros((1, 6))
             for k in range(12):
                 h, _ = net.step(net.p["x"][x[k, lane : lane + 1]], h * (1 - fresh[k, lane]))
-                out -= net.log_probs(h)[0, y[k, lane]]
+                out -= net.log_probs(h)[0, y[k, lane]] + _word_log(net, h, w[k, lane])
         return out / 24
 
     old, slopes = {k: v.copy() for k, v in net.p.items()}, {}
@@ -142,7 +184,7 @@ def test_gru_gradients_are_the_slopes():
             g[at] = (up - loss()) / 2e-5
             v[at] = keep
         slopes[k] = g
-    net.train(x, y, fresh, window=12, rate=1e-6)
+    net.train(x, y, fresh, window=12, rate=1e-6, lanes_word=w)
     for k, g in slopes.items():
         moved = net.p[k] - old[k]
         clear = np.abs(g) > 1e-4
