@@ -52,3 +52,15 @@ def text_of(col: str = "text") -> Column:
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to groups (one row for each value of keys, none null), of which size says how many rows it has.
+
+    A group above a ten-thousandth of total rows (and above 1000) would fill a task of a shuffled join. There are
+    under 10,000 of those, so they are broadcast; rows of all others meet their group by a shuffle.
+    """
+    heavy = groups.filter(F.col(size) > max(1000, total // 10_000))
+    light = groups.filter(F.col(size) <= max(1000, total // 10_000))
+    hot = F.broadcast(heavy)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))

@@ -3,7 +3,7 @@
 Bytes are embedded, filters of several widths slide over fixed-length windows,
 the maximum of each filter over the window is pooled and a softmax gives the
 language. Training takes a bounded sample of labelled rows (max_rows, the same
-share of each language as far as it goes) and, of each, windows spread over the
+share of each language) and, of each, windows spread over the
 whole text. Prediction covers every window of every whole text; a text's
 probabilities are the means over its windows, by their bytes.
 """
@@ -168,26 +168,28 @@ def train(
     per_text: int = 6,
     window: int = 128,
     epochs: int = 5,
-    max_languages: int = 500,
 ) -> ByteCnn:
-    """A network from at most max_rows rows of the max_languages most frequent languages, per_text windows of each.
+    """A network from about max_rows rows, the same share of every language (one row at least), per_text windows of each.
 
-    Rows without a language, an id or a letter in their text teach nothing; with
-    none left the model knows no language and predicts UNKNOWN.
+    Rows without a language, an id or a letter in their text teach nothing, equal
+    rows teach once; with none left (or an empty table) the model knows no language
+    and predicts UNKNOWN.
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).dropna()
     # a hash of the id picks about twice each language's share, so that few rows are ranked
-    langs = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(max_languages).collect()
-    if not langs:
+    counts = rows.groupBy("l").count()
+    n_langs = counts.count()
+    if not n_langs:
         return ByteCnn([], window)
-    share = -(-max_rows // len(langs))
-    below = {r["l"]: min((1 << 63) - 1, (2 * share + 64 << 63) // r["count"]) for r in langs}
-    bound = F.create_map(*(F.lit(x) for kv in below.items() for x in kv))
-    h = F.shiftrightunsigned(F.xxhash64("i"), 1)
-    ids = rows.select("l", "i", h.alias("h")).filter(F.col("h") <= bound[F.col("l")])
-    turn = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    ids = ids.withColumn("n", turn).orderBy("n", "l", "i").limit(max_rows).select("i", "l").distinct()
-    chosen = rows.join(F.broadcast(ids), ["i", "l"])  # at most max_rows rows
+    share = -(-max_rows // n_langs)
+    # one row a language, as many as the network has outputs
+    langs = F.broadcast(counts.select("l", F.least(F.lit(1.0), F.lit(2.0 * share + 64) / F.col("count")).alias("part")))
+    h = F.shiftrightunsigned(F.xxhash64("i", "t"), 1)
+    near = rows.join(langs, "l").filter(h <= (F.col("part") * F.lit(float((1 << 63) - 1))).cast("long")).select("l", h.alias("h")).distinct()
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    picked = near.withColumn("n", turn).filter(F.col("n") <= share).select("l", "h")
+    # at most share rows a language; of equal rows one
+    chosen = rows.withColumn("h", h).join(F.broadcast(picked), ["l", "h"]).groupBy("l", "h").agg(F.any_value("t").alias("t"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -197,8 +199,8 @@ def train(
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if any(map(str.isalpha, text)):
                     own = windows_of(text.encode("utf-8", "replace"), window)
-                    step = max(1, len(own) // per_text)
-                    out += [(lang, w.tobytes()) for w in own[::step][:per_text]]
+                    few = min(per_text, len(own))
+                    out += [(lang, own[k * len(own) // few].tobytes()) for k in range(few)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "w"])
 
     got = chosen.select("l", "t").mapInArrow(cut, "lang string, w binary").collect()
@@ -215,7 +217,11 @@ def train(
 
 
 def predict_language(df: DataFrame, model: ByteCnn, text_col: str = "text", out: str = "language") -> DataFrame:
-    """df with a struct column: lang_pred and score. Null or letterless texts get UNKNOWN and 0."""
+    """df with a struct column: lang_pred and score. Null, empty or letterless texts get UNKNOWN and 0.
+
+    Every row is predicted for itself, so equal rows agree; an empty table gives no rows. A column of df that
+    is named like out is replaced, all others stay.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -5,7 +5,9 @@ their cap (max_epochs times their size) are clamped to it and the excess is
 dealt to the rest by weight, until none is above. Sampling: each document is
 taken as often as the whole epochs say; for the fraction left, documents are
 ordered by a seeded hash, and taken from the front until the next would go over
-the target, plus the one document whose size comes nearest what is missing.
+the target, plus the one document whose size comes nearest what is missing. The
+place where the fraction ends is found on a histogram of the hash, refined until
+the bin that holds it has few rows.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, text_of
 
-#: The hash has 63 bits; its upper bits make the bins of the histogram.
-_BIN_SHIFT = 63 - 12
+#: The hash has 63 bits; a round of the search for a place in its order looks at so many more of them.
+_BITS = 12
 
 
 def water_fill(sources: DataFrame, scratch: Scratch, max_epochs: float) -> DataFrame:
@@ -50,6 +52,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    bin_rows: int = 4096,
 ) -> DataFrame:
     """df with size (words), source_size, target, repeats and taken = size x repeats.
 
@@ -73,15 +76,24 @@ def mix(
     sources = sources.withColumn("whole", F.floor(epochs).cast("int"))
     sources = sources.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    # the bin of the hash in which the fraction ends, then the place within it
-    bins = units.groupBy("source", F.shiftright("u", _BIN_SHIFT).alias("bin")).agg(F.sum("size").alias("size"))
-    by_bin = Window.partitionBy("source").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("size").over(by_bin)).withColumnRenamed("source", "s")
-    end = sources.join(bins, F.col("source").eqNullSafe(F.col("s"))).filter(F.col("upto") > F.col("part"))
-    end = end.groupBy("source", "part").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("size")).alias("below")), "bin").alias("e"))
-    end = scratch.put(end.select(F.col("source").alias("s"), F.col("e.bin").alias("end_bin"), F.col("e.below").alias("below"), "part"))
-    near = units.join(end, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("u", _BIN_SHIFT) == F.col("end_bin")))
-    near = near.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("u")))
+    # the bin of the hash in which the fraction ends, refined; then the place within it
+    end = sources.select(F.col("source").alias("s"), "part", F.lit(0).cast("long").alias("end_bin"), F.lit(0).cast("long").alias("below"))
+    shift = 63
+    while True:
+        inside = units.join(end, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("u", shift) == F.col("end_bin")))
+        if shift < 63 and (shift == 0 or not (most or 0) > bin_rows):
+            break
+        shift = max(0, shift - _BITS)
+        bins = inside.groupBy("source", "part", "below", F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        # at most 4096 bins of a source
+        bins = bins.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("bin")))
+        over = bins.filter(F.col("upto") > F.col("part")).groupBy("source", "part")
+        over = over.agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("size")).alias("below"), "n"), "bin").alias("e"))
+        old = end
+        end = scratch.put(over.select(F.col("source").alias("s"), "part", F.col("e.bin").alias("end_bin"), F.col("e.below").alias("below"), F.col("e.n").alias("n")))
+        scratch.drop(old)
+        most = end.agg(F.max("n")).first()[0]
+    near = inside.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("u")))
     cut = near.filter(F.col("upto") > F.col("part")).groupBy("source", "part").agg(
         F.min_by(F.struct("u", (F.col("upto") - F.col("size")).alias("below")), "u").alias("e")
     )

@@ -42,71 +42,86 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = 8) -> list[list[int]]:
-    """Local search among underfull bins: each change raises the sum of squared fills.
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search among underfull bins: each change raises the sum of squared fills. Ends when none does.
 
     For a bin A, fullest first, and each of its items a (or none): take from an
     emptier bin an item b longer than a that still fits, or two whose sum is, and
-    give a back. The longest gain goes first. Ends when no bin changes, or after
-    passes rounds.
+    give a back. The longest gain goes first. Givers get emptier, so while A has its
+    turn every item on offer is in a bin not fuller than A: bins that had theirs are off.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = [k for k in range(len(bins)) if fill[k] < capacity]
-    for _ in range(passes):
-        pool = sorted((lengths[i], k, i) for k in open_ for i in bins[k])
-        where = {i: k for _, k, i in pool}
+    open_ = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
+    changed = True
+    while changed:
         changed = False
-
-        def pick(low: int, high: int, a_bin: int) -> tuple[int, int, int] | None:
-            """The longest item of low < length <= high in a bin not fuller than a_bin."""
-            at = bisect_right(pool, (high, len(bins), 0))
-            tried = 0
-            while at and pool[at - 1][0] > low and tried < 16:
+        pool = sorted((lengths[i], i) for k in open_ for i in bins[k])
+        where = {i: k for k in open_ for i in bins[k]}
+        version = dict.fromkeys(open_, 0)
+
+        def pairs_of(k: int) -> list[tuple[int, int, int, int, int]]:
+            """Two items of a bin: one pair for any two lengths, so under 2100 for 2048 places."""
+            by = {lengths[i]: [] for i in bins[k]}
+            for i in bins[k]:
+                by[lengths[i]].append(i)
+            one = sorted(by)
+            out = [(x + y, k, version[k], by[x][0], by[y][0]) for n, x in enumerate(one) for y in one[n + 1 :]]
+            return out + [(2 * x, k, version[k], by[x][0], by[x][1]) for x in one if len(by[x]) > 1]
+
+        pairs = sorted(p for k in open_ for p in pairs_of(k))
+
+        def longest(low: int, high: int) -> tuple[int, int] | None:
+            """The longest item on offer of low < length <= high."""
+            at = bisect_right(pool, (high, len(lengths)))
+            return pool[at - 1] if at and pool[at - 1][0] > low else None
+
+        def longest_pair(low: int, high: int) -> tuple[int, int, int, int, int] | None:
+            """The longest two items of one bin on offer; pairs of bins that have changed are cleared away."""
+            at = bisect_right(pairs, (high, len(bins)))
+            while at and pairs[at - 1][0] > low:
                 at -= 1
-                n, k, i = pool[at]
-                if k != a_bin and fill[k] <= fill[a_bin]:
-                    return n, k, i
-                tried += 1
+                if version[pairs[at][1]] == pairs[at][2]:
+                    return pairs[at]
+                del pairs[at]
             return None
 
-        def move(i: int, to: int) -> None:
-            k = where[i]
-            bins[k].remove(i)
-            bins[to].append(i)
-            fill[k] -= lengths[i]
-            fill[to] += lengths[i]
-            del pool[bisect_left(pool, (lengths[i], k, i))]
-            insort(pool, (lengths[i], to, i))
-            where[i] = to
-
         for a_bin in sorted(open_, key=lambda k: (-fill[k], k)):
-            while 0 < fill[a_bin] < capacity:
-                free, best = capacity - fill[a_bin], None
-                if hit := pick(0, free, a_bin):
-                    best = (hit[0], [hit[2]], None, hit[1])
+            if not fill[a_bin]:
+                continue
+            version[a_bin] += 1
+            for i in bins[a_bin]:
+                del pool[bisect_left(pool, (lengths[i], i))]
+            while fill[a_bin] < capacity:
+                free, best = capacity - fill[a_bin], (0, [], None)
+                if hit := longest(0, free):
+                    best = hit[0], [hit[1]], None
                 for a in bins[a_bin]:
                     n = lengths[a]
-                    if hit := pick(n, n + free, a_bin):
-                        if best is None or hit[0] - n > best[0]:
-                            best = (hit[0] - n, [hit[2]], a, hit[1])
-                    # two items of one emptier bin for a
-                    if hit := pick(n // 2, n + free - 1, a_bin):
-                        rest = [j for j in bins[hit[1]] if j != hit[2] and n < hit[0] + lengths[j] <= n + free]
-                        if rest:
-                            j = max(rest, key=lambda x: lengths[x])
-                            if best is None or hit[0] + lengths[j] - n > best[0]:
-                                best = (hit[0] + lengths[j] - n, [hit[2], j], a, hit[1])
-                if best is None:
+                    if hit := longest(n + best[0], n + free):
+                        best = hit[0] - n, [hit[1]], a
+                    if two := longest_pair(n + best[0], n + free):
+                        best = two[0] - n, [two[3], two[4]], a
+                gain, come, go = best
+                if not gain:
                     break
-                _, come, go, other = best
+                giver = where[come[0]]
                 for i in come:
-                    move(i, a_bin)
+                    bins[giver].remove(i)
+                    del pool[bisect_left(pool, (lengths[i], i))]
+                    bins[a_bin].append(i)
+                    where[i] = a_bin
                 if go is not None:
-                    move(go, other)
+                    bins[a_bin].remove(go)
+                    bins[giver].append(go)
+                    where[go] = giver
+                    insort(pool, (lengths[go], go))
+                fill[a_bin] += gain
+                fill[giver] -= gain
+                version[giver] += 1
+                for p in pairs_of(giver):
+                    insort(pairs, p)
                 changed = True
         open_ = [k for k in open_ if 0 < fill[k] < capacity]
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -149,7 +164,7 @@ def pieces(
     return rows.mapInArrow(encode, "doc long, piece int, start long, length long, ids binary").withColumnRenamed("doc", id_col)
 
 
-def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = 8192, passes: int = 8) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = 8192) -> DataFrame:
     """rows with sequence_id and offset; rows must have length (1 to capacity).
 
     Equal rows are packed each for itself. An empty table gives no rows.
@@ -165,7 +180,7 @@ def pack(rows: DataFrame, capacity: int = 2048, group_rows: int = 8192, passes:
         import pyarrow as pa
 
         lengths = table.column("length").to_pylist()
-        bins = improve(best_fit(lengths, capacity), lengths, capacity, passes)
+        bins = improve(best_fit(lengths, capacity), lengths, capacity)
         seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         group = table.column("__g")[0].as_py()
         for k, items in enumerate(bins):

@@ -116,7 +116,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose white-space-normalised texts are equal."""
     from .exact_dedup import exact_groups
 
-    return exact_groups(_documents(spark, sf_dir)).drop("text_hash")
+    return exact_groups(_documents(spark, sf_dir))
 
 
 def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,20 @@
 A fingerprint has a bit set where over half of the text's shingle hashes have it.
 Two fingerprints within max_bits of each other agree on all but max_bits of any
 equal blocks of bits, so the distinct fingerprints are dealt by every choice of
-agreeing blocks, and no link is lost. Within such a bucket a table holds each
-fingerprint's Hamming distances to reference fingerprints (pivots); by the
-triangle inequality a pair whose distances to some pivot differ by more than
-max_bits is discarded, and only the survivors are compared bit by bit. Buckets
-above a bound are cut into chunks and every pair of chunks is a work unit of its
-own, so no bucket is capped and none fills a task; of a large unit only a
+agreeing blocks, and no link is lost. A table made once holds each fingerprint's
+Hamming distances to reference fingerprints (pivots) and goes with it into its
+buckets; by the triangle inequality a pair whose distances to some pivot differ
+by more than max_bits is discarded, and only the survivors are compared bit by
+bit. The fingerprints of buckets above a bound are dealt anew by more blocks; what
+is still above it is cut into chunks and every pair of chunks is a work unit of
+its own, so no bucket is capped and none fills a task; of a large unit only a
 spanning forest of its links is emitted.
 """
 
 from __future__ import annotations
 
+import functools
+import random
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -21,7 +24,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, join_groups, text_of
 from .components import components
 
 #: Rows of a unit up to which pairs are swept together with those of other units.
@@ -76,6 +79,10 @@ def _masks(n: int, max_bits: int, bits: int, most: int) -> list[int]:
     blocks = max_bits + 1
     while blocks < 2 * max_bits and n >> (bits // blocks * (blocks - max_bits)) > most:
         blocks += 1
+    return _masks_of(blocks, max_bits, bits)
+
+
+def _masks_of(blocks: int, max_bits: int, bits: int) -> list[int]:
     edges = [bits * k // blocks for k in range(blocks + 1)]
     part = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     out = [sum(x) for x in combinations(part, blocks - max_bits)]
@@ -87,13 +94,12 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def _unit_links(fp, chunk, pivots, max_bits: int):  # noqa: ANN001, ANN202
+def _unit_links(fp, chunk, table, max_bits: int):  # noqa: ANN001, ANN202
     """A spanning forest of the links within one unit; chunk: None, or rows of different chunks only."""
     import numpy as np
 
-    table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots]
     order = np.argsort(table[0], kind="stable")
-    fp, table = fp[order], [t[order] for t in table]
+    fp, table = fp[order], table[:, order]
     chunk = None if chunk is None else chunk[order]
     upto = np.searchsorted(table[0], table[0] + max_bits, side="right")
     label, a_out, b_out = np.arange(len(fp)), [], []
@@ -116,8 +122,8 @@ def _unit_links(fp, chunk, pivots, max_bits: int):  # noqa: ANN001, ANN202
     return np.array(a_out, np.uint64), np.array(b_out, np.uint64)
 
 
-def _links_of(fp, unit, chunk, pivots, max_bits: int):  # noqa: ANN001, ANN202
-    """Links of whole units: rows in order of unit; chunk 0 where a unit's rows may all meet."""
+def _links_of(fp, unit, chunk, table, max_bits: int):  # noqa: ANN001, ANN202
+    """Links of whole units: rows in order of unit; chunk 0 where a unit's rows may all meet; table: distances by pivot and row."""
     import numpy as np
 
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -125,11 +131,10 @@ def _links_of(fp, unit, chunk, pivots, max_bits: int):  # noqa: ANN001, ANN202
     a_out, b_out = [], []
     for s, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
         own = chunk[s : s + n]
-        a, b = _unit_links(fp[s : s + n], own if own.any() else None, pivots, max_bits)
+        a, b = _unit_links(fp[s : s + n], own if own.any() else None, table[:, s : s + n], max_bits)
         a_out.append(a), b_out.append(b)
     small = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
-    fp, unit, chunk = fp[small], unit[small], chunk[small]
-    table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots] if len(fp) else []
+    fp, unit, chunk, table = fp[small], unit[small], chunk[small], table[:, small]
     for k in range(1, min(_SMALL, len(fp))):
         i = np.flatnonzero(unit[k:] == unit[:-k])
         if not len(i):
@@ -142,20 +147,50 @@ def _links_of(fp, unit, chunk, pivots, max_bits: int):  # noqa: ANN001, ANN202
     return np.concatenate([*a_out, np.zeros(0, np.uint64)]), np.concatenate([*b_out, np.zeros(0, np.uint64)])
 
 
-def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 12, unit_rows: int = 4096, pivot_seed: int = 11) -> DataFrame:
+def pivots_of(n: int, seed: int = 11) -> list[int]:
+    """n reference fingerprints."""
+    rng = random.Random(seed)
+    return [rng.getrandbits(64) for _ in range(n)]
+
+
+def distance_table(fps: DataFrame, pivots: list[int]) -> DataFrame:
+    """fps with t0, t1, ...: the Hamming distances of fp to the pivots, eight to a long."""
+    cols = {}
+    for k in range(0, len(pivots), 8):
+        parts = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * j) for j, p in enumerate(pivots[k : k + 8])]
+        cols[f"t{k // 8}"] = functools.reduce(lambda a, b: a.bitwiseOR(b), parts)
+    return fps.withColumns(cols)
+
+
+def _dealt(fps: DataFrame, masks: list[int], family: int) -> DataFrame:
+    """A row of fps for each mask: m, key."""
+    deal = F.explode(F.array(*(F.struct(F.lit(family + k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(v))).alias("key")) for k, v in enumerate(masks))))
+    return fps.withColumn("x", deal).select(*fps.columns, "x.m", "x.key")
+
+
+def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 16, unit_rows: int = 4096, pivot_seed: int = 11) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fps.fp within max_bits."""
-    masks = _masks(fps.count(), max_bits, 64, 64)
-    deal = F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(v))).alias("key")) for k, v in enumerate(masks))))
-    rows = fps.select("fp", deal.alias("x")).select("fp", "x.m", "x.key")
+    fps = scratch.put(distance_table(fps.select("fp"), pivots_of(n_pivots, pivot_seed)))
+    table = fps.columns[1:]
+    first, most = _masks(fps.count(), max_bits, 64, 64), _masks_of(2 * max_bits, max_bits, 64)
+    crowded = lambda x: x.groupBy("m", "key").count().filter(F.col("count") > unit_rows)
+    rows = _dealt(fps, first, 0)
+    large = scratch.put(crowded(rows))
+    if len(first) < len(most) and not large.isEmpty():
+        # what a crowded bucket holds is dealt by more blocks: its pairs agree on some of those too
+        hot = scratch.put(rows.join(large.select("m", "key"), ["m", "key"], "left_semi").select("fp", *table).distinct())
+        rows = rows.join(large.select("m", "key"), ["m", "key"], "left_anti")
+        again = _dealt(hot, most, len(first))
+        rows = rows.unionByName(again)
+        large = crowded(again)
     # buckets above unit_rows: every pair of their chunks becomes a unit
-    large = rows.groupBy("m", "key").count().filter(F.col("count") > unit_rows)
     large = scratch.put(large.select("m", "key", F.ceil(F.col("count") / unit_rows).cast("int").alias("chunks")))
     rows = rows.join(large, ["m", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select(
         "fp",
-        F.xxhash64("m", "key").alias("u"),
+        *table,
         "m",
         "key",
         F.least("own", "other").alias("c1"),
@@ -169,22 +204,21 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 1
         import numpy as np
         import pyarrow as pa
 
-        rng = np.random.default_rng(pivot_seed)
-        pivots = rng.integers(0, 1 << 64, n_pivots, dtype=np.uint64)
         held: list = []
 
         def flush(parts: list) -> pa.RecordBatch:
-            cols = [np.concatenate([p[k] for p in parts]) for k in range(6)]
+            cols = [np.concatenate([p[k] for p in parts]) for k in range(6 + len(table))]
             change = np.zeros(len(cols[0]), bool)
             for c in cols[1:5]:
                 change[1:] |= c[1:] != c[:-1]
-            a, b = _links_of(cols[0].view(np.uint64), np.cumsum(change), cols[5], pivots, max_bits)
+            near = np.concatenate([c.astype("<i8").view(np.int8).reshape(-1, 8).T for c in cols[6:]])[:n_pivots]
+            a, b = _links_of(cols[0].view(np.uint64), np.cumsum(change), cols[5], near, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6 + len(table))]
             last = np.ones(len(now[0]), bool)
             for c in now[1:5]:
                 last &= c == c[-1]
@@ -197,7 +231,7 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 1
             yield flush(held)
 
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select("fp", *keys, "chunk").mapInArrow(run, "a long, b long")
+    return rows.select("fp", *keys, "chunk", *table).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -206,7 +240,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 4,
     max_bits: int = 4,
-    n_pivots: int = 12,
+    n_pivots: int = 16,
 ) -> DataFrame:
     """One row per input row: id, h (hash of the text), fp, root (one fp of the component), component_id (the least id reachable over links).
 
@@ -216,17 +250,21 @@ def near_duplicates(
     """
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.put(fingerprints(df, id_col, text_col, shingle))
-    fps = scratch.put(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    fps = scratch.put(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(scratch.put(links(fps.select("fp"), scratch, max_bits, n_pivots)), scratch)
     nodes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = scratch.put(nodes)
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "root", "component_id")
-    return docs.join(nodes, "fp").select(id_col, "h", "fp", "root", "component_id")
+    least = scratch.put(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    nodes = scratch.put(join_groups(nodes, least, ["root"], "fps", fps.count()).select("fp", "n", "root", "component_id"))
+    return join_groups(docs, nodes, ["fp"], "n", docs.count()).select(id_col, "h", "fp", "root", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One whole row of df for each component: the one with the least id; of several with that id, one."""
+    """One whole row of df for each component: the one with the least id; of several with that id, one.
+
+    Null and empty texts are one component with whatever links to fingerprint 0; of a component whose ids are all
+    null one row stays. Other columns stay as they are; an empty table gives no rows.
+    """
     rows = near_duplicates(df, id_col, text_col, shingle, max_bits).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("h"))).alias("k")).select(F.col("k.i").alias("__doc"), F.col("k.h").alias("__hash"))
     keyed = df.withColumn("__h", F.xxhash64(text_of(text_col)))

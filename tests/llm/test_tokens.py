@@ -108,3 +108,11 @@ def test_pieces_and_places(request, encode, name):
 
 def test_pack_empty(empty):
     assert pack(pieces(empty).drop("ids")).count() == 0
+
+
+def test_local_search_beats_best_fit_where_it_leaves_gaps():
+    rng = random.Random(1)
+    for low, high, least in ((400, 1100, 40), (500, 900, 120)):
+        n = [rng.randint(low, high) for _ in range(8192)]
+        first = best_fit(n, 2048)
+        assert len(first) - len(improve([list(b) for b in first], n, 2048)) >= least
