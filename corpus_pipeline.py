@@ -3,6 +3,13 @@
 Every stage works on all rows its predecessor kept and, but for the last,
 returns rows with the columns of documents. run() hands a stage's result on as
 a Parquet table in the shared folder, as the stages' callers do.
+
+Null texts count as empty: they are not toxic unless empty texts are, are copies
+of each other, take no words of a mix and make sequences of one end id. Null ids
+and sources are values like others (of copies, a row without an id stays only
+where no other is there); repeated rows are copies of each other; other columns
+are carried along whatever their names. An empty table passes every stage and
+gives no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +45,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those that it doesn't take go."""
-    mixed = mix(docs).filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return mixed.select(*docs.columns)
+    """Documents as often as the mix takes them; those that it doesn't take go. Whole rows come back, whatever their columns' names."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    mixed = mix(rows).filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return mixed.select("__row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
