@@ -97,12 +97,16 @@ class ToxicityModel:
         words = _WORDS.findall(text.lower()) if text else []
         if not words:
             return 0, []
-        own = np.fromiter(map(self._cache().__getitem__, words), np.float64, len(words))
+        return len(words), self.passages(np.fromiter(map(self._cache().__getitem__, words), np.float64, len(words)))
+
+    def passages(self, own) -> list[tuple[int, int, float, float]]:  # noqa: ANN001
+        """(first word, last word, score, expectation) of all maximal segments of words with these scores."""
+        import numpy as np
+
         upto, at = np.cumsum(own), np.flatnonzero(own > 0)
         right, at = upto[at].tolist(), at.tolist()
         found = _maximal((i, i, upto.item(i - 1) if i else 0.0, r) for i, r in zip(at, right, strict=True))
-        n = len(words)
-        return n, [(a, b, s, self.k * n * math.exp(-self.rate * s)) for a, b, s in found]
+        return [(a, b, s, self.k * len(own) * math.exp(-self.rate * s)) for a, b, s in found]
 
     def evidence(self, n: int, segments: list[tuple[int, int, float, float]]) -> float:
         """Minus the log of the expectations of all significant segments together, or of the best one."""
@@ -133,6 +137,31 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_words"}
 
 
+class _Together:
+    """Several models' segments of a text, each word looked up once."""
+
+    def __init__(self, models: list[ToxicityModel], most: int = 20_000):
+        import numpy as np
+
+        self.models, self.most, self.ids, self.scores = models, most, {}, np.zeros((most, len(models)))
+
+    def segments(self, text: str | None) -> tuple[int, list]:
+        import numpy as np
+
+        words = _WORDS.findall(text.lower()) if text else []
+        own = np.empty((len(words), len(self.models)))
+        for at in range(0, len(words), self.most):
+            part = words[at : at + self.most]
+            new = set(part) - self.ids.keys()
+            if len(self.ids) + len(new) > self.most:
+                self.ids, new = {}, set(part)
+            for w in new:
+                self.scores[len(self.ids)] = [m._cache()[w] for m in self.models]
+                self.ids[w] = len(self.ids)
+            own[at : at + len(part)] = self.scores[np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part))]
+        return len(words), [m.passages(own[:, k]) for k, m in enumerate(self.models)]
+
+
 def _counts(rows: DataFrame, folds: int) -> DataFrame:
     """(feature, toxic, clean, uses): arrays by fold of the documents of each label that have it, and of its places in clean ones.
 
@@ -284,12 +313,12 @@ def train(
     def best_ones(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        texts, sums = 0, [0.0] * len(bounds)
+        texts, sums, sets = 0, [0.0] * len(bounds), [_Together(x) for x in tried]
         for batch in batches:
             for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 texts += 1
-                for k, m in enumerate(tried[fold_no % len(tried)]):
-                    n, segments = m.segments(text)
+                n, found = sets[fold_no % len(sets)].segments(text)
+                for k, (m, segments) in enumerate(zip(tried[fold_no % len(sets)], found, strict=True)):
                     sums[k] += max(1, n) * math.exp(-m.rate * max((s for _, _, s, _ in segments), default=0.0))
         yield pa.RecordBatch.from_arrays([pa.array([texts], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], ["n", "x"])
 
@@ -303,10 +332,12 @@ def train(
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sets = [_Together(x) for x in tried]
         for batch in batches:
             x = []
             for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x.append([m.evidence(*m.segments(text)) for m in tried[fold_no % len(tried)]])
+                n, found = sets[fold_no % len(sets)].segments(text)
+                x.append([m.evidence(n, own) for m, own in zip(tried[fold_no % len(sets)], found, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     fit = rows.select("y", "f", "t").mapInArrow(score, "y int, x array<double>").collect()
