@@ -20,16 +20,22 @@ TASHKEEL = r"[ؐ-ًؚ-ٰٟ]"
 TATWEEL = "ـ"
 ANNOTATION = r"[ۖ-ۭ]"
 #: Hamza carriers and what they fold to.
-HAMZA_FROM, HAMZA_TO = "أإآٱؤئ", "اااا" + "وي"
+HAMZA_FROM, HAMZA_TO = "أإآٱؤئ", "ااااوي"
+#: The folds of the clean text, and of its profile "fold".
+CLEAN_FROM, CLEAN_TO = "أإآٱىؤئء", "اااايوي"
+FOLD_FROM, FOLD_TO = "أإؤئ", "ءءءء"
 ARABIC_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
 STEM_PREFIXES = ("وال", "فال", "بال", "كال", "ال", "و", "ف", "ب", "ك", "ل", "س")
 STEM_SUFFIXES = ("ون", "ين", "ان", "ات", "ة", "ها", "هم", "هن", "كم", "كن", "نا", "ني", "ه", "ي", "ك", "وا", "ت", "ن")
 CLITIC_PREFIXES = ("وال", "فال", "بال", "كال", "ال", "لل", "و", "ف", "ب", "ك", "ل", "س")
 CLITIC_SUFFIXES = ("هما", "كما", "هم", "هن", "كم", "كن", "نا", "ني", "ها", "ه", "ك", "ي")
 STOP_WORDS = (
-    "و ف ب ك ل ال لل لما ما من في على إلى عن إن أن أنه إنه لا لم لن قد ثم أو أم بل لكن حتى إذا إذ كي لكي لو لولا هل يا إلا مع كما "
-    "هو هي هم هن هما أنت أنا نحن أنتم هذا هذه ذلك تلك الذي التي الذين كل بعض غير عند بين لدى نحو قبل بعد دون"
-).split()
+    "و", "ف", "ب", "ك", "ل", "ال", "لل", "لما", "ما", "من", "في", "على", "إلى", "عن",
+    "إن", "أن", "أنه", "إنه", "لا", "لم", "لن", "قد", "ثم", "أو", "أم", "بل", "لكن", "حتى",
+    "إذا", "إذ", "كي", "لكي", "لو", "لولا", "هل", "يا", "إلا", "مع", "كما", "هو", "هي", "هم",
+    "هن", "هما", "أنت", "أنا", "نحن", "أنتم", "هذا", "هذه", "ذلك", "تلك", "الذي", "التي", "الذين", "كل",
+    "بعض", "غير", "عند", "بين", "لدى", "نحو", "قبل", "بعد", "دون",
+)
 MECCAN, MEDINAN = ("makki", "mecquoise", "meccan", "مكي"), ("madani", "médinoise", "medinan", "مدني")
 #: Where each of the thirty parts begins: (chapter, verse).
 PART_STARTS = (
@@ -74,8 +80,8 @@ def normalize_clean(c: Column | str, profile: str = "delete") -> Column:
         raise ValueError(f"unknown profile {profile!r}")
     t = _bare(c)
     if profile == "fold":
-        t = F.translate(t, "أإؤئ", "ءءءء")
-    t = F.translate(t, "أإآٱ" + "ى" + "ؤ" + "ئ" + "ء", "اااا" + "ي" + "و" + "ي")
+        t = F.translate(t, FOLD_FROM, FOLD_TO)
+    t = F.translate(t, CLEAN_FROM, CLEAN_TO)
     return collapsed(t)
 
 
@@ -90,9 +96,16 @@ def normalize_search(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str, normalizer=normalize_search) -> Column:  # noqa: ANN001
-    """Lower-cased words between white space of any script, empties dropped; null: none."""
-    t = F.lower(normalizer(F.coalesce(_col(c), F.lit(""))))
-    return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
+    """Lower-cased words between white space of any script, empties dropped; null: none.
+
+    The folds of normalize_search touch Arabic script alone, so texts without any are only trimmed.
+    """
+    text = F.coalesce(_col(c), F.lit(""))
+    if normalizer is normalize_search:
+        t = F.lower(F.when(is_arabic(text), trimmed(normalizer(text))).otherwise(trimmed(text)))
+    else:
+        t = F.lower(trimmed(normalizer(text)))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
 
 
 def index_text(*cols: str) -> Column:
@@ -223,7 +236,10 @@ def even_sample(items: Column, k: int) -> Column:
 
 def match_positions(text: Column | str, forms: Column, normalizer=normalize_clean) -> Column:  # noqa: ANN001
     """Positions (from 0) of the words whose normal form contains that of any form."""
-    plain = F.transform(F.filter(F.split(_col(text), r"(?U)\s+"), lambda x: x != ""), lambda w: normalizer(w))
+    words = F.filter(F.split(_col(text), r"(?U)\s+"), lambda x: x != "")
+    plain = F.transform(words, lambda w: normalizer(w))
+    if normalizer is normalize_clean:  # whose folds touch Arabic script alone
+        plain = F.when(is_arabic(text), plain).otherwise(words)
     wanted = F.filter(F.transform(forms, lambda f: normalizer(f)), lambda f: f != "")
     hits = lambda fs: F.transform(plain, lambda w, i: F.when(F.exists(fs, lambda f: F.contains(w, f)), i))
     return F.filter(_with(wanted, hits), lambda i: i.isNotNull())

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sinks.writers import write_index
+from ..sources.readers import read_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -39,21 +41,44 @@ def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = Non
     """
     words = tokens(text) if normalizer is None else tokens(text, normalizer)
     rows = df.select(F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord"), words.alias("w"))
-    docs = keep(rows.select("doc", "ord", F.size("w").alias("dl")))
-    postings = keep(rows.select("doc", F.explode("w").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf")))
+    # texts are tokenised once: lengths are sums of the counted terms, and a text without any leaves a null term
+    counted = keep(rows.select("doc", "ord", F.explode_outer("w").alias("term")).groupBy("term", "doc", "ord").agg(F.count(F.lit(1)).alias("tf")))
+    docs = keep(counted.groupBy("doc", "ord").agg(F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("dl")))
+    postings = counted.filter("term is not null").select("term", "doc", "tf")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    terms = terms.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    terms = keep(terms.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = terms.agg(F.avg("raw").alias("mean_idf"))
-    terms = keep(terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")))
+    terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return Bm25Index(docs, postings, terms, corpus.crossJoin(F.broadcast(mean)))
 
 
-def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None) -> DataFrame:  # noqa: ANN001
-    """(qid, doc, ord, score) of documents that share a term; repeated query words count each time."""
+def save(index: Bm25Index, path: str) -> None:
+    """The index as tables below path, overwritten whole; postings and terms in ranges of the term, so that a scan for a few terms skips the rest."""
+    tables = index.tables()
+    for name in ("postings", "terms"):
+        tables[name] = tables[name].repartitionByRange("term").sortWithinPartitions("term")
+    write_index(tables, path)
+
+
+def load(spark: SparkSession, path: str) -> Bm25Index:
+    """The index that save() wrote; FileNotFoundError where there is none."""
+    return Bm25Index(*(read_table(spark, f"{path}/{name}") for name in ("docs", "postings", "terms", "corpus")))
+
+
+def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None, few: int = 1000) -> DataFrame:  # noqa: ANN001
+    """(qid, doc, ord, score) of documents that share a term; repeated query words count each time.
+
+    Up to `few` different terms go to the scan of a stored index as a filter; more are joined.
+    """
     words = tokens(text) if normalizer is None else tokens(text, normalizer)
     asked = queries.select(qid, F.explode(words).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(index.docs, "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    terms, postings = index.terms, index.postings
+    own = asked.select("term").distinct().limit(few + 1).collect()
+    if len(own) <= few:
+        among = F.col("term").isin([r["term"] for r in own])
+        terms, postings = terms.filter(among), postings.filter(among)
+    hits = asked.join(terms, "term").join(postings, "term").join(index.docs, "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(qid, "doc", "ord").agg(F.sum(part).alias("score"))

@@ -24,10 +24,15 @@ def rrf(a: DataFrame, b: DataFrame, k: int = 5, rrf_k: int = RRF_K, keys: tuple[
     return both.withColumn("__rn", rn).filter(F.col("__rn") <= k).drop("__rn")
 
 
-def keep_first_union(*lists: DataFrame, keys: tuple[str, ...] = (), id_col: str = "id", most: int | None = None) -> DataFrame:
-    """Ranked lists (keys..., id, rank, score) one after the other, each id once, where it first comes; pos from 0."""
+def keep_first_union(*lists: DataFrame, keys: tuple[str, ...] = (), id_col: str = "id", most: int | None = None, first_rank: int = 0) -> DataFrame:
+    """Ranked lists (keys..., id, rank, score) one after the other, each id once, where it first comes; pos from 0.
+
+    Ranks count from first_rank, without gaps; most cuts each list before the union.
+    """
     rows = None
     for n, part in enumerate(lists):
+        if most is not None:  # what stands beyond `most` of its own list can't be among the first `most` of all
+            part = part.filter(F.col("rank") < F.lit(most) + F.lit(first_rank))
         part = part.withColumn("src", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
     first = F.row_number().over(Window.partitionBy(*keys, id_col).orderBy("src", "rank"))

@@ -11,7 +11,8 @@ from ..functions.text import even_sample, match_positions, parse_id
 def lookup(roots: DataFrame, index: DataFrame, records: DataFrame, sample: int = 30, qid: str = "qid", id_col: str = "id") -> DataFrame:
     """(qid, root, forms, occurrences_count, verse_ids, verses): the first root of each query and an even sample of its verses.
 
-    roots: (qid, root, ord). Queries whose root isn't known keep their row with nothing found.
+    roots: (qid, root, ord). Queries whose root isn't known keep their row with nothing found; a query without
+    any root has no row in roots and none here (word_lookup gives it one).
     """
     first = roots.groupBy(qid).agg(F.min_by("root", "ord").alias("root"))
     none = F.array().cast("array<string>")
@@ -35,6 +36,17 @@ def exhaustive(roots: DataFrame, index: DataFrame, vocalized: DataFrame, qid: st
     return rows.select(qid, "surah_number", "ayah_number", "surah_name", "text", match_positions("text", F.col("forms")).alias("match_indices")).orderBy(qid, "surah_number", "ayah_number")
 
 
+def word_lookup(words: DataFrame, roots: DataFrame, found: DataFrame, word: str = "word", qid: str = "qid") -> DataFrame:
+    """One row per word, found or not: (qid, word, root, root_found, total): its roots joined by " / " in their order, and its verses.
+
+    found: the rows of exhaustive().
+    """
+    named = roots.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("ord", "root"))).alias("r"))
+    named = named.select(qid, F.array_join(F.transform("r", lambda x: x["root"]), " / ").alias("root"))
+    rows = words.select(qid, word).join(named, qid, "left").join(found.groupBy(qid).agg(F.count(F.lit(1)).alias("total")), qid, "left")
+    return rows.select(qid, word, F.coalesce("root", F.lit("")).alias("root"), F.col("root").isNotNull().alias("root_found"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def by_chapter(rows: DataFrame, chapter: str, verse: str, cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Found verses grouped by chapter, with their number."""
     return rows.groupBy(*keys, chapter).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(verse, *cols))).alias("verses"))

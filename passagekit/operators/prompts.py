@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LANGUAGES = {"ar": "Arabic", "fr": "French", "en": "English"}
-RULE = "----------------------------------------"
+#: What stands for an empty context; the layout of blocks below is fixed too.
 NOTHING = "(no verse retrieved)"
 
+#: Messages, to be replaced at will: {names} are filled in.
+CHAT = "Passages:\n{context}\n\nRefer to nothing but {ids}.\nQuestion: {question}"
+LEXICAL = "Describe how the root {root} is used ({count} places; written {forms}).\n\nPassages:\n{context}\n\nRefer to nothing but {ids}. Answer in {language}."
+
 
 def reference(v: Column) -> Column:
     name = F.coalesce(F.nullif(v["surah_name_en"], F.lit("")), v["surah_name_ar"], F.lit(""))
@@ -26,34 +32,23 @@ def context(passages: Column) -> Column:
     return F.when(F.size(passages) > 0, F.array_join(F.transform(passages, block), "\n\n")).otherwise(NOTHING)
 
 
-def allowed(passages: Column) -> Column:
-    refs = F.array_join(F.transform(passages, lambda v: F.concat(F.lit("["), v["id"], F.lit("]"))), ", ")
-    return F.coalesce(F.nullif(refs, F.lit("")), F.lit("(none)"))
+def ids_of(passages: Column) -> Column:
+    """The ids of an array of passages in brackets."""
+    return F.coalesce(F.nullif(F.array_join(F.transform(passages, lambda v: F.concat(F.lit("["), v["id"], F.lit("]"))), " "), F.lit("")), F.lit("no passage"))
 
 
-def _lines(*parts: Column | str) -> Column:
-    return F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+def filled(template: str, **values: Column) -> Column:
+    """template with each {name} replaced by its value; what is in a value is never taken for a name."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
 
 
-def chat_message(question: Column, passages: Column, title: str = "Context (the ONLY passages you may cite):") -> Column:
-    listed = F.concat(F.lit("Allowed references (cite ONLY these, verbatim): "), allowed(passages))
-    return _lines(title, RULE, context(passages), RULE, listed, "", F.concat(F.lit("Question: "), question))
+def chat_message(question: Column, passages: Column, template: str = CHAT) -> Column:
+    return filled(template, question=question, context=context(passages), ids=ids_of(passages))
 
 
-def lexical_message(root: Column, forms: Column, count: Column, passages: Column, language: Column) -> Column:
+def lexical_message(root: Column, forms: Column, count: Column, passages: Column, language: Column, template: str = LEXICAL) -> Column:
     names = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    lang = F.coalesce(F.try_element_at(names, language), F.lit("Arabic"))
-    listed = F.concat(F.lit("Allowed references (cite ONLY these, verbatim): "), allowed(passages))
-    return _lines(
-        F.concat(F.lit("Root: "), root),
-        F.concat(F.lit("Surface forms found: "), F.coalesce(F.nullif(F.array_join(forms, ", "), F.lit("")), F.lit("(none)"))),
-        F.concat(F.lit("Total occurrences of this root: "), count.cast("string")),
-        "",
-        "Representative occurrences (the ONLY passages you may cite):",
-        RULE,
-        context(passages),
-        RULE,
-        listed,
-        "",
-        F.concat(F.lit("Write your analysis in "), lang, F.lit(".")),
-    )
+    said = F.coalesce(F.try_element_at(names, language), F.lit("Arabic"))
+    listed = F.coalesce(F.nullif(F.array_join(forms, " "), F.lit("")), F.lit("in no form"))
+    return filled(template, root=root, forms=listed, count=count.cast("string"), context=context(passages), ids=ids_of(passages), language=said)

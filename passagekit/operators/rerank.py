@@ -18,9 +18,9 @@ def jaccard(query: Column, passage: Column) -> Column:
 
 
 def rerank(pool: DataFrame, score: Column, k: int | None = None, qid: str = "qid", pos: str = "pos") -> DataFrame:
-    """pool with rerank_score and rerank_rank (from 0), best first, ties in pool order."""
+    """pool with rerank_score and rerank_rank (from 0), best first, ties in pool order; scores equal to nine digits tie."""
     rows = pool.withColumn("rerank_score", score)
-    rows = rows.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.col("rerank_score").desc(), pos)) - 1)
+    rows = rows.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.round("rerank_score", 9).desc(), pos)) - 1)
     return rows if k is None else rows.filter(F.col("rerank_rank") < k)
 
 
@@ -28,7 +28,7 @@ def blended(ranked: DataFrame, floor: float = 0.25, qid: str = "qid") -> DataFra
     """Scores of queries with roots times floor + (1 - floor) x cov, ranked anew; needs cov and n_roots."""
     has = F.col("n_roots") > 0
     rows = ranked.withColumn("rerank_score", F.when(has, coverage_blend(F.col("rerank_score"), F.col("cov"), floor)).otherwise(F.col("rerank_score")))
-    return rows.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.col("rerank_score").desc(), "rerank_rank")) - 1)
+    return rows.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.round("rerank_score", 9).desc(), "rerank_rank")) - 1)
 
 
 def full_coverage_gate(ranked: DataFrame, least: int = MIN_RESULTS, qid: str = "qid") -> DataFrame:

@@ -25,6 +25,12 @@ def equality_filter(filters: dict | None, allowed: tuple[str, ...] = FILTER_KEYS
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def sound(vec: str) -> Column:
+    """Not null, not all zero, every component there and finite."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.coalesce((F.size(vec) > 0) & F.forall(vec, fine) & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "vector", where: Column | None = None, digits: int | None = None) -> DataFrame:
     """(id, score) of the k nearest by cosine to one vector; the filter is applied before the limit."""
     rows = vectors if where is None else vectors.filter(where)
@@ -36,32 +42,41 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_col: str = "id", vec_col: str = "vector", block: int = 256) -> DataFrame:
     """(qid, id, score, rank from 0) for a table of queries (qid, vector).
 
-    Queries are gathered into blocks of about `block`; a block and a partition of
-    the vectors meet in a join on the block's number, and each Arrow batch gives
-    only its k best of every query.
+    Queries are gathered into blocks of about `block`; a block of queries and one
+    of vectors are a unit of work of their own, which gives only the k best of
+    every query. Vectors that are null, all zero or hold null or non-finite
+    components take no part on either side; only vectors of one length meet.
     """
-    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col("vector").alias("q"))
+    asked = queries.filter(sound("vector")).select(F.col(qid).cast("long").alias("qid"), F.transform("vector", lambda x: x.cast("double")).alias("q"))
     blocks = max(1, -(-asked.count() // block))
-    asked = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-    # vectors travel in blocks too, so that a query block goes along once for many
-    stored = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    stored = stored.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-stored.count() // 4096)))).alias("c")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    units = stored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "b").select("vs", "qs")
+    asked = asked.groupBy(F.size("q").alias("dim"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("qid", "q")).alias("x"))
+    asked = asked.select("dim", "b", F.col("x.qid").alias("qids"), F.flatten(F.col("x.q")).alias("q"))
+    stored = vectors.filter(sound(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    chunks = max(1, -(-stored.count() // 4096))
+    stored = stored.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    stored = stored.select("dim", "c", F.col("x.id").alias("ids"), F.flatten(F.col("x.v")).alias("v"))
+    # a pair of blocks is a key of its own on both sides, so pairs are dealt over all tasks
+    stored = stored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    units = stored.join(asked, ["dim", "c", "b"]).select("dim", "ids", "v", "qids", "q")
 
     def near(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        def unit(x):  # noqa: ANN001, ANN202
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
         for batch in batches:
             for r in range(batch.num_rows):
-                vs, qs = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ids = np.array([x["id"] for x in vs])
-                s = unit(np.array([x["v"] for x in vs], np.float64)) @ unit(np.array([x["q"] for x in qs], np.float64)).T
+                dim = batch.column(0)[r].as_py()
+                ids, v, qids, q = (np.asarray(batch.column(c)[r].values) for c in range(1, 5))
+                s = unit(q.reshape(-1, dim)) @ unit(v.reshape(-1, dim)).T
                 parts = []
-                for j, x in enumerate(qs):
-                    best = np.lexsort((ids, -s[:, j]))[:k]
-                    parts.append((np.full(len(best), x["qid"]), ids[best], s[best, j]))
+                for j in range(len(qids)):
+                    best = np.lexsort((ids, -s[j]))[:k]
+                    parts.append((np.full(len(best), qids[j]), ids[best], s[j, best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["qid", "id", "score"])
 
     hits = units.mapInArrow(near, "qid long, id long, score double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import MEDINAN_CHAPTERS, PART_STARTS
-from .queries import ARABIC, PREFIXES, QUESTION, STOP, SUFFIXES
+from .queries import ARABIC, LADDER, PREFIXES, QUESTION, STOP, SUFFIXES
 
 _WS = r"\s+"
 _TOK = rf"list_filter(string_split_regex(lower(coalesce(text, '')), '{_WS}'), lambda x: x <> '')"
@@ -96,7 +96,7 @@ _BLOCK = """'[' || (rn) || '] Surah ' || role || ' (' || conv_id || '), Verse '
  || CASE WHEN turn % 2 = 0 AND text <> '' THEN chr(10) || '    EN: ' || text ELSE '' END"""
 _BLOCKS = f"""c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 b AS (SELECT conv_id AS qid, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY turn) AS context,
-      string_agg('[' || conv_id || ':' || turn || ']', ', ' ORDER BY turn) AS allowed, arg_min(text, turn) AS question,
+      string_agg('[' || conv_id || ':' || turn || ']', ' ' ORDER BY turn) AS allowed, arg_min(text, turn) AS question,
       arg_min('[1] Surah ' || role || ' (' || conv_id || '), Verse ' || turn || ' [' || conv_id || ':' || turn || ']', turn) AS answer FROM c GROUP BY conv_id)"""
 _VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(ARABIC))
 _TASH = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{0640}]"
@@ -126,7 +126,7 @@ ORACLES: dict[str, str] = {
     "vector_topk": f"WITH {_NEAR} SELECT id, score FROM near ORDER BY score DESC, id LIMIT 20",
     "vector_topk_filtered": f"WITH {_NEAR} SELECT id, score FROM near WHERE label = 3 ORDER BY score DESC, id LIMIT 20",
     "vector_topk_batch": """SELECT qid, id, round(s, 6) AS score FROM (
-        SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.label = 0)
+        SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
         QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5""",
     "hybrid_rrf": f"WITH {_NEAR}, {_DENSE}, {_bm25(_ONE, 20)}, sparse AS (SELECT doc AS id, rank FROM bm), {_RRF}",
     "hybrid_rrf_postfilter": f"""WITH {_NEAR}, {_DENSE}, {_bm25(_ONE, 20)},
@@ -136,9 +136,9 @@ ORACLES: dict[str, str] = {
     "similar_pipeline": f"""WITH {_SEG}, {_POSTS}, {_QROOTS}, {_WEIGHTS}, {_CAND}, {_bm25(_CLEANED, 16)}, {_POOL}, pairs AS (SELECT qid, doc FROM pool), {_COV},
         qt AS (SELECT item_id AS qid, list_distinct({_TOK}) AS a FROM benchmark), dt AS (SELECT doc_id AS doc, list_distinct({_TOK}) AS b FROM documents),
         j AS (SELECT qid, doc, pos, len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0) AS s FROM pool JOIN qt USING (qid) JOIN dt USING (doc)),
-        r0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS rk FROM j),
+        r0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pos) AS rk FROM j),
         r1 AS (SELECT r0.qid, r0.doc, cov, n_roots, rk, CASE WHEN n_roots > 0 THEN s * (0.25e0 + 0.75e0 * cov) ELSE s END AS score FROM r0 JOIN cov ON cov.qid = r0.qid AND cov.doc = r0.doc),
-        r2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rk) AS rk2, count(*) FILTER (cov >= 0.999e0) OVER (PARTITION BY qid) AS nf FROM r1),
+        r2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rk) AS rk2, count(*) FILTER (cov >= 0.999e0) OVER (PARTITION BY qid) AS nf FROM r1),
         r3 AS (SELECT * FROM r2 WHERE n_roots < 2 OR nf < 3 OR cov >= 0.999e0),
         r4 AS (SELECT *, bool_or(score >= 0.01e0) OVER (PARTITION BY qid) AS hit, row_number() OVER (PARTITION BY qid ORDER BY rk2) AS rn FROM r3),
         r5 AS (SELECT * FROM r4 WHERE score >= 0.01e0 OR (NOT hit AND rn <= 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rk2) <= 10)
@@ -172,11 +172,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN lang = 'en' AND n_chars % 2 = 0 THEN length(text) ELSE 0 END AS en FROM documents""",
     "neighbors": """SELECT conv_id, turn, array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '|') AS context FROM conversations""",
     "neighbor_context": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)
-        SELECT DISTINCT a.conv_id, a.turn FROM p a JOIN p h ON a.conv_id = h.conv_id AND abs(a.pos - h.pos) <= 1 WHERE length(h.text) % 7 = 0""",
+        SELECT DISTINCT a.conv_id, a.turn FROM p a JOIN p h ON a.conv_id = h.conv_id AND abs(a.pos - h.pos) <= 1 WHERE len(list_filter(string_split_regex(lower(h.text), '\\s+'), lambda x: x IN ('reation', 'thing', 'ertion'))) > 0""",
     "prev_next": """SELECT conv_id || ':' || turn AS id, lag(conv_id || ':' || turn) OVER w AS prev_id, lead(conv_id || ':' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "chapter_list": "SELECT conv_id, arg_min(role, turn) AS role, md5(arg_min(text, turn)) AS text, count(*) AS verse_count FROM conversations GROUP BY conv_id",
     "chapter_detail": "SELECT conv_id, turn, role, text, count(*) OVER () AS verse_count FROM conversations WHERE conv_id = 3",
-    "session_append": """WITH c AS (SELECT conv_id, arg_min(text, turn) AS q, arg_max(text, turn) AS a, CASE WHEN conv_id % 2 = 0 THEN max(turn) ELSE -1 END AS last FROM conversations GROUP BY conv_id)
+    "session_append": """WITH c AS (SELECT conv_id, arg_min(text, turn) AS q, arg_max(text, turn) AS a, coalesce(max(turn) FILTER (role = 'user'), -1) AS last FROM conversations GROUP BY conv_id)
         SELECT CAST(conv_id AS VARCHAR) AS session_id, last + 1 AS idx, 'user' AS role, md5(q) AS content, '[]' AS sources FROM c
         UNION ALL SELECT CAST(conv_id AS VARCHAR), last + 2, 'assistant', md5(a), '[]' FROM c""",
     "session_history": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS idx, role, 1::BIGINT AS n_sources, '1:' || turn AS first_source FROM conversations",
@@ -190,18 +190,40 @@ ORACLES: dict[str, str] = {
     "query_expand": f"""WITH {_SEG}, {_QROOTS}, first AS (SELECT qid, arg_min(root, ord) AS root FROM qroots GROUP BY qid),
         f AS (SELECT root, list(form ORDER BY form)[1:8] AS l FROM (SELECT DISTINCT root, form FROM seg) GROUP BY root),
         v AS (SELECT item_id AS qid, text, {', '.join(f"len(list_filter(string_split_regex(lower(text), '{_WS}'), lambda x: x IN ({v}))) AS {k}" for k, v in _VOTES.items())} FROM benchmark)
-        SELECT qid, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS normalized,
-               CASE WHEN greatest(en, fr, de, es) = 0 THEN 'unknown' WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS language,
-               {_PERIOD.format(t='lower(text)')} AS period, coalesce(array_to_string(l, '|'), '') AS terms
+        SELECT qid, md5(CASE WHEN qid % 2 = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' كتاب' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END) AS normalized,
+               CASE WHEN qid % 2 = 0 THEN 'ar' WHEN greatest(en, fr, de, es) = 0 THEN 'unknown' WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS language,
+               {_PERIOD.format(t='lower(text)')} AS period, CASE WHEN qid % 2 = 0 THEN coalesce(array_to_string(l, '|'), '') ELSE '' END AS terms
         FROM v LEFT JOIN first USING (qid) LEFT JOIN f USING (root)""",
     "merge_filters": "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'madani' WHEN doc_id % 3 = 0 THEN 'makkiyya' END AS period FROM documents",
     "format_context": f"WITH {_BLOCKS} SELECT qid, context FROM b",
-    "chat_prompt": f"""WITH {_BLOCKS} SELECT qid, md5('Context (the ONLY passages you may cite):' || chr(10) || repeat('-', 40) || chr(10) || context || chr(10) || repeat('-', 40) || chr(10)
-        || 'Allowed references (cite ONLY these, verbatim): ' || allowed || chr(10) || chr(10) || 'Question: ' || question) AS message, answer FROM b""",
+    "chat_prompt": f"""WITH {_BLOCKS} SELECT qid, md5('Passages:' || chr(10) || context || chr(10) || chr(10) || 'Refer to nothing but ' || allowed || '.' || chr(10) || 'Question: ' || question) AS message, answer FROM b""",
     "data_quality_counters": f"SELECT count(*) AS n, count(DISTINCT source) AS sources, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (len({_TOK}) < 5) AS short FROM documents",
     "payload_projection": "SELECT vec_id AS id, label, len(embedding) AS dim FROM embeddings",
     "vector_upsert_lastwins": "SELECT vec_id // 10 AS id, max(vec_id) AS vec_id FROM embeddings GROUP BY 1",
     "eval_metrics": f"""WITH {_bm25(_BATCH, 20)}, q AS (SELECT item_id AS qid, ({_TOK})[-1] AS w FROM benchmark),
         rel AS (SELECT DISTINCT qid, doc FROM q JOIN tok ON term = w), e AS (SELECT qid, count(*) AS n, count(rank) AS g, min(rank) AS f FROM rel LEFT JOIN bm USING (qid, doc) GROUP BY qid)
         SELECT round(avg(CASE WHEN g > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit_rate, round(avg(g / n::DOUBLE), 6) AS recall, round(avg(coalesce(1e0 / (f + 1), 0e0)), 6) AS mrr FROM e""",
+    "stem_index": f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS form FROM documents), l AS (SELECT doc_id, form, regexp_replace(form, '{_LETTERS}', '', 'g') AS w FROM w),
+        p AS (SELECT doc_id, form, {_stem('w')} AS w FROM l), s AS (SELECT doc_id, form, {_stem_end('w')} AS w FROM p WHERE length(w) >= 2)
+        SELECT array_to_string(string_split(w, ''), '-') AS root, md5(string_agg(DISTINCT form, '|' ORDER BY form)) AS forms, count(DISTINCT doc_id) AS count FROM s GROUP BY 1""",
+    "content_roots": rf"""WITH {_SEG}, w AS (SELECT item_id AS qid, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, list_filter({_TOK}, lambda x: NOT list_contains({_list(STOP)}, x)) AS l FROM benchmark)),
+        ends AS (SELECT unnest({_list(LADDER)}) AS e, generate_subscripts({_list(LADDER)}, 1) AS k), starts AS (SELECT unnest({_list(PREFIXES)}) AS e, generate_subscripts({_list(PREFIXES)}, 1) + {len(LADDER)} AS k),
+        tries AS (SELECT qid, pos, 0 AS k, w AS t FROM w UNION ALL SELECT qid, pos, k, substr(w, 1, length(w) - length(e)) FROM w JOIN ends ON ends_with(w, e) AND length(w) - length(e) >= 2
+            UNION ALL SELECT qid, pos, k, substr(w, length(e) + 1) FROM w JOIN starts ON starts_with(w, e) AND length(w) - length(e) >= 2),
+        known AS (SELECT DISTINCT root AS t, root, 0 AS n FROM seg UNION ALL SELECT DISTINCT form, root, 1 FROM seg),
+        hits AS (SELECT qid, pos, k, root, n FROM tries JOIN known USING (t)), best AS (SELECT * FROM hits QUALIFY k = min(k) OVER (PARTITION BY qid, pos)),
+        first AS (SELECT qid, root, min(pos * 1000 + n) AS p FROM best GROUP BY qid, root)
+        SELECT qid, root, row_number() OVER (PARTITION BY qid ORDER BY p) - 1 AS ord FROM first""",
+    "word_lookup": f"""WITH {_SEG}, {_QROOTS}, q AS (SELECT * FROM qroots WHERE root IN (SELECT root FROM seg)), n AS (SELECT qid, string_agg(root, ' / ' ORDER BY ord) AS root FROM q GROUP BY qid),
+        t AS (SELECT qid, count(DISTINCT doc) AS total FROM q JOIN seg USING (root) GROUP BY qid)
+        SELECT item_id AS qid, coalesce(root, '') AS root, root IS NOT NULL AS root_found, coalesce(total, 0) AS total FROM benchmark LEFT JOIN n ON item_id = n.qid LEFT JOIN t ON item_id = t.qid""",
+    "verse_detail": """WITH v AS (SELECT conv_id, turn, conv_id || ':' || turn AS id FROM conversations),
+        x AS (SELECT *, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT id, prev_id, next_id, concat_ws('|', prev_id, id, next_id) AS context FROM x WHERE conv_id = 3 AND turn = 1""",
+    "api_projection": """SELECT conv_id || ':' || turn AS id, md5(CASE WHEN role = 'assistant' THEN text ELSE '' END) AS tashkil,
+        CASE WHEN role = 'user' THEN length(text) / 4e0 ELSE turn / 2e0 END AS relevance_score FROM conversations""",
+    "retrieval_query": rf"""SELECT item_id AS qid, md5(trim(regexp_replace(text || ' ' || array_to_string(list_filter({_TOK}, lambda x: length(x) > 6)[1:6], ' ') || CASE WHEN length(text) > 200 THEN ' a passage' ELSE '' END, '{_WS}', ' ', 'g'))) AS query FROM benchmark""",
+    "ingest_quality": f"""WITH r AS (SELECT o_custkey % 120 AS s, o_orderstatus AS st FROM orders)
+        SELECT count(*) AS n, count(DISTINCT s) AS chapters, count(*) FILTER (st = 'O') AS empty_clean, count(*) FILTER (NOT (s IN ({_MEDINAN}) OR s BETWEEN 1 AND 114)) AS no_period,
+               count(*) FILTER (s NOT IN (SELECT n_nationkey FROM nation)) AS no_name, count(*) FILTER (st = 'P') AS no_roots FROM r""",
 }

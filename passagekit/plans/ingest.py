@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc, normalize_clean, part_of, period_of
 from ..operators.inverted import attach_roots, passage_roots, resolution_map, root_index
-from ..sinks.writers import write_index, write_stage
+from ..sinks.writers import write_stage
 
 
 def clean(records: DataFrame, profile: str = "delete") -> DataFrame:
@@ -53,9 +55,12 @@ def quality(records: DataFrame) -> DataFrame:
     )
 
 
-def run(raw: DataFrame, segments: DataFrame, translations: DataFrame, names: DataFrame | None = None, out: str | None = None, expected: int | None = None) -> dict[str, DataFrame]:
+def run(raw: DataFrame, segments: DataFrame, translations: DataFrame, names: DataFrame | None = None, out: str | None = None, expected: int | None = None, report: list[dict] | None = None) -> dict[str, DataFrame]:
     """All stages; the tables records, root_index, forms, lemmas. out: where they are written, each overwritten whole.
 
+    report: a list that gets, for each table as it is written, {stage, rows, seconds}; the rows are counted by
+    the write itself.
+
     expected: a number of records that must be met, else ValueError.
     """
     from ..sources.readers import canonical_records
@@ -66,7 +71,10 @@ def run(raw: DataFrame, segments: DataFrame, translations: DataFrame, names: Dat
         raise ValueError(f"{n} records where {expected} were expected")
     tables = {"records": records, "root_index": root_index(segments), "forms": resolution_map(segments, "form"), "lemmas": resolution_map(segments, "lemma")}
     if out:
-        write_stage(records, f"{out}/records")
-        write_index({k: v for k, v in tables.items() if k != "records"}, out)
+        for name, table in tables.items():
+            seen, began = Observation(name), time.monotonic()
+            write_stage(table.observe(seen, F.count(F.lit(1)).alias("rows")), f"{out}/{name}")
+            if report is not None:
+                report.append({"stage": name, "rows": seen.get["rows"], "seconds": time.monotonic() - began})
         tables = {k: records.sparkSession.read.parquet(f"{out}/{k}") for k in tables}
     return tables

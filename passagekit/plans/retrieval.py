@@ -11,6 +11,7 @@ from ..functions.text import collapsed, detect_language, detect_period, is_arabi
 from ..operators import bm25, coverage, fusion, inverted, rerank
 from ..operators.context import neighbours, previous_next, with_context
 from ..operators.vectors import equality_filter
+from ..schema import PAYLOAD
 
 FETCH = 20
 ROOT_POOL, BM25_POOL, POOL_MAX = 20, 16, 32
@@ -68,6 +69,18 @@ def retrieve(hits: DataFrame, records: DataFrame, id_col: str = "id") -> DataFra
     return hits.join(records, id_col)
 
 
+def api_rows(hits: DataFrame, vocalized: DataFrame) -> DataFrame:
+    """Hits as an interface shows them: text_ar_tashkil from vocalized ('' where it has none) and relevance_score, the re-ranker's score where there is one.
+
+    hits: records with score and, if they were re-ranked, rerank_score.
+    """
+    said = vocalized.select("surah_number", "ayah_number", F.col("text").alias("__t"))
+    score = F.coalesce("rerank_score", "score") if "rerank_score" in hits.columns else F.col("score")
+    rows = hits.join(said, ["surah_number", "ayah_number"], "left")
+    cols = [c for c in PAYLOAD if c in hits.columns]
+    return rows.select(*(c for c in hits.columns if c not in (*cols, "score", "rerank_score")), *cols, F.coalesce("__t", F.lit("")).alias("text_ar_tashkil"), score.alias("relevance_score"))
+
+
 def retrieve_with_context(hits: DataFrame, records: DataFrame, chapter: str, verse: str, window: int = 1) -> tuple[DataFrame, DataFrame]:
     """The hits, and all their neighbours, each once, in canonical order."""
     return hits, neighbours(records, hits, chapter, verse, window)
@@ -130,7 +143,8 @@ def process_queries(queries: DataFrame, roots: DataFrame | None = None, index: D
     """(qid, original, normalized, language, period, expanded_terms).
 
     roots: (qid, root, ord) and index: (root, forms_found) give the first
-    root's first forms, normalised, each once.
+    root's first forms, normalised, each once; only questions in Arabic script
+    are expanded.
     """
     original = trimmed(text)
     out = queries.select(qid, original.alias("original"), F.when(is_arabic(original), normalize_clean(original)).otherwise(original).alias("normalized"), detect_language(original).alias("language"), detect_period(original).alias("period"))
@@ -140,7 +154,7 @@ def process_queries(queries: DataFrame, roots: DataFrame | None = None, index: D
     first = roots.groupBy(qid).agg(F.min_by("root", "ord").alias("root")).join(index, "root")
     terms = F.filter(F.array_distinct(F.transform(F.slice("forms_found", 1, forms), lambda f: normalize_clean(f))), lambda f: f != "")
     out = out.join(first.select(qid, terms.alias("expanded_terms")), qid, "left")
-    return out.withColumn("expanded_terms", F.coalesce("expanded_terms", none))
+    return out.withColumn("expanded_terms", F.when(is_arabic("original"), F.coalesce("expanded_terms", none)).otherwise(none))
 
 
 def merged_filters(own: Column, detected: Column) -> Column:

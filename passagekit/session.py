@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,18 +41,51 @@ def workers_find_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, one below the warehouse.
+
+    Only a session with a local master, whose tasks all run on this machine, gets a temporary folder, which goes
+    when the driver ends.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/passagekit-scratch"
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="passagekit-")
+        atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
     return "file://" + _own_dir[app]
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read from there: what several steps read is worked out once."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def application_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's; clear_tables() deletes it."""
+    return f"{shared_dir(spark)}/passagekit-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
+    """The path of an index that make(path) writes; it is made once an application and then read by whoever asks for it."""
+    path = f"{application_dir(spark)}/{name}"
+    done, fs = _path(spark, f"{path}/_made")
+    if not fs.exists(done):
+        make(path)
+        fs.create(done, True).close()
+    return path
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes all tables of materialized() and stored(); for the end of a job, when no result still reads them."""
+    path, fs = _path(spark, application_dir(spark))
+    fs.delete(path, True)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.readers import keep_last
 
@@ -35,6 +36,13 @@ def upsert_vectors(existing: DataFrame | None, batch: DataFrame, id_col: str = "
     return keep_last(rows, [id_col], F.col("__gen")).drop("__gen")
 
 
+def create_vectors(spark: SparkSession, path: str, columns: StructType, filters: list[str] | None = None, recreate: bool = False) -> None:
+    """An empty vector table, its folders parted by the fields that searches filter on; one that is there stays, unless recreate."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if recreate or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        spark.createDataFrame([], columns).write.mode("overwrite").partitionBy(*(filters or [])).parquet(path)
+
+
 def sse_line(event: Column) -> Column:
     """A struct as one server-sent event."""
     return F.concat(F.lit("data: "), F.to_json(event), F.lit("\n\n"))

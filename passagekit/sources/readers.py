@@ -20,19 +20,21 @@ def _int(c: str) -> Column:
     return F.when(v.isNotNull(), v).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no integer: "), F.coalesce(F.col(c), F.lit("null")), F.lit(" in "), F.col("__where"))).cast("int"))
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """num_soura, num_aya (int), aya, name_soura (stripped). A byte order mark is passed over.
 
     A missing column raises ValueError naming it; a number that is none fails
-    the job with the value and its file.
+    the job with the value and its file. place: a column of that name tells where
+    a row stood: its file, the part of the file, its place in that part.
     """
     df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False)
     df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
     missing = [c for c in schema.RAW_CSV.fieldNames() if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    at = [F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
     df = df.withColumn("__where", F.input_file_name())
-    return df.select(_int("num_soura").alias("num_soura"), _int("num_aya").alias("num_aya"), *(trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("aya", "name_soura")))
+    return df.select(*at, _int("num_soura").alias("num_soura"), _int("num_aya").alias("num_aya"), *(trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("aya", "name_soura")))
 
 
 def canonical_records(raw: DataFrame) -> DataFrame:
@@ -50,8 +52,8 @@ def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def read_vocalized(spark: SparkSession, path: str) -> DataFrame:
-    """(surah_number, ayah_number, text, surah_name); of repeated keys the last line counts."""
-    raw = read_raw_csv(spark, path).withColumn("__at", F.monotonically_increasing_id())
+    """(surah_number, ayah_number, text, surah_name); of repeated keys the last line of the last file (by name) counts."""
+    raw = read_raw_csv(spark, path, "__at")
     out = keep_last(raw, ["num_soura", "num_aya"], F.col("__at"))
     return out.select(F.col("num_soura").alias("surah_number"), F.col("num_aya").alias("ayah_number"), F.col("aya").alias("text"), F.col("name_soura").alias("surah_name"))
 

@@ -177,6 +177,97 @@ def test_chat(spark):
     assert "(no verse retrieved)" in chat.chat(asked, p.limit(0)).first()["message"]
 
 
+def test_chat_takes_history_and_system(spark):
+    class Echo:
+        def chat(self, system, messages):
+            return f"{system}|" + "|".join(f"{m['role']}={m['content'][:4]}" for m in messages)
+
+    asked = spark.createDataFrame([(1, "why?"), (2, "how?")], "qid long, question string")
+    p = spark.createDataFrame([(1, 0, "1:1", "One", "x", 1, 1, "t", "", "e")], "qid long, ord int, id string, surah_name_en string, surah_name_ar string, surah_number int, ayah_number int, text_ar string, translation_fr string, translation_en string")
+    before = spark.createDataFrame([(1, 1, "assistant", "yes"), (1, 0, "user", "hm")], "qid long, idx int, role string, content string")
+    got = {r["qid"]: r["answer"] for r in chat.chat(asked, p, make=Echo, history=before, system="S").collect()}
+    assert got == {1: "S|user=hm|assistant=yes|user=Pass", 2: "S|user=Pass"}
+
+
+def test_converse_retrieves_filters_and_answers(spark):
+    kind = "id string, surah_number int, ayah_number int, surah_name_en string, surah_name_ar string, text_ar string, translation_fr string, translation_en string, period string"
+    rec = spark.createDataFrame([(f"{s}:{a}", s, a, "N", "n", f"word{s} {a}", "", "", "madani" if s == 2 else "makkiyya") for s in (1, 2) for a in range(1, 6)], kind)
+    index = bm25.build(rec, "id", F.col("text_ar"))
+    dense = lambda q: q.select("qid", F.lit("1:4").alias("id"), F.lit(0).alias("rank"))
+    asked = spark.createDataFrame([(1, "word2 medinan"), (2, "word1"), (3, "word1 word2")], "qid long, question string")
+    got = {r["qid"]: r for r in chat.converse(asked, rec, index, dense, k=2).collect()}
+    assert [h["id"][:1] for h in got[1]["hits"]] == ["2", "2"] and {p["period"] for p in got[1]["sources"]} == {"madani"}
+    assert "1:4" in [h["id"] for h in got[2]["hits"]] and "[1:3]" in got[2]["message"] and got[2]["message"].endswith("Question: word1")
+    only = chat.converse(asked, rec, index, dense, filters={"period": "madani"}, k=2).collect()
+    assert all(h["id"].startswith("2") for r in only for h in r["hits"])
+
+
+def test_analysis_without_occurrences_asks_no_model(spark):
+    class Fails:
+        def chat(self, system, messages):
+            raise AssertionError("asked")
+
+    rows = spark.createDataFrame([(1, "q", [], 0, [])], "qid long, root string, forms array<string>, occurrences_count long, verses array<struct<id:string,surah_name_en:string,surah_name_ar:string,surah_number:int,ayah_number:int,text_ar:string,translation_fr:string,translation_en:string>>")
+    r = chat.analyse(rows, F.lit("en"), make=Fails).first()
+    assert (r["found"], r["answer"], r["message"]) == (False, "", None)
+
+
+def test_templates_take_values_as_they_are(spark):
+    from passagekit.operators.prompts import filled
+
+    got = spark.range(1).select(filled("a {x} b {y}", x=F.lit("{y}"), y=F.lit("z")).alias("t")).first()["t"]
+    assert got == "a {y} b z"
+
+
+def test_index_is_saved_and_loaded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "b c")], "qid long, text string")
+    index = bm25.build(docs, "id", F.col("text"))
+    path = f"file://{tmp_path}/index"
+    bm25.save(index, path)
+    back = bm25.load(spark, path)
+    rows = lambda i: [tuple(r) for r in bm25.search(i, asked, F.col("text"), 3).orderBy("rank").collect()]
+    assert rows(back) == rows(index) and len(rows(back)) == 3
+    with pytest.raises(FileNotFoundError):
+        bm25.load(spark, f"file://{tmp_path}/none")
+
+
+def test_vector_table_is_created_once(spark, tmp_path):
+    kind = spark.createDataFrame([], "id long, vector array<float>, period string").schema
+    path = f"file://{tmp_path}/v"
+    writers.create_vectors(spark, path, kind, ["period"])
+    spark.createDataFrame([(1, [1.0], "a")], kind).write.mode("append").partitionBy("period").parquet(path)
+    writers.create_vectors(spark, path, kind, ["period"])
+    rows = spark.read.schema(kind).parquet(path)
+    assert rows.count() == 1 and "PartitionFilters: [isnotnull(period" in rows.filter("period = 'a'")._jdf.queryExecution().executedPlan().toString()
+    writers.create_vectors(spark, path, kind, ["period"], recreate=True)
+    assert spark.read.schema(kind).parquet(path).count() == 0
+
+
+def test_unsound_vectors_are_passed_over(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [1e300, 1e300]), (7, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = vectors.top_k_batch(df, df.withColumnRenamed("id", "qid"), 5).collect()
+    assert {(r["qid"], r["id"]) for r in got} == {(1, 1), (1, 6), (6, 1), (6, 6), (5, 5)}
+    assert vectors.top_k_batch(df.limit(0), df.withColumnRenamed("id", "qid").limit(0), 5).count() == 0
+
+
+def test_tables_of_an_application_go(spark):
+    from passagekit import session
+
+    made = []
+    path = session.stored(spark, "t", lambda p: (made.append(p), spark.range(3).write.parquet(p)))
+    assert session.stored(spark, "t", lambda p: made.append(p)) == path and made == [path] and spark.read.parquet(path).count() == 3
+    assert session.application_dir(spark).startswith(session.shared_dir(spark))
+
+
+def test_ingestion_reports_its_stages(spark, segments, tmp_path):
+    raw = spark.createDataFrame([(1, 1, "a", "A"), (2, 142, "b", "B")], "num_soura int, num_aya int, aya string, name_soura string")
+    said, report = spark.createDataFrame([], "lang string, id string, text string"), []
+    ingest.run(raw, segments, said, out=f"file://{tmp_path}/out", report=report)
+    assert [(r["stage"], r["rows"]) for r in report][0] == ("records", 2) and len(report) == 4 and all(r["seconds"] > 0 for r in report)
+
+
 def test_streaming_build_resumes(spark, tmp_path):
     src, out, ck = (f"file://{tmp_path}/{x}" for x in ("src", "out", "ck"))
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
