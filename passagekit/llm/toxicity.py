@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fold, text_of
@@ -71,6 +71,15 @@ def _maximal(rising: Iterable[tuple[int, int, float, float]]) -> list[tuple[int,
     return [(a, b, r - lo) for a, b, lo, r, _ in found]
 
 
+def _spans(own) -> list[tuple[int, int, float]]:  # noqa: ANN001
+    """(first word, last word, score) of all maximal segments of words with these scores."""
+    import numpy as np
+
+    upto, at = np.cumsum(own), np.flatnonzero(own > 0)
+    left = np.where(at > 0, upto[at - 1], 0.0) if len(at) else at
+    return _maximal(zip(at.tolist(), at.tolist(), left.tolist(), upto[at].tolist(), strict=True))
+
+
 @dataclass
 class ToxicityModel:
     """weights: log-odds of features with their z, of which those that count() lets pass; gap: score of a word without any."""
@@ -101,12 +110,11 @@ class ToxicityModel:
 
     def passages(self, own) -> list[tuple[int, int, float, float]]:  # noqa: ANN001
         """(first word, last word, score, expectation) of all maximal segments of words with these scores."""
-        import numpy as np
+        return [(a, b, s, self.k * len(own) * math.exp(-self.rate * s)) for a, b, s in _spans(own)]
 
-        upto, at = np.cumsum(own), np.flatnonzero(own > 0)
-        right, at = upto[at].tolist(), at.tolist()
-        found = _maximal((i, i, upto.item(i - 1) if i else 0.0, r) for i, r in zip(at, right, strict=True))
-        return [(a, b, s, self.k * len(own) * math.exp(-self.rate * s)) for a, b, s in found]
+    def score_of(self, hits: list[tuple[float, float]]) -> float:
+        """A word's score from the weights of its features: the surest of those that count."""
+        return max((x for x in hits if self.counts(*x)), key=lambda x: abs(x[1]), default=(self.gap, 0.0))[0]
 
     def evidence(self, n: int, segments: list[tuple[int, int, float, float]]) -> float:
         """Minus the log of the expectations of all significant segments together, or of the best one."""
@@ -121,14 +129,14 @@ class ToxicityModel:
 
     def _cache(self) -> dict[str, float]:
         if "_words" not in self.__dict__:
-            weights, counts, most, gap = self.weights, self.counts, self.most_cached, self.gap
+            weights, score_of, most = self.weights, self.score_of, self.most_cached
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
-                    best = max((weights[f] for f in _features(word) if f in weights and counts(*weights[f])), key=lambda x: abs(x[1]), default=(gap, 0.0))
+                    best = score_of([weights[f] for f in _features(word) if f in weights])
                     if len(self) < most:
-                        self[word] = best[0]
-                    return best[0]
+                        self[word] = best
+                    return best
 
             self.__dict__["_words"] = Words()
         return self.__dict__["_words"]
@@ -138,14 +146,17 @@ class ToxicityModel:
 
 
 class _Together:
-    """Several models' segments of a text, each word looked up once."""
+    """Segments of a text under several models of one table of weights; each word is looked up once for all."""
 
-    def __init__(self, models: list[ToxicityModel], most: int = 20_000):
+    def __init__(self, models: list[ToxicityModel], most: int = 50_000):
         import numpy as np
 
-        self.models, self.most, self.ids, self.scores = models, most, {}, np.zeros((most, len(models)))
+        self.models, self.weights, self.most, self.ids = models, models[0].weights, most, {}
+        self.gaps = [m.gap for m in models]
+        self.scores = np.zeros((most, len(models)))
 
-    def segments(self, text: str | None) -> tuple[int, list]:
+    def segments(self, text: str | None) -> tuple[int, list[list[tuple[int, int, float]]]]:
+        """Number of words, and (first word, last word, score) of the maximal segments under each model."""
         import numpy as np
 
         words = _WORDS.findall(text.lower()) if text else []
@@ -156,10 +167,11 @@ class _Together:
             if len(self.ids) + len(new) > self.most:
                 self.ids, new = {}, set(part)
             for w in new:
-                self.scores[len(self.ids)] = [m._cache()[w] for m in self.models]
+                hits = [self.weights[f] for f in _features(w) if f in self.weights]
+                self.scores[len(self.ids)] = [m.score_of(hits) for m in self.models] if hits else self.gaps
                 self.ids[w] = len(self.ids)
             own[at : at + len(part)] = self.scores[np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part))]
-        return len(words), [m.passages(own[:, k]) for k, m in enumerate(self.models)]
+        return len(words), [_spans(own[:, k]) for k in range(len(self.models))]
 
 
 def _counts(rows: DataFrame, folds: int) -> DataFrame:
@@ -310,37 +322,37 @@ def train(
             m.rate = _rate(m, places, places.get("", 0))
     final, tried = models[-1], models[:-1] or models
 
-    def best_ones(batches: Iterator) -> Iterator:
+    def told(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        texts, sums, sets = 0, [0.0] * len(bounds), [_Together(x) for x in tried]
+        sets = [_Together(x) for x in tried]
         for batch in batches:
+            words, sums = [], []
             for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                texts += 1
-                n, found = sets[fold_no % len(sets)].segments(text)
-                for k, (m, segments) in enumerate(zip(tried[fold_no % len(sets)], found, strict=True)):
-                    sums[k] += max(1, n) * math.exp(-m.rate * max((s for _, _, s, _ in segments), default=0.0))
-        yield pa.RecordBatch.from_arrays([pa.array([texts], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], ["n", "x"])
-
+                part = fold_no % len(sets)
+                n, found = sets[part].segments(text)
+                words.append(n)
+                sums.append([[m.rate * s for *_, s in own] for m, own in zip(tried[part], found, strict=True)])
+            cols = [batch.column(0), pa.array(words, pa.int64()), pa.array(sums, pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(cols, ["y", "n", "s"])
+
+    # the texts are scanned once, out of fold: number of words and, by bounds, lambda x score of all segments
+    segments = scratch.put(rows.select("y", "f", "t").mapInArrow(told, "y int, n long, s array<array<double>>"))
+    n, s = F.greatest("n", F.lit(1)), [F.col("s")[k] for k in range(len(bounds))]
     # the likeliest K for best scores S of n words with P(S < s) = exp(-K n exp(-lambda s))
-    tails = rows.filter("y = 0").select("y", "f", "t").mapInArrow(best_ones, "n long, x array<double>").collect()
+    tails = segments.filter("y = 0").select(F.count(F.lit(1)), *(F.sum(n * F.exp(-F.coalesce(F.array_max(x), F.lit(0.0)))) for x in s)).first()
     for k in range(len(bounds)):
-        share = sum(r["n"] for r in tails) / max(1e-9, sum(r["x"][k] for r in tails))
         for of_part in models:
-            of_part[k].k = min(1.0, max(1e-6, share))
-
-    def score(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+            of_part[k].k = min(1.0, max(1e-6, tails[0] / max(1e-9, tails[1 + k] or 0.0)))
 
-        sets = [_Together(x) for x in tried]
-        for batch in batches:
-            x = []
-            for fold_no, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n, found = sets[fold_no % len(sets)].segments(text)
-                x.append([m.evidence(n, own) for m, own in zip(tried[fold_no % len(sets)], found, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+    def evidence(k: int) -> Column:
+        """ToxicityModel.evidence from the stored segments."""
+        m = final[k]
+        logs = F.transform(s[k], lambda x: F.least(F.lit(-math.log(1e-300)), x - F.log(m.k * n)))
+        sure = F.filter(logs, lambda x: x >= -math.log(m.most_expected))
+        return F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, b: a + b)).otherwise(F.coalesce(F.array_max(logs), -F.log(m.k * n)))
 
-    fit = rows.select("y", "f", "t").mapInArrow(score, "y int, x array<double>").collect()
+    fit = segments.select("y", F.array(*(evidence(k) for k in range(len(bounds)))).alias("x")).collect()
     y, best = [r["y"] for r in fit], None
     for k in range(len(bounds)):
         # labels of one kind are rare, and a curve between them may be steep: evidence of up to 60 tells enough
@@ -353,7 +365,7 @@ def train(
     _, k, slope, bias = best
     model = final[k]
     kept = {f: x for f, x in model.weights.items() if model.counts(*x)}
-    scratch.drop(own, rows)
+    scratch.drop(own, rows, segments)
     return ToxicityModel(kept, rate=model.rate, k=model.k, slope=slope, bias=bias)
 
 
