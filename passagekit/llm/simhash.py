@@ -31,35 +31,41 @@ from .components import components
 _SMALL = 32
 
 
+def _shingles(text: str | None, shingle: int, seed: int):  # noqa: ANN202
+    """XXH64 of every shingle of a text's words, repeats included; of fewer words the whole sequence; no words: none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as digest
+
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends.tolist()[min(shingle, len(words)) - 1 :]
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905
+
+
+def _majority(h) -> int:  # noqa: ANN001
+    """The bits that are set in over half of the hashes; no hashes: 0."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        bits = np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id, h, fp): a hash of each whole text and its 64-bit SimHash as a signed long; no words: 0."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for k, value in enumerate(batch.column(2)):
-                text = value.as_py()
-                words = text.encode("utf-8", "replace").lower().split() if text else []
-                if not words:
-                    continue
-                line = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                starts = [0, *(ends[:-1] + 1).tolist()]
-                ends = ends.tolist()
-                n = max(1, len(words) - shingle + 1)
-                last = ends[min(shingle, len(words)) - 1 :]
-                h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, last)), np.uint64, n)  # noqa: B905
-                ones = np.zeros(64, np.int64)
-                for i in range(0, n, 1 << 15):
-                    bits = np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones += bits.sum(axis=0, dtype=np.int32)
-                out[k] = weights[2 * ones > n].sum(dtype=np.uint64)
+            out = np.fromiter((_majority(_shingles(v.as_py(), shingle, seed)) for v in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc", "h", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
@@ -234,6 +240,15 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 1
     return rows.select("fp", *keys, "chunk", *table).mapInArrow(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with root and component_id: nodes (node, least, n) are joined by the components of edges."""
+    roots = components(edges, scratch)
+    nodes = scratch.put(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = scratch.put(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")))
+    nodes = scratch.put(join_groups(nodes, least, ["root"], "nodes", nodes.count()).select("node", "n", "root", "component_id"))
+    return join_groups(docs, nodes, ["node"], "n", docs.count())
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -251,22 +266,37 @@ def near_duplicates(
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.put(fingerprints(df, id_col, text_col, shingle))
     fps = scratch.put(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(scratch.put(links(fps.select("fp"), scratch, max_bits, n_pivots)), scratch)
-    nodes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = scratch.put(nodes)
-    least = scratch.put(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
-    nodes = scratch.put(join_groups(nodes, least, ["root"], "fps", fps.count()).select("fp", "n", "root", "component_id"))
-    return join_groups(docs, nodes, ["fp"], "n", docs.count()).select(id_col, "h", "fp", "root", "component_id")
+    edges = scratch.put(links(fps.select("fp"), scratch, max_bits, n_pivots))
+    rows = _grouped(docs.withColumn("node", F.col("fp")), fps.withColumnRenamed("fp", "node"), edges, scratch)
+    return rows.select(id_col, "h", "fp", "root", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def drop_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = 0.8, max_bits: int = 4
+) -> DataFrame:
     """One whole row of df for each component: the one with the least id; of several with that id, one.
 
-    Null and empty texts are one component with whatever links to fingerprint 0; of a component whose ids are all
-    null one row stays. Other columns stay as they are; an empty table gives no rows.
+    Components are those of texts whose sets of shingles have a Jaccard similarity of at least `similarity`
+    (similar_texts), or, where that is None, of fingerprints within max_bits. Null and empty texts are one component
+    (with whatever links to fingerprint 0); of a component whose ids are all null one row stays. Other columns stay
+    as they are; an empty table gives no rows.
     """
-    rows = near_duplicates(df, id_col, text_col, shingle, max_bits).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("h"))).alias("k")).select(F.col("k.i").alias("__doc"), F.col("k.h").alias("__hash"))
+    scratch = Scratch(df.sparkSession, "near-copies")
+    if similarity is None:
+        rows = near_duplicates(df, id_col, text_col, shingle, max_bits)
+    else:
+        from .similar_texts import similar_texts
+
+        rows = similar_texts(df, id_col, text_col, shingle, similarity)
+    rows = scratch.put(rows.groupBy(F.col(id_col).alias("__doc"), F.col("h").alias("__hash")).agg(F.min("root").alias("root"), F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    least = rows.filter(F.col("__doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__doc", "__hash")).alias("k")).select("k.*")
+    on = lambda x, y, a="__doc", b="__hash": x[a].eqNullSafe(y["__doc"]) & (x[b] == y["__hash"])
+    # lists of keys on disk, so that their size decides whether whole rows are shuffled
+    dropped = scratch.put(rows.join(least, on(rows, least), "left_anti").select("__doc", "__hash"))
+    again = scratch.put(rows.filter("n > 1").select("__doc", "__hash"))
     keyed = df.withColumn("__h", F.xxhash64(text_of(text_col)))
-    same = keyed[id_col].eqNullSafe(kept["__doc"]) & (keyed["__h"] == kept["__hash"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")
+    kept = keyed.join(dropped, on(keyed, dropped, id_col, "__h"), "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, on(kept, again, id_col, "__h"), "left_anti")
+        kept = once.unionByName(kept.join(again, on(kept, again, id_col, "__h"), "left_semi").dropDuplicates([id_col, "__h"]))
+    return kept.drop("__h")

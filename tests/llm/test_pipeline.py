@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from test_native import fill
-from test_similarity import fingerprint, roots_of
+from test_similarity import least_ids
 
 import corpus_pipeline
 from passagekit.llm.toxicity import train, training_labels
@@ -17,10 +17,9 @@ def expected(spark, sf, name, rows):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         model = train(docs, training_labels(spark.read.parquet(f"{sf}/labels.parquet")))
         return {d for d, t in rows if model.probability(t) < 0.5}
-    key = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") if name == "exact_dedup" else fingerprint(t) for d, t in rows}
-    if name == "near_dedup":
-        root = roots_of(key.values(), 4)
-        key = {d: root[f] for d, f in key.items()}
+    if name == "near_dedup":  # five-word shingles, similarity of 0.8 or more
+        return {c for *_, c in least_ids(rows)}
+    key = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for d, t in rows}
     least = {}
     for d in sorted(key):
         least.setdefault(key[d], d)

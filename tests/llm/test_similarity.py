@@ -12,6 +12,7 @@ from passagekit.llm.common import Scratch
 from passagekit.llm.components import components
 from passagekit.llm.graph_ann import nearest
 from passagekit.llm.simhash import _masks, drop_near_copies, hex_of, links, near_duplicates
+from passagekit.llm.similar_texts import similar_texts
 
 
 def fingerprint(text):
@@ -56,13 +57,87 @@ def test_near_duplicates(request, name):
     got = near_duplicates(df).select("doc_id", hex_of(F.col("fp")).alias("f"), "component_id").collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(((r[0], r[1], r[2]) for r in got), key=key) == sorted(((d, f"{f:016x}", least.get(root[f])) for d, f in rows), key=key)
-    kept = drop_near_copies(df)
+    kept = drop_near_copies(df, shingle=4, similarity=None)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     want = [least.get(x) for x in {root[f] for _, f in rows}]
     assert sorted(ids, key=str) == sorted(want, key=str)
 
 
+def shingle_set(text, n=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def alike(a, b, least=0.8):
+    """Jaccard similarity of two sets at least `least`; empty sets are alike."""
+    return a == b or len(a & b) >= least * len(a | b) - 1e-9 and bool(a & b)
+
+
+def least_ids(rows):
+    """(id, component, the component's least id) of every (id, text), by brute force over texts alike."""
+    sets = list({shingle_set(t) for _, t in rows})
+    at, up = {s: k for k, s in enumerate(sets)}, list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    holders = {}
+    for k, s in enumerate(sets):  # only sets with a common shingle can be alike
+        for other in {o for x in s for o in holders.get(x, ())}:
+            if alike(s, sets[other]):
+                up[find(k)] = find(other)
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    least = {}
+    for d, t in rows:
+        if d is not None:
+            r = find(at[shingle_set(t)])
+            least[r] = min(d, least.get(r, d))
+    roots = [find(at[shingle_set(t)]) for _, t in rows]
+    return [(d, r, least.get(r)) for (d, _), r in zip(rows, roots, strict=True)]
+
+
+@pytest.mark.parametrize("name", ["awkward", "clashing", "empty"])
+def test_similar_texts(request, name):
+    df = request.getfixturevalue(name)
+    want = least_ids([tuple(r) for r in df.select("doc_id", "text").collect()])
+    got = [(r["doc_id"], r["component_id"]) for r in similar_texts(df).collect()]
+    assert sorted(map(str, got)) == sorted(str((d, c)) for d, _, c in want)
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(str(c) for _, c in {x[1:] for x in want})
+
+
+def planted(n_groups, copies, seed):
+    """Originals and copies with words replaced at rates that give similarities from about 0.7 to 1."""
+    rng = random.Random(seed)
+    prose = lambda n: ["w%d" % rng.randrange(5000) for _ in range(n)]
+    shared, rows = prose(60), []
+    for _ in range(n_groups):
+        base = prose(rng.randint(60, 400)) + (shared if rng.random() < 0.5 else [])
+        rows.append(" ".join(base))
+        for _ in range(copies):
+            words, rate = list(base), rng.choice([0.005, 0.01, 0.015, 0.02, 0.03])
+            for k in range(len(words)):
+                if rng.random() < rate:
+                    words[k] = prose(1)[0]
+            rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("groups", "copies", "how"), [(150, 3, {}), (3, 150, {"unit_rows": 40}), (40, 6, {"unit_bytes": 4000})])
+def test_similar_texts_finds_planted_copies(spark, groups, copies, how):
+    rows = planted(groups, copies, groups)
+    want = {d: c for d, _, c in least_ids(rows)}
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    joined = [d for d, c in want.items() if c != d]
+    assert all(want[got[d]] == want[d] for d in got)  # nothing joined that isn't alike
+    assert sum(got[d] == want[d] for d in joined) >= 0.98 * len(joined)
+
+
 @pytest.mark.parametrize(("n", "unit_rows"), [(400, 4096), (900, 60)])
 def test_links_lose_nothing(spark, n, unit_rows):
     rng = random.Random(n)
