@@ -40,8 +40,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each component of near copies (five-word shingles, similarity of 0.8 or more) stays, the one with the smallest id."""
+    return drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
