@@ -98,7 +98,7 @@ def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # no
     size = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.r_[0, np.cumsum(size)]
-    mark = np.zeros(len(ids), bool)
+    mark = np.zeros(len(ids), np.uint8)
     for i in range(len(fp) - 1):
         j = np.arange(i + 1, len(fp))
         j = j[(label[j] != label[i]) & ((chunk[j] == 0) | (chunk[j] != chunk[i]))]
@@ -111,9 +111,12 @@ def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # no
         if not len(j):
             continue
         own = ids[starts[i] : starts[i + 1]]
-        mark[own] = True
-        both = np.array([np.count_nonzero(mark[ids[starts[k] : starts[k + 1]]]) for k in j])
-        mark[own] = False
+        mark[own] = 1
+        if len(j) > 16:  # all rows at once, without a step a pair
+            both = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)[j]
+        else:
+            both = np.array([np.count_nonzero(mark[ids[starts[k] : starts[k + 1]]]) for k in j])
+        mark[own] = 0
         for k in j[both >= similarity * (size[i] + size[j] - both) - 1e-9]:
             if label[k] != label[i]:
                 out.append((i, int(k)))
