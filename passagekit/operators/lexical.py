@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import even_sample, match_positions, parse_id
+from .sampling import even_rows
 
 
 def lookup(roots: DataFrame, index: DataFrame, records: DataFrame, sample: int = 30, qid: str = "qid", id_col: str = "id") -> DataFrame:
@@ -23,6 +24,26 @@ def lookup(roots: DataFrame, index: DataFrame, records: DataFrame, sample: int =
     return out
 
 
+def lookup_long(roots: DataFrame, segments: DataFrame, records: DataFrame, sample: int = 30, qid: str = "qid", id_col: str = "id") -> DataFrame:
+    """(qid, root, forms, occurrences_count, verses) as lookup() has them, from segments (verse_id, form, root).
+
+    Only places of the roots asked for are read, and of each only the sampled ones are gathered, so a root may
+    have any number of places.
+    """
+    first = roots.groupBy(qid).agg(F.min_by("root", "ord").alias("root"))
+    own = segments.join(first.select("root").distinct(), "root", "left_semi")
+    s, a = parse_id("verse_id")
+    places = own.select("root", "verse_id", s.alias("s"), a.alias("a")).distinct()
+    picked = even_rows(places, "root", ["s", "a", "verse_id"], sample)
+    forms = own.select("root", "form").distinct().groupBy("root").agg(F.array_sort(F.collect_list("form")).alias("forms"))
+    counts = picked.groupBy("root").agg(F.max("n").alias("occurrences_count"))
+    found = picked.select("root", "pos", F.col("verse_id").alias(id_col)).join(records, id_col)
+    found = found.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*records.columns).alias("v")))).alias("x"))
+    rows = first.join(forms, "root", "left").join(counts, "root", "left").join(found, "root", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(qid, "root", F.coalesce("forms", none).alias("forms"), F.coalesce("occurrences_count", F.lit(0)).alias("occurrences_count"), F.transform("x", lambda x: x["v"]).alias("verses"))
+
+
 def exhaustive(roots: DataFrame, index: DataFrame, vocalized: DataFrame, qid: str = "qid") -> DataFrame:
     """(qid, surah_number, ayah_number, surah_name, text, match_indices): all verses of all of a query's roots, in canonical order.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import bm25, context, coverage, evaluate, fusion, inverted, lexical, prompts, rerank, store, vectors
+from .operators import bm25, context, coverage, evaluate, fusion, inverted, lexical, prompts, rerank, sampling, store, vectors
 from .plans import chat, ingest, retrieval
 from .session import materialized, stored
 from .sinks.writers import last_vectors, write_stage
@@ -247,15 +247,15 @@ def threshold_gate(spark, d):
 # --- lookup -------------------------------------------------------------------
 def lexical_lookup(spark, d):
     docs, asked = _t(spark, d, "documents"), _asked(spark, d)
-    index = inverted.root_index(_segs(spark, d))
     records = docs.select(F.concat_ws(":", F.substring("source", 4, 9), F.col("doc_id").cast("string")).alias("id"), "n_chars")
-    rows = lexical.lookup(_query_roots(asked), index, records, 30)
+    rows = lexical.lookup_long(_query_roots(asked), _segs(spark, d), records, 30)
     return rows.select("qid", "root", F.array_join("forms", "|").alias("forms"), "occurrences_count", F.array_join(F.transform("verses", lambda v: v["id"]), "|").alias("sampled"))
 
 
 def even_sample(spark, d):
-    rows = _t(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return rows.select("source", F.array_join(F.transform(X.even_sample(F.col("ids"), 7), lambda x: x.cast("string")), "|").alias("ids"))
+    rows = sampling.even_rows(_t(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 7)
+    rows = rows.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return rows.select("source", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"))
 
 
 def exhaustive_lookup_indices(spark, d):

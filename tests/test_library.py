@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from passagekit.operators import bm25, coverage, fusion, inverted, lexical, rerank, store, vectors
+from passagekit.operators import bm25, coverage, fusion, inverted, lexical, rerank, sampling, store, vectors
 from passagekit.plans import chat, ingest, retrieval
 from passagekit.sinks import writers
 from passagekit.sources import readers
@@ -135,11 +135,26 @@ def test_lookup_and_exhaustive(spark, segments):
     rec = spark.createDataFrame([("1:1", "t")], "id string, text string")
     got = {r["qid"]: r for r in lexical.lookup(roots, index, rec).collect()}
     assert got[1]["occurrences_count"] == 2 and [v["id"] for v in got[1]["verses"]] == ["1:1"] and got[2]["verse_ids"] == []
+    long = {r["qid"]: r for r in lexical.lookup_long(roots, segments, rec).collect()}
+    assert set(long) == set(got) and long[2]["forms"] == [] and long[2]["verses"] is None
+    assert [long[1][c] for c in ("root", "forms", "occurrences_count", "verses")] == [got[1][c] for c in ("root", "forms", "occurrences_count", "verses")]
     voc = spark.createDataFrame([(1, 1, "smi q ba", "A"), (1, 2, "Hmd", "A")], "surah_number int, ayah_number int, text string, surah_name string")
     rows = lexical.exhaustive(roots, index, voc).collect()
     assert [(r["surah_number"], r["ayah_number"], r["match_indices"]) for r in rows] == [(1, 1, [0, 2]), (1, 2, [0])]
 
 
+def test_rows_at_even_distances(spark):
+    """A key with most rows, few rows, exactly as many as asked for, a null key; nothing of an empty table."""
+    sizes = {"hot": 5000, "few": 3, "same": 7, None: 40}
+    rows = [(k, (i * 7919) % n) for k, n in sizes.items() for i in range(n)]
+    got: dict = {}
+    for r in sampling.even_rows(spark.createDataFrame(rows, "k string, v long"), "k", ["v"], 7).collect():
+        assert r["pos"] == r["v"] and r["n"] == sizes[r["k"]]
+        got.setdefault(r["k"], []).append(r["v"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(n)) if n <= 7 else [int(i * (n / 7)) for i in range(7)] for k, n in sizes.items()}
+    assert sampling.even_rows(spark.createDataFrame([], "k string, v long"), "k", ["v"], 7).count() == 0
+
+
 def test_store(spark):
     empty = spark.createDataFrame([], "session_id string, idx long")
     turns = spark.createDataFrame([("s", 0, "q1", "a1", None, 1.0), ("s", 1, "q2", "a2", '[{"id":"1:1","junk":2}]', 2.0)], "session_id string, seq int, question string, answer string, sources string, created_at double")
