@@ -127,6 +127,28 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vecs, vecs.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between vectors of one label, and their components."""
+    from .pq_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components of the covariance, at unit variance."""
+    from .whitening import fit, whiten
+
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whiten(vecs, fit(vecs, components=16))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds from 16 centroids."""
+    from .lloyd import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -145,10 +167,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
+    "op11_pq_dedup": op11_pq_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_lloyd": op13_lloyd,
     "pipeline": pipeline,
 }
 
+_FINITE = "list_count(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)"
+
+
+def _lloyd_sql(rounds: int = 3, k: int = 16) -> str:
+    """The rounds of plain Lloyd one after the other; a centroid is a row a component."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v)",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN e USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT vec_id, c, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN c{r} c USING (i) GROUP BY ALL)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN e USING (vec_id) GROUP BY c, i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} LEFT JOIN s{r} USING (c, i))")
+    steps.append(f"named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance,
+               (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN named USING (c)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_pq_dedup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings
+            WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), least AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), many AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN many USING (vec_id)
+    """,
+    "op13_lloyd": _lloyd_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
