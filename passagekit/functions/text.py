@@ -24,6 +24,8 @@ HAMZA_FROM, HAMZA_TO = "أإآٱؤئ", "ااااوي"
 #: The folds of the clean text, and of its profile "fold".
 CLEAN_FROM, CLEAN_TO = "أإآٱىؤئء", "اااايوي"
 FOLD_FROM, FOLD_TO = "أإؤئ", "ءءءء"
+#: The last folds of search.
+SEARCH_FROM, SEARCH_TO = "ىة", "يه"
 ARABIC_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
 STEM_PREFIXES = ("وال", "فال", "بال", "كال", "ال", "و", "ف", "ب", "ك", "ل", "س")
 STEM_SUFFIXES = ("ون", "ين", "ان", "ات", "ة", "ها", "هم", "هن", "كم", "كن", "نا", "ني", "ه", "ي", "ك", "وا", "ت", "ن")
@@ -36,6 +38,13 @@ STOP_WORDS = (
     "هن", "هما", "أنت", "أنا", "نحن", "أنتم", "هذا", "هذه", "ذلك", "تلك", "الذي", "التي", "الذين", "كل",
     "بعض", "غير", "عند", "بين", "لدى", "نحو", "قبل", "بعد", "دون",
 )
+#: Common words of languages, which tell them apart where no detector is at hand.
+COMMON_WORDS = {
+    "en": ("the", "of", "and", "to", "in"),
+    "fr": ("le", "la", "de", "et", "les"),
+    "de": ("der", "die", "und", "in", "den"),
+    "es": ("el", "la", "de", "y", "los"),
+}
 MECCAN, MEDINAN = ("makki", "mecquoise", "meccan", "مكي"), ("madani", "médinoise", "medinan", "مدني")
 #: Where each of the thirty parts begins: (chapter, verse).
 PART_STARTS = (
@@ -92,7 +101,7 @@ def normalize_root(c: Column | str) -> Column:
 
 def normalize_search(c: Column | str) -> Column:
     """normalize_root, then annotation marks off and the last folds of search."""
-    return F.translate(F.regexp_replace(normalize_root(c), ANNOTATION, ""), "ىة", "يه")
+    return F.translate(F.regexp_replace(normalize_root(c), ANNOTATION, ""), SEARCH_FROM, SEARCH_TO)
 
 
 def tokens(c: Column | str, normalizer=normalize_search) -> Column:  # noqa: ANN001
@@ -125,7 +134,7 @@ def first_filled(*cols: str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in cols), F.lit(""))
 
 
-def _with(value: Column, use) -> Column:  # noqa: ANN001
+def with_value(value: Column, use) -> Column:  # noqa: ANN001
     """use(value), with value worked out once a row however often use names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -134,7 +143,7 @@ def without_stop_words(words: Column, stop: tuple[str, ...] | list[str] | None =
     """Words that are not in the stop list, both normalised for search."""
     stop = STOP_WORDS if stop is None else stop
     folded = F.transform(F.array(*(F.lit(s) for s in stop)).cast("array<string>"), lambda s: normalize_search(s))
-    return _with(folded, lambda st: F.filter(words, lambda w: ~F.array_contains(st, w)))
+    return with_value(folded, lambda st: F.filter(words, lambda w: ~F.array_contains(st, w)))
 
 
 def heuristic_stem(
@@ -183,12 +192,7 @@ def detect_language(c: Column | str, votes: dict[str, tuple[str, ...]] | None =
 
     A stand-in for a statistical detector, which callers may put in its place.
     """
-    votes = votes or {
-        "en": ("the", "of", "and", "to", "in"),
-        "fr": ("le", "la", "de", "et", "les"),
-        "de": ("der", "die", "und", "in", "den"),
-        "es": ("el", "la", "de", "y", "los"),
-    }
+    votes = votes or COMMON_WORDS
     words = F.split(F.lower(_col(c)), r"\s+")
     hits = lambda common: F.size(F.filter(words, lambda w: w.isin(*common)))
     marks = F.array(*(F.struct(hits(v).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, v) in enumerate(votes.items())))
@@ -242,7 +246,7 @@ def match_positions(text: Column | str, forms: Column, normalizer=normalize_clea
         plain = F.when(is_arabic(text), plain).otherwise(words)
     wanted = F.filter(F.transform(forms, lambda f: normalizer(f)), lambda f: f != "")
     hits = lambda fs: F.transform(plain, lambda w, i: F.when(F.exists(fs, lambda f: F.contains(w, f)), i))
-    return F.filter(_with(wanted, hits), lambda i: i.isNotNull())
+    return F.filter(with_value(wanted, hits), lambda i: i.isNotNull())
 
 
 def title_of(c: Column | str, most: int = 48) -> Column:

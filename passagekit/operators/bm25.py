@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, with_value
 from ..sinks.writers import write_index
 from ..sources.readers import read_table
 
@@ -33,24 +33,54 @@ class Bm25Index:
         return {"docs": self.docs, "postings": self.postings, "terms": self.terms, "corpus": self.corpus}
 
 
+def counted_terms(words: Column) -> Column:
+    """An array of words as an array of (term, tf), in order of the terms: counted within the row, so without a shuffle."""
+    return with_value(
+        F.array_sort(words),
+        lambda s: with_value(
+            F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull()),
+            lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))),
+        ),
+    )
+
+
+def document_terms(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None) -> DataFrame:  # noqa: ANN001
+    """(doc, ord, dl, terms): a row a document, terms an array of (term, tf). No shuffle."""
+    words = tokens(text) if normalizer is None else tokens(text, normalizer)
+    rows = df.select(F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord"), with_value(words, lambda w: F.struct(F.size(w).cast("long").alias("dl"), counted_terms(w).alias("terms"))).alias("c"))
+    return rows.select("doc", "ord", "c.dl", "c.terms")
+
+
+def weighted(terms: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """terms (term, df) with idf, corpus (n, avgdl) with mean_idf. A negative idf becomes EPSILON times the mean of all, as it was."""
+    rows = terms.crossJoin(F.broadcast(corpus))  # one row
+    rows = rows.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = rows.agg(F.avg("raw").alias("mean_idf"))
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
+    return rows.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), corpus.crossJoin(F.broadcast(mean))
+
+
 def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None, keep: Callable[[DataFrame], DataFrame] = lambda t: t) -> Bm25Index:  # noqa: ANN001
     """ordinal breaks ties between equal scores (the place in the corpus); the id if not given.
 
-    keep is applied to each table that later steps read more than once; pass
-    session.materialized to have them written and not worked out anew.
+    Texts are tokenised once and terms counted within their row; what is
+    shuffled is one row a term for the statistics, and in save() the postings,
+    once, by term. keep is applied to the table that later steps read more than
+    once; pass session.materialized to have it written and not worked out anew.
     """
-    words = tokens(text) if normalizer is None else tokens(text, normalizer)
-    rows = df.select(F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord"), words.alias("w"))
-    # texts are tokenised once: lengths are sums of the counted terms, and a text without any leaves a null term
-    counted = keep(rows.select("doc", "ord", F.explode_outer("w").alias("term")).groupBy("term", "doc", "ord").agg(F.count(F.lit(1)).alias("tf")))
-    docs = keep(counted.groupBy("doc", "ord").agg(F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("dl")))
-    postings = counted.filter("term is not null").select("term", "doc", "tf")
+    rows = keep(document_terms(df, id_col, text, ordinal, normalizer))
+    docs = rows.select("doc", "ord", "dl")
+    postings = rows.select("doc", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    terms = keep(terms.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
-    mean = terms.agg(F.avg("raw").alias("mean_idf"))
-    terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(docs, postings, terms, corpus.crossJoin(F.broadcast(mean)))
+    terms, corpus = weighted(keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), corpus)
+    return Bm25Index(docs, postings, terms, corpus)
+
+
+def term_statistics(df: DataFrame, text: Column, normalizer=None) -> DataFrame:  # noqa: ANN001
+    """(term, df, idf) of texts without an index: one exchange of a row a term and task."""
+    words = tokens(text) if normalizer is None else tokens(text, normalizer)
+    terms = df.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return weighted(terms, df.agg(F.count(F.lit(1)).alias("n")))[0]
 
 
 def save(index: Bm25Index, path: str) -> None:
@@ -102,11 +132,16 @@ def search(
     found = scores(index, queries, text, qid, normalizer=normalizer)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
+    return ranked(found, index.docs, queries, k, qid, fill and min_score is None)
+
+
+def ranked(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int, qid: str, fill: bool) -> DataFrame:
+    """(qid, doc, score, rank from 0): the k best of found (qid, doc, ord, score), filled up where asked for."""
     # sums of the same parts in another order are the same score
     order = Window.partitionBy(qid).orderBy(F.round("score", 9).desc(), "ord")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    if fill and min_score is None:
-        first = index.docs.orderBy("ord").limit(2 * k).select("doc", "ord")  # 2k rows
+    if fill:
+        first = docs.orderBy("ord").limit(2 * k).select("doc", "ord")  # 2k rows
         blank = queries.select(qid).distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(None).cast("double"))
         # a document that was found keeps its score; max passes over the nulls of the fill
         both = found.drop("rank").unionByName(blank).groupBy(qid, "doc", "ord").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))

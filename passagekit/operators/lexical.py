@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import even_sample, match_positions, parse_id
-from .sampling import even_rows
+from ..functions.text import even_sample, parse_id
+from .patterns import match_positions
+from .sampling import even_rows, numbered
 
 
 def lookup(roots: DataFrame, index: DataFrame, records: DataFrame, sample: int = 30, qid: str = "qid", id_col: str = "id") -> DataFrame:
@@ -44,30 +45,47 @@ def lookup_long(roots: DataFrame, segments: DataFrame, records: DataFrame, sampl
     return rows.select(qid, "root", F.coalesce("forms", none).alias("forms"), F.coalesce("occurrences_count", F.lit(0)).alias("occurrences_count"), F.transform("x", lambda x: x["v"]).alias("verses"))
 
 
-def exhaustive(roots: DataFrame, index: DataFrame, vocalized: DataFrame, qid: str = "qid") -> DataFrame:
+def exhaustive(roots: DataFrame, segments: DataFrame, vocalized: DataFrame, qid: str = "qid") -> DataFrame:
     """(qid, surah_number, ayah_number, surah_name, text, match_indices): all verses of all of a query's roots, in canonical order.
 
-    Forms of all roots together mark the words. Verses without a vocalised text are left out.
+    segments: (root, verse_id, form). Forms of all roots together mark the
+    words, by one automaton a query. Verses without a vocalised text are left
+    out. A root's verses stay rows, however many there are.
     """
-    hits = roots.join(index, "root")
-    forms = hits.groupBy(qid).agg(F.array_distinct(F.flatten(F.collect_list("forms_found"))).alias("forms"))
-    s, a = parse_id("v")
-    places = hits.select(qid, F.explode("verses").alias("v")).distinct().select(qid, s.alias("surah_number"), a.alias("ayah_number"))
-    rows = places.join(vocalized, ["surah_number", "ayah_number"]).join(forms, qid)
-    return rows.select(qid, "surah_number", "ayah_number", "surah_name", "text", match_positions("text", F.col("forms")).alias("match_indices")).orderBy(qid, "surah_number", "ayah_number")
+    own = segments.join(roots.select("root").distinct(), "root", "left_semi")
+    forms = roots.join(own.select("root", "form").distinct(), "root").groupBy(qid).agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    s, a = parse_id("verse_id")
+    places = own.select("root", s.alias("surah_number"), a.alias("ayah_number")).distinct()
+    places = roots.select(qid, "root").join(places, "root").select(qid, "surah_number", "ayah_number").distinct()
+    rows = places.join(vocalized, ["surah_number", "ayah_number"])
+    rows = match_positions(rows.select(qid, "surah_number", "ayah_number", "surah_name", "text"), "text", forms, [qid])
+    return rows.orderBy(qid, "surah_number", "ayah_number")
+
+
+def totals(roots: DataFrame, segments: DataFrame, vocalized: DataFrame, qid: str = "qid") -> DataFrame:
+    """(qid, total): how many verses exhaustive() lists, without their texts."""
+    s, a = parse_id("verse_id")
+    keys = ["surah_number", "ayah_number"]
+    places = segments.join(roots.select("root").distinct(), "root", "left_semi").select("root", s.alias(keys[0]), a.alias(keys[1])).distinct()
+    places = places.join(vocalized.select(*keys), keys)
+    return roots.select(qid, "root").join(places, "root").groupBy(qid, *keys).agg(F.count(F.lit(1))).groupBy(qid).agg(F.count(F.lit(1)).alias("total"))
 
 
-def word_lookup(words: DataFrame, roots: DataFrame, found: DataFrame, word: str = "word", qid: str = "qid") -> DataFrame:
+def word_lookup(words: DataFrame, roots: DataFrame, counts: DataFrame, word: str = "word", qid: str = "qid") -> DataFrame:
     """One row per word, found or not: (qid, word, root, root_found, total): its roots joined by " / " in their order, and its verses.
 
-    found: the rows of exhaustive().
+    counts: the rows of totals().
     """
     named = roots.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("ord", "root"))).alias("r"))
     named = named.select(qid, F.array_join(F.transform("r", lambda x: x["root"]), " / ").alias("root"))
-    rows = words.select(qid, word).join(named, qid, "left").join(found.groupBy(qid).agg(F.count(F.lit(1)).alias("total")), qid, "left")
+    rows = words.select(qid, word).join(named, qid, "left").join(counts, qid, "left")
     return rows.select(qid, word, F.coalesce("root", F.lit("")).alias("root"), F.col("root").isNotNull().alias("root_found"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def by_chapter(rows: DataFrame, chapter: str, verse: str, cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Found verses grouped by chapter, with their number."""
-    return rows.groupBy(*keys, chapter).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(verse, *cols))).alias("verses"))
+    """Found verses in their chapters' order, a row each: keys, chapter, n (the chapter's verses), pos (from 0), verse, cols.
+
+    Verses are numbered and not gathered, so a chapter (with its keys) may have any number of them.
+    """
+    own = rows.select(*keys, chapter, verse, *cols).withColumn("__k", F.struct(*keys, chapter))
+    return numbered(own, "__k", [verse]).select(*keys, chapter, "n", "pos", verse, *cols)

@@ -1,7 +1,8 @@
 """Exact vector search in blocks, and the embedding hook.
 
 Each query meets every vector, which is what exact search asks for; the stored
-vectors are scanned once, and per-partition top-k rows are all that is shuffled.
+vectors are scanned once a block of queries and stay where they are, and
+per-task top-k rows are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -39,49 +40,91 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return rows.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.col("score").desc_nulls_last(), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_col: str = "id", vec_col: str = "vector", block: int = 256) -> DataFrame:
+def unit_rows(x):  # noqa: ANN001, ANN201
+    """Rows at length 1; safe for any finite doubles."""
+    import numpy as np
+
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def query_blocks(queries: DataFrame, qid: str, vec_col: str, most: int = 1 << 22) -> Iterator[dict]:
+    """The sound vectors of queries (id a long) in blocks of about `most` numbers, one after the other: {length: (ids, unit vectors)}.
+
+    A block is what a task holds next to its own rows; each is sent once, whatever the number of tasks' rows.
+    """
+    import numpy as np
+
+    asked = queries.filter(sound(vec_col)).select(F.col(qid).cast("long").alias("qid"), F.transform(vec_col, lambda x: x.cast("double")).alias("q"))
+    size = asked.agg(F.sum(F.size("q"))).first()[0] or 0
+    blocks = -(-size // most)
+    for b in range(blocks):
+        rows = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid", "q"), F.lit(blocks)) == b)).toArrow()
+        block: dict[int, tuple[list, list]] = {}
+        for q, v in zip(rows.column("qid").to_pylist(), rows.column("q").to_pylist(), strict=True):
+            ids, vecs = block.setdefault(len(v), ([], []))
+            ids.append(q)
+            vecs.append(v)
+        yield {dim: (np.array(ids), unit_rows(np.array(vecs))) for dim, (ids, vecs) in block.items()}
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_col: str = "id", vec_col: str = "vector", block: int = 1 << 22) -> DataFrame:
     """(qid, id, score, rank from 0) for a table of queries (qid, vector).
 
-    Queries are gathered into blocks of about `block`; a block of queries and one
-    of vectors are a unit of work of their own, which gives only the k best of
-    every query. Vectors that are null, all zero or hold null or non-finite
-    components take no part on either side; only vectors of one length meet.
+    Vectors stay where they are: each block of queries (of about `block` numbers)
+    goes to all tasks, which give only the k best of every query among their own
+    rows. Vectors that are null, all zero or hold null or non-finite components
+    take no part on either side; only vectors of one length meet. Scores are
+    rounded to twelve digits, so that equal vectors tie, by id.
     """
-    asked = queries.filter(sound("vector")).select(F.col(qid).cast("long").alias("qid"), F.transform("vector", lambda x: x.cast("double")).alias("q"))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.groupBy(F.size("q").alias("dim"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("qid", "q")).alias("x"))
-    asked = asked.select("dim", "b", F.col("x.qid").alias("qids"), F.flatten(F.col("x.q")).alias("q"))
     stored = vectors.filter(sound(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
-    chunks = max(1, -(-stored.count() // 4096))
-    stored = stored.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
-    stored = stored.select("dim", "c", F.col("x.id").alias("ids"), F.flatten(F.col("x.v")).alias("v"))
-    # a pair of blocks is a key of its own on both sides, so pairs are dealt over all tasks
-    stored = stored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    units = stored.join(asked, ["dim", "c", "b"]).select("dim", "ids", "v", "qids", "q")
-
-    def near(batches: Iterator) -> Iterator:
+    hits = stored.sparkSession.createDataFrame([], "qid long, id long, score double")
+    for asked in query_blocks(queries, qid, "vector", block):
+        hits = hits.unionByName(stored.mapInArrow(_best_of(asked, k), "qid long, id long, score double"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
+    return hits.withColumn("rank", rank - 1).filter(F.col("rank") < k)
+
+
+def _best_of(asked: dict, k: int, piece: int = 512) -> Callable[[Iterator], Iterator]:
+    """A task's k best of every query, cut back as its batches go by."""
+
+    def cut(rows: list) -> tuple:
         import numpy as np
-        import pyarrow as pa
 
-        def unit(x):  # noqa: ANN001, ANN202
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
+        at, ids, s = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((ids, -s, at))
+        at, ids, s = at[order], ids[order], s[order]
+        first = np.searchsorted(at, at)
+        fine = np.arange(len(at)) - first < k
+        return at[fine], ids[fine], s[fine]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        best: dict[int, list] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
-                dim = batch.column(0)[r].as_py()
-                ids, v, qids, q = (np.asarray(batch.column(c)[r].values) for c in range(1, 5))
-                s = unit(q.reshape(-1, dim)) @ unit(v.reshape(-1, dim)).T
-                parts = []
-                for j in range(len(qids)):
-                    best = np.lexsort((ids, -s[j]))[:k]
-                    parts.append((np.full(len(best), qids[j]), ids[best], s[j, best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["qid", "id", "score"])
-
-    hits = units.mapInArrow(near, "qid long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    return hits.withColumn("rank", rank - 1).filter(F.col("rank") < k)
+            sizes = np.asarray(batch.column(1).value_lengths())
+            for dim in map(int, np.unique(sizes)):
+                if dim not in asked:
+                    continue
+                at = np.flatnonzero(sizes == dim)
+                ids = np.asarray(batch.column(0).take(at))
+                v = unit_rows(np.asarray(batch.column(1).take(at).flatten()).reshape(-1, dim))
+                _, q = asked[dim]
+                rows = best.setdefault(dim, [])
+                for i in range(0, len(q), piece):
+                    s = np.round(q[i : i + piece] @ v.T, 12)
+                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if 0 < k < s.shape[1] else -np.inf
+                    a, b = np.nonzero(s >= kth)
+                    rows.append((a + i, ids[b], s[a, b]))
+                if sum(len(r[0]) for r in rows) > 8 * k * len(q):
+                    rows[:] = [cut(rows)]
+        for dim, rows in best.items():
+            at, ids, s = cut(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[dim][0][at]), pa.array(ids), pa.array(s)], ["qid", "id", "score"])
+
+    return run
 
 
 def hash_embedder(dim: int = 256) -> Callable[[list[str]], list[list[float]]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import MEDINAN_CHAPTERS, PART_STARTS
+from .functions.text import COMMON_WORDS, MEDINAN_CHAPTERS, PART_STARTS
 from .queries import ARABIC, LADDER, PREFIXES, QUESTION, STOP, SUFFIXES
 
 _WS = r"\s+"
@@ -98,6 +98,29 @@ _BLOCKS = f"""c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t
 b AS (SELECT conv_id AS qid, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY turn) AS context,
       string_agg('[' || conv_id || ':' || turn || ']', ' ' ORDER BY turn) AS allowed, arg_min(text, turn) AS question,
       arg_min('[1] Surah ' || role || ' (' || conv_id || '), Verse ' || turn || ' [' || conv_id || ':' || turn || ']', turn) AS answer FROM c GROUP BY conv_id)"""
+_VECTOR_BATCH = """SELECT qid, id, round(s, 6) AS score FROM (
+        SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {where})
+        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= {k}"""
+_SAID = "nullif(lang, 'unknown')"
+_CONTEXT = """p AS (SELECT doc_id AS id, CAST(substr(source, 4) AS INT) AS surah_number, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents),
+    around AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY surah_number, id) - 1 AS ord FROM (
+        SELECT DISTINCT qid, b.id, b.surah_number FROM fused JOIN p a USING (id) JOIN p b ON a.surah_number = b.surah_number AND abs(a.pos - b.pos) <= 1))"""
+
+
+def _hybrid(wanted: str, period: str, k: int) -> str:
+    """fused (qid, id, score, rank < k): dense filtered before its limit, BM25 after. wanted: of a question's lang; period: of a document's."""
+    return f"""{_bm25(_BATCH, 20)},
+    said AS (SELECT item_id AS qid, CASE WHEN greatest(en, fr, de, es) = 0 THEN 'unknown' WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS lang
+             FROM (SELECT item_id, {', '.join(f"len(list_filter(string_split_regex(lower(text), '{_WS}'), lambda x: x IN ({v}))) AS {k_}" for k_, v in _VOTES.items())} FROM benchmark)),
+    wish AS (SELECT qid, {wanted} AS w FROM said), kept AS (SELECT doc_id AS id, {period} AS p FROM documents),
+    dn AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) - 1 AS rank FROM (
+        SELECT wish.qid, kept.id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+        FROM wish JOIN embeddings a ON a.vec_id = wish.qid, embeddings b JOIN kept ON b.vec_id = kept.id WHERE w IS NULL OR w = p) QUALIFY rank < 20),
+    sp AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM bm JOIN wish USING (qid) JOIN kept ON id = doc WHERE w IS NULL OR w = p),
+    fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, round(coalesce(1e0 / (60 + a.rank), 0) + coalesce(1e0 / (60 + b.rank), 0), 6) AS score FROM dn a FULL JOIN sp b ON a.qid = b.qid AND a.id = b.id),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM fu QUALIFY rank < {k})"""
+
+
 _VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(ARABIC))
 _TASH = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{0640}]"
 
@@ -120,14 +143,32 @@ ORACLES: dict[str, str] = {
         SELECT substr(source, 4) || ':' || doc_id AS id, coalesce(roots, '') AS roots FROM documents LEFT JOIN r ON r.id = substr(source, 4) || ':' || doc_id""",
     "resolution_map": f"WITH {_SEG} SELECT form AS key, string_agg(root, '|' ORDER BY root) AS roots FROM (SELECT DISTINCT form, root FROM seg) GROUP BY form",
     "morphology_index": "SELECT * FROM (VALUES ('smw', 'ba|smi', '1:1|2:1', 2::BIGINT), ('Hmd', 'Hmd', '1:2', 1::BIGINT)) t(root, forms, verses, count)",
-    "bm25_stats": f"WITH {_IDX} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "bm25_stats": f"""WITH tok AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+        raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5e0) - ln(count(*) + 0.5e0) AS r FROM tok, n GROUP BY term), mean AS (SELECT avg(r) AS m FROM raw)
+        SELECT term, df, round(CASE WHEN r < 0 THEN 0.25e0 * m ELSE r END, 6) AS idf FROM raw, mean""",
+    "bm25_blocks_topk": f"WITH {_bm25(_BATCH, 20)} SELECT qid, doc, round(score, 6) AS score FROM bm",
+    "bm25_segments": f"WITH live AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_bm25(_BATCH, 20).replace('FROM documents', 'FROM live')} SELECT qid, doc, round(score, 6) AS score FROM bm",
+    "vector_index_topk": _VECTOR_BATCH.format(where="true", k=5),
+    "vector_index_filtered": _VECTOR_BATCH.format(where="b.label = 3", k=20).replace("AS score FROM", "AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) - 1 AS rank FROM", 1),
+    "retrieve_hits": f"""WITH {_hybrid(_SAID, 'lang', 5)} SELECT qid, id, rank, score, md5(text) AS text FROM fused JOIN documents ON doc_id = id""",
+    "retrieve_reranked": f"""WITH {_hybrid(_SAID, 'lang', 20)}, qt AS (SELECT item_id AS qid, list_distinct({_TOK}) AS a FROM benchmark), dt AS (SELECT doc_id AS id, list_distinct({_TOK}) AS b FROM documents),
+        j AS (SELECT qid, id, rank AS pos, score, len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0) AS s FROM fused JOIN qt USING (qid) JOIN dt USING (id))
+        SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pos) - 1 AS rank, score, round(s, 6) AS rerank_score FROM j QUALIFY rank < 5""",
+    "retrieve_context": f"WITH {_hybrid(_SAID, 'lang', 5)}, {_CONTEXT} SELECT qid, ord, id, surah_number FROM around",
+    "converse_hits": f"""WITH {_hybrid("CASE WHEN lang = 'en' THEN 'madani' END", "CASE WHEN lang = 'en' THEN 'madani' ELSE 'makkiyya' END", 5)}, {_CONTEXT},
+        h AS (SELECT qid, string_agg(id, '|' ORDER BY rank) AS hits FROM fused GROUP BY qid), c AS (SELECT qid, string_agg(id, '|' ORDER BY ord) AS sources, arg_min(id, ord) AS first FROM around GROUP BY qid)
+        SELECT b.item_id AS qid, md5(text || CASE WHEN lang = 'en' THEN ' medinan' ELSE '' END) AS question, hits, sources,
+               (SELECT '[1] Surah ' || source || ' (' || substr(source, 4) || '), Verse ' || doc_id || ' [' || doc_id || ']' FROM documents WHERE doc_id = first) AS answer
+        FROM benchmark b JOIN said ON said.qid = b.item_id LEFT JOIN h ON h.qid = b.item_id LEFT JOIN c ON c.qid = b.item_id""",
+    "match_many_forms": f"""WITH common(lang, ws) AS (VALUES {', '.join(f"('{k}', {_list(v)})" for k, v in COMMON_WORDS.items())}), items AS (SELECT DISTINCT w FROM (SELECT unnest({_TOK}) AS w FROM benchmark) WHERE length(w) >= 6),
+        f AS (SELECT lang, w FROM common, items UNION SELECT lang, unnest(ws) FROM common), d AS (SELECT doc_id, lang, {_TOK} AS l FROM documents), dw AS (SELECT doc_id, lang, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS i FROM d),
+        hit AS (SELECT DISTINCT v.lang, v.w FROM (SELECT DISTINCT lang, w FROM dw) v JOIN f ON f.lang = v.lang AND contains(v.w, f.w)), m AS (SELECT doc_id, string_agg(i, '|' ORDER BY i) AS x, count(*) AS n FROM dw JOIN hit USING (lang, w) GROUP BY doc_id)
+        SELECT doc_id, md5(coalesce(x, '')) AS match_indices, coalesce(n, 0) AS n FROM documents LEFT JOIN m USING (doc_id)""",
     "bm25_topk": f"WITH {_bm25(_ONE, 20)} SELECT doc, round(score, 6) AS score FROM bm",
     "bm25_topk_batch": f"WITH {_bm25(_BATCH, 20)} SELECT qid, doc, round(score, 6) AS score FROM bm",
     "vector_topk": f"WITH {_NEAR} SELECT id, score FROM near ORDER BY score DESC, id LIMIT 20",
     "vector_topk_filtered": f"WITH {_NEAR} SELECT id, score FROM near WHERE label = 3 ORDER BY score DESC, id LIMIT 20",
-    "vector_topk_batch": """SELECT qid, id, round(s, 6) AS score FROM (
-        SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
-        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5""",
+    "vector_topk_batch": _VECTOR_BATCH.format(where="true", k=5),
     "hybrid_rrf": f"WITH {_NEAR}, {_DENSE}, {_bm25(_ONE, 20)}, sparse AS (SELECT doc AS id, rank FROM bm), {_RRF}",
     "hybrid_rrf_postfilter": f"""WITH {_NEAR}, {_DENSE}, {_bm25(_ONE, 20)},
         sparse AS (SELECT doc AS id, row_number() OVER (ORDER BY rank) - 1 AS rank FROM bm JOIN documents ON doc_id = doc WHERE lang = 'en'), {_RRF}""",

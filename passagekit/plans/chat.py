@@ -6,11 +6,10 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bm25 import Bm25Index
-from ..operators.context import positions
 from ..operators.prompts import chat_message, lexical_message
 from . import retrieval
 
@@ -70,39 +69,30 @@ def converse(
     questions: DataFrame,
     records: DataFrame,
     index: Bm25Index,
-    dense: Callable[[DataFrame], DataFrame],
+    dense: retrieval.Dense,
     roots: DataFrame | None = None,
-    forms: DataFrame | None = None,
+    segments: DataFrame | None = None,
     filters: dict | None = None,
     hypothesis: Column | None = None,
     history: DataFrame | None = None,
     k: int = 5,
     window: int = 1,
     make: Callable[[], Client] = Extractive,
+    scorer: Callable[[Column, Column], Column] | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda t: t,
 ) -> DataFrame:
     """(qid, question, message, answer, sources, hits): retrieval and answer for a table of questions (qid, question).
 
     Questions are processed; the retrieval query is the question with its expansion terms and, where there is one
-    (null: none), a hypothetical passage. dense: (qid, query) to a ranking (qid, id, rank). A period that a question
-    names filters its hits, unless filters has one. The hits' neighbours within window are the passages; the model
-    answers the question itself, after the history (qid, idx, role, content).
+    (null: none), a hypothetical passage. A period that a question names filters its hits, dense ones before their
+    limit, unless filters has a period. The hits' neighbours within window are the passages; the model answers the
+    question itself, after the history (qid, idx, role, content).
     """
-    asked = retrieval.process_queries(questions.select("qid", F.col("question").alias("text")), roots, forms)
+    asked = retrieval.process_queries(questions.select("qid", F.col("question").alias("text")), roots, segments)
     query = retrieval.retrieval_query(F.col("original"), F.col("expanded_terms"), hypothesis)
     asked = keep(asked.select("qid", "period", query.alias("query")))
-    hits = retrieval.hybrid(dense(asked), index, asked, F.col("query"), records, filters, k=4 * k)
-    own = (filters or {}).get("period")
-    said = records.select("id", F.col("period").alias("__p"))
-    hits = hits.join(said, "id").join(asked.select("qid", retrieval.merged_filters(F.lit(own).cast("string"), F.col("period")).alias("__w")), "qid")
-    hits = hits.filter(F.col("__w").isNull() | (F.col("__w") == F.col("__p")))
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    hits = keep(hits.withColumn("rank", best - 1).filter(F.col("rank") < k).select("qid", "id", "score", "rank"))
-    at = keep(positions(records, "surah_number", "ayah_number"))
-    near = hits.join(at.select("id", "surah_number", "pos"), "id")
-    near = near.select("qid", "surah_number", F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos")).distinct()
-    order = (F.col("surah_number").cast("long") * 1000 + F.col("ayah_number")).alias("ord")
-    passages = at.join(near, ["surah_number", "pos"]).select("qid", order, *(c for c in records.columns))
+    hits = keep(retrieval.retrieve(asked, records, index, dense, filters, "period", k, scorer, keep=keep).select("qid", "id", "score", "rank"))
+    passages = retrieval.retrieve_with_context(hits, records, window=window)
     out = chat(questions, passages, make=make, history=history)
     listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("hits"))
     return out.join(listed, "qid", "left")

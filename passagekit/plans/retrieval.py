@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, detect_language, detect_period, is_arabic, normalize_clean, trimmed
+from ..functions.text import collapsed, detect_language, detect_period, first_filled, is_arabic, normalize_clean, passage_id, passage_text, point_id, query_text, trimmed
 from ..operators import bm25, coverage, fusion, inverted, rerank
-from ..operators.context import neighbours, previous_next, with_context
-from ..operators.vectors import equality_filter
+from ..operators.context import positions, previous_next, with_context
+from ..operators.vectors import embed, equality_filter, hash_embedder
 from ..schema import PAYLOAD
 
 FETCH = 20
@@ -43,30 +44,112 @@ def hybrid(
     fetch: int = FETCH,
     qid: str = "qid",
     prefilter_sparse: bool = False,
+    own: str | None = None,
 ) -> DataFrame:
     """(qid, id, score): fusion of a dense ranking (qid, id, rank; already filtered) and BM25.
 
     The sparse list is cut first and filtered after, so it may be shorter;
-    prefilter_sparse filters before the cut instead. attributes: (id, ...) for filters.
+    prefilter_sparse filters before the cut instead (by filters alone).
+    attributes: (id, ...) for filters. own: a column of queries and attributes
+    that must agree, where the query's isn't null and filters hasn't the key.
     """
     where = equality_filter(filters, tuple(attributes.columns) if attributes is not None else ())
-    passing = None if attributes is None or not filters else attributes.filter(where).select(F.col("id").alias("doc"))
-    if passing is not None and prefilter_sparse:
+    own = None if own is None or (filters or {}).get(own) is not None else own
+    passing = None if attributes is None or not (filters or own) else attributes.filter(where).select(F.col("id").alias("doc"), *([F.col(own).alias("__has")] if own else []))
+    if passing is not None and prefilter_sparse and not own:
         index = bm25.Bm25Index(index.docs.join(passing, "doc", "left_semi"), index.postings, index.terms, index.corpus)
         passing = None
     sparse = bm25.search(index, queries, text, fetch, qid)
     if passing is not None:
+        if own:
+            sparse = sparse.join(passing, "doc").join(queries.select(qid, F.col(own).alias("__wants")), qid)
+            sparse = sparse.filter(F.col("__wants").isNull() | (F.col("__wants") == F.col("__has"))).select(qid, "doc", "score", "rank")
+        else:
+            sparse = sparse.join(passing, "doc", "left_semi")
         # ranks are those of what is left, as the list is ranked after the filter
-        from pyspark.sql import Window
-
-        sparse = sparse.join(passing, "doc", "left_semi")
         sparse = sparse.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy("rank")) - 1)
     return fusion.rrf(dense.filter(F.col("rank") < fetch), sparse.withColumnRenamed("doc", "id"), k, keys=(qid,))
 
 
-def retrieve(hits: DataFrame, records: DataFrame, id_col: str = "id") -> DataFrame:
-    """Hits with their full records; ids that the corpus hasn't are dropped."""
-    return hits.join(records, id_col)
+#: A dense search: questions (qid, query) and a filter of the stored rows to a ranking (qid, id, rank from 0).
+Dense = Callable[[DataFrame, Column], DataFrame]
+
+
+def point_vectors(records: DataFrame, make: Callable = hash_embedder) -> DataFrame:
+    """What a dense index of records stores: id (chapter x 1000 + verse), vector of the passage text, and the payload."""
+    rows = records.withColumnRenamed("id", "passage_id").withColumn("id", point_id("surah_number", "ayah_number"))
+    return embed(rows, passage_text("text_ar_clean", "translation_fr", "translation_en"), make).select("id", "vector", *(c for c in PAYLOAD if c in records.columns and c != "id"))
+
+
+def dense_over(find: Callable[[DataFrame, Column], DataFrame], make: Callable = hash_embedder) -> Dense:
+    """A dense search that embeds questions for find, which ranks point ids: (qid, vector) and a filter to (qid, id, rank)."""
+
+    def search(asked: DataFrame, where: Column) -> DataFrame:
+        hits = find(embed(asked.select("qid", "query"), query_text("query"), make).select("qid", "vector"), where)
+        return hits.select("qid", passage_id(F.expr("id div 1000"), F.col("id") % 1000).alias("id"), "rank")
+
+    return search
+
+
+def _dense_by(dense: Dense, asked: DataFrame, filters: dict | None, keys: tuple[str, ...], own: str | None, most: int = 64) -> DataFrame:
+    """The dense rankings of all questions, filtered before their limit: a search for each value of own that questions name."""
+    if own is None or (filters or {}).get(own) is not None:
+        return dense(asked, equality_filter(filters, keys))
+    values = [r[0] for r in asked.select(own).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"questions name more than {most} values of {own}")
+    parts = [dense(asked.filter(F.col(own).eqNullSafe(F.lit(v))), equality_filter({**(filters or {}), own: v}, (*keys, own))) for v in values]
+    return reduce(DataFrame.unionByName, parts) if parts else dense(asked, F.lit(True))
+
+
+def retrieve(
+    queries: DataFrame,
+    records: DataFrame,
+    index: bm25.Bm25Index,
+    dense: Dense,
+    filters: dict | None = None,
+    own: str | None = None,
+    k: int = 5,
+    scorer: Callable[[Column, Column], Column] | None = None,
+    passage: Column | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda t: t,
+) -> DataFrame:
+    """(qid, rank from 0, score, rerank_score with a scorer, and the record's columns): the k best of each question.
+
+    queries: (qid, query, and own if given). Dense hits are filtered before
+    their limit, sparse ones after it, and what passes is fused. With a scorer
+    FETCH hits are re-ranked by it, question against passage (the text, or the
+    clean text where that is empty), and cut to k. Ids that the records haven't
+    are dropped.
+    """
+    asked = keep(queries.select("qid", "query", *([own] if own else [])))
+    keys = tuple(c for c in records.columns if c in (filters or {}))
+    ranking = _dense_by(dense, asked, filters, keys, own)
+    columns = {c: records[c] for c in {*keys, *([own] if own else [])}}
+    attributes = records.select("id", *columns.values()) if columns else None
+    hits = hybrid(ranking, index, asked, F.col("query"), attributes, filters, FETCH if scorer else k, own=own)
+    rows = hits.select("qid", "id", F.col("score").alias("score")).join(records, "id")
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    rows = rows.withColumn("rank", F.row_number().over(order) - 1)
+    if scorer is not None:
+        text = first_filled(*(c for c in ("text_ar", "text_ar_clean") if c in records.columns)) if passage is None else passage
+        pool = rows.withColumn("__passage", text).join(asked.select("qid", "query"), "qid")
+        pool = rerank.rerank(pool, scorer(F.col("query"), F.col("__passage")), k, pos="rank")
+        rows = pool.withColumn("rank", F.col("rerank_rank")).drop("__passage", "query", "rerank_rank")
+    return rows.filter(F.col("rank") < k)
+
+
+def retrieve_with_context(hits: DataFrame, records: DataFrame, chapter: str = "surah_number", verse: str = "ayah_number", window: int = 1) -> DataFrame:
+    """(qid, ord, and the record's columns): the hits of each question and their neighbours, each once, ord in canonical order from 0.
+
+    hits: (qid, id, ...) as retrieve() gives them. A neighbour is at most window places away in the hit's chapter.
+    """
+    at = positions(records, chapter, verse)
+    near = hits.select("qid", "id").join(at.select("id", F.col(chapter).alias("__c"), "pos"), "id")
+    near = near.select("qid", F.col("__c").alias(chapter), F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos")).distinct()
+    rows = at.join(near, [chapter, "pos"])
+    order = Window.partitionBy("qid").orderBy(chapter, verse)
+    return rows.select("qid", (F.row_number().over(order) - 1).alias("ord"), *records.columns)
 
 
 def api_rows(hits: DataFrame, vocalized: DataFrame) -> DataFrame:
@@ -81,11 +164,6 @@ def api_rows(hits: DataFrame, vocalized: DataFrame) -> DataFrame:
     return rows.select(*(c for c in hits.columns if c not in (*cols, "score", "rerank_score")), *cols, F.coalesce("__t", F.lit("")).alias("text_ar_tashkil"), score.alias("relevance_score"))
 
 
-def retrieve_with_context(hits: DataFrame, records: DataFrame, chapter: str, verse: str, window: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The hits, and all their neighbours, each once, in canonical order."""
-    return hits, neighbours(records, hits, chapter, verse, window)
-
-
 def detail(records: DataFrame, chapter: str, verse: str, id_col: str, number: tuple[int, int], window: int = 1) -> DataFrame:
     """One verse with its context and its neighbours' ids; no row if there is none."""
     own = records.filter(F.col(chapter) == number[0])
@@ -124,8 +202,6 @@ def similar(
     if attributes is not None and filters:
         passing = attributes.filter(equality_filter(filters, tuple(attributes.columns))).select(F.col("id").alias("doc"))
         by_root, by_term = (x.join(passing, "doc", "left_semi") for x in (by_root, by_term))
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy(qid).orderBy("rank"))
     by_root = by_root.withColumn("__rn", first).filter(F.col("__rn") <= ROOT_POOL).drop("__rn")
     cols = [qid, "doc", "score", "rank"]
@@ -139,19 +215,28 @@ def similar(
     return rerank.threshold(ranked, min_score, limit=limit, qid=qid).select(qid, "doc", F.col("rerank_score").alias("score"), "cov", "rank")
 
 
-def process_queries(queries: DataFrame, roots: DataFrame | None = None, index: DataFrame | None = None, text: str = "text", qid: str = "qid", forms: int = 8) -> DataFrame:
+def process_queries(queries: DataFrame, roots: DataFrame | None = None, segments: DataFrame | None = None, text: str = "text", qid: str = "qid", forms: int = 8, language: Column | None = None) -> DataFrame:
     """(qid, original, normalized, language, period, expanded_terms).
 
-    roots: (qid, root, ord) and index: (root, forms_found) give the first
-    root's first forms, normalised, each once; only questions in Arabic script
-    are expanded.
+    roots: (qid, root, ord) and segments: (root, form, ...) give the first
+    root's first forms in code-point order, normalised, each once; only
+    questions in Arabic script are expanded. language: the code of questions
+    that aren't in Arabic script, from a detector (operators.langdetect has
+    one); the count of common words if not given.
     """
     original = trimmed(text)
-    out = queries.select(qid, original.alias("original"), F.when(is_arabic(original), normalize_clean(original)).otherwise(original).alias("normalized"), detect_language(original).alias("language"), detect_period(original).alias("period"))
+    said = detect_language(original) if language is None else F.when(is_arabic(original), "ar").otherwise(F.coalesce(language, F.lit("unknown")))
+    out = queries.select(qid, original.alias("original"), F.when(is_arabic(original), normalize_clean(original)).otherwise(original).alias("normalized"), said.alias("language"), detect_period(original).alias("period"))
     none = F.array().cast("array<string>")
-    if roots is None or index is None:
+    if roots is None or segments is None:
         return out.withColumn("expanded_terms", none)
-    first = roots.groupBy(qid).agg(F.min_by("root", "ord").alias("root")).join(index, "root")
+    wanted = out.filter(is_arabic("original")).select(qid)
+    first = roots.join(wanted, qid, "left_semi").groupBy(qid).agg(F.min_by("root", "ord").alias("root"))
+    # a root's first forms alone are gathered, whatever the number of its forms
+    named = segments.join(first.select("root").distinct(), "root", "left_semi").select("root", "form").distinct()
+    named = named.withColumn("__r", F.row_number().over(Window.partitionBy("root").orderBy("form"))).filter(F.col("__r") <= forms)
+    named = named.groupBy("root").agg(F.array_sort(F.collect_list("form")).alias("forms_found"))
+    first = first.join(named, "root")
     terms = F.filter(F.array_distinct(F.transform(F.slice("forms_found", 1, forms), lambda f: normalize_clean(f))), lambda f: f != "")
     out = out.join(first.select(qid, terms.alias("expanded_terms")), qid, "left")
     return out.withColumn("expanded_terms", F.when(is_arabic("original"), F.coalesce("expanded_terms", none)).otherwise(none))

@@ -8,15 +8,16 @@ vectors, events for feedback. Every query reads whole tables and whole texts.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import bm25, context, coverage, evaluate, fusion, inverted, lexical, prompts, rerank, sampling, store, vectors
+from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, inverted, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
 from .plans import chat, ingest, retrieval
-from .session import materialized, stored
+from .session import application_dir, materialized, stored
 from .sinks.writers import last_vectors, write_stage
 from .sources.readers import parse_morphology
 
@@ -142,7 +143,7 @@ def morphology_index(spark, d):
 
 # --- ranking ------------------------------------------------------------------
 def bm25_stats(spark, d):
-    return _index(spark, d).terms.select("term", "df", _r("idf"))
+    return bm25.term_statistics(_t(spark, d, "documents"), F.col("text")).select("term", "df", _r("idf"))
 
 
 def bm25_topk(spark, d):
@@ -156,6 +157,32 @@ def bm25_topk_batch(spark, d):
     return hits.select("qid", "doc", _r("score"))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> bm25_blocks.Blocks:
+    path = stored(spark, _of("bm25-blocks", sf_dir), lambda p: bm25_blocks.save(bm25_blocks.build(_index(spark, sf_dir)), p))
+    return bm25_blocks.load(spark, path)
+
+
+def bm25_blocks_topk(spark, d):
+    """bm25_topk_batch from blocks with bounds, most of which stay unread."""
+    hits = bm25_blocks.search(_blocks(spark, d), _asked(spark, d), F.col("text"), 20, keep=materialized)
+    return hits.select("qid", "doc", _r("score"))
+
+
+def bm25_segments(spark, d):
+    """An index that grew: documents by their sources' names first, replaced by their texts, the toxic ones deleted, compacted, one source's replaced again."""
+    docs, path = _t(spark, d, "documents"), f"{application_dir(spark)}/segments-{uuid.uuid4().hex}"
+    segments.append(spark, path, docs.withColumn("text", F.col("source")), "doc_id", F.col("text"), batch="names")
+    segments.append(spark, path, docs, "doc_id", F.col("text"), batch="texts")
+    segments.append(spark, path, docs, "doc_id", F.col("source"), batch="texts")  # the batch is in: nothing changes
+    segments.delete(spark, path, _t(spark, d, "labels").filter("toxic = 1"), "doc_id")
+    segments.compact(spark, path)
+    first = docs.agg(F.min("source").alias("source"))
+    toxic = _t(spark, d, "labels").filter("toxic = 1")
+    segments.append(spark, path, docs.join(F.broadcast(first), "source").join(toxic, "doc_id", "left_anti"), "doc_id", F.lower("text"))
+    hits = bm25.search(segments.load(spark, path), _asked(spark, d), F.col("text"), 20)
+    return hits.select("qid", "doc", _r("score"))
+
+
 def _first_vector(vecs: DataFrame) -> list[float]:
     return list(vecs.orderBy("vec_id").select("embedding").first()[0])
 
@@ -178,6 +205,73 @@ def vector_topk_batch(spark, d):
     return vectors.top_k_batch(vecs, asked, 5, "qid", "vec_id", "embedding").select("qid", "id", _r("score"))
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    path = stored(spark, _of("vector-index", sf_dir), lambda p: vector_index.build(spark, _t(spark, sf_dir, "embeddings"), p, "vec_id", "embedding", ("label",)) and None)
+    return vector_index.load(spark, path)
+
+
+def vector_index_topk(spark, d):
+    """vector_topk_batch from the inverted file."""
+    asked = _t(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return vector_index.search(_vector_index(spark, d), asked, 5, keep=materialized).select("qid", "id", _r("score"))
+
+
+def vector_index_filtered(spark, d):
+    """Every vector whose id is divisible by 20 asks, among those of one label."""
+    asked = _t(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    where = vectors.equality_filter({"label": 3}, ("label",))
+    return vector_index.search(_vector_index(spark, d), asked, 20, where, keep=materialized).select("qid", "id", _r("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _records(spark, d, period: Column) -> DataFrame:
+    """documents as records: the source is the chapter, the id the verse."""
+    docs, none = _t(spark, d, "documents"), F.lit("")
+    return docs.select(F.col("doc_id").alias("id"), F.substring("source", 4, 9).cast("int").alias("surah_number"), F.col("doc_id").cast("int").alias("ayah_number"), F.col("text").alias("text_ar"), F.col("source").alias("surah_name_ar"), none.alias("surah_name_en"), none.alias("translation_fr"), none.alias("translation_en"), period.alias("period"))
+
+
+def _dense_of(spark, d, records: DataFrame) -> retrieval.Dense:
+    """A question's vector is the embedding of its number; stored vectors are those of documents."""
+    vecs = _t(spark, d, "embeddings")
+    kept = vecs.join(records.select(F.col("id").alias("vec_id"), "period"), "vec_id")
+
+    def search(asked: DataFrame, where: Column) -> DataFrame:
+        own = vecs.join(asked.select(F.col("qid").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+        return vectors.top_k_batch(kept.filter(where), own, retrieval.FETCH, "qid", "vec_id", "embedding").select("qid", "id", "rank")
+
+    return search
+
+
+def _retrieved(spark, d, scorer=None) -> tuple[DataFrame, DataFrame]:
+    """Documents in the language that a question seems to be in; all of them where none is detected."""
+    records = _records(spark, d, F.col("lang"))
+    said = X.detect_language("text")
+    asked = _asked(spark, d).select("qid", F.col("text").alias("query"), F.when(said != "unknown", said).alias("period"))
+    return retrieval.retrieve(asked, records, _index(spark, d), _dense_of(spark, d, records), own="period", k=5, scorer=scorer, keep=materialized), records
+
+
+def retrieve_hits(spark, d):
+    return _retrieved(spark, d)[0].select("qid", "id", F.col("rank").cast("long").alias("rank"), _r("score"), F.md5("text_ar").alias("text"))
+
+
+def retrieve_reranked(spark, d):
+    return _retrieved(spark, d, rerank.jaccard)[0].select("qid", "id", F.col("rank").cast("long").alias("rank"), _r("score"), _r("rerank_score"))
+
+
+def retrieve_context(spark, d):
+    hits, records = _retrieved(spark, d)
+    return retrieval.retrieve_with_context(hits, records).select("qid", F.col("ord").cast("long").alias("ord"), "id", "surah_number")
+
+
+def converse_hits(spark, d):
+    """Questions in English ask for one period by name, which is that of documents in English."""
+    records = _records(spark, d, F.when(F.col("lang") == "en", "madani").otherwise("makkiyya"))
+    question = F.when(X.detect_language("text") == "en", F.concat("text", F.lit(" medinan"))).otherwise(F.col("text"))
+    asked = _asked(spark, d).select("qid", question.alias("question"))
+    rows = chat.converse(asked, records, _index(spark, d), _dense_of(spark, d, records), keep=materialized)
+    said = lambda xs, f: F.array_join(F.transform(xs, f), "|")
+    return rows.select("qid", F.md5("question").alias("question"), said("hits", lambda h: h["id"].cast("string")).alias("hits"), said("sources", lambda v: v["id"].cast("string")).alias("sources"), "answer")
+
+
 def _dense(spark, d, k: int = 20) -> DataFrame:
     vecs = _t(spark, d, "embeddings")
     hits = vectors.top_k(vecs, _first_vector(vecs), k, "vec_id", "embedding", digits=6)
@@ -264,11 +358,22 @@ def exhaustive_lookup_indices(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(at, lambda i: i.cast("string")), "|").alias("match_indices"))
 
 
+def match_many_forms(spark, d):
+    """Words of documents that hold a long word of any benchmark item, or a common word of their language."""
+    items = _asked(spark, d).select(F.explode(X.tokens("text")).alias("w")).filter(F.length("w") >= 6)
+    common = spark.createDataFrame([(k, w) for k, ws in X.COMMON_WORDS.items() for w in ws], "lang string, w string")
+    forms = common.unionByName(common.select("lang").distinct().join(F.broadcast(items.agg(F.collect_set("w").alias("ws")))).select("lang", F.explode("ws").alias("w")))
+    forms = forms.groupBy("lang").agg(F.collect_set("w").alias("forms"))
+    rows = _t(spark, d, "documents").select("doc_id", "lang", F.lower("text").alias("text"))
+    out = patterns.match_positions(rows, "text", forms, ["lang"])
+    return out.select("doc_id", F.md5(F.array_join(F.transform("match_indices", lambda i: i.cast("string")), "|")).alias("match_indices"), F.size("match_indices").cast("long").alias("n"))
+
+
 def lookup_by_chapter(spark, d):
     docs = _t(spark, d, "documents")
     rows = docs.filter(F.exists(X.tokens("text"), lambda w: w == "the")).select(F.col("source").alias("chapter"), F.col("doc_id").alias("verse"))
-    out = lexical.by_chapter(rows, "chapter", "verse", [])
-    return out.select("chapter", "n", F.array_join(F.transform("verses", lambda v: v["verse"].cast("string")), "|").alias("verses"))
+    out = lexical.by_chapter(rows, "chapter", "verse", []).groupBy("chapter", "n").agg(F.array_sort(F.collect_list("verse")).alias("verses"))
+    return out.select("chapter", "n", F.array_join(F.transform("verses", lambda v: v.cast("string")), "|").alias("verses"))
 
 
 # --- dimensions and ranges ----------------------------------------------------
@@ -370,7 +475,7 @@ def json_sources_roundtrip(spark, d):
 def query_expand(spark, d):
     asked = _asked(spark, d)  # every second question also has a word in Arabic script, without which none is expanded
     asked = asked.withColumn("text", F.when(F.col("qid") % 2 == 0, F.concat("text", F.lit(" كتاب"))).otherwise(F.col("text")))
-    rows = retrieval.process_queries(asked, _query_roots(asked), inverted.root_index(_segs(spark, d)))
+    rows = retrieval.process_queries(asked, _query_roots(asked), _segs(spark, d))
     return rows.select("qid", F.md5("normalized").alias("normalized"), "language", "period", F.array_join("expanded_terms", "|").alias("terms"))
 
 
@@ -416,7 +521,7 @@ def vector_upsert_lastwins(spark, d):
 
 
 def eval_metrics(spark, d):
-    """Documents of an item's first word as relevant, against BM25's first 20."""
+    """Documents of an item's last word as relevant, against BM25's first 20."""
     docs, asked = _t(spark, d, "documents"), _asked(spark, d)
     ranked = bm25.search(_index(spark, d), asked, F.col("text"), 20)
     first = asked.select("qid", F.element_at(X.tokens("text"), -1).alias("w"))
@@ -445,7 +550,7 @@ def word_lookup(spark, d):
     seg, asked = _segs(spark, d), _asked(spark, d)
     roots = _query_roots(asked).join(seg.select("root").distinct(), "root", "left_semi")
     docs = _t(spark, d, "documents").select(F.substring("source", 4, 9).cast("int").alias("surah_number"), F.col("doc_id").cast("int").alias("ayah_number"), "text", F.col("source").alias("surah_name"))
-    rows = lexical.word_lookup(asked, roots, lexical.exhaustive(roots, inverted.root_index(seg), docs), "text")
+    rows = lexical.word_lookup(asked, roots, lexical.totals(roots, seg, docs), "text")
     return rows.select("qid", "root", "root_found", "total")
 
 
@@ -481,8 +586,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_search, normalize_arabic, tokenize_counts, script_and_filter_detect, heuristic_stem, inverted_index, verse_roots, resolution_map,
         morphology_index, bm25_stats, bm25_topk, bm25_topk_batch, vector_topk, vector_topk_filtered, vector_topk_batch, hybrid_rrf, hybrid_rrf_postfilter,
+        bm25_blocks_topk, bm25_segments, vector_index_topk, vector_index_filtered, retrieve_hits, retrieve_reranked, retrieve_context, converse_hits,
         root_coverage_topk, coverage_fraction, similar_pipeline, similar_pipeline_norerank, keep_first_union, threshold_gate, lexical_lookup, even_sample,
-        exhaustive_lookup_indices, lookup_by_chapter, juz_range_lookup, dimension_enrich, translate_join, neighbors, neighbor_context, prev_next,
+        exhaustive_lookup_indices, match_many_forms, lookup_by_chapter, juz_range_lookup, dimension_enrich, translate_join, neighbors, neighbor_context, prev_next,
         chapter_list, chapter_detail, session_append, session_history, feedback_upsert, feedback_stats, conversation_titles, retry_truncation,
         json_sources_roundtrip, query_expand, merge_filters, format_context, chat_prompt, data_quality_counters, payload_projection,
         vector_upsert_lastwins, eval_metrics, stem_index, content_roots, word_lookup, verse_detail, api_projection, retrieval_query, ingest_quality,

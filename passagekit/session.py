@@ -70,7 +70,8 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/passagekit-{spark.sparkContext.applicationId}"
 
 
-def _path(spark: SparkSession, path: str):  # noqa: ANN202
+def path_of(spark: SparkSession, path: str):  # noqa: ANN201
+    """The path and its file system, as Hadoop objects."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -78,7 +79,7 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
 def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
     """The path of an index that make(path) writes; it is made once an application and then read by whoever asks for it."""
     path = f"{application_dir(spark)}/{name}"
-    done, fs = _path(spark, f"{path}/_made")
+    done, fs = path_of(spark, f"{path}/_made")
     if not fs.exists(done):
         make(path)
         fs.create(done, True).close()
@@ -87,5 +88,5 @@ def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
 
 def clear_tables(spark: SparkSession) -> None:
     """Deletes all tables of materialized() and stored(); for the end of a job, when no result still reads them."""
-    path, fs = _path(spark, application_dir(spark))
+    path, fs = path_of(spark, application_dir(spark))
     fs.delete(path, True)

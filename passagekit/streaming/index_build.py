@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import segments
+
 
 def build_vectors(spark: SparkSession, source: str, schema: StructType, embed: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_a_batch: int = 64) -> int:
     """Embed the new files of source and add them to the table at out; returns the rows added.
@@ -28,6 +30,28 @@ def build_vectors(spark: SparkSession, source: str, schema: StructType, embed: C
     return sum(added)
 
 
+def build_sparse(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, id_col: str, text: Column, files_a_batch: int = 64) -> int:
+    """Append the new files of source to the segmented index; returns the batches that were added.
+
+    A batch is named by its number in this checkpoint, so one that is run again after a failure adds nothing.
+    """
+    added: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        if segments.append(spark, index, batch, id_col, text, batch=f"{checkpoint}#{number}"):
+            added.append(number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return len(added)
+
+
+def build_both(spark: SparkSession, source: str, schema: StructType, embed: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, id_col: str, text: Column, files_a_batch: int = 64) -> tuple[int, int]:
+    """Dense and sparse index of the new files, each resumable by itself: (rows embedded, batches added) below out/vectors and out/sparse."""
+    rows = build_vectors(spark, source, schema, embed, f"{out}/vectors", f"{checkpoint}/vectors", files_a_batch)
+    return rows, build_sparse(spark, source, schema, f"{out}/sparse", f"{checkpoint}/sparse", id_col, text, files_a_batch)
+
+
 def latest(spark: SparkSession, out: str, id_col: str = "id") -> DataFrame:
     """The table that build_vectors made: of each id the row of the last batch."""
     rows = spark.read.parquet(out)

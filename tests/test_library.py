@@ -139,7 +139,7 @@ def test_lookup_and_exhaustive(spark, segments):
     assert set(long) == set(got) and long[2]["forms"] == [] and long[2]["verses"] is None
     assert [long[1][c] for c in ("root", "forms", "occurrences_count", "verses")] == [got[1][c] for c in ("root", "forms", "occurrences_count", "verses")]
     voc = spark.createDataFrame([(1, 1, "smi q ba", "A"), (1, 2, "Hmd", "A")], "surah_number int, ayah_number int, text string, surah_name string")
-    rows = lexical.exhaustive(roots, index, voc).collect()
+    rows = lexical.exhaustive(roots, segments, voc).collect()
     assert [(r["surah_number"], r["ayah_number"], r["match_indices"]) for r in rows] == [(1, 1, [0, 2]), (1, 2, [0])]
 
 
@@ -208,7 +208,8 @@ def test_converse_retrieves_filters_and_answers(spark):
     kind = "id string, surah_number int, ayah_number int, surah_name_en string, surah_name_ar string, text_ar string, translation_fr string, translation_en string, period string"
     rec = spark.createDataFrame([(f"{s}:{a}", s, a, "N", "n", f"word{s} {a}", "", "", "madani" if s == 2 else "makkiyya") for s in (1, 2) for a in range(1, 6)], kind)
     index = bm25.build(rec, "id", F.col("text_ar"))
-    dense = lambda q: q.select("qid", F.lit("1:4").alias("id"), F.lit(0).alias("rank"))
+    at = rec.filter("id = '1:4'").select("id", "period")
+    dense = lambda q, where: q.select("qid").crossJoin(at.filter(where)).select("qid", "id", F.lit(0).alias("rank"))
     asked = spark.createDataFrame([(1, "word2 medinan"), (2, "word1"), (3, "word1 word2")], "qid long, question string")
     got = {r["qid"]: r for r in chat.converse(asked, rec, index, dense, k=2).collect()}
     assert [h["id"][:1] for h in got[1]["hits"]] == ["2", "2"] and {p["period"] for p in got[1]["sources"]} == {"madani"}
