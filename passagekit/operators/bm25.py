@@ -22,7 +22,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """docs (doc, ord, dl), postings (term, doc, tf), terms (term, df, idf), corpus (n, avgdl, mean_idf): one row."""
+    """docs (doc, ord, dl), postings (term, doc, tf, dl), terms (term, df, idf), corpus (n, avgdl, mean_idf): one row.
+
+    A posting has its document's length, so that scores need no join with documents.
+    """
 
     docs: DataFrame
     postings: DataFrame
@@ -36,7 +39,7 @@ class Bm25Index:
 def counted_terms(words: Column) -> Column:
     """An array of words as an array of (term, tf), in order of the terms: counted within the row, so without a shuffle."""
     return with_value(
-        F.array_sort(words),
+        F.sort_array(words),
         lambda s: with_value(
             F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull()),
             lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))),
@@ -70,7 +73,7 @@ def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = Non
     """
     rows = keep(document_terms(df, id_col, text, ordinal, normalizer))
     docs = rows.select("doc", "ord", "dl")
-    postings = rows.select("doc", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf")
+    postings = rows.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms, corpus = weighted(keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), corpus)
     return Bm25Index(docs, postings, terms, corpus)
@@ -86,8 +89,8 @@ def term_statistics(df: DataFrame, text: Column, normalizer=None) -> DataFrame:
 def save(index: Bm25Index, path: str) -> None:
     """The index as tables below path, overwritten whole; postings and terms in ranges of the term, so that a scan for a few terms skips the rest."""
     tables = index.tables()
-    for name in ("postings", "terms"):
-        tables[name] = tables[name].repartitionByRange("term").sortWithinPartitions("term")
+    tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "doc")
+    tables["terms"] = tables["terms"].repartitionByRange("term").sortWithinPartitions("term")
     write_index(tables, path)
 
 
@@ -97,7 +100,7 @@ def load(spark: SparkSession, path: str) -> Bm25Index:
 
 
 def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None, few: int = 1000) -> DataFrame:  # noqa: ANN001
-    """(qid, doc, ord, score) of documents that share a term; repeated query words count each time.
+    """(qid, doc, score) of documents that share a term; repeated query words count each time.
 
     Up to `few` different terms go to the scan of a stored index as a filter; more are joined.
     """
@@ -108,10 +111,10 @@ def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid",
     if len(own) <= few:
         among = F.col("term").isin([r["term"] for r in own])
         terms, postings = terms.filter(among), postings.filter(among)
-    hits = asked.join(terms, "term").join(postings, "term").join(index.docs, "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    hits = asked.join(terms, "term").join(postings, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(qid, "doc", "ord").agg(F.sum(part).alias("score"))
+    return hits.groupBy(qid, "doc").agg(F.sum(part).alias("score"))
 
 
 def search(
@@ -136,8 +139,10 @@ def search(
 
 
 def ranked(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int, qid: str, fill: bool) -> DataFrame:
-    """(qid, doc, score, rank from 0): the k best of found (qid, doc, ord, score), filled up where asked for."""
-    # sums of the same parts in another order are the same score
+    """(qid, doc, score, rank from 0): the k best of found (qid, doc, score), filled up where asked for."""
+    # sums of the same parts in another order are the same score; documents join for their place once few are left
+    best = F.rank().over(Window.partitionBy(qid).orderBy(F.round("score", 9).desc()))
+    found = found.withColumn("rank", best).filter(F.col("rank") <= k).select(qid, "doc", "score").join(docs.select("doc", "ord"), "doc")
     order = Window.partitionBy(qid).orderBy(F.round("score", 9).desc(), "ord")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fill:

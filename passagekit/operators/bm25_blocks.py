@@ -32,7 +32,7 @@ SLACK = 1e-6
 
 @dataclass
 class Blocks:
-    """headers (term, span, n, bound), blocks (term, span, posts: array of (doc, ord, part)), and the plain index's docs and terms.
+    """headers (term, span, n, bound), blocks (term, span, posts: array of (doc, part)), and the plain index's docs and terms.
 
     part is a posting's share of the score but for the term's weight; bound the largest part of its block.
     """
@@ -49,8 +49,8 @@ def build(index: bm25.Bm25Index, width: int = 256, k1: float = bm25.K1, b: float
     placed = _spans(index.docs, width)
     tf = F.col("tf")
     part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = index.postings.join(placed, "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
-    rows = rows.groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("ord", "doc", part.alias("part")))).alias("posts"))
+    rows = index.postings.join(placed.select("doc", "span"), "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    rows = rows.groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("doc", part.alias("part")))).alias("posts"))
     rows = rows.withColumns({"n": F.size("posts").cast("long"), "bound": F.array_max(F.transform("posts", lambda p: p["part"]))})
     return Blocks(rows.select("term", "span", "n", "bound"), rows.select("term", "span", "posts"), index.docs, index.terms)
 
@@ -100,9 +100,9 @@ def plan(index: Blocks, queries: DataFrame, text: Column, k: int, qid: str = "qi
 
 
 def _scored(rows: DataFrame, blocks: DataFrame, qid: str) -> DataFrame:
-    """(qid, doc, ord, score) of the documents of the rows' blocks."""
+    """(qid, doc, score) of the documents of the rows' blocks."""
     posts = rows.join(blocks, ["term", "span"]).select(qid, "weight", F.explode("posts").alias("p"))
-    return posts.groupBy(qid, F.col("p.doc").alias("doc"), F.col("p.ord").alias("ord")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
+    return posts.groupBy(qid, F.col("p.doc").alias("doc")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
 
 
 def _floors(first: DataFrame, k: int, qid: str) -> DataFrame:
@@ -113,7 +113,7 @@ def _floors(first: DataFrame, k: int, qid: str) -> DataFrame:
 
 
 def passes(index: Blocks, queries: DataFrame, text: Column, k: int, qid: str = "qid", normalizer=None, keep: Callable[[DataFrame], DataFrame] = lambda t: t) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
-    """(found: (qid, doc, ord, score) that hold the k best; read: (qid, postings, read): matching postings, and those that were read)."""
+    """(found: (qid, doc, score) that hold the k best; read: (qid, postings, read): matching postings, and those that were read)."""
     rows, blocks = plan(index, queries, text, k, qid, normalizer, keep)
     first = keep(_scored(rows.filter("first"), blocks, qid))
     floors = keep(_floors(first, k, qid))

@@ -1,7 +1,7 @@
 """A BM25 index that grows: immutable segments, deletions, merged statistics, compaction.
 
 Every change writes a segment of its own: docs (doc, ord, dl, gone), postings
-(term, doc, tf) and terms (term, df). A document's row in the latest segment
+(term, doc, tf, dl) and terms (term, df). A document's row in the latest segment
 that names it counts; gone says that it was deleted there. A version is a small
 file that lists the live segments and the batches they came from; it is written
 last, under a number of its own, so a change that fails leaves the index as it
@@ -66,7 +66,7 @@ def _segment(rows: DataFrame, path: str) -> str:
     rows.write.parquet(f"{at}/rows")  # texts are tokenised once
     back = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
     back.select("doc", "ord", "dl", "gone").write.parquet(f"{at}/docs")
-    posts = back.select("doc", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf")
+    posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
     posts.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{at}/postings")
     posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{at}/terms")
     p, fs = path_of(back.sparkSession, f"{at}/rows")
@@ -137,7 +137,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> bm25.Bm2
     terms = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     weights, corpus = bm25.weighted(terms, corpus)
-    return bm25.Bm25Index(docs, postings.select("term", "doc", "tf"), weights, corpus)
+    return bm25.Bm25Index(docs, postings.select("term", "doc", "tf", "dl"), weights, corpus)
 
 
 def compact(spark: SparkSession, path: str) -> None:

@@ -57,7 +57,7 @@ def hybrid(
     own = None if own is None or (filters or {}).get(own) is not None else own
     passing = None if attributes is None or not (filters or own) else attributes.filter(where).select(F.col("id").alias("doc"), *([F.col(own).alias("__has")] if own else []))
     if passing is not None and prefilter_sparse and not own:
-        index = bm25.Bm25Index(index.docs.join(passing, "doc", "left_semi"), index.postings, index.terms, index.corpus)
+        index = bm25.Bm25Index(*(t.join(passing, "doc", "left_semi") for t in (index.docs, index.postings)), index.terms, index.corpus)
         passing = None
     sparse = bm25.search(index, queries, text, fetch, qid)
     if passing is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, inverted, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
 from .plans import chat, ingest, retrieval
-from .session import application_dir, materialized, stored
+from .session import Kept, application_dir, materialized, stored
 from .sinks.writers import last_vectors, write_stage
 from .sources.readers import parse_morphology
 
@@ -76,7 +76,8 @@ def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
     """The stored index of documents; built once an application, as a search engine's is."""
 
     def make(path: str) -> None:
-        bm25.save(bm25.build(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), keep=materialized), path)
+        with Kept() as keep:
+            bm25.save(bm25.build(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), keep=keep), path)
 
     return bm25.load(spark, stored(spark, _of("bm25", sf_dir), make))
 

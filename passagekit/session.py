@@ -65,6 +65,30 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """materialized() whose tables go together: with Kept() as keep, at the end of the block.
+
+    For steps that write a result of their own, which no longer reads the tables.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        self.tables.append((df.sparkSession, path))
+        df.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for spark, path in self.tables:
+            p, fs = path_of(spark, path)
+            fs.delete(p, True)
+
+
 def application_dir(spark: SparkSession) -> str:
     """The part of the shared folder that is this application's; clear_tables() deletes it."""
     return f"{shared_dir(spark)}/passagekit-{spark.sparkContext.applicationId}"
