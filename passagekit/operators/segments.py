@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_of
+from ..session import Kept, path_of
 from . import bm25
 
 
@@ -63,17 +63,19 @@ def _segment(rows: DataFrame, path: str) -> str:
     """A segment of (doc, ord, dl, terms, gone) rows; returns its name."""
     name = f"s{uuid.uuid4().hex}"
     at = f"{path}/segments/{name}"
-    rows.write.parquet(f"{at}/rows")  # texts are tokenised once
-    back = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
-    back.select("doc", "ord", "dl", "gone").write.parquet(f"{at}/docs")
-    posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
-    posts.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{at}/postings")
-    posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{at}/terms")
-    p, fs = path_of(back.sparkSession, f"{at}/rows")
-    fs.delete(p, True)
+    with Kept() as keep:
+        back = keep(rows)  # texts are tokenised once
+        _put(back.select("doc", "ord", "dl", "gone"), f"{at}/docs")
+        posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
+        _put(posts.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{at}/postings")
+        _put(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
     return name
 
 
+def _put(df: DataFrame, at: str) -> None:
+    df.write.option("compression", "zstd").parquet(at)
+
+
 def _commit(spark: SparkSession, path: str, rows: DataFrame, batch: str | None) -> bool:
     number, now = _read(spark, path)
     if batch is not None and batch in now["batches"]:
@@ -106,8 +108,8 @@ def delete(spark: SparkSession, path: str, ids: DataFrame, id_col: str, batch: s
     return _commit(spark, path, rows, batch)
 
 
-def _table(spark: SparkSession, path: str, segments: list[str], kind: str) -> DataFrame:
-    parts = [spark.read.parquet(f"{path}/segments/{s}/{kind}").withColumn("seg", F.lit(n)) for n, s in enumerate(segments)]
+def _table(spark: SparkSession, path: str, segments: list[str], kind: str, only: list[int] | None = None) -> DataFrame:
+    parts = [spark.read.parquet(f"{path}/segments/{s}/{kind}").withColumn("seg", F.lit(n)) for n, s in enumerate(segments) if only is None or n in only]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -121,19 +123,35 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> bm25.Bm2
         version = 0
     if not version:
         raise FileNotFoundError(f"no such index at {path}; append to it first")
-    named = _table(spark, path, now["segments"], "docs")
-    postings, terms = (_table(spark, path, now["segments"], k) for k in ("postings", "terms"))
-    if len(now["segments"]) > 1:
+    return _merged(spark, path, now["segments"])
+
+
+def _merged(spark: SparkSession, path: str, names: list[str], few: int = 1_000_000) -> bm25.Bm25Index:
+    """The live documents of segments. Segments without any are passed over; up to `few` dead rows are sent to the scans."""
+    named = _table(spark, path, names, "docs")
+    if len(names) > 1:
         last = named.groupBy("doc").agg(F.max("seg").alias("last"))
         rows = named.join(last, "doc").withColumn("live", (F.col("seg") == F.col("last")) & ~F.col("gone"))
-        dead = rows.filter("not live and not gone").select("doc", "seg")  # replaced or deleted
-        lost = postings.join(dead, ["doc", "seg"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-        terms = terms.select("term", "df").unionByName(lost)
-        postings = postings.join(dead, ["doc", "seg"], "left_anti")
+        state = {r["seg"]: (r["live"], r["dead"]) for r in rows.groupBy("seg").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live") & ~F.col("gone")).alias("dead")).collect()}  # a row a segment
+        living = [n for n in range(len(names)) if state.get(n, (0, 0))[0]]
+        dead = rows.filter(~F.col("live") & ~F.col("gone") & F.col("seg").isin(living)).select("doc", "seg")  # replaced or deleted
+        dead = F.broadcast(dead) if sum(state[n][1] for n in living) <= few else dead
         named = rows.filter("live")
+        whole = [n for n in living if not state[n][1]]
     else:
+        living = whole = [0]
         named = named.filter("not gone")
     docs = named.select("doc", "ord", "dl")
+    if living:
+        postings, terms = (_table(spark, path, names, k, living) for k in ("postings", "terms"))
+        if whole != living:
+            parts = _table(spark, path, names, "postings", [n for n in living if n not in whole])
+            lost = parts.join(dead, ["doc", "seg"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+            terms = terms.select("term", "df").unionByName(lost)
+            kept = parts.join(dead, ["doc", "seg"], "left_anti")
+            postings = kept.unionByName(_table(spark, path, names, "postings", whole)) if whole else kept
+    else:
+        postings, terms = (_table(spark, path, names[:1], k).limit(0) for k in ("postings", "terms"))
     terms = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     weights, corpus = bm25.weighted(terms, corpus)
@@ -141,13 +159,20 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> bm25.Bm2
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """The live documents as the only segment of a new version; older segments stay until vacuum()."""
+    """The live documents as the only segment of a new version; older segments stay until vacuum().
+
+    Postings are filtered and written as they are read, in the order of their terms within a file, so nothing is shuffled but
+    counts.
+    """
     number, now = _read(spark, path)
-    index = load(spark, path)
-    terms = index.postings.groupBy("doc").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # of one document
-    none = F.array().cast("array<struct<term:string,tf:bigint>>")
-    rows = index.docs.join(terms, "doc", "left").select("doc", "ord", "dl", F.coalesce("terms", none).alias("terms"), F.lit(False).alias("gone"))
-    name = _segment(rows, path)
+    if not number:
+        raise FileNotFoundError(f"no such index at {path}; append to it first")
+    index = _merged(spark, path, now["segments"])
+    name = f"s{uuid.uuid4().hex}"
+    at = f"{path}/segments/{name}"
+    _put(index.docs.withColumn("gone", F.lit(False)), f"{at}/docs")
+    _put(index.postings, f"{at}/postings")
+    _put(index.terms.select("term", "df"), f"{at}/terms")
     _write(spark, path, number + 1, {"segments": [name], "batches": now["batches"]})
 
 
