@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +43,16 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, trace: list | None = None) -> list[list[int]]:
     """Local search among underfull bins: each change raises the sum of squared fills. Ends when none does.
 
-    For a bin A, fullest first, and each of its items a (or none): take from an
-    emptier bin an item b longer than a that still fits, or two whose sum is, and
-    give a back. The longest gain goes first. Givers get emptier, so while A has its
-    turn every item on offer is in a bin not fuller than A: bins that had theirs are off.
+    For a bin A, the fullest that hasn't had its turn, and each of its items a (or
+    none): take from an emptier bin an item b longer than a that still fits, or two
+    whose sum is, and give a back. The longest gain goes first. Bins that had their
+    turn are off, and givers get emptier, so every item on offer is in a bin not
+    fuller than A, and what A gains the sum of squares gains twice over and more.
+    A sum of squares has an upper bound, so the search ends. trace gets each
+    exchange: the fills of A and the giver before it, and the gain.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     open_ = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
@@ -85,8 +89,13 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
                 del pairs[at]
             return None
 
-        for a_bin in sorted(open_, key=lambda k: (-fill[k], k)):
-            if not fill[a_bin]:
+        turns = [(-fill[k], k) for k in open_]
+        heapify(turns)
+        while turns:
+            was, a_bin = heappop(turns)
+            if -was != fill[a_bin]:  # it has given since: its place is further on
+                if fill[a_bin]:
+                    heappush(turns, (-fill[a_bin], a_bin))
                 continue
             version[a_bin] += 1
             for i in bins[a_bin]:
@@ -105,6 +114,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
                 if not gain:
                     break
                 giver = where[come[0]]
+                if trace is not None:
+                    trace.append((fill[a_bin], fill[giver], gain))
                 for i in come:
                     bins[giver].remove(i)
                     del pool[bisect_left(pool, (lengths[i], i))]

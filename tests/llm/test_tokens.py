@@ -116,3 +116,17 @@ def test_local_search_beats_best_fit_where_it_leaves_gaps():
         n = [rng.randint(low, high) for _ in range(8192)]
         first = best_fit(n, 2048)
         assert len(first) - len(improve([list(b) for b in first], n, 2048)) >= least
+
+
+@pytest.mark.parametrize(("low", "high", "at_most"), [(400, 1100, 3115), (500, 900, 2967), (1, 2048, 4200)])
+def test_every_exchange_raises_the_sum_of_squares(low, high, at_most):
+    import random
+
+    rng = random.Random(1)
+    lengths = [rng.randint(low, high) for _ in range(8192)]
+    start, trace = best_fit(lengths, 2048), []
+    out = improve([list(b) for b in start], lengths, 2048, trace)
+    assert trace and all((a + g) ** 2 + (c - g) ** 2 > a * a + c * c and a >= c and g > 0 for a, c, g in trace)
+    square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+    assert square(out) - square(start) == sum((a + g) ** 2 + (c - g) ** 2 - a * a - c * c for a, c, g in trace)
+    assert sorted(i for b in out for i in b) == list(range(8192)) and len(out) <= min(len(start), at_most)
