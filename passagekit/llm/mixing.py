@@ -103,12 +103,13 @@ def mix(
     extra = rest.filter(off < F.col("missing")).groupBy("source").agg(F.min_by("u", F.struct(off, F.col("u"))).alias("extra"))
     plan = sources.join(cut.drop("missing"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = scratch.put(plan.select(F.col("source").alias("__s"), "source_size", "target", "whole", "cut", "extra"))
+    plan = scratch.put(plan.select(F.col("source").alias("__s"), "source_size", "target", "whole", F.col("part").alias("__part"), "cut", "extra"))
 
     rows = df.drop("size", "source_size", "target", "repeats", "taken").withColumns({"size": size, "__u": u})
     rows = rows.join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
     # a fraction that never ends in the data takes all
     more = (F.col("cut").isNull() & (F.col("target") > F.col("whole") * F.col("source_size"))) | (F.col("__u") < F.col("cut")) | (F.col("__u") == F.col("extra"))
-    rows = rows.withColumn("repeats", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
+    # where whole epochs meet the target nothing is left to take, documents without words included
+    rows = rows.withColumn("repeats", F.col("whole") + F.coalesce(more & (F.col("__part") > 0) & (F.col("whole") < max_epochs), F.lit(False)).cast("int"))
     rows = rows.withColumn("taken", F.col("size") * F.col("repeats"))
-    return rows.drop("__u", "__s", "whole", "cut", "extra")
+    return rows.drop("__u", "__s", "whole", "__part", "cut", "extra")

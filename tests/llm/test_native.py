@@ -106,6 +106,14 @@ def test_mix_clamps(spark):
     assert got["b"] == (30, 30) and got[None] == (30, 30) and got["a"][0] == 860
 
 
+def test_mix_takes_documents_without_words_no_more_often(spark):
+    """At its cap a source is taken max_epochs times, whatever stands before the first word in the order."""
+    rows = [(k, "small", "w " * 3 if k % 4 == 0 else " ") for k in range(200)] + [(1000 + k, "large", "w " * 90) for k in range(40)] + [(2000, "none", "")]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r["repeats"] for r in got if r["source"] == "small"} == {3} and {r["repeats"] for r in got if r["source"] == "none"} == {0}
+    assert max(r["repeats"] for r in got) == 3
+
+
 def test_mix_empty(empty):
     assert mix(empty).count() == 0
 
