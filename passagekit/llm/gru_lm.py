@@ -98,7 +98,8 @@ class Gru:
     def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3, lanes_word=None, progress: tuple[float, float] = (0.0, 1.0)) -> None:  # noqa: ANN001
         """Truncated backpropagation over (steps, lanes) arrays; fresh marks first tokens, where the state is zero.
 
-        lanes_word: the target words' numbers (-1: none). progress: which part of the training this is; the pace sinks.
+        Every step is learnt from; the last window may be shorter. A target class of -1 fills up a lane and teaches
+        nothing. lanes_word: the target words' numbers (-1: none). progress: which part of the training this is; the pace sinks.
         """
         import numpy as np
 
@@ -107,10 +108,11 @@ class Gru:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         t = 0
-        for at in range(0, steps - window + 1, window):
+        for at in range(0, steps, window):
             xs, ys, keep = lanes_in[at : at + window], lanes_out[at : at + window], 1 - fresh[at : at + window, :, None].astype(np.float32)
             before, saved, after = [], [], []
-            for k in range(window):
+            long = len(xs)
+            for k in range(long):
                 h = h * keep[k]
                 before.append(h)
                 h, s = self.step(self.p["x"][xs[k]], h)
@@ -118,7 +120,9 @@ class Gru:
                 after.append(h)
             hs = np.concatenate(after)
             d = np.exp(self.log_probs(hs))
-            d[np.arange(len(d)), ys.ravel()] -= 1
+            there = ys.ravel() >= 0
+            d[np.arange(len(d)), np.where(there, ys.ravel(), 0)] -= 1
+            d[~there] = 0
             d /= lanes * window
             g = {k: np.zeros_like(x) for k, x in self.p.items()}
             g["o"], g["b"] = hs.T @ d, d.sum(axis=0)
@@ -133,9 +137,9 @@ class Gru:
                     s /= lanes * window
                     g["w"][first:end], g["wb"][first:end] = s.T @ hs[rows], s.sum(axis=0)
                     dh_flat[rows] += s @ self.p["w"][first:end]
-            dh_out = dh_flat.reshape(window, lanes, n)
-            dx_all, da_all, dh = np.empty((window, lanes, 3 * n), np.float32), np.empty((window, lanes, 3 * n), np.float32), np.zeros_like(h)
-            for k in reversed(range(window)):
+            dh_out = dh_flat.reshape(long, lanes, n)
+            dx_all, da_all, dh = np.empty((long, lanes, 3 * n), np.float32), np.empty((long, lanes, 3 * n), np.float32), np.zeros_like(h)
+            for k in reversed(range(long)):
                 z, r, c, ac = saved[k]
                 dh = dh + dh_out[k]
                 dc = dh * (1 - z) * (1 - c * c)
@@ -452,16 +456,18 @@ def train(
             fresh = np.zeros(len(x), np.int8)
             fresh[np.cumsum([0, *(len(d) + 1 for d in own[:-1])])] = 1
             lanes = max(1, min(96, len(x) // 400))
-            steps = len(x) // lanes
-            deal = lambda a: a[: lanes * steps].reshape(lanes, steps).T
+            steps = -(-len(x) // lanes)
+            short = lanes * steps - len(x)  # places at the end of the last lane, which teach nothing
+            deal = lambda a, fill: np.r_[a, np.full(short, fill, a.dtype)].reshape(lanes, steps).T
+            x, y, fresh, w = deal(x, END), deal(y, -1), deal(fresh, 1), deal(w, -1)
             # each round has its part of the steps, passes times where all of the corpus is not enough
             todo = range(k * passes, (k + 1) * passes)
             for part in todo:
                 a, b = steps * (part % rounds) // rounds, steps * (part % rounds + 1) // rounds
                 window = min(20, b - a)
                 if window > 0:
-                    m.gru.train(deal(x)[a:b], deal(y)[a:b].astype(np.int64), deal(fresh)[a:b], window, lanes_word=deal(w)[a:b], progress=(part / (passes * rounds), (part + 1) / (passes * rounds)))
-            return np.concatenate([v.ravel() for v in m.gru.p.values()]), len(x)
+                    m.gru.train(x[a:b], y[a:b].astype(np.int64), fresh[a:b], window, lanes_word=w[a:b], progress=(part / (passes * rounds), (part + 1) / (passes * rounds)))
+            return np.concatenate([v.ravel() for v in m.gru.p.values()]), x.size - short
 
         flat, _ = _sums(sample, learn)
         start.unpersist()

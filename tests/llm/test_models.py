@@ -309,3 +309,22 @@ def test_toxicity_query(spark, sf):
     out = op8_toxicity(spark, sf)
     assert set(out.columns) >= {"doc_id", "held_out", "score", "predicted"}
     assert out.count() == 200 and out.filter((F.col("score") >= 0.5) != (F.col("predicted") == 1)).count() == 0
+
+
+def test_training_learns_from_every_token():
+    """The last, shorter window counts, and places that fill up a lane don't."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 6, (33, 3)).astype(np.int32), rng.integers(0, 4, (33, 3))
+    fresh = np.zeros((33, 3), np.int8)
+    fresh[0] = 1
+    nets = {}
+    for name, steps, fill in (("cut", 20, 0), ("all", 33, 0), ("filled", 33, 4)):
+        net = gru_lm.Gru(6, 4, 5)
+        a, b, f = x[:steps].copy(), y[:steps].copy(), fresh[:steps].copy()
+        if fill:
+            a, b, f = (np.r_[v, np.full((fill, 3), w, v.dtype)] for v, w in ((a, 0), (b, -1), (f, 1)))
+        net.train(a, b, f, window=20, rate=1e-3)
+        nets[name] = net.p
+    assert not np.allclose(nets["cut"]["o"], nets["all"]["o"], atol=1e-7)
+    # filling changes the last window's length alone, so the same gradients come out
+    assert all(np.allclose(nets["all"][k], nets["filled"][k], atol=2e-4) for k in nets["all"])
