@@ -149,6 +149,30 @@ def asked_edges(x, u, graph, entry: int, degree: int, beam: int, block: int = 51
     return wide
 
 
+def enough_beam(x, u, graph, entry: int, k: int, recall: float, least: int, asked: int = 128, seed: int = 9) -> tuple[int, float]:  # noqa: ANN001
+    """(beam, recall): the least of least, 1.5 x least, ... whose searches find that share of the k nearest, as measured on directions of the graph's own nodes.
+
+    Once a beam holds all nodes, nothing more can be found and it is taken whatever its recall.
+    """
+    import numpy as np
+
+    own = np.random.default_rng(seed).choice(len(x), min(asked, len(x)), replace=False)
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return least, 1.0
+    score = u[own] @ x.T
+    score[np.arange(len(own)), own] = -np.inf
+    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+    beam = least
+    while True:
+        found, dist = beam_search(x, None, graph, entry, u[own], beam)
+        hit = (found >= 0) & (found != own[:, None]) & (-dist / 2 >= kth[:, None] - 1e-6)
+        got = float(np.minimum(hit.sum(axis=1), k).mean() / k)
+        if got >= recall or beam >= len(x):
+            return beam, got
+        beam = min(len(x), max(beam + 1, beam * 3 // 2))
+
+
 def _scaled(x):  # noqa: ANN001, ANN202
     """(rows by the greatest length of all, directions), float32; safe for any finite doubles."""
     import numpy as np
@@ -168,8 +192,11 @@ def _usable(vec: str) -> F.Column:
     return F.coalesce((F.size(vec) > 0) & F.forall(vec, sound) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows: int, degree: int, asked: int, beam: int, alpha: float, copies: int, least_shards: int = 8) -> DataFrame:
-    """One row per shard: shard, dim, data (vectors, ids of up to copies equal rows, graph, entry as npz).
+def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows: int, degree: int, asked: int, beam: int, alpha: float, copies: int, least_shards: int = 8, least_beam: int = 64, recall: float = 0.97) -> DataFrame:
+    """One row per shard: shard, dim, data (vectors, ids of up to copies equal rows, graph, entry, beam as npz), beam, recall.
+
+    beam is what a shard's searches need, measured on its own nodes against all products: the least that finds the
+    share recall of as many nearest as one shard has to give (twice its part of copies - 1, and four).
 
     Shards have shard_rows distinct vectors at most (on average of the hash), which bounds a task's memory and
     time; there are least_shards of them where each still gets 1024, so that small tables build in parallel too.
@@ -195,14 +222,16 @@ def index(df: DataFrame, scratch: Scratch, id_col: str, vec_col: str, shard_rows
         scaled, u = _scaled(x)
         graph, entry = build_graph(u, degree, beam, alpha)
         graph = asked_edges(scaled, u, graph, entry, asked, beam * 3 // 4)
+        enough, found = enough_beam(scaled, u, graph, entry, min(copies - 1, -(-2 * (copies - 1) // shards) + 4), recall, max(least_beam, copies))
         exact = x.astype(np.float32)
         x = exact if np.array_equal(exact, x) else x
         out = io.BytesIO()
-        np.savez(out, x=x, node=node.ravel()[order].astype(np.int32), ids=ids[order], graph=graph, entry=entry)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "data": pa.array([out.getvalue()], pa.binary())})
+        np.savez(out, x=x, node=node.ravel()[order].astype(np.int32), ids=ids[order], graph=graph, entry=entry, beam=enough)
+        facts = {"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "data": pa.array([out.getvalue()], pa.binary())}
+        return pa.table(facts | {"beam": pa.array([enough], pa.int32()), "recall": pa.array([found])})
 
     dealt = vecs.select("id", "v", F.size("v").alias("dim"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-    return scratch.put(dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, data binary"))
+    return scratch.put(dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, data binary, beam int, recall double"))
 
 
 def nearest(
@@ -211,13 +240,14 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    shard_rows: int = 1 << 17,
+    shard_rows: int = 1 << 15,
     degree: int = 32,
     asked: int = 16,
     build_beam: int = 64,
-    beam: int = 128,
+    beam: int | None = None,
     alpha: float = 1.2,
     block: int = 1 << 14,
+    recall: float = 0.97,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k of df nearest to each of queries by inner product, found by beam search.
 
@@ -231,10 +261,12 @@ def nearest(
 
     A shard is read once for every block of queries, so its cost is one beam
     search a query and shard; degree edges of a node come from the pruned graph
-    of directions, asked from searches by inner product.
+    of directions, asked from searches by inner product. The beam is each
+    shard's own, as wide as it was measured to need for recall (see index), or
+    the one that is given.
     """
     scratch = Scratch(df.sparkSession, "graph-ann")
-    shards = index(df, scratch, id_col, vec_col, shard_rows, degree, asked, build_beam, alpha, k + 1)
+    shards = index(df, scratch, id_col, vec_col, shard_rows, degree, asked, build_beam, alpha, k + 1, recall=recall)
     ask = queries.filter(_usable(vec_col)).select(F.col(id_col).cast("long").alias("q"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     ask = ask.filter("q is not null").withColumn("dim", F.size("v")).distinct()
     many = ask.count()
@@ -257,10 +289,10 @@ def nearest(
                 q = np.asarray(batch.column(1)[r].values, np.int64)
                 v = np.asarray(batch.column(2)[r].values, np.float64).reshape(-1, dim)
                 with np.load(io.BytesIO(batch.column(3)[r].as_py())) as z:
-                    x, node, ids, graph, entry = (z[n] for n in ("x", "node", "ids", "graph", "entry"))
+                    x, node, ids, graph, entry, own_beam = (z[n] for n in ("x", "node", "ids", "graph", "entry", "beam"))
                 x, scaled = x.astype(np.float64), _scaled(x.astype(np.float64))[0]
                 flat = _scaled(v)[1]
-                parts = [beam_search(scaled, None, graph, int(entry), flat[i : i + 256], max(beam, k + 1))[0] for i in range(0, len(flat), 256)]
+                parts = [beam_search(scaled, None, graph, int(entry), flat[i : i + 256], max(beam or int(own_beam), k + 1))[0] for i in range(0, len(flat), 256)]
                 found = np.concatenate(parts)
                 first = np.searchsorted(node, np.arange(len(x) + 1))
                 out_q, out_v, out_id, out_s = [], [], [], []

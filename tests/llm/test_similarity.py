@@ -249,3 +249,22 @@ def test_components_near_the_ends_of_a_double(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest(df, df, 5).collect()
     assert len(got) == 150 and not any(np.isnan(r["score"]) for r in got)
+
+
+@pytest.mark.parametrize("kind", ["lengths", "log-normal"])
+def test_recall_of_a_full_shard(kind):
+    """One shard as large as the registered ones: its beam is measured, and finds nine of ten and more for other questions."""
+    from passagekit.llm.graph_ann import _scaled, asked_edges, beam_search, build_graph, enough_beam
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1 << 15, 64))
+    x *= rng.uniform(0.5, 2, (len(x), 1)) if kind == "lengths" else rng.lognormal(0, 0.5, (len(x), 1))
+    scaled, u = _scaled(x)
+    graph, entry = build_graph(u, 32, 64, 1.2)
+    graph = asked_edges(scaled, u, graph, entry, 16, 48)
+    beam, found = enough_beam(scaled, u, graph, entry, 20, 0.97, 64)
+    assert found >= 0.97 and beam < 1000
+    q = rng.standard_normal((300, 64)).astype(np.float32)
+    best = np.argsort(-(q @ scaled.T), axis=1)[:, :20]
+    got, _ = beam_search(scaled, None, graph, entry, q, beam)
+    assert np.mean([len(set(got[i]) & set(best[i])) / 20 for i in range(300)]) >= 0.94
