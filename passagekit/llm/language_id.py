@@ -182,14 +182,15 @@ def train(
     if not n_langs:
         return ByteCnn([], window)
     share = -(-max_rows // n_langs)
-    # one row a language, as many as the network has outputs
-    langs = F.broadcast(counts.select("l", F.least(F.lit(1.0), F.lit(2.0 * share + 64) / F.col("count")).alias("part")))
+    # one row a language, as many as the network has outputs; sent to all tasks where they are few
+    small = (lambda t: F.broadcast(t)) if n_langs <= 10_000 else (lambda t: t)
+    langs = small(counts.select("l", F.least(F.lit(1.0), F.lit(2.0 * share + 64) / F.col("count")).alias("part")))
     h = F.shiftrightunsigned(F.xxhash64("i", "t"), 1)
     near = rows.join(langs, "l").filter(h <= (F.col("part") * F.lit(float((1 << 63) - 1))).cast("long")).select("l", h.alias("h")).distinct()
     turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     picked = near.withColumn("n", turn).filter(F.col("n") <= share).select("l", "h")
     # at most share rows a language; of equal rows one
-    chosen = rows.withColumn("h", h).join(F.broadcast(picked), ["l", "h"]).groupBy("l", "h").agg(F.any_value("t").alias("t"))
+    chosen = rows.withColumn("h", h).join(small(picked), ["l", "h"]).groupBy("l", "h").agg(F.any_value("t").alias("t"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
