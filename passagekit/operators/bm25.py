@@ -7,7 +7,7 @@ hand: the query side is small or not, and Spark sees its size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,9 +22,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """docs (doc, ord, dl), postings (term, doc, tf, dl), terms (term, df, idf), corpus (n, avgdl, mean_idf): one row.
+    """docs (doc, ord, dl, terms), postings (term, doc, tf, dl), terms (term, df, idf), corpus (n, avgdl, mean_idf): one row.
 
-    A posting has its document's length, so that scores need no join with documents.
+    A posting has its document's length, so that scores need no join with documents. docs has the same counts by
+    document (terms: an array of (term, tf)), for questions with so many terms that most postings would be read.
     """
 
     docs: DataFrame
@@ -68,15 +69,22 @@ def build(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = Non
 
     Texts are tokenised once and terms counted within their row; what is
     shuffled is one row a term for the statistics, and in save() the postings,
-    once, by term. keep is applied to the table that later steps read more than
+    once, by term. Questions of many terms read documents and not postings. keep is applied to the table that later steps read more than
     once; pass session.materialized to have it written and not worked out anew.
     """
     rows = keep(document_terms(df, id_col, text, ordinal, normalizer))
-    docs = rows.select("doc", "ord", "dl")
-    postings = rows.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms, corpus = weighted(keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), corpus)
-    return Bm25Index(docs, postings, terms, corpus)
+    postings = _postings(rows)
+    terms, corpus = weighted(keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), lengths(rows))
+    return Bm25Index(rows, postings, terms, corpus)
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    return docs.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """One row: n and avgdl."""
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_statistics(df: DataFrame, text: Column, normalizer=None) -> DataFrame:  # noqa: ANN001
@@ -89,9 +97,24 @@ def term_statistics(df: DataFrame, text: Column, normalizer=None) -> DataFrame:
 def save(index: Bm25Index, path: str) -> None:
     """The index as tables below path, overwritten whole; postings and terms in ranges of the term, so that a scan for a few terms skips the rest."""
     tables = index.tables()
-    tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term", "doc")
-    tables["terms"] = tables["terms"].repartitionByRange("term").sortWithinPartitions("term")
-    write_index(tables, path)
+    write_index({"docs": tables.pop("docs")}, path)
+    write_index({k: _by_term(t) if k in ("postings", "terms") else t for k, t in tables.items()}, path)
+
+
+def _by_term(table: DataFrame) -> DataFrame:
+    return table.repartitionByRange("term").sortWithinPartitions(*(c for c in ("term", "doc") if c in table.columns))
+
+
+def create(path: str, df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None) -> Bm25Index:  # noqa: ANN001
+    """build() and save() in one: each table is written once and the next made of it. Texts are tokenised once, postings shuffled once."""
+    spark = df.sparkSession
+    write_index({"docs": document_terms(df, id_col, text, ordinal, normalizer)}, path)
+    docs = read_table(spark, f"{path}/docs")
+    write_index({"postings": _by_term(_postings(docs))}, path)
+    counts = read_table(spark, f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms, corpus = weighted(counts, lengths(docs))
+    write_index({"terms": _by_term(terms), "corpus": corpus}, path)
+    return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Bm25Index:
@@ -99,10 +122,13 @@ def load(spark: SparkSession, path: str) -> Bm25Index:
     return Bm25Index(*(read_table(spark, f"{path}/{name}") for name in ("docs", "postings", "terms", "corpus")))
 
 
-def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None, few: int = 1000) -> DataFrame:  # noqa: ANN001
+def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None, few: int = 1000, best: int | None = None, sent: int = 1_000_000) -> DataFrame:  # noqa: ANN001
     """(qid, doc, score) of documents that share a term; repeated query words count each time.
 
-    Up to `few` different terms go to the scan of a stored index as a filter; more are joined.
+    Up to `few` different terms go to the scan of a stored index as a filter, and their postings are added up by a
+    shuffle of (question, document) pairs. Of questions with more, where only the `best` documents of each are
+    wanted, the (term, question) pairs go to the documents, if there are `sent` of them at most: a task gives the
+    best of its own documents, and no pair is shuffled. Else postings are joined.
     """
     words = tokens(text) if normalizer is None else tokens(text, normalizer)
     asked = queries.select(qid, F.explode(words).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -111,12 +137,82 @@ def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid",
     if len(own) <= few:
         among = F.col("term").isin([r["term"] for r in own])
         terms, postings = terms.filter(among), postings.filter(among)
+    elif best is not None and "terms" in index.docs.columns:
+        pairs = asked.join(terms, "term").select(qid, "term", (F.col("qtf") * F.col("idf")).alias("weight")).limit(sent + 1).toArrow()
+        if 0 < pairs.num_rows <= sent:
+            return _by_documents(index, pairs, queries.schema[qid].dataType.simpleString(), best, qid, k1, b)
     hits = asked.join(terms, "term").join(postings, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(qid, "doc").agg(F.sum(part).alias("score"))
 
 
+def _by_documents(index: Bm25Index, pairs, q_kind: str, best: int, qid: str, k1: float, b: float, cells: int = 1 << 22) -> DataFrame:  # noqa: ANN001
+    """(qid, doc, score): of each question the best documents of every task, ties to the lower ordinal.
+
+    pairs: an Arrow table (qid, term, weight). A batch of documents is scored as a matrix of documents x questions.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    qids = pc.unique(pairs.column(0).combine_chunks())
+    known = pc.unique(pairs.column(1).combine_chunks())
+    term_of, q_of = (np.asarray(pc.index_in(pairs.column(c).combine_chunks(), value_set=v)) for c, v in ((1, known), (0, qids)))
+    order = np.argsort(term_of, kind="stable")
+    q_of, weight = q_of[order], np.asarray(pairs.column(2))[order]
+    first = np.searchsorted(term_of[order], np.arange(len(known) + 1))
+    avgdl = index.corpus.select("avgdl").first()[0]
+    n_q = len(qids)
+
+    def run(batches: Iterator) -> Iterator:
+        kept: list[tuple] = []  # (question, rounded score, score, ord, doc)
+
+        def cut() -> None:
+            at, rounded, score = (np.concatenate([r[c] for r in kept]) for c in range(3))
+            place, doc = (pa.concat_arrays([r[c] for r in kept]) for c in (3, 4))
+            by = pc.sort_indices(pa.table({"q": at, "s": rounded, "o": place}), [("q", "ascending"), ("s", "descending"), ("o", "ascending")])
+            by = np.asarray(by)
+            fine = by[np.arange(len(by)) - np.searchsorted(at[by], at[by]) < best]
+            kept[:] = [(at[fine], rounded[fine], score[fine], place.take(pa.array(fine)), doc.take(pa.array(fine)))]
+
+        for whole in batches:
+            step = max(1, cells // max(1, n_q))
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                lists = batch.column(3)
+                row = np.asarray(pc.list_parent_indices(lists))
+                flat = lists.flatten()
+                term = np.asarray(pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1))
+                there = np.flatnonzero(term >= 0)
+                term, row, tf = term[there], row[there], np.asarray(flat.field("tf"))[there].astype(float)
+                dl = np.asarray(batch.column(2))[row]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                many = first[term + 1] - first[term]
+                each = np.repeat(first[term], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cell = np.repeat(row, many) * n_q + q_of[each]
+                score = np.bincount(cell, np.repeat(part, many) * weight[each], batch.num_rows * n_q).reshape(-1, n_q)
+                shared = np.zeros(batch.num_rows * n_q, bool)
+                shared[cell] = True
+                shared = shared.reshape(-1, n_q)
+                rounded = np.where(shared, np.round(score, 9), -np.inf)
+                if len(rounded) > best:  # no worse than the best-th of this batch
+                    shared &= rounded >= -np.partition(-rounded, best - 1, axis=0)[best - 1]
+                r, q = np.nonzero(shared)
+                at = pa.array(r)
+                kept.append((q, rounded[r, q], score[r, q], batch.column(1).take(at), batch.column(0).take(at)))
+            if sum(len(x[0]) for x in kept) > 8 * best * n_q:
+                cut()
+        if kept:
+            cut()
+            q, _, score, _, doc = kept[0]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), doc, pa.array(score)], ["qid", "doc", "score"])
+
+    d_kind = index.docs.schema["doc"].dataType.simpleString()
+    hits = index.docs.select("doc", "ord", "dl", "terms").mapInArrow(run, f"qid {q_kind}, doc {d_kind}, score double")
+    return hits.withColumnRenamed("qid", qid)
+
+
 def search(
     index: Bm25Index,
     queries: DataFrame,
@@ -132,7 +228,7 @@ def search(
     fill: queries with under k matching documents are filled up with documents
     of score 0 in corpus order, taken from the first 2k of the corpus.
     """
-    found = scores(index, queries, text, qid, normalizer=normalizer)
+    found = scores(index, queries, text, qid, normalizer=normalizer, best=k)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
     return ranked(found, index.docs, queries, k, qid, fill and min_score is None)

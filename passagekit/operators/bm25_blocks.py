@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import Kept
 from ..sinks.writers import write_index
 from ..sources.readers import read_table
 from . import bm25
@@ -44,15 +45,23 @@ class Blocks:
 
 
 def build(index: bm25.Bm25Index, width: int = 256, k1: float = bm25.K1, b: float = bm25.B) -> Blocks:
-    """Spans are numbered by the documents' order (ord), which the caller's ordinal gives; ties of it share a place."""
-    # consecutive places of long or string ordinals alike: rank within range partitions, counted on
-    placed = _spans(index.docs, width)
-    tf = F.col("tf")
+    """Spans are numbered by the documents' order (ord), which the caller's ordinal gives; ties of it are in order of the id."""
+    rows = _blocks(index.docs, index.corpus.select("avgdl"), width, k1, b)
+    headers = rows.select("term", "span", F.size("posts").cast("long").alias("n"), _bound())
+    return Blocks(headers, rows, index.docs.select("doc", "ord", "dl"), index.terms)
+
+
+def _bound() -> Column:
+    return F.array_max(F.transform("posts", lambda p: p["part"])).alias("bound")
+
+
+def _blocks(docs: DataFrame, avgdl: DataFrame, width: int, k1: float, b: float) -> DataFrame:
+    """(term, span, posts) of docs (doc, ord, dl, terms): a span's documents stand together, so only documents are shuffled."""
+    placed = _spans(docs, width).repartitionByRange("span").crossJoin(F.broadcast(avgdl))  # one row
+    posts = placed.select("span", "doc", "dl", "avgdl", F.explode("terms").alias("t"))
+    tf = F.col("t.tf")
     part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = index.postings.join(placed.select("doc", "span"), "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
-    rows = rows.groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("doc", part.alias("part")))).alias("posts"))
-    rows = rows.withColumns({"n": F.size("posts").cast("long"), "bound": F.array_max(F.transform("posts", lambda p: p["part"]))})
-    return Blocks(rows.select("term", "span", "n", "bound"), rows.select("term", "span", "posts"), index.docs, index.terms)
+    return posts.groupBy("span", F.col("t.term").alias("term")).agg(F.collect_list(F.struct("doc", part.alias("part"))).alias("posts")).select("term", "span", "posts")
 
 
 def _spans(docs: DataFrame, width: int) -> DataFrame:
@@ -61,15 +70,31 @@ def _spans(docs: DataFrame, width: int) -> DataFrame:
     parts = parts.withColumn("__m", F.monotonically_increasing_id())
     here = parts.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)})
     # a partition's own spans, each of width documents but the last; numbers of partitions never meet
-    return here.withColumn("span", F.col("__p") * F.lit(1 << 31) + F.floor(F.col("__i") / width)).select("doc", "ord", "dl", "span")
+    return here.withColumn("span", F.col("__p") * F.lit(1 << 31) + F.floor(F.col("__i") / width)).drop("__m", "__p", "__i")
+
+
+def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None) -> None:
+    spark = docs.sparkSession
+    write_index({"blocks": blocks.repartitionByRange("term").sortWithinPartitions("term", "span")}, path)
+    headers = read_table(spark, f"{path}/blocks").select("term", "span", F.size("posts").cast("long").alias("n"), _bound())
+    write_index({"headers": headers}, path)
+    if terms is None:
+        counts = read_table(spark, f"{path}/headers").groupBy("term").agg(F.sum("n").alias("df"))
+        terms, _ = bm25.weighted(counts, bm25.lengths(docs))
+    write_index({"docs": docs.select("doc", "ord", "dl"), "terms": terms.repartitionByRange("term").sortWithinPartitions("term")}, path)
 
 
 def save(index: Blocks, path: str) -> None:
     """The four tables below path; blocks, headers and terms in ranges of the term."""
-    write_index({"blocks": index.blocks.repartitionByRange("term").sortWithinPartitions("term", "span")}, path)
-    back = read_table(index.docs.sparkSession, f"{path}/blocks")
-    headers = back.select("term", "span", F.size("posts").cast("long").alias("n"), F.array_max(F.transform("posts", lambda p: p["part"])).alias("bound"))
-    write_index({"headers": headers, "docs": index.docs, "terms": index.terms.repartitionByRange("term").sortWithinPartitions("term")}, path)
+    _save(path, index.blocks, index.docs, index.terms)
+
+
+def create(path: str, df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None, width: int = 256, k1: float = bm25.K1, b: float = bm25.B) -> Blocks:  # noqa: ANN001
+    """The index of texts, without a plain one before it; counted documents are written for as long as it takes."""
+    with Kept() as keep:
+        docs = keep(bm25.document_terms(df, id_col, text, ordinal, normalizer))
+        _save(path, _blocks(docs, bm25.lengths(docs).select("avgdl"), width, k1, b), docs, None)
+    return load(df.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Blocks:

@@ -1,6 +1,6 @@
 """A BM25 index that grows: immutable segments, deletions, merged statistics, compaction.
 
-Every change writes a segment of its own: docs (doc, ord, dl, gone), postings
+Every change writes a segment of its own: docs (doc, ord, dl, terms, gone), postings
 (term, doc, tf, dl) and terms (term, df). A document's row in the latest segment
 that names it counts; gone says that it was deleted there. A version is a small
 file that lists the live segments and the batches they came from; it is written
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Kept, path_of
+from ..session import path_of
 from . import bm25
 
 
@@ -63,12 +63,11 @@ def _segment(rows: DataFrame, path: str) -> str:
     """A segment of (doc, ord, dl, terms, gone) rows; returns its name."""
     name = f"s{uuid.uuid4().hex}"
     at = f"{path}/segments/{name}"
-    with Kept() as keep:
-        back = keep(rows)  # texts are tokenised once
-        _put(back.select("doc", "ord", "dl", "gone"), f"{at}/docs")
-        posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
-        _put(posts.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{at}/postings")
-        _put(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
+    _put(rows.select("doc", "ord", "dl", "terms", "gone"), f"{at}/docs")  # texts are tokenised once
+    back = rows.sparkSession.read.parquet(f"{at}/docs")
+    posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
+    _put(posts.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{at}/postings")
+    _put(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
     return name
 
 
@@ -130,19 +129,20 @@ def _merged(spark: SparkSession, path: str, names: list[str], few: int = 1_000_0
     """The live documents of segments. Segments without any are passed over; up to `few` dead rows are sent to the scans."""
     named = _table(spark, path, names, "docs")
     if len(names) > 1:
-        last = named.groupBy("doc").agg(F.max("seg").alias("last"))
-        rows = named.join(last, "doc").withColumn("live", (F.col("seg") == F.col("last")) & ~F.col("gone"))
+        places = named.select("doc", "gone", "seg")
+        last = places.groupBy("doc").agg(F.max("seg").alias("last"))
+        rows = places.join(last, "doc").withColumn("live", (F.col("seg") == F.col("last")) & ~F.col("gone"))
         state = {r["seg"]: (r["live"], r["dead"]) for r in rows.groupBy("seg").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live") & ~F.col("gone")).alias("dead")).collect()}  # a row a segment
         living = [n for n in range(len(names)) if state.get(n, (0, 0))[0]]
         dead = rows.filter(~F.col("live") & ~F.col("gone") & F.col("seg").isin(living)).select("doc", "seg")  # replaced or deleted
         dead = F.broadcast(dead) if sum(state[n][1] for n in living) <= few else dead
-        named = rows.filter("live")
         whole = [n for n in living if not state[n][1]]
     else:
         living = whole = [0]
-        named = named.filter("not gone")
-    docs = named.select("doc", "ord", "dl")
+    columns = ["doc", "ord", "dl", "terms"]
     if living:
+        docs = _table(spark, path, names, "docs", living).filter("not gone")
+        docs = docs.join(dead, ["doc", "seg"], "left_anti").select(*columns) if whole != living else docs.select(*columns)
         postings, terms = (_table(spark, path, names, k, living) for k in ("postings", "terms"))
         if whole != living:
             parts = _table(spark, path, names, "postings", [n for n in living if n not in whole])
@@ -151,10 +151,10 @@ def _merged(spark: SparkSession, path: str, names: list[str], few: int = 1_000_0
             kept = parts.join(dead, ["doc", "seg"], "left_anti")
             postings = kept.unionByName(_table(spark, path, names, "postings", whole)) if whole else kept
     else:
-        postings, terms = (_table(spark, path, names[:1], k).limit(0) for k in ("postings", "terms"))
+        docs, postings, terms = (_table(spark, path, names[:1], k).limit(0) for k in ("docs", "postings", "terms"))
+        docs = docs.select(*columns)
     terms = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    weights, corpus = bm25.weighted(terms, corpus)
+    weights, corpus = bm25.weighted(terms, bm25.lengths(docs))
     return bm25.Bm25Index(docs, postings.select("term", "doc", "tf", "dl"), weights, corpus)
 
 

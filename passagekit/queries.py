@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, inverted, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
 from .plans import chat, ingest, retrieval
-from .session import Kept, application_dir, materialized, stored
+from .session import application_dir, materialized, stored
 from .sinks.writers import last_vectors, write_stage
 from .sources.readers import parse_morphology
 
@@ -75,11 +75,8 @@ def _query_roots(queries: DataFrame) -> DataFrame:
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
     """The stored index of documents; built once an application, as a search engine's is."""
 
-    def make(path: str) -> None:
-        with Kept() as keep:
-            bm25.save(bm25.build(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), keep=keep), path)
-
-    return bm25.load(spark, stored(spark, _of("bm25", sf_dir), make))
+    path = stored(spark, _of("bm25", sf_dir), lambda p: bm25.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
+    return bm25.load(spark, path)
 
 
 def build_indexes(spark: SparkSession, sf_dir: str) -> None:
@@ -159,7 +156,7 @@ def bm25_topk_batch(spark, d):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> bm25_blocks.Blocks:
-    path = stored(spark, _of("bm25-blocks", sf_dir), lambda p: bm25_blocks.save(bm25_blocks.build(_index(spark, sf_dir)), p))
+    path = stored(spark, _of("bm25-blocks", sf_dir), lambda p: bm25_blocks.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
     return bm25_blocks.load(spark, path)
 
 

@@ -68,6 +68,21 @@ def test_bm25_and_statistics(corpus):
     assert stats(bm25.term_statistics(docs, F.col("text"))) == stats(index.terms)
 
 
+def test_questions_of_many_terms_go_to_the_documents(spark, corpus, tmp_path):
+    """The three ways to score give the same rows, ties and ordinals that aren't numbers included."""
+    docs, asked = corpus
+    index = bm25.build(docs, "id", F.col("text"), ordinal=F.concat(F.lit("x"), F.lpad((1000 - F.col("id")).cast("string"), 4, "0")), keep=materialized)
+    bm25.save(index, f"file://{tmp_path}/i")
+    index = bm25.load(spark, f"file://{tmp_path}/i")
+    way = lambda **how: found(bm25.ranked(bm25.scores(index, asked, F.col("text"), best=6, **how), index.docs, asked, 6, "qid", True))
+    by_postings, by_documents, joined = way(), way(few=0), way(few=0, sent=0)
+    assert by_postings == by_documents == joined and by_postings[0][2] is not None
+    hits = bm25.scores(index, asked, F.col("text"), best=6, few=0)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    one = bm25.scores(index, asked.filter("qid = 92"), F.col("text"), best=6, few=-1)  # a question without words
+    assert one.count() == 0
+
+
 def test_build_shuffles_no_postings(corpus):
     """Terms are counted without an exchange; the statistics exchange a row a term and task."""
     plan = bm25.build(corpus[0], "id", F.col("text")).postings._jdf.queryExecution().executedPlan().toString()
@@ -95,6 +110,9 @@ def test_blocks_leave_postings_unread(spark, tmp_path):
     assert found(bm25_blocks.search(blocks, asked, F.col("text"), 10)) == found(bm25.search(index, asked, F.col("text"), 10))
     for r in read.collect():
         assert r["postings"] > 3000 and r["read"] < 0.05 * r["postings"]
+    made = bm25_blocks.create(f"file://{tmp_path}/c", docs, "id", F.col("text"), width=50)
+    whole = bm25.create(f"file://{tmp_path}/w", docs, "id", F.col("text"))
+    assert found(bm25_blocks.search(made, asked, F.col("text"), 10)) == found(bm25.search(whole, asked, F.col("text"), 10)) == found(bm25.search(index, asked, F.col("text"), 10))
     with pytest.raises(FileNotFoundError):
         bm25_blocks.load(spark, f"file://{tmp_path}/none")
 
