@@ -162,8 +162,10 @@ def _by_documents(index: Bm25Index, pairs, q_kind: str, best: int, qid: str, k1:
     order = np.argsort(term_of, kind="stable")
     q_of, weight = q_of[order], np.asarray(pairs.column(2))[order]
     first = np.searchsorted(term_of[order], np.arange(len(known) + 1))
-    avgdl = index.corpus.select("avgdl").first()[0]
-    n_q = len(qids)
+    corpus = index.corpus.select("n", "avgdl").first()
+    n_q, avgdl = len(qids), corpus["avgdl"]
+    # a task has some millions of (document, question) pairs at least, as each gives the best rows of every question
+    tasks = max(1, -(-corpus["n"] * n_q // (1 << 21)))
 
     def run(batches: Iterator) -> Iterator:
         kept: list[tuple] = []  # (question, rounded score, score, ord, doc)
@@ -209,7 +211,7 @@ def _by_documents(index: Bm25Index, pairs, q_kind: str, best: int, qid: str, k1:
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), doc, pa.array(score)], ["qid", "doc", "score"])
 
     d_kind = index.docs.schema["doc"].dataType.simpleString()
-    hits = index.docs.select("doc", "ord", "dl", "terms").mapInArrow(run, f"qid {q_kind}, doc {d_kind}, score double")
+    hits = index.docs.select("doc", "ord", "dl", "terms").coalesce(tasks).mapInArrow(run, f"qid {q_kind}, doc {d_kind}, score double")
     return hits.withColumnRenamed("qid", qid)
 
 

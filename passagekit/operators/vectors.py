@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine
 
+#: Products of a question and a vector that a task has at least, where there are as many.
+PAIRS = 1 << 22
 FILTER_KEYS = ("surah_number", "period", "juz")
 
 
@@ -79,8 +81,11 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid"
     """
     stored = vectors.filter(sound(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     hits = stored.sparkSession.createDataFrame([], "qid long, id long, score double")
+    n = vectors.count()
     for asked in query_blocks(queries, qid, "vector", block):
-        hits = hits.unionByName(stored.mapInArrow(_best_of(asked, k), "qid long, id long, score double"))
+        # a task has some millions of products at least, as each gives k rows a query
+        tasks = max(1, -(-n * sum(len(ids) for ids, _ in asked.values()) // PAIRS))
+        hits = hits.unionByName(stored.coalesce(tasks).mapInArrow(_best_of(asked, k), "qid long, id long, score double"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return hits.withColumn("rank", rank - 1).filter(F.col("rank") < k)
 
