@@ -1,7 +1,8 @@
 """Text as Columns: normalisation profiles, tokens, stems, detection, ids, highlights.
 
-Every function is built from Spark's own expressions. Composition to NFC is the
-one exception (Spark has no built-in) and is applied once, at ingestion.
+Every function is built from Spark's own expressions. The profiles compose the
+letters and marks of the Arabic block by expression; nfc(), a Pandas UDF, does
+so for all of Unicode and is applied once, at ingestion.
 """
 
 from __future__ import annotations
@@ -66,6 +67,41 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
+#: Combining classes of the marks of the Arabic block, by rule: what Unicode says of each.
+_CLASSES = {chr(k): unicodedata.combining(chr(k)) for k in range(0x600, 0x700) if unicodedata.combining(chr(k))}
+#: Its letters that are a letter and a mark: {letter: the two}.
+_PARTS = {chr(k): "".join(chr(int(x, 16)) for x in unicodedata.decomposition(chr(k)).split()) for k in range(0x600, 0x700) if unicodedata.decomposition(chr(k))[:1] not in ("", "<")}
+_MARKS = "[" + "".join(_CLASSES) + "]"
+
+
+def composed(c: Column | str) -> Column:
+    """Letters and marks of the Arabic block in composed form, as NFC has them; other characters stay as they are.
+
+    Composed letters are taken apart, the marks that follow a letter sorted by their class, and put together again: a
+    mark joins its letter where they make one and no mark of its own class stands between.
+    """
+    t = _col(c)
+    apart = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _PARTS.items(), t)
+    lookup = lambda table: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    class_of, whole = lookup(_CLASSES), lookup({v: k for k, v in _PARTS.items()})
+
+    def joined(now: Column, m: Column) -> Column:
+        made = F.try_element_at(whole, F.concat(now["letter"], m["mark"]))
+        fits = made.isNotNull() & (now["last"] < m["class"])
+        return F.struct(F.when(fits, made).otherwise(now["letter"]).alias("letter"), F.when(fits, now["rest"]).otherwise(F.concat(now["rest"], m["mark"])).alias("rest"), F.when(fits, now["last"]).otherwise(m["class"]).alias("last"))
+
+    def cluster(part: Column) -> Column:
+        plain = F.regexp_replace(part, f"{_MARKS}+$", "")
+        marks = F.filter(F.split(F.substr(part, F.length(plain) + 1), ""), lambda m: m != "")
+        order = F.sort_array(F.transform(marks, lambda m, i: F.struct(F.element_at(class_of, m).alias("class"), i.alias("i"), m.alias("mark"))))
+        start = F.struct(F.right(plain, F.lit(1)).alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+        end = F.aggregate(order, start, joined, lambda x: F.concat(x["letter"], x["rest"]))
+        return F.when(part == plain, part).otherwise(F.concat(F.left(plain, F.length(plain) - 1), end))
+
+    parts = F.transform(F.regexp_extract_all(apart, F.lit(f"[^{_MARKS[1:-1]}]*{_MARKS}*"), F.lit(0)), cluster)
+    return F.when(F.rlike(t, F.lit(_MARKS)), F.array_join(parts, "")).otherwise(t)
+
+
 def trimmed(c: Column | str) -> Column:
     """White space of any script taken off both ends."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -76,7 +112,7 @@ def collapsed(c: Column | str) -> Column:
 
 
 def _bare(c: Column | str) -> Column:
-    return F.replace(F.regexp_replace(_col(c), TASHKEEL, ""), F.lit(TATWEEL), F.lit(""))
+    return F.replace(F.regexp_replace(composed(c), TASHKEEL, ""), F.lit(TATWEEL), F.lit(""))
 
 
 def normalize_clean(c: Column | str, profile: str = "delete") -> Column:

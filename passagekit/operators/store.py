@@ -81,3 +81,44 @@ def read_store(raw: DataFrame, version: int, kind: str, col: str = "value") -> D
     """Conversations of stored JSON; corrupt text or another version gives none."""
     parsed = raw.select(F.from_json(F.col(col), f"version int, activeId string, conversations array<{kind}>").alias("s"))
     return parsed.filter(F.col("s.version") == version).select(F.explode("s.conversations").alias("c")).select("c.*")
+
+
+def replay(log: DataFrame, title: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conversations: id, title, messages, created_at, updated_at; active: one row, id): the state that a log of changes leaves.
+
+    log: (seq, op, id, messages, at), op one of create, save, delete and activate. A conversation is empty and active
+    when created; saving replaces its messages and makes it active, where there is one; deleting the active one leaves
+    none active; activate takes any id, null included. seq is unique. title: of the messages, title_of the first user
+    message that isn't blank if not given.
+    """
+    by_id = Window.partitionBy("id").orderBy("seq")
+    rows = log.filter(F.col("op").isin("create", "save", "delete") & F.col("id").isNotNull())
+    there = F.last(F.when(F.col("op") == "create", 1).when(F.col("op") == "delete", 0), ignorenulls=True)
+    rows = rows.withColumn("__there", F.coalesce(there.over(by_id), F.lit(0)))
+    rows = rows.filter((F.col("op") == "delete") | (F.col("__there") == 1))  # what was saved after its end goes
+    life = F.count_if(F.col("op") == "create").over(by_id)
+    rows = rows.withColumn("__life", life)
+    last = rows.groupBy("id").agg(F.max_by(F.struct("op", "__life"), "seq").alias("__last"))
+    alive = last.filter(F.col("__last.op") != "delete").select("id", F.col("__last.__life").alias("__life"))
+    own = rows.join(alive, ["id", "__life"]).filter(F.col("op") != "delete").groupBy("id").agg(
+        F.max_by("messages", F.when(F.col("op") == "save", F.col("seq"))).alias("messages"), F.min_by("at", "seq").alias("created_at"), F.max_by("at", "seq").alias("updated_at")
+    )
+    said = F.filter("messages", lambda m: (m["role"] == "user") & (collapsed(F.coalesce(m["content"], F.lit(""))) != ""))
+    named = F.coalesce(title_of(F.try_element_at(said, F.lit(1))["content"]), F.lit("New conversation")) if title is None else title
+    conversations = own.select("id", named.alias("title"), "messages", "created_at", "updated_at")
+    # who made itself active last, and whether it was deleted after; one row of either
+    moves = rows.filter(F.col("op") != "delete").select("seq", "id").unionByName(log.filter("op = 'activate'").select("seq", "id"))
+    active = moves.agg(F.max("seq").alias("seq"), F.max_by(F.struct("id"), "seq").alias("m")).select("seq", F.col("m.id").alias("id"))
+    ends = log.filter("op = 'delete'").select(F.col("id").alias("__gone"), F.col("seq").alias("__end"))
+    active = active.join(ends, (F.col("id") == F.col("__gone")) & (F.col("__end") > F.col("seq")), "left").agg(F.max(F.when(F.col("__gone").isNull(), F.col("id"))).alias("id"))
+    return conversations, active
+
+
+def snapshot(conversations: DataFrame, active: DataFrame, version: int = 1) -> DataFrame:
+    """(value): the store as one JSON text a conversation's client reads whole; for one user's conversations, which are few.
+
+    read_store() reads it back.
+    """
+    listed = conversations.agg(F.sort_array(F.collect_list(F.struct(*conversations.columns))).alias("conversations"))
+    rows = listed.join(F.broadcast(active.select(F.col("id").alias("activeId"))))  # one row each
+    return rows.select(F.to_json(F.struct(F.lit(version).alias("version"), "activeId", "conversations")).alias("value"))

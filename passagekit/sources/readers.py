@@ -17,23 +17,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _int(c: str) -> Column:
     v = F.trim(F.col(c)).try_cast("int")
-    return F.when(v.isNotNull(), v).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no integer: "), F.coalesce(F.col(c), F.lit("null")), F.lit(" in "), F.col("__where"))).cast("int"))
+    return F.when(v.isNotNull(), v).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no integer: "), F.coalesce(F.col(c), F.lit("null")), F.lit(" in "), F.col("__file"), F.lit(" line "), F.col("__line").cast("string"))).cast("int"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): the lines of text files with their numbers, from 1, however the files are split.
+
+    A split's lines stand together in a partition, so a line's number is its distance from the split's first plus the
+    lines of the file's earlier splits. Those are one row a split; lines aren't shuffled.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    rows = lines.join(splits.select("file", "__at", "__first", "__base"), ["file", "__at"])
+    return rows.select("value", "file", (F.col("__base") + F.col("__id") - F.col("__first") + 1).alias("line"))
 
 
 def read_raw_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """num_soura, num_aya (int), aya, name_soura (stripped). A byte order mark is passed over.
 
     A missing column raises ValueError naming it; a number that is none fails
-    the job with the value and its file. place: a column of that name tells where
-    a row stood: its file, the part of the file, its place in that part.
+    the job with the value, its file and line. A record is one line; files have
+    one header each, alike. place: a column of that name tells where a row
+    stood: its file and line.
     """
-    df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False)
-    df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
-    missing = [c for c in schema.RAW_CSV.fieldNames() if c not in df.columns]
+    head = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False).columns
+    names = [c.lstrip("\ufeff").strip() for c in head]
+    missing = [c for c in schema.RAW_CSV.fieldNames() if c not in names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    at = [F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
-    df = df.withColumn("__where", F.input_file_name())
+    kind = ", ".join(f"`{c}` string" for c in names)
+    lines = numbered_lines(spark, path).filter((F.col("line") > 1) & (F.trim("value") != ""))
+    df = lines.select(F.from_csv("value", kind).alias("r"), F.col("file").alias("__file"), F.col("line").alias("__line")).select("r.*", "__file", "__line")
+    at = [F.struct(F.col("__file").alias("file"), F.col("__line").alias("line")).alias(place)] if place else []
     return df.select(*at, _int("num_soura").alias("num_soura"), _int("num_aya").alias("num_aya"), *(trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("aya", "name_soura")))
 
 
