@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import COMMON_WORDS, MEDINAN_CHAPTERS, PART_STARTS
-from .queries import ARABIC, LADDER, PREFIXES, QUESTION, STOP, SUFFIXES
+from .queries import ARABIC, LADDER, LATIN, LETTERS_FOR, PREFIXES, QUESTION, SPELT, STOP, SUFFIXES
 
 _WS = r"\s+"
 _TOK = rf"list_filter(string_split_regex(lower(coalesce(text, '')), '{_WS}'), lambda x: x <> '')"
@@ -124,6 +124,12 @@ def _hybrid(wanted: str, period: str, k: int) -> str:
 _VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(ARABIC))
 _TASH = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{0640}]"
 
+_SPELT = f"translate(lower(w), '{LATIN}', '{LETTERS_FOR}')"
+for _old, _new in SPELT:
+    _SPELT = f"replace({_SPELT}, '{_old}', '{_new}')"
+_CLEAN = "replace(translate({t}, 'أإآٱىؤئ', 'اااايوي'), 'ء', '')"
+_GRAMS = r"""list_filter(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]), lambda g: trim(g) <> '')"""
+
 ORACLES: dict[str, str] = {
     "normalize_search": rf"SELECT doc_id, translate(regexp_replace(regexp_replace(translate(regexp_replace(nfc_normalize(text), '{_TASH}', '', 'g'), 'أإآٱؤئ', 'ااااوي'), '^\s+|\s+$', '', 'g'), '[\x{{06D6}}-\x{{06ED}}]', '', 'g'), 'ىة', 'يه') AS norm FROM documents",
     "normalize_arabic": rf"""WITH v(k, t) AS (VALUES {_VALUES}), b AS (SELECT k, regexp_replace(t, '{_TASH}', '', 'g') AS t FROM v)
@@ -267,4 +273,57 @@ ORACLES: dict[str, str] = {
     "ingest_quality": f"""WITH r AS (SELECT o_custkey % 120 AS s, o_orderstatus AS st FROM orders)
         SELECT count(*) AS n, count(DISTINCT s) AS chapters, count(*) FILTER (st = 'O') AS empty_clean, count(*) FILTER (NOT (s IN ({_MEDINAN}) OR s BETWEEN 1 AND 114)) AS no_period,
                count(*) FILTER (s NOT IN (SELECT n_nationkey FROM nation)) AS no_name, count(*) FILTER (st = 'P') AS no_roots FROM r""",
+    "csv_records": rf"""SELECT conv_id || ':' || turn AS id, conv_id AS surah_number, role AS surah_name_ar, turn AS ayah_number, md5(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS text, 0 AS fr, 0 AS juz, 0 AS n_roots FROM conversations""",
+    "vocalized_csv": "SELECT CAST(substr(source, 4) AS INT) AS surah_number, length(lang) AS ayah_number, max(doc_id) AS last, source AS surah_name FROM documents GROUP BY source, length(lang)",
+    "json_records": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(substr(source, 4) AS INT) AS surah_number, CAST(doc_id AS INT) AS ayah_number, lang AS period, md5(text) AS text, true AS no_juz FROM documents",
+    "translation_maps": f"""WITH t AS (SELECT doc_id, lang, array_to_string(({_TOK})[1:5], ' ') AS t FROM documents)
+        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'fr' THEN t ELSE '' END AS translation_fr, CASE WHEN lang = 'en' THEN t ELSE '' END AS translation_en FROM t""",
+    "edition_json": "SELECT conv_id || ':' || turn AS id, role AS text FROM conversations",
+    "normalize_words": rf"""WITH w AS (SELECT DISTINCT unnest({_TOK}) AS w FROM documents), t AS (SELECT w, {_SPELT} AS t FROM w), b AS (SELECT w, t, regexp_replace(nfc_normalize(t), '{_TASH}', '', 'g') AS b FROM t)
+        SELECT w, md5(t) AS t, {_CLEAN.format(t='b')} AS clean, {_CLEAN.format(t="translate(b, 'أإؤئ', 'ءءءء')")} AS fold, translate(b, 'أإآٱؤئ', 'ااااوي') AS root, translate(translate(b, 'أإآٱؤئ', 'ااااوي'), 'ىة', 'يه') AS search FROM b""",
+    "morphology_words": f"""WITH {_SEG}, m AS (SELECT verse_id, s, doc, form, CASE WHEN length(form) > 8 THEN substr(form, 2, 3) ELSE substr(form, 1, 3) END AS root FROM seg0 WHERE length(form) > 4 OR length(form) = 1),
+        f AS (SELECT root, md5(string_agg(form, '|' ORDER BY form)) AS forms FROM (SELECT DISTINCT root, form FROM m) GROUP BY root),
+        v AS (SELECT root, md5(string_agg(verse_id, '|' ORDER BY s, doc)) AS verses, count(*) AS count FROM (SELECT DISTINCT root, verse_id, s, doc FROM m) GROUP BY root)
+        SELECT root, forms, verses, count FROM f JOIN v USING (root)""",
+    "vector_table": _VECTOR_BATCH.format(where="b.label = 3", k=20).replace("AS score FROM", "AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) - 1 AS rank FROM", 1),
+    "streamed_index": f"WITH {_bm25(_BATCH, 20)} SELECT qid, doc, round(score, 6) AS score FROM bm",
+    "streamed_sessions": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)
+        SELECT CAST(user_id AS VARCHAR) AS session_id, 2 * k AS idx, 'user' AS role, md5(event_type) AS content, '[]' AS sources, round(value, 6) AS created_at FROM e
+        UNION ALL SELECT CAST(user_id AS VARCHAR), 2 * k + 1, 'assistant', md5(props), '[]', round(value, 6) FROM e""",
+    "passage_texts": """WITH t AS (SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE source END AS a, lang AS b FROM documents)
+        SELECT doc_id, concat_ws(' ', nullif(a, ''), nullif(b, '')) AS index_text, 'passage: ' || coalesce(nullif(a, ''), '') AS passage, 'query: ' || b AS query, coalesce(nullif(a, ''), nullif(b, ''), '') AS first FROM t""",
+    "detect_language_profiles": rf"""WITH p AS (SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM documents),
+        g AS (SELECT doc_id, lang, held_out, unnest({_GRAMS}) AS gram FROM p), n AS (SELECT lang, gram, count(*) AS c FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+        kept AS (SELECT DISTINCT gram FROM (SELECT lang, gram FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= 2000)), langs AS (SELECT DISTINCT lang FROM n),
+        x AS (SELECT gram, langs.lang, coalesce(n.c, 0) AS c FROM kept CROSS JOIN langs LEFT JOIN n USING (lang, gram)), s AS (SELECT lang, sum(c) AS t, count(*) AS v FROM x GROUP BY lang),
+        prof AS (SELECT gram, lang, ln((c + 0.5e0) / (t + 0.5e0 * v)) AS lp FROM x JOIN s USING (lang)), tf AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL),
+        sc AS (SELECT doc_id, prof.lang, sum(tf * lp) AS s, sum(tf) AS grams FROM tf JOIN prof USING (gram) GROUP BY ALL), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
+        SELECT d.doc_id, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out, CASE WHEN regexp_matches(d.text, '[\x{{0600}}-\x{{06FF}}]') THEN 'ar' ELSE coalesce(best.lang, 'unknown') END AS language, coalesce(grams, 0)::BIGINT AS grams
+        FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id""",
+    "stem_branch": f"""WITH {_SEG}, w AS (SELECT DISTINCT unnest({_TOK}) AS word FROM benchmark), k AS (SELECT DISTINCT root FROM seg), fm AS (SELECT DISTINCT form, root FROM seg WHERE length(form) > 5),
+        h AS (SELECT word, root, 0 AS o FROM w JOIN k ON root = word UNION ALL SELECT word, root, 1 FROM w JOIN fm ON form = word), h1 AS (SELECT word, root, min(o) AS o FROM h GROUP BY ALL),
+        a AS (SELECT word, string_agg(root, '|' ORDER BY o, root) AS roots FROM h1 GROUP BY word),
+        l AS (SELECT word, regexp_replace(word, '{_LETTERS}', '', 'g') AS w FROM w), p AS (SELECT word, {_stem('w')} AS w FROM l), s AS (SELECT word, {_stem_end('w')} AS w FROM p)
+        SELECT s.word, coalesce(a.roots, k.root, '') AS roots FROM s LEFT JOIN a ON a.word = s.word LEFT JOIN k ON k.root = s.w""",
+    "key_lookup": f"WITH {_bm25(_BATCH, 5)} SELECT qid, doc AS id, source, n_chars, rank FROM bm JOIN documents ON doc_id = doc",
+    "conversation_store": """WITH ev AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS id, event_type, CASE WHEN event_type IN ('signup', 'view') THEN 'create' WHEN event_type = 'purchase' AND value > 60 THEN 'delete' ELSE 'save' END AS op FROM events),
+        c AS (SELECT id, min(seq) AS c FROM ev WHERE op = 'create' GROUP BY id), dd AS (SELECT id, min(seq) AS d FROM ev JOIN c USING (id) WHERE op = 'delete' AND seq > c GROUP BY id),
+        s AS (SELECT id, seq, event_type FROM ev JOIN c USING (id) LEFT JOIN dd USING (id) WHERE op = 'save' AND seq > c AND (d IS NULL OR seq < d)),
+        l AS (SELECT id, max(seq) AS u, arg_max(event_type, seq) AS t FROM s GROUP BY id), mv AS (SELECT seq, id FROM s UNION ALL SELECT c, id FROM c), lm AS (SELECT arg_max(id, seq) AS id, max(seq) AS seq FROM mv),
+        a AS (SELECT CASE WHEN (SELECT count(*) FROM ev, lm WHERE op = 'delete' AND ev.id = lm.id AND ev.seq > lm.seq) > 0 THEN NULL ELSE id END AS active FROM lm)
+        SELECT c.id, coalesce(t, 'New conversation') AS title, CASE WHEN t IS NULL THEN 0 ELSE 1 END AS n, c.c::DOUBLE AS created_at, coalesce(u, c.c)::DOUBLE AS updated_at, active
+        FROM c LEFT JOIN dd USING (id) LEFT JOIN l USING (id), a WHERE d IS NULL""",
+    "history_fallback": "SELECT role, md5(text) AS content FROM conversations WHERE conv_id = 3 ORDER BY turn",
+    "analysis": f"""WITH {_SEG}, {_QROOTS}, first AS (SELECT qid, arg_min(root, ord) AS root FROM qroots GROUP BY qid),
+        v AS (SELECT root, list(verse_id ORDER BY s, doc) AS l, count(*) AS n FROM (SELECT DISTINCT root, verse_id, s, doc FROM seg) GROUP BY root),
+        k AS (SELECT qid, root, n, CASE WHEN n <= 30 THEN l ELSE list_transform(range(30), lambda i: l[CAST(floor(i * (n / 30e0)) AS INT) + 1]) END AS x FROM first LEFT JOIN v USING (root))
+        SELECT qid, root, coalesce(n, 0) > 0 AS found, CASE WHEN coalesce(n, 0) > 0 THEN '[1] Surah src' || split_part(x[1], ':', 1) || ' (' || split_part(x[1], ':', 1) || '), Verse ' || split_part(x[1], ':', 2) || ' [' || x[1] || ']' ELSE '' END AS answer,
+               CASE WHEN coalesce(n, 0) > 0 THEN array_to_string(x[1:12], '|') END AS key_verses FROM k""",
+    "hook_scores": f"""WITH {_bm25(_BATCH, 16)}, j AS (SELECT qid, doc, rank AS pos, n_chars, max(n_chars) OVER (PARTITION BY qid) > 20000 AS bad FROM bm JOIN documents ON doc_id = doc)
+        SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN bad THEN 0 ELSE n_chars END, pos) - 1 AS rank, CASE WHEN NOT bad THEN -n_chars::DOUBLE END AS rerank_score, n_chars > 20000 AS failed FROM j QUALIFY rank < 5""",
+    "ingest_report": f"""WITH {_SEG}, said AS (SELECT DISTINCT (conv_id % 114 + 1) || ':' || turn AS id FROM conversations WHERE role = 'user' AND role <> ''),
+        fr AS (SELECT count(*) FILTER ((conv_id % 114 + 1) || ':' || turn IN (SELECT id FROM said)) AS fr, 0 AS en FROM conversations),
+        r AS (SELECT 'records' AS stage, (SELECT count(*) FROM conversations) AS rows UNION ALL SELECT 'root_index', (SELECT count(DISTINCT root) FROM seg) UNION ALL SELECT 'forms', (SELECT count(DISTINCT form) FROM seg) UNION ALL SELECT 'lemmas', (SELECT count(DISTINCT form) FROM seg))
+        SELECT stage, rows, fr, en FROM r, fr""",
+    "server_events": """SELECT conv_id, turn, 'data: {"type":"' || role || '","n":' || turn || '}' || chr(10) || chr(10) AS line FROM conversations""",
 }

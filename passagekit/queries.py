@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, inverted, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
+from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, hooks, inverted, key_index, langdetect, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
 from .plans import chat, ingest, retrieval
 from .session import application_dir, materialized, stored
-from .sinks.writers import last_vectors, write_stage
-from .sources.readers import parse_morphology
+from .sinks.writers import create_vectors, last_vectors, sse_line, upsert_vectors, write_stage
+from .sources.readers import canonical_records, parse_morphology, read_edition, read_morphology, read_raw_csv, read_records, read_translations, read_vocalized
+from .streaming import index_build, session_log
 
 PREFIXES, SUFFIXES = ("re", "un", "in"), ("tion", "ing", "ed", "es", "ly", "er")
 LETTERS = "a-zß-ÿ"
@@ -577,6 +578,215 @@ def ingest_quality(spark, d):
     return ingest.quality(ingest.enrich(rows, names))
 
 
+# --- sources and sinks, over files that Spark writes from the tables ----------
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _flat(c: str) -> Column:
+    """A text as one line, for formats of a record a line."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def csv_records(spark, d):
+    """Turns written as CSV, read as raw rows and made records."""
+    path = _scratch(spark, "csv")
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("num_soura"), F.col("turn").alias("num_aya"), _flat("text").alias("aya"), F.concat(F.lit(" "), "role").alias("name_soura"))
+    rows.repartition(3).write.option("header", True).option("escape", '"').csv(path)
+    got = canonical_records(read_raw_csv(spark, path))
+    return got.select("id", "surah_number", "ayah_number", "surah_name_ar", F.md5("text_ar").alias("text"), F.length("translation_fr").cast("long").alias("fr"), "juz", F.size("roots").cast("long").alias("n_roots"))
+
+
+def vocalized_csv(spark, d):
+    """Documents by source and language, as CSV with repeated keys: the last line of each counts."""
+    path = _scratch(spark, "vocalized")
+    rows = _t(spark, d, "documents").orderBy("doc_id").select(F.substring("source", 4, 9).cast("int").alias("num_soura"), F.length("lang").alias("num_aya"), F.col("doc_id").cast("string").alias("aya"), F.col("source").alias("name_soura"))
+    rows.write.option("header", True).csv(path)  # parts in order
+    return read_vocalized(spark, path).select("surah_number", "ayah_number", F.col("text").cast("long").alias("last"), "surah_name")
+
+
+def json_records(spark, d):
+    """Records written as lines of JSON and read as the corpus is."""
+    path = _scratch(spark, "records") + ".jsonl"
+    records = _records(spark, d, F.col("lang")).withColumn("id", F.col("id").cast("string"))
+    write_stage(records, path, "json")
+    return read_records(spark, path).select("id", "surah_number", "ayah_number", "period", F.md5("text_ar").alias("text"), F.col("juz").isNull().alias("no_juz"))
+
+
+def translation_maps(spark, d):
+    """A JSON object of id and text a language, and one that isn't there; filled into records."""
+    path, docs = _scratch(spark, "maps"), _t(spark, d, "documents")
+    texts = docs.select("lang", F.col("doc_id").cast("string").alias("id"), F.concat_ws(" ", F.slice(X.tokens("text"), 1, 5)).alias("text"))
+    entry = F.to_json(F.create_map("id", "text"))  # one to a line, as an indented file has them
+    for lang in ("fr", "en"):  # the two that records have
+        texts.filter(F.col("lang") == lang).select(F.concat(F.lit("  "), F.substr(entry, F.lit(2), F.length(entry) - 2), F.lit(","))).write.text(f"{path}/{lang}")
+    said = read_translations(spark, {"fr": f"{path}/fr", "en": f"{path}/en", "xx": f"{path}/none"})
+    records = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("translation_fr"), F.lit("").alias("translation_en"))
+    return ingest.translate(records, said).select("id", "translation_fr", "translation_en")
+
+
+def edition_json(spark, d):
+    """Turns as nested answers of an editions interface, flattened."""
+    path = _scratch(spark, "edition")
+    verses = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("numberInSurah"), F.concat(F.lit(" "), "role").alias("text")))).alias("ayahs"))
+    # an answer is one file of one object; here there are 64 of them
+    whole = verses.groupBy(F.col("conv_id") % 64).agg(F.sort_array(F.collect_list(F.struct(F.col("conv_id").alias("number"), "ayahs"))).alias("surahs")).select(F.to_json(F.struct(F.struct("surahs").alias("data"))).alias("value"))
+    whole.write.option("maxRecordsPerFile", 1).text(path)
+    return read_edition(spark, path).select("id", "text")
+
+
+LATIN, LETTERS_FOR = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+#: Pairs of letters and what stands for them: carriers of hamza, whole and apart from their marks, vowel signs, the stretching sign.
+SPELT = (("اه", "\u0627\u064e\u0654ه"), ("نت", "ن\u0652تـ"), ("هر", "ؤر"), ("ين", "ىء"), ("تا", "ي\u0654ةا"), ("ده", "د\u0627\u0653"))
+
+
+def _arabic(c: Column) -> Column:
+    """Latin letters as Arabic ones, some pairs spelt as SPELT has them."""
+    t = F.translate(F.lower(c), LATIN, LETTERS_FOR)
+    for old, new in SPELT:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
+
+
+def normalize_words(spark, d):
+    """Every different word of documents, in Arabic letters, through the profiles."""
+    words = _t(spark, d, "documents").select(F.explode(X.tokens("text")).alias("w")).distinct().select("w", _arabic(F.col("w")).alias("t"))
+    return words.select("w", F.md5("t").alias("t"), X.normalize_clean("t").alias("clean"), X.normalize_clean("t", "fold").alias("fold"), X.normalize_root("t").alias("root"), X.normalize_search("t").alias("search"))
+
+
+def morphology_words(spark, d):
+    """Words of documents as lines of a morphology file, some of them broken, parsed and indexed."""
+    w = _t(spark, d, "documents").select(F.substring("source", 4, 9).alias("s"), "doc_id", F.posexplode(X.tokens("text")).alias("p", "w"))
+    w = w.withColumn("w", F.regexp_replace("w", f"[^{LETTERS}]", "")).filter("w <> ''")
+    place = F.concat(F.lit("("), F.when(F.length("w") == 2, "x").otherwise(F.col("s")), F.lit(":"), "doc_id", F.lit(":"), F.col("p") + 1, F.lit(":1)"))
+    features = F.concat(F.lit("STEM|ROOT:"), F.substring("w", 1, 3), F.lit("|LEM:"), F.col("w"), F.when(F.length("w") > 8, F.concat(F.lit("|ROOT:"), F.substring("w", 2, 3))).otherwise(""))
+    line = F.when(F.length("w") == 3, F.concat_ws("\t", place, "w")).when(F.length("w") == 4, F.concat_ws("\t", place, "w", F.lit("N"), F.lit("STEM"))).otherwise(F.concat_ws("\t", place, "w", F.lit("N"), features))
+    path = _scratch(spark, "morphology")
+    w.select(line.alias("value")).write.text(path)
+    rows = inverted.root_index(read_morphology(spark, path))
+    return rows.select("root", F.md5(F.array_join("forms_found", "|")).alias("forms"), F.md5(F.array_join("verses", "|")).alias("verses"), "count")
+
+
+def vector_table(spark, d):
+    """A vector table parted by label, made once, filled twice and read by a filter of its part."""
+    path = _scratch(spark, "vectors")
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    create_vectors(spark, path, rows.schema, ["label"])
+    new = upsert_vectors(rows.withColumn("vector", F.reverse("vector")), rows)
+    new.write.mode("append").partitionBy("label").parquet(path)
+    create_vectors(spark, path, rows.schema, ["label"])  # is there: stays
+    stored_rows = spark.read.schema(rows.schema).parquet(path).filter(vectors.equality_filter({"label": 3}, ("label",)))
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    return vectors.top_k_batch(stored_rows, asked, 20).select("qid", "id", _r("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def streamed_index(spark, d):
+    """Files of documents through the resumable sparse build, in two runs, then searched."""
+    path = _scratch(spark, "stream")
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    kind = docs.select("doc_id", "text").schema
+    docs.filter("lang <> 'en' or lang is null").select("doc_id", "text").write.parquet(f"{path}/in/a")
+    index_build.build_sparse(spark, f"{path}/in/*", kind, f"{path}/index", f"{path}/ck", "doc_id", F.col("text"))
+    docs.filter("lang = 'en'").select("doc_id", "text").write.parquet(f"{path}/in/b")
+    index_build.build_sparse(spark, f"{path}/in/*", kind, f"{path}/index", f"{path}/ck", "doc_id", F.col("text"))
+    return bm25.search(segments.load(spark, f"{path}/index"), _asked(spark, d), F.col("text"), 20).select("qid", "doc", _r("score"))
+
+
+def streamed_sessions(spark, d):
+    """Turns of events through the streaming session log, in two runs."""
+    path = _scratch(spark, "sessions")
+    e = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("question"), F.col("props").alias("answer"), F.lit(None).cast("string").alias("sources"), F.col("value").alias("created_at"))
+    half = e.agg(F.expr("percentile_approx(seq, 0.5)").alias("m")).first()["m"]
+    for part, rows in (("a", e.filter(F.col("seq") <= half)), ("b", e.filter(F.col("seq") > half))):
+        rows.write.parquet(f"{path}/in/{part}")
+        session_log.append_sessions(spark, f"{path}/in/*", f"{path}/out", f"{path}/ck")
+    return session_log.read_messages(spark, f"{path}/out").select("session_id", "idx", "role", F.md5("content").alias("content"), "sources", _r("created_at"))
+
+
+# --- texts, languages, stores, hooks ------------------------------------------
+def passage_texts(spark, d):
+    """What is embedded of passages and questions."""
+    rows = _t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", "").otherwise(F.col("source")).alias("a"), F.col("lang").alias("b"), F.lit(None).cast("string").alias("c"))
+    return rows.select("doc_id", X.index_text("a", "b", "c").alias("index_text"), X.passage_text("a", "c").alias("passage"), X.query_text("b").alias("query"), X.first_filled("a", "c", "b").alias("first"))
+
+
+def detect_language_profiles(spark, d):
+    """Every document's language from character profiles, learnt from three of four folds of the id's hash."""
+    docs = _t(spark, d, "documents")
+    held = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3")
+    known = materialized(langdetect.profiles(docs.filter(~held)))
+    return langdetect.detect(docs, known, "doc_id").join(docs.select("doc_id", held.alias("held_out")), "doc_id").select("doc_id", "held_out", "language", F.col("grams").cast("long").alias("grams"))
+
+
+def stem_branch(spark, d):
+    """Words of questions that no root, form or lemma knows, through the stem."""
+    seg = _segs(spark, d)
+    words = _asked(spark, d).select(F.explode(X.tokens("text")).alias("word")).distinct()
+    roots, forms = seg.select("root").distinct(), inverted.resolution_map(seg.filter(F.length("form") > 5), "form")
+    rows = inverted.resolve(words, roots, forms, forms.limit(0), stem=_stem)
+    return rows.select("word", F.array_join("roots", "|").alias("roots"))
+
+
+def key_lookup(spark, d):
+    """Hits joined to records by key, both in buckets of it."""
+    name, path = f"r{uuid.uuid4().hex}", _scratch(spark, "keys")
+    records = key_index.write(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars"), name, path, "id", 16)
+    hits = bm25.search(_index(spark, d), _asked(spark, d), F.col("text"), 5).withColumnRenamed("doc", "id")
+    return key_index.join(hits, records, "id").select("qid", "id", "source", "n_chars", F.col("rank").cast("long").alias("rank"))
+
+
+def conversation_store(spark, d):
+    """Events as a log of a user's conversations: what is left of it."""
+    e = _t(spark, d, "events")
+    op = F.when(F.col("event_type").isin("signup", "view"), "create").when((F.col("event_type") == "purchase") & (F.col("value") > 60), "delete").otherwise("save")
+    first = F.row_number().over(Window.partitionBy("user_id", op).orderBy("event_id")) == 1
+    log = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("id"), F.array(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content"))).alias("messages"), F.col("event_id").cast("double").alias("at"), first.alias("first"))
+    log = log.filter("op <> 'create' or first").drop("first")
+    conversations, active = store.replay(log)
+    return conversations.select("id", "title", F.coalesce(F.size("messages"), F.lit(0)).cast("long").alias("n"), "created_at", "updated_at").join(F.broadcast(active.select(F.col("id").alias("active"))))  # one row
+
+
+def history_fallback(spark, d):
+    """Messages of the sessions that the feedback names, in order."""
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("idx"), "role", F.md5("text").alias("content"))
+    return store.history(rows, "3").select("role", "content")
+
+
+def analysis(spark, d):
+    """Lexical results as messages and answers of the stand-in model, twelve key verses at most."""
+    asked = _asked(spark, d)
+    records = _records(spark, d, F.col("lang")).withColumn("id", F.concat_ws(":", "surah_number", "ayah_number")).drop("text_ar").withColumn("text_ar", F.col("surah_name_ar"))
+    found = lexical.lookup_long(_query_roots(asked), _segs(spark, d), records, 30)
+    rows = chat.analyse(found, F.lit("en"))
+    return rows.select("qid", "root", "found", "answer", F.array_join(F.transform("key_verses", lambda v: v["id"]), "|").alias("key_verses"))
+
+
+def hook_scores(spark, d):
+    """BM25's first 16 re-ranked by a model hook that fails for long texts: their questions keep BM25's order."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("passage"), "n_chars")
+    pool = bm25.search(_index(spark, d), _asked(spark, d), F.col("text"), 16).withColumnRenamed("rank", "pos").join(docs, "doc")
+    passage = F.when(F.col("n_chars") > 20000, "").otherwise(F.col("n_chars").cast("string"))
+    rows = hooks.rerank_with(pool.select("qid", "doc", "pos", passage.alias("passage")), F.col("qid").cast("string"), F.col("passage"), lambda: lambda pairs: [-float(p) for _, p in pairs], k=5)
+    return rows.select("qid", "doc", F.col("rerank_rank").cast("long").alias("rank"), "rerank_score", F.col("rerank_error").isNotNull().alias("failed"))
+
+
+def ingest_report(spark, d):
+    """The whole ingestion of turns, written, with the rows of each of its tables."""
+    rows = _t(spark, d, "conversations").select((F.col("conv_id") % 114 + 1).cast("int").alias("num_soura"), F.col("turn").cast("int").alias("num_aya"), F.col("text").alias("aya"), F.col("role").alias("name_soura"))
+    seg = _segs(spark, d)
+    said = _t(spark, d, "conversations").filter("role = 'user'").select(F.lit("fr").alias("lang"), X.passage_id(F.col("conv_id") % 114 + 1, "turn").alias("id"), F.col("role").alias("text"))
+    report: list = []
+    out = ingest.run(rows, seg, said, out=_scratch(spark, "ingested"), report=report)
+    seen = spark.createDataFrame([(r["stage"], r["rows"]) for r in report], "stage string, rows long")
+    return seen.crossJoin(F.broadcast(ingest.coverage(out["records"])))  # one row
+
+
+def server_events(spark, d):
+    """Turns as server-sent events (K8)."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("type"), F.col("turn").alias("n")).alias("e"))
+    return rows.select("conv_id", "turn", sse_line(F.col("e")).alias("line"))
+
+
 FLAGSHIP = hybrid_rrf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -590,5 +800,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chapter_list, chapter_detail, session_append, session_history, feedback_upsert, feedback_stats, conversation_titles, retry_truncation,
         json_sources_roundtrip, query_expand, merge_filters, format_context, chat_prompt, data_quality_counters, payload_projection,
         vector_upsert_lastwins, eval_metrics, stem_index, content_roots, word_lookup, verse_detail, api_projection, retrieval_query, ingest_quality,
+        csv_records, vocalized_csv, json_records, translation_maps, edition_json, normalize_words, morphology_words, vector_table, streamed_index,
+        streamed_sessions, passage_texts, detect_language_profiles, stem_branch, key_lookup, conversation_store, history_fallback, analysis,
+        hook_scores, ingest_report, server_events,
     )
 }

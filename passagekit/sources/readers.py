@@ -42,14 +42,14 @@ def read_raw_csv(spark: SparkSession, path: str, place: str | None = None) -> Da
     one header each, alike. place: a column of that name tells where a row
     stood: its file and line.
     """
-    head = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False).columns
+    head = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False, escape='"').columns
     names = [c.lstrip("\ufeff").strip() for c in head]
     missing = [c for c in schema.RAW_CSV.fieldNames() if c not in names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     kind = ", ".join(f"`{c}` string" for c in names)
     lines = numbered_lines(spark, path).filter((F.col("line") > 1) & (F.trim("value") != ""))
-    df = lines.select(F.from_csv("value", kind).alias("r"), F.col("file").alias("__file"), F.col("line").alias("__line")).select("r.*", "__file", "__line")
+    df = lines.select(F.from_csv("value", kind, {"escape": '"'}).alias("r"), F.col("file").alias("__file"), F.col("line").alias("__line")).select("r.*", "__file", "__line")
     at = [F.struct(F.col("__file").alias("file"), F.col("__line").alias("line")).alias(place)] if place else []
     return df.select(*at, _int("num_soura").alias("num_soura"), _int("num_aya").alias("num_aya"), *(trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("aya", "name_soura")))
 
@@ -83,12 +83,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_translations(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(lang, id, text) from one JSON object {id: text} per language; a missing file adds no rows."""
+    """(lang, id, text) from one JSON object {id: text} per language; a missing file adds no rows.
+
+    Files are read by lines, so an indented one of any size is many tasks' work: an entry stands in one line, and a
+    line may hold any number of them (a compact file is one line). A line that is no part of such an object fails the job.
+    """
     out = spark.createDataFrame([], "lang string, id string, text string")
     for lang, path in paths.items():
         if _exists(spark, path):
-            text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-            out = out.unionByName(text.select(F.lit(lang).alias("lang"), F.explode("m").alias("id", "text")))
+            inner = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\ufeff?\s*\{", ""), r"[\s,]*\}?\s*$", "")
+            lines = spark.read.text(path).select(inner.alias("value")).filter(F.trim("value") != "")
+            entries = lines.select(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+            out = out.unionByName(entries.select(F.lit(lang).alias("lang"), F.explode("m").alias("id", "text")))
     return out
 
 
