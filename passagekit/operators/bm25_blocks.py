@@ -1,8 +1,8 @@
 """BM25 top-k that leaves most postings unread: spans of documents with score bounds, pruned by the k-th score found.
 
-Documents are cut into spans of `width` consecutive ordinals. A block holds the
-postings of one term in one span, a header how high they can score. What a span
-can give a question is the sum of its headers. Two passes:
+Documents are cut into spans of `width`, as they stand in their table. A block
+holds the postings of one term in one span, a header how high they can score.
+What a span can give a question is the sum of its headers. Two passes:
 
 1. Of each question the spans that promise most, as many as surely hold k
    documents, are scored whole. The k-th score found is a floor.
@@ -33,51 +33,53 @@ SLACK = 1e-6
 
 @dataclass
 class Blocks:
-    """headers (term, span, n, bound), blocks (term, span, posts: array of (doc, part)), and the plain index's docs and terms.
+    """headers (term, span, n, bound), blocks (term, span, doc, tf, dl: arrays of one length), the plain index's docs and terms, corpus.
 
-    part is a posting's share of the score but for the term's weight; bound the largest part of its block.
+    bound is the largest share of a score in a block, but for the term's weight; corpus (one row) says with which
+    avgdl, k1 and b it and the scores are worked out.
     """
 
     headers: DataFrame
     blocks: DataFrame
     docs: DataFrame
     terms: DataFrame
+    corpus: DataFrame
 
 
-def build(index: bm25.Bm25Index, width: int = 256, k1: float = bm25.K1, b: float = bm25.B) -> Blocks:
-    """Spans are numbered by the documents' order (ord), which the caller's ordinal gives; ties of it are in order of the id."""
-    rows = _blocks(index.docs, index.corpus.select("avgdl"), width, k1, b)
-    headers = rows.select("term", "span", F.size("posts").cast("long").alias("n"), _bound())
-    return Blocks(headers, rows, index.docs.select("doc", "ord", "dl"), index.terms)
+def _share(tf: Column, dl: Column) -> Column:
+    """A posting's share of a score: columns avgdl, k1 and b stand beside it."""
+    return tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - F.col("b") + F.col("b") * dl / F.col("avgdl")))
 
 
-def _bound() -> Column:
-    return F.array_max(F.transform("posts", lambda p: p["part"])).alias("bound")
+def _blocks(docs: DataFrame, width: int) -> DataFrame:
+    """(term, span, doc, tf, dl) of docs (doc, dl, terms): a span's documents stand together, so only documents are shuffled."""
+    at = docs.select("doc", "dl", "terms", F.monotonically_increasing_id().alias("__m"))
+    # a partition's own spans, each of width documents but the last; numbers of partitions never meet
+    span = F.shiftright("__m", 33) * F.lit(1 << 31) + F.floor(F.col("__m").bitwiseAND((1 << 33) - 1) / width)
+    placed = at.withColumn("span", span).drop("__m").repartitionByRange("span")
+    posts = placed.select("span", "doc", F.col("dl").cast("int").alias("dl"), F.explode("terms").alias("t")).select("span", "t.term", "doc", F.col("t.tf").cast("int").alias("tf"), "dl")
+    return posts.groupBy("span", "term").agg(*(F.collect_list(c).alias(c) for c in ("doc", "tf", "dl"))).select("term", "span", "doc", "tf", "dl")
 
 
-def _blocks(docs: DataFrame, avgdl: DataFrame, width: int, k1: float, b: float) -> DataFrame:
-    """(term, span, posts) of docs (doc, ord, dl, terms): a span's documents stand together, so only documents are shuffled."""
-    placed = _spans(docs, width).repartitionByRange("span").crossJoin(F.broadcast(avgdl))  # one row
-    posts = placed.select("span", "doc", "dl", "avgdl", F.explode("terms").alias("t"))
-    tf = F.col("t.tf")
-    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return posts.groupBy("span", F.col("t.term").alias("term")).agg(F.collect_list(F.struct("doc", part.alias("part"))).alias("posts")).select("term", "span", "posts")
+def _headers(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
+    rows = blocks.select("term", "span", "tf", "dl").crossJoin(F.broadcast(corpus))  # one row
+    return rows.select("term", "span", F.size("tf").cast("long").alias("n"), F.array_max(F.zip_with("tf", "dl", _share)).alias("bound"))
 
 
-def _spans(docs: DataFrame, width: int) -> DataFrame:
-    """docs with span: places in the order of ord, divided by width; no window over all rows."""
-    parts = docs.repartitionByRange("ord").sortWithinPartitions("ord", "doc")
-    parts = parts.withColumn("__m", F.monotonically_increasing_id())
-    here = parts.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)})
-    # a partition's own spans, each of width documents but the last; numbers of partitions never meet
-    return here.withColumn("span", F.col("__p") * F.lit(1 << 31) + F.floor(F.col("__i") / width)).drop("__m", "__p", "__i")
+def _facts(docs: DataFrame, k1: float, b: float) -> DataFrame:
+    return bm25.lengths(docs).select("avgdl", F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+
+
+def build(index: bm25.Bm25Index, width: int = 256, k1: float = bm25.K1, b: float = bm25.B) -> Blocks:
+    """The blocks of a plain index."""
+    rows, corpus = _blocks(index.docs, width), _facts(index.docs, k1, b)
+    return Blocks(_headers(rows, corpus), rows, index.docs.select("doc", "ord", "dl"), index.terms, corpus)
 
 
-def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None) -> None:
+def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None, corpus: DataFrame) -> None:
     spark = docs.sparkSession
-    write_index({"blocks": blocks.repartitionByRange("term").sortWithinPartitions("term", "span")}, path)
-    headers = read_table(spark, f"{path}/blocks").select("term", "span", F.size("posts").cast("long").alias("n"), _bound())
-    write_index({"headers": headers}, path)
+    write_index({"corpus": corpus, "blocks": blocks.repartitionByRange("term").sortWithinPartitions("term", "span")}, path)
+    write_index({"headers": _headers(read_table(spark, f"{path}/blocks"), read_table(spark, f"{path}/corpus"))}, path)
     if terms is None:
         counts = read_table(spark, f"{path}/headers").groupBy("term").agg(F.sum("n").alias("df"))
         terms, _ = bm25.weighted(counts, bm25.lengths(docs))
@@ -85,21 +87,21 @@ def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None
 
 
 def save(index: Blocks, path: str) -> None:
-    """The four tables below path; blocks, headers and terms in ranges of the term."""
-    _save(path, index.blocks, index.docs, index.terms)
+    """The five tables below path; blocks, headers and terms in ranges of the term."""
+    _save(path, index.blocks, index.docs, index.terms, index.corpus)
 
 
 def create(path: str, df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None, width: int = 256, k1: float = bm25.K1, b: float = bm25.B) -> Blocks:  # noqa: ANN001
     """The index of texts, without a plain one before it; counted documents are written for as long as it takes."""
     with Kept() as keep:
         docs = keep(bm25.document_terms(df, id_col, text, ordinal, normalizer))
-        _save(path, _blocks(docs, bm25.lengths(docs).select("avgdl"), width, k1, b), docs, None)
+        _save(path, _blocks(docs, width), docs, None, _facts(docs, k1, b))
     return load(df.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Blocks:
     """The index that save() wrote; FileNotFoundError where there is none."""
-    return Blocks(*(read_table(spark, f"{path}/{name}") for name in ("headers", "blocks", "docs", "terms")))
+    return Blocks(*(read_table(spark, f"{path}/{name}") for name in ("headers", "blocks", "docs", "terms", "corpus")))
 
 
 def plan(index: Blocks, queries: DataFrame, text: Column, k: int, qid: str = "qid", normalizer=None, keep: Callable[[DataFrame], DataFrame] = lambda t: t, few: int = 1000) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
@@ -124,10 +126,11 @@ def plan(index: Blocks, queries: DataFrame, text: Column, k: int, qid: str = "qi
     return rows.join(spans.select(qid, "span", "promise", "first"), [qid, "span"]).select(qid, "term", "weight", "span", "n", "promise", "first"), blocks
 
 
-def _scored(rows: DataFrame, blocks: DataFrame, qid: str) -> DataFrame:
+def _scored(rows: DataFrame, blocks: DataFrame, corpus: DataFrame, qid: str) -> DataFrame:
     """(qid, doc, score) of the documents of the rows' blocks."""
-    posts = rows.join(blocks, ["term", "span"]).select(qid, "weight", F.explode("posts").alias("p"))
-    return posts.groupBy(qid, F.col("p.doc").alias("doc")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
+    posts = rows.join(blocks, ["term", "span"]).select(qid, "weight", F.explode(F.arrays_zip("doc", "tf", "dl")).alias("p"))
+    posts = posts.crossJoin(F.broadcast(corpus))  # one row
+    return posts.groupBy(qid, F.col("p.doc").alias("doc")).agg(F.sum(F.col("weight") * _share(F.col("p.tf"), F.col("p.dl"))).alias("score"))
 
 
 def _floors(first: DataFrame, k: int, qid: str) -> DataFrame:
@@ -140,10 +143,10 @@ def _floors(first: DataFrame, k: int, qid: str) -> DataFrame:
 def passes(index: Blocks, queries: DataFrame, text: Column, k: int, qid: str = "qid", normalizer=None, keep: Callable[[DataFrame], DataFrame] = lambda t: t) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """(found: (qid, doc, score) that hold the k best; read: (qid, postings, read): matching postings, and those that were read)."""
     rows, blocks = plan(index, queries, text, k, qid, normalizer, keep)
-    first = keep(_scored(rows.filter("first"), blocks, qid))
+    first = keep(_scored(rows.filter("first"), blocks, index.corpus, qid))
     floors = keep(_floors(first, k, qid))
     rest = rows.join(floors, qid, "left").filter("not first").filter(F.col("floor").isNull() | (F.col("promise") >= F.col("floor") - SLACK))
-    found = first.unionByName(_scored(rest, blocks, qid))
+    found = first.unionByName(_scored(rest, blocks, index.corpus, qid))
     done = rest.groupBy(qid).agg(F.sum("n").alias("second"))
     whole = rows.groupBy(qid).agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("one"))
     read = whole.join(done, qid, "left").select(qid, "postings", (F.col("one") + F.coalesce("second", F.lit(0))).alias("read"))
