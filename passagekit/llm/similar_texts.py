@@ -88,7 +88,11 @@ def shingle_sets(rows: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
 
 
 def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # noqa: ANN001, ANN202
-    """Rows (i, j) of a spanning forest of a unit's links; chunk: 0, or rows of different chunks only."""
+    """Rows (i, j) of a spanning forest of a unit's links; chunk: 0, or rows of different chunks only.
+
+    A row with many candidates meets them through lists of the rows that have a shingle, so unlike texts cost next to
+    nothing beyond their own shingles.
+    """
     import numpy as np
 
     label = np.unique(comp, return_inverse=True)[1]
@@ -98,6 +102,9 @@ def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # no
     size = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.r_[0, np.cumsum(size)]
+    order = np.argsort(ids, kind="stable")
+    having = np.repeat(np.arange(len(size)), size)[order]  # rows by shingle
+    first = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
     mark = np.zeros(len(ids), np.uint8)
     for i in range(len(fp) - 1):
         j = np.arange(i + 1, len(fp))
@@ -111,12 +118,14 @@ def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # no
         if not len(j):
             continue
         own = ids[starts[i] : starts[i + 1]]
-        mark[own] = 1
         if len(j) > 16:  # all rows at once, without a step a pair
-            both = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)[j]
+            many = first[own + 1] - first[own]
+            at = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            both = np.bincount(having[at], minlength=len(size))[j]
         else:
+            mark[own] = 1
             both = np.array([np.count_nonzero(mark[ids[starts[k] : starts[k + 1]]]) for k in j])
-        mark[own] = 0
+            mark[own] = 0
         for k in j[both >= similarity * (size[i] + size[j] - both) - 1e-9]:
             if label[k] != label[i]:
                 out.append((i, int(k)))
