@@ -91,4 +91,4 @@ def test_names_and_entry():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(names) == 11 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+    assert len(names) == 14 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
