@@ -13,7 +13,11 @@ MIN_SCORE, MIN_RESULTS, FULL = 0.01, 3, 0.999
 
 def jaccard(query: Column, passage: Column) -> Column:
     """Shared over all distinct words: the deterministic stand-in for a cross-encoder."""
-    a, b = F.array_distinct(tokens(query)), F.array_distinct(tokens(passage))
+    return shared_words(F.array_distinct(tokens(query)), F.array_distinct(tokens(passage)))
+
+
+def shared_words(a: Column, b: Column) -> Column:
+    """jaccard() of texts that are at hand as arrays of their distinct words."""
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 

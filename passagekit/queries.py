@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import bm25, bm25_blocks, context, coverage, evaluate, fusion, hooks, inverted, key_index, langdetect, lexical, patterns, prompts, rerank, sampling, segments, store, vector_index, vectors
 from .plans import chat, ingest, retrieval
-from .session import application_dir, materialized, stored
+from .session import application_dir, materialized, state_of, stored
 from .sinks.writers import create_vectors, last_vectors, sse_line, upsert_vectors, write_stage
 from .sources.readers import canonical_records, parse_morphology, read_edition, read_morphology, read_raw_csv, read_records, read_translations, read_vocalized
 from .streaming import index_build, session_log
@@ -37,20 +37,24 @@ def _stem(c: Column) -> Column:
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """Words of documents as segments: the place is source:doc, the form a word's letters, the root its stem."""
+    """Words of documents as segments: the place is source:doc, the form a word's letters, the root its stem.
+
+    A document's different forms are found within its row, so nothing is shuffled and each is stemmed once a document.
+    """
     place = F.concat_ws(":", F.substring("source", 4, 9), F.col("doc_id").cast("string"))
-    forms = docs.select(place.alias("verse_id"), F.explode(X.tokens("text")).alias("w")).distinct()
-    forms = forms.select("verse_id", F.regexp_replace("w", f"[^{LETTERS}]", "").alias("form")).filter("form <> ''").distinct()
+    plain = F.transform(F.array_distinct(X.tokens("text")), lambda w: F.regexp_replace(w, f"[^{LETTERS}]", ""))
+    forms = docs.select(place.alias("verse_id"), F.explode(F.array_distinct(plain)).alias("form")).filter("form <> ''")
     return forms.select("verse_id", "form", _stem(F.col("form")).alias("root"), F.col("form").alias("lemma"))
 
 
-def _of(name: str, sf_dir: str) -> str:
-    return f"{name}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+def _of(spark: SparkSession, name: str, sf_dir: str, table: str = "documents") -> str:
+    """A stored index's name: by its table's path and what is in it now."""
+    return f"{name}-{hashlib.md5(f'{sf_dir} {state_of(spark, f"{sf_dir}/{table}.parquet")}'.encode()).hexdigest()}"
 
 
 def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored segments of documents; written once an application."""
-    path = stored(spark, _of("segments", sf_dir), lambda p: write_stage(_segments(_t(spark, sf_dir, "documents")), p))
+    path = stored(spark, _of(spark, "segments", sf_dir), lambda p: write_stage(_segments(_t(spark, sf_dir, "documents")), p))
     return spark.read.parquet(path)
 
 
@@ -58,7 +62,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(path: str) -> None:
         write_stage(_segs(spark, sf_dir).select("root", F.split("verse_id", ":")[1].cast("long").alias("doc")).distinct(), path)
 
-    return spark.read.parquet(stored(spark, _of("postings", sf_dir), make))
+    return spark.read.parquet(stored(spark, _of(spark, "postings", sf_dir), make))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def _query_roots(queries: DataFrame) -> DataFrame:
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
     """The stored index of documents; built once an application, as a search engine's is."""
 
-    path = stored(spark, _of("bm25", sf_dir), lambda p: bm25.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
+    path = stored(spark, _of(spark, "bm25", sf_dir), lambda p: bm25.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
     return bm25.load(spark, path)
 
 
@@ -157,7 +161,7 @@ def bm25_topk_batch(spark, d):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> bm25_blocks.Blocks:
-    path = stored(spark, _of("bm25-blocks", sf_dir), lambda p: bm25_blocks.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
+    path = stored(spark, _of(spark, "bm25-blocks", sf_dir), lambda p: bm25_blocks.create(p, _t(spark, sf_dir, "documents"), "doc_id", F.col("text")) and None)
     return bm25_blocks.load(spark, path)
 
 
@@ -205,7 +209,7 @@ def vector_topk_batch(spark, d):
 
 
 def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
-    path = stored(spark, _of("vector-index", sf_dir), lambda p: vector_index.build(spark, _t(spark, sf_dir, "embeddings"), p, "vec_id", "embedding", ("label",)) and None)
+    path = stored(spark, _of(spark, "vector-index", sf_dir, "embeddings"), lambda p: vector_index.build(spark, _t(spark, sf_dir, "embeddings"), p, "vec_id", "embedding", ("label",)) and None)
     return vector_index.load(spark, path)
 
 
@@ -307,14 +311,18 @@ def coverage_fraction(spark, d):
 
 
 def _similar(spark, d, scorer) -> DataFrame:
-    docs, asked = _t(spark, d, "documents"), _asked(spark, d)
+    """Questions and passages meet as their words: a question's once, a passage's from the index."""
+    docs, asked, index = _t(spark, d, "documents"), _asked(spark, d), _index(spark, d)
     terms = F.array_join(X.without_stop_words(X.tokens("text"), STOP), " ")
     asked = asked.withColumn("terms", F.coalesce(F.nullif(terms, F.lit("")), F.col("text")))
-    return retrieval.similar(asked, _query_roots(asked), _posts(spark, d), _index(spark, d), docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("passage")), F.lit(docs.count()), scorer, keep=materialized)
+    passages = index.docs.select("doc", F.transform("terms", lambda t: t["term"]).alias("passage"))
+    roots = _query_roots(asked)
+    asked = asked.withColumn("text", F.array_distinct(X.tokens("text")))
+    return retrieval.similar(asked, roots, _posts(spark, d), index, passages, F.lit(docs.count()), scorer, keep=materialized)
 
 
 def similar_pipeline(spark, d):
-    return _similar(spark, d, rerank.jaccard).select("qid", "doc", _r("score"), _r("cov"))
+    return _similar(spark, d, rerank.shared_words).select("qid", "doc", _r("score"), _r("cov"))
 
 
 def similar_pipeline_norerank(spark, d):

@@ -100,6 +100,13 @@ def path_of(spark: SparkSession, path: str):  # noqa: ANN201
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def state_of(spark: SparkSession, path: str) -> str:
+    """What tells a changed table from the one that was: its files' number and bytes, and when its folder changed."""
+    p, fs = path_of(spark, path)
+    now = fs.getContentSummary(p)
+    return f"{now.getFileCount()} {now.getLength()} {fs.getFileStatus(p).getModificationTime()}"
+
+
 def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
     """The path of an index that make(path) writes; it is made once an application and then read by whoever asks for it."""
     path = f"{application_dir(spark)}/{name}"
