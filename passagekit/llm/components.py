@@ -29,7 +29,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of edges (a, b: longs, any order); root is the component's least node.
 
     Nodes that are their own root are left out. Each round writes the edges
-    anew; nothing but their number and a checksum reaches the driver.
+    anew; nothing but their number and a checksum reaches the driver. Edges that
+    repeat, of either order, or tie a node to itself change nothing; an edge
+    with a null ties nothing; no edges give no rows. A star's centre has as many
+    rows as neighbours in one join, of two longs each, which adaptive execution
+    splits.
     """
     now = scratch.put(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()

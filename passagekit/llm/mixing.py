@@ -22,7 +22,11 @@ _BITS = 12
 
 
 def water_fill(sources: DataFrame, scratch: Scratch, max_epochs: float) -> DataFrame:
-    """sources (source, source_size, weight) with target. The driver sees one row of sums a round."""
+    """sources (source, source_size, weight) with target. The driver sees one row of sums a round.
+
+    A source is one row, null included; equal weights share by equal parts, a source without size gets 0; no sources
+    give no rows.
+    """
     sources = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     free = F.lit(True)
     level = None

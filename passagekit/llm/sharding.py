@@ -40,7 +40,8 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 1e-3, probes: i
 
     keys: columns key, tie (not negative) and size. The bytes left of boundary k
     are within tolerance x a shard's share of k shares, or as near as the rows
-    allow. Rows equal in key and tie are never split.
+    allow. Rows equal in key and tie are never split. No column holds nulls; an
+    empty table's boundaries stand beyond every key and part nothing.
     """
     total = keys.agg(F.sum("size").alias("s"), F.min("key").alias("a"), F.max("key").alias("b")).first()
     if not total["s"]:

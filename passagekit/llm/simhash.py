@@ -175,7 +175,11 @@ def _dealt(fps: DataFrame, masks: list[int], family: int) -> DataFrame:
 
 
 def links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, n_pivots: int = 16, unit_rows: int = 4096, pivot_seed: int = 11) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of fps.fp within max_bits."""
+    """Edges (a, b) whose components are those of all pairs of fps.fp within max_bits.
+
+    fp is not null and differs from row to row (the caller's groups of equal ones are one row); no rows give no edges.
+    Of links at the same distance any that tie what another has not tied yet may be left out.
+    """
     fps = scratch.put(distance_table(fps.select("fp"), pivots_of(n_pivots, pivot_seed)))
     table = fps.columns[1:]
     first, most = _masks(fps.count(), max_bits, 64, 64), _masks_of(2 * max_bits, max_bits, 64)

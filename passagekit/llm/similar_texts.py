@@ -136,7 +136,11 @@ def _forest(fp, comp, chunk, table, sets, similarity: float, radius: int):  # no
 def similar_links(
     member: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, radius: int, n_pivots: int, unit_rows: int, unit_bytes: int
 ) -> DataFrame:
-    """Edges (a, b) between the nodes of member (m, key, node, comp) that share a bucket, differ in comp and are similar."""
+    """Edges (a, b) between the nodes of member (m, key, node, comp) that share a bucket, differ in comp and are similar.
+
+    Of a unit's links a spanning forest is given, so no group of copies becomes all its pairs. member's columns hold no
+    nulls; a node that is in a bucket twice counts once more; empty tables give no edges.
+    """
     bounds = member.join(sets.select("node", "bytes"), "node").groupBy("m", "key")
     cut = F.ceil(F.greatest(F.count(F.lit(1)) / unit_rows, F.sum("bytes") / unit_bytes)).cast("int")
     bounds = bounds.agg(cut.alias("chunks"), F.count(F.lit(1)).alias("n"), (F.min("comp") < F.max("comp")).alias("open"))

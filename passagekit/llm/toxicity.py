@@ -397,4 +397,5 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The labels of ids whose fold isn't held out: rows that repeat an id are in or out together, a null id counts as the empty text, an empty table gives none."""
     return labels.filter(fold(id_col, folds) != held_out)

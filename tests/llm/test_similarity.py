@@ -175,6 +175,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
 
 
+def test_components_of_a_wide_star(spark):
+    """One centre with 300,000 neighbours, in the middle of the ids, some edges twice and the other way round."""
+    leaf = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1_000_000)
+    edges = spark.range(300_000).select(F.lit(500_000).cast("long").alias("a"), leaf.alias("b"))
+    edges = edges.unionByName(edges.filter("b % 7 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(edges.limit(5))
+    got = components(edges, Scratch(spark, "t"))
+    assert got.count() == 300_000 and {r[0] for r in got.select("root").distinct().collect()} == {0}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).count() == 0 and drop_near_copies(empty).count() == 0
 
