@@ -194,10 +194,13 @@ def heuristic_stem(
     The first prefix of the list that leaves `least` letters goes; of suffixes
     that end alike, the longest that leaves as many.
     """
-    w = F.regexp_replace(_col(c), f"[^{letters}]", "")
-    w = F.regexp_replace(w, f"^(?:{'|'.join(prefixes)})(?=.{{{least}}})", "")
-    w = F.regexp_replace(w, f"^(.{{{least},}}?)(?:{'|'.join(suffixes)})$", "$1")
-    return F.regexp_replace(w, "(?<=.)(?=.)", "-")
+    return F.regexp_replace(affixes_off(F.regexp_replace(_col(c), f"[^{letters}]", ""), prefixes, suffixes, least), "(?<=.)(?=.)", "-")
+
+
+def affixes_off(c: Column | str, prefixes: tuple[str, ...] = STEM_PREFIXES, suffixes: tuple[str, ...] = STEM_SUFFIXES, least: int = 3) -> Column:
+    """heuristic_stem() of a word that is letters alone, not joined by hyphens."""
+    w = F.regexp_replace(_col(c), f"^(?:{'|'.join(prefixes)})(?=.{{{least}}})", "")
+    return F.regexp_replace(w, f"^(.{{{least},}}?)(?:{'|'.join(suffixes)})$", "$1")
 
 
 def clitic_candidates(w: Column, prefixes: tuple[str, ...] = CLITIC_PREFIXES, suffixes: tuple[str, ...] = CLITIC_SUFFIXES, least: int = 2) -> Column:

@@ -128,7 +128,10 @@ def build(spark: SparkSession, vectors: DataFrame, path: str, id_col: str = "id"
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fine.schema)
     coded = fine.mapInArrow(code, f"{kind}, err float, away double, code binary, cell int")
     # a cell goes to a few files, of which a hot one gets as many as its rows ask for
-    coded.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 1_000_000)))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    rows = coded.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 1_000_000)))).write.mode("overwrite").partitionBy("cell")
+    for name in payload:  # so that a filter skips files that hold none of its values
+        rows = rows.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    rows.parquet(f"{path}/rows")
     stats = {r["cell"]: (r["r"], r["n"]) for r in spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect()} if n else {}
     facts = {"dim": dim, "scale": scale, "probes": probes, "centroids": c.tolist(), "radii": [stats.get(j, (0.0, 0))[0] for j in range(len(c))], "counts": [stats.get(j, (0.0, 0))[1] for j in range(len(c))]}
     spark.createDataFrame([(json.dumps(facts), coded.schema.json())], "facts string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")

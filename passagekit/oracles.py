@@ -326,4 +326,8 @@ ORACLES: dict[str, str] = {
         r AS (SELECT 'records' AS stage, (SELECT count(*) FROM conversations) AS rows UNION ALL SELECT 'root_index', (SELECT count(DISTINCT root) FROM seg) UNION ALL SELECT 'forms', (SELECT count(DISTINCT form) FROM seg) UNION ALL SELECT 'lemmas', (SELECT count(DISTINCT form) FROM seg))
         SELECT stage, rows, fr, en FROM r, fr""",
     "server_events": """SELECT conv_id, turn, 'data: {"type":"' || role || '","n":' || turn || '}' || chr(10) || chr(10) AS line FROM conversations""",
+    "hit_projection": f"""WITH {_bm25(_BATCH, 5)}, r AS (SELECT * FROM documents WHERE lang <> 'en' OR doc_id <= 100)
+        SELECT qid, doc AS id, round(score, 6) AS score, CAST(substr(source, 4) AS INT) AS surah_number, CAST(doc_id AS INT) AS ayah_number, lang AS period, md5(text) AS text FROM bm LEFT JOIN r ON doc_id = doc""",
+    "arabic_numbers": "SELECT o_orderkey, translate(CAST(o_custkey AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS digits FROM orders",
+    "stored_conversations": "SELECT lang || '-' || doc_id AS id, source AS title FROM documents WHERE lang <> 'fr' AND source <> 'src3'",
 }

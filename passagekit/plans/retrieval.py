@@ -12,7 +12,7 @@ from ..functions.text import collapsed, detect_language, detect_period, first_fi
 from ..operators import bm25, coverage, fusion, inverted, rerank
 from ..operators.context import positions, previous_next, with_context
 from ..operators.vectors import embed, equality_filter, hash_embedder
-from ..schema import PAYLOAD
+from ..schema import HIT, PAYLOAD
 
 FETCH = 20
 ROOT_POOL, BM25_POOL, POOL_MAX = 20, 16, 32
@@ -152,6 +152,13 @@ def retrieve_with_context(hits: DataFrame, records: DataFrame, chapter: str = "s
     return rows.select("qid", (F.row_number().over(order) - 1).alias("ord"), *records.columns)
 
 
+def hit_rows(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Hits (qid, id, score) with what a list of them shows of their record, the score to six digits; an id that the records haven't keeps its row, with nulls."""
+    shown = [c for c in HIT if c in records.columns]
+    rows = hits.select("qid", "id", F.round("score", 6).alias("score")).join(records.select(*shown), "id", "left")
+    return rows.select("qid", "id", "score", *(c for c in shown if c != "id"))
+
+
 def api_rows(hits: DataFrame, vocalized: DataFrame) -> DataFrame:
     """Hits as an interface shows them: text_ar_tashkil from vocalized ('' where it has none) and relevance_score, the re-ranker's score where there is one.
 

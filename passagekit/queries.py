@@ -33,7 +33,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stem(c: Column) -> Column:
-    return F.replace(X.heuristic_stem(c, LETTERS, PREFIXES, SUFFIXES), F.lit("-"), F.lit(""))
+    return X.affixes_off(F.regexp_replace(c, f"[^{LETTERS}]", ""), PREFIXES, SUFFIXES)
+
+
+def _forms() -> Column:
+    """The different forms of a text's words: their letters."""
+    return F.array_distinct(F.transform(F.array_distinct(X.tokens("text")), lambda w: F.regexp_replace(w, f"[^{LETTERS}]", "")))
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -42,9 +47,8 @@ def _segments(docs: DataFrame) -> DataFrame:
     A document's different forms are found within its row, so nothing is shuffled and each is stemmed once a document.
     """
     place = F.concat_ws(":", F.substring("source", 4, 9), F.col("doc_id").cast("string"))
-    plain = F.transform(F.array_distinct(X.tokens("text")), lambda w: F.regexp_replace(w, f"[^{LETTERS}]", ""))
-    forms = docs.select(place.alias("verse_id"), F.explode(F.array_distinct(plain)).alias("form")).filter("form <> ''")
-    return forms.select("verse_id", "form", _stem(F.col("form")).alias("root"), F.col("form").alias("lemma"))
+    forms = docs.select(place.alias("verse_id"), F.explode(_forms()).alias("form")).filter("form <> ''")
+    return forms.select("verse_id", "form", X.affixes_off("form", PREFIXES, SUFFIXES).alias("root"), F.col("form").alias("lemma"))
 
 
 def _of(spark: SparkSession, name: str, sf_dir: str, table: str = "documents") -> str:
@@ -59,6 +63,8 @@ def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, doc) once each."""
+
     def make(path: str) -> None:
         write_stage(_segs(spark, sf_dir).select("root", F.split("verse_id", ":")[1].cast("long").alias("doc")).distinct(), path)
 
@@ -795,6 +801,28 @@ def server_events(spark, d):
     return rows.select("conv_id", "turn", sse_line(F.col("e")).alias("line"))
 
 
+def hit_projection(spark, d):
+    """BM25's first five with their records' fields; ids over 100 of which the records have no English one."""
+    hits = bm25.search(_index(spark, d), _asked(spark, d), F.col("text"), 5).withColumnRenamed("doc", "id")
+    records = _records(spark, d, F.col("lang")).filter("period <> 'en' or id <= 100")
+    return retrieval.hit_rows(hits, records).select("qid", "id", "score", "surah_number", "ayah_number", "period", F.md5("text_ar").alias("text"))
+
+
+def arabic_numbers(spark, d):
+    """Numbers of orders in Arabic digits."""
+    return _t(spark, d, "orders").select("o_orderkey", X.arabic_digits("o_custkey").alias("digits"))
+
+
+def stored_conversations(spark, d):
+    """Conversations of documents' languages as stored texts, some of another version or broken, read back (M9)."""
+    docs = _t(spark, d, "documents")
+    conversations = docs.select(F.concat("lang", F.lit("-"), "doc_id").alias("id"), F.col("source").alias("title"), "lang", "doc_id")
+    version = F.when(F.col("source") == "src3", 2).otherwise(1)
+    value = F.to_json(F.struct(version.alias("version"), F.lit(None).cast("string").alias("activeId"), F.array(F.struct("id", "title")).alias("conversations")))
+    raw = conversations.withColumn("source", F.col("title")).select(F.when(F.col("lang") == "fr", F.substring(value, 1, 30)).otherwise(value).alias("value"))
+    return store.read_store(raw, 1, "struct<id:string,title:string>")
+
+
 FLAGSHIP = hybrid_rrf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -810,6 +838,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_upsert_lastwins, eval_metrics, stem_index, content_roots, word_lookup, verse_detail, api_projection, retrieval_query, ingest_quality,
         csv_records, vocalized_csv, json_records, translation_maps, edition_json, normalize_words, morphology_words, vector_table, streamed_index,
         streamed_sessions, passage_texts, detect_language_profiles, stem_branch, key_lookup, conversation_store, history_fallback, analysis,
-        hook_scores, ingest_report, server_events,
+        hook_scores, ingest_report, server_events, hit_projection, arabic_numbers, stored_conversations,
     )
 }
