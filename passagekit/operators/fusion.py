@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import reciprocal_rank
+from .sampling import numbered
 
 RRF_K = 60
 
@@ -37,6 +38,8 @@ def keep_first_union(*lists: DataFrame, keys: tuple[str, ...] = (), id_col: str
         rows = part if rows is None else rows.unionByName(part)
     first = F.row_number().over(Window.partitionBy(*keys, id_col).orderBy("src", "rank"))
     rows = rows.withColumn("__rn", first).filter("__rn = 1").drop("__rn")
+    if not keys and most is None:  # lists of any length: numbered part by part
+        return numbered(rows.withColumn("__all", F.lit(0)), "__all", ["src", "rank", id_col]).drop("__all", "n")
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("src", "rank") if keys else Window.orderBy("src", "rank")) - 1
     rows = rows.withColumn("pos", pos)
     return rows if most is None else rows.filter(F.col("pos") < most)

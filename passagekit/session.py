@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def session(name: str = "passagekit", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -33,11 +36,27 @@ def session(name: str = "passagekit", master: str | None = None, shuffle_partiti
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers get the folder of this package on their path, where it isn't there by other means (--py-files)."""
+    """Python workers find this package: on this machine by its folder, on others by a zip of it in the shared folder, shipped once an application."""
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app in _shipped or master == "local" or master.startswith("local["):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        own = os.path.dirname(os.path.abspath(__file__))
+        for folder, _, names in os.walk(own):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    path = f"{application_dir(spark)}/package-{uuid.uuid4().hex}.zip"
+    p, fs = path_of(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -223,3 +223,34 @@ def test_store_is_replayed(spark):
 def test_answers_still_take_clients(spark):
     df = spark.createDataFrame([(1, "x")], "id long, m string")
     assert chat.answers(df, F.col("m")).first()["answer"] == ""
+
+
+def test_stored_indexes_notice_changed_tables(spark, tmp_path):
+    from passagekit.session import state_of
+
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    before = state_of(spark, path)
+    assert state_of(spark, path) == before
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert state_of(spark, path) != before
+
+
+def test_tables_of_a_build_go(spark):
+    from passagekit.session import Kept, path_of
+
+    with Kept() as keep:
+        table = keep(spark.range(4))
+        assert table.count() == 4
+        (path,) = [p for _, p in keep.tables]
+    p, fs = path_of(spark, path)
+    assert not fs.exists(p)
+
+
+def test_union_of_long_lists_is_numbered_in_parts(spark):
+    from passagekit.operators import fusion
+
+    a = spark.range(500).select(F.col("id"), F.col("id").alias("rank"), F.lit(1.0).alias("score"))
+    b = spark.range(400, 900).select("id", (F.col("id") - 400).alias("rank"), F.lit(0.0).alias("score"))
+    got = sorted((r["pos"], r["id"]) for r in fusion.keep_first_union(a, b).collect())
+    assert got == [(i, i) for i in range(900)]
