@@ -15,7 +15,7 @@ Headers and blocks are tables, sorted by term; the passes are equi-joins on
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,13 +52,31 @@ def _share(tf: Column, dl: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, width: int) -> DataFrame:
-    """(term, span, doc, tf, dl) of docs (doc, dl, terms): a span's documents stand together, so only documents are shuffled."""
-    at = docs.select("doc", "dl", "terms", F.monotonically_increasing_id().alias("__m"))
-    # a partition's own spans, each of width documents but the last; numbers of partitions never meet
-    span = F.shiftright("__m", 33) * F.lit(1 << 31) + F.floor(F.col("__m").bitwiseAND((1 << 33) - 1) / width)
-    placed = at.withColumn("span", span).drop("__m").repartitionByRange("span")
-    posts = placed.select("span", "doc", F.col("dl").cast("int").alias("dl"), F.explode("terms").alias("t")).select("span", "t.term", "doc", F.col("t.tf").cast("int").alias("tf"), "dl")
-    return posts.groupBy("span", "term").agg(*(F.collect_list(c).alias(c) for c in ("doc", "tf", "dl"))).select("term", "span", "doc", "tf", "dl")
+    """(term, span, doc, tf, dl) of docs (doc, dl, terms): spans are documents that stand together in a task, so nothing is shuffled."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        span = TaskContext.get().partitionId() << 32  # a task's spans have numbers of their own, the same when it runs again
+        for whole in batches:
+            for i in range(0, whole.num_rows, width):
+                part = whole.slice(i, width)
+                row = np.asarray(pc.list_parent_indices(part.column(2)))
+                flat = part.column(2).flatten()
+                coded = flat.field("term").dictionary_encode()
+                order = np.argsort(np.asarray(coded.indices), kind="stable")
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)))].astype(np.int32))
+                at = pa.array(row[order])
+                lists = part.column(0).take(at), flat.field("tf").take(pa.array(order)).cast(pa.int32()), part.column(1).take(at).cast(pa.int32())
+                spans = pa.array(np.full(len(coded.dictionary), span, np.int64))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, spans, *(pa.ListArray.from_arrays(ends, x) for x in lists)], ["term", "span", "doc", "tf", "dl"])
+                span += 1
+
+    return docs.select("doc", "dl", "terms").mapInArrow(cut, f"term string, span long, doc array<{kind}>, tf array<int>, dl array<int>")
 
 
 def _headers(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -78,7 +96,7 @@ def build(index: bm25.Bm25Index, width: int = 256, k1: float = bm25.K1, b: float
 
 def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None, corpus: DataFrame) -> None:
     spark = docs.sparkSession
-    write_index({"corpus": corpus, "blocks": blocks.repartitionByRange("term").sortWithinPartitions("term", "span")}, path)
+    write_index({"corpus": corpus, "blocks": blocks.repartition("term").sortWithinPartitions("term", "span")}, path)
     write_index({"headers": _headers(read_table(spark, f"{path}/blocks"), read_table(spark, f"{path}/corpus"))}, path)
     if terms is None:
         counts = read_table(spark, f"{path}/headers").groupBy("term").agg(F.sum("n").alias("df"))
@@ -87,7 +105,7 @@ def _save(path: str, blocks: DataFrame, docs: DataFrame, terms: DataFrame | None
 
 
 def save(index: Blocks, path: str) -> None:
-    """The five tables below path; blocks, headers and terms in ranges of the term."""
+    """The five tables below path; blocks, headers and terms sorted by term within their files, so that scans for a few terms skip the rest."""
     _save(path, index.blocks, index.docs, index.terms, index.corpus)
 
 
