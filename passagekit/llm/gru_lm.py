@@ -71,6 +71,45 @@ class Gru:
             s[:, LOOSE] = np.log(self.loose)
         return s
 
+    def _shifts(self) -> bool:
+        """Whether scores must be shifted by their maximum before they are exponents.
+
+        States are within -1 and 1, which bounds every score: exp() of it neither overflows nor vanishes for a whole class.
+        """
+        import numpy as np
+
+        def bounds(b: str, size) -> tuple:  # noqa: ANN001
+            return self.p[b] + size, self.p[b] - size
+
+        most, least = bounds("b", np.abs(self.p["o"]).sum(axis=0))
+        safe = most.max() < 60 and least.max() > -60
+        if "w" in self.p:
+            most, least = bounds("wb", np.abs(self.p["w"]).sum(axis=1))
+            first = np.unique(np.r_[0, self.ends[:-1]][np.diff(np.r_[0, self.ends]) > 0])
+            safe = safe and most.max() < 60 and np.maximum.reduceat(least, first).min() > -60
+        return not safe
+
+    def _log_sums(self, s, shift: bool):  # noqa: ANN001, ANN202
+        """log of the sum of exp of each row of s, which it overwrites."""
+        import numpy as np
+
+        top = s.max(axis=1) if shift else 0
+        if shift:
+            s -= top[:, None]
+        np.exp(s, out=s)
+        return np.log(s @ np.ones(s.shape[1], np.float32)) + top
+
+    def goal_log_probs(self, hs, goal, shift: bool = True):  # noqa: ANN001, ANN201
+        """log P(class | state) of each row's class: what log_probs has at it."""
+        import numpy as np
+
+        s = hs @ self.p["o"] + self.p["b"]
+        own = s[np.arange(len(s)), goal]
+        own = own - self._log_sums(s, shift)
+        if self.loose:
+            own = np.where(goal == LOOSE, np.float32(np.log(self.loose)), own + np.float32(np.log1p(-self.loose)))
+        return own
+
     def _by_class(self, words):  # noqa: ANN001, ANN202
         """(rows, first word, end of words) for each class of which there are words (-1: none)."""
         import numpy as np
@@ -84,15 +123,15 @@ class Gru:
             c = int(cls[a])
             yield at[int(a) : int(b)], int(self.ends[c - 1]) if c else 0, int(self.ends[c])
 
-    def word_log_probs(self, hs, words):  # noqa: ANN001, ANN201
+    def word_log_probs(self, hs, words, shift: bool = True):  # noqa: ANN001, ANN201
         """log P(word | class, state) of each row's word; 0 where it is -1."""
         import numpy as np
 
         out = np.zeros(len(words), np.float32)
         for at, a, b in self._by_class(words):
             s = hs[at] @ self.p["w"][a:b].T + self.p["wb"][a:b]
-            s -= s.max(axis=1, keepdims=True)
-            out[at] = s[np.arange(len(at)), words[at] - a] - np.log(np.exp(s).sum(axis=1))
+            own = s[np.arange(len(at)), words[at] - a]
+            out[at] = own - self._log_sums(s, shift)
         return out
 
     def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3, lanes_word=None, progress: tuple[float, float] = (0.0, 1.0)) -> None:  # noqa: ANN001
@@ -187,7 +226,8 @@ class Gru:
         ys = [np.concatenate([targets[i] for i in dealt[k]]) for k in order]
         ws = None if words is None else [np.concatenate([words[i] for i in dealt[k]]) for k in order]
         own = [np.repeat(np.array(dealt[k]), [len(inputs[i]) for i in dealt[k]]) for k in order]
-        load = load[order]
+        starts = [np.r_[True, np.diff(o) != 0] for o in own]
+        load, shift = load[order], self._shifts()
         h, table = np.zeros((lanes, self.hidden), np.float32), self.p["x"]
         for at in range(0, int(load[0]), window):
             live = int((load > at).sum())
@@ -199,8 +239,7 @@ class Gru:
                 x[:n, k], y[:n, k], seq[:n, k] = xs[k][at : at + n], ys[k][at : at + n], own[k][at : at + n]
                 if ws is not None:
                     word[:n, k] = ws[k][at : at + n]
-                first = own[k][at - 1] if at else -1
-                fresh[:n, k] = np.diff(own[k][at : at + n], prepend=first) != 0
+                fresh[:n, k] = starts[k][at : at + n]
             h = h[:live]
             hs = np.empty((w, live, self.hidden), np.float32)
             restart = fresh.any(axis=1)
@@ -213,10 +252,9 @@ class Gru:
             lp = np.empty(len(flat), np.float32)
             goal = y.ravel()
             for i in range(0, len(flat), 8192):
-                part = self.log_probs(flat[i : i + 8192])
-                lp[i : i + 8192] = part[np.arange(len(part)), goal[i : i + 8192]]
+                lp[i : i + 8192] = self.goal_log_probs(flat[i : i + 8192], goal[i : i + 8192], shift)
             if ws is not None:
-                lp += self.word_log_probs(flat, word.ravel())
+                lp += self.word_log_probs(flat, word.ravel(), shift)
             seq = seq.ravel()
             real = seq >= 0
             out += np.bincount(seq[real], weights=lp[real], minlength=len(out))
