@@ -147,7 +147,7 @@ def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid",
     return hits.groupBy(qid, "doc").agg(F.sum(part).alias("score"))
 
 
-def _by_documents(index: Bm25Index, pairs, q_kind: str, best: int, qid: str, k1: float, b: float, cells: int = 1 << 22) -> DataFrame:  # noqa: ANN001
+def _by_documents(index: Bm25Index, pairs, q_kind: str, best: int, qid: str, k1: float, b: float, cells: int = 1 << 19) -> DataFrame:  # noqa: ANN001
     """(qid, doc, score): of each question the best documents of every task, ties to the lower ordinal.
 
     pairs: an Arrow table (qid, term, weight). A batch of documents is scored as a matrix of documents x questions.
