@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import numbered
 
-def positions(df: DataFrame, chapter: str, verse: str) -> DataFrame:
-    """df with pos: the place within its chapter, from 0."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(chapter).orderBy(verse)) - 1)
 
+def places(df: DataFrame, chapter: str, verse: str) -> DataFrame:
+    """(chapter, verse, pos): each verse's place within its chapter, from 0. Keys alone are sorted, and a chapter may span tasks; rows of one verse share its place."""
+    return numbered(df.select(chapter, verse).distinct(), chapter, [verse]).select(chapter, verse, "pos")
 
-def neighbours(df: DataFrame, hits: DataFrame, chapter: str, verse: str, window: int = 1) -> DataFrame:
-    """Rows of df within `window` places of a hit in the same chapter, each once, in canonical order.
 
-    hits: (chapter, verse). The band is a set of exact places, so the join stays an equi-join.
+def around(df: DataFrame, hits: DataFrame, chapter: str, verse: str, window: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., chapter, verse), once each: the verses within `window` places of a hit (keys..., chapter, verse) in the same chapter.
+
+    The band is a set of exact places, so the joins stay equi-joins.
     """
-    at = positions(df, chapter, verse)
-    near = at.join(hits.select(chapter, verse).distinct(), [chapter, verse], "left_semi")
-    near = near.select(chapter, F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos")).distinct()
-    return at.join(near, [chapter, "pos"], "left_semi").drop("pos").orderBy(chapter, verse)
+    at = places(df, chapter, verse)
+    near = at.join(hits.select(*keys, chapter, verse).distinct(), [chapter, verse])
+    near = near.select(*keys, chapter, F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos")).distinct()
+    return near.join(at, [chapter, "pos"]).select(*keys, chapter, verse)
+
+
+def neighbours(df: DataFrame, hits: DataFrame, chapter: str, verse: str, window: int = 1) -> DataFrame:
+    """Rows of df within `window` places of a hit (chapter, verse) in the same chapter, each once, in canonical order."""
+    return df.join(around(df, hits, chapter, verse, window), [chapter, verse], "left_semi").orderBy(chapter, verse)
 
 
 def with_context(df: DataFrame, chapter: str, verse: str, cols: list[str], window: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, detect_language, detect_period, first_filled, is_arabic, normalize_clean, passage_id, passage_text, point_id, query_text, trimmed
 from ..operators import bm25, coverage, fusion, inverted, rerank
-from ..operators.context import positions, previous_next, with_context
+from ..operators.context import around, previous_next, with_context
 from ..operators.vectors import embed, equality_filter, hash_embedder
 from ..schema import HIT, PAYLOAD
 
@@ -144,10 +144,8 @@ def retrieve_with_context(hits: DataFrame, records: DataFrame, chapter: str = "s
 
     hits: (qid, id, ...) as retrieve() gives them. A neighbour is at most window places away in the hit's chapter.
     """
-    at = positions(records, chapter, verse)
-    near = hits.select("qid", "id").join(at.select("id", F.col(chapter).alias("__c"), "pos"), "id")
-    near = near.select("qid", F.col("__c").alias(chapter), F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos")).distinct()
-    rows = at.join(near, [chapter, "pos"])
+    found = hits.select("qid", "id").join(records.select("id", chapter, verse), "id")
+    rows = records.join(around(records, found, chapter, verse, window, ("qid",)), [chapter, verse])
     order = Window.partitionBy("qid").orderBy(chapter, verse)
     return rows.select("qid", (F.row_number().over(order) - 1).alias("ord"), *records.columns)
 
