@@ -29,8 +29,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     splits = lines.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    rows = lines.join(splits.select("file", "__at", "__first", "__base"), ["file", "__at"])
+    splits = splits.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("file", "__at", "__first", "__base")
+    few = splits.limit(10_001).collect()  # a row a split
+    if len(few) <= 10_000:  # sent to the lines, which then stay in order
+        splits = F.broadcast(spark.createDataFrame(few, splits.schema))
+    rows = lines.join(splits, ["file", "__at"])
     return rows.select("value", "file", (F.col("__base") + F.col("__id") - F.col("__first") + 1).alias("line"))
 
 
