@@ -2,16 +2,15 @@
 
 Counts of all training words are exact and made by Spark. A bounded number of
 frequent words have outputs of their own, in classes of equal size, dealt by the
-documents the words occur in; all rarer words are one more class (and frequent
-ones that the sample lacks another, with its fixed share of the corpus). The network
+documents the words occur in; all rarer words are one more class (and, where only a
+part is learnt from, frequent ones that it lacks another, with its fixed share). The network
 gives log P(text) = sum of log P(class | all before) + log P(word | class, all
 before), both softmaxes over its state. Within the class of rare words, words
 share by their counts, and unseen ones get the share that words met once have.
 
-The network learns by truncated backpropagation on a sample of the training
-documents that grows with the square root of the corpus and never reaches the
-driver: each task learns on its own part from the parameters of the last round,
-and their means, made by Spark chunk by chunk, begin the next. State is carried
+The network learns by truncated backpropagation on every training text, none of
+which reaches the driver: each task learns on its own part from the parameters of
+the last round, and their means, made by Spark chunk by chunk, begin the next. State is carried
 from window to window and starts anew with each document.
 """
 
@@ -60,6 +59,34 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return c + z * (h - c), (z, r, c, a[:, 2 * n :])
 
+    def _gates(self) -> tuple:
+        """Input table, state matrix and biases with their three gates apart, so that each gate's numbers stand together."""
+        import numpy as np
+
+        apart = lambda a: np.ascontiguousarray(a.reshape(len(a), 3, self.hidden).transpose(1, 0, 2))
+        return apart(self.p["x"]), apart(self.p["u"]), apart(self.p["ub"][None])
+
+    @staticmethod
+    def _advance(x, h, u, ub, out):  # noqa: ANN001, ANN205
+        """step() on gates apart: x (3, rows, n) is overwritten by z, r and c; the new state goes to out. Returns what the candidate had of the state."""
+        import numpy as np
+
+        a = np.matmul(h, u)
+        a += ub
+        zr, c = x[:2], x[2]
+        zr += a[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(x[1], a[2], out=out)
+        c += out
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=out)
+        out *= x[0]
+        out += c
+        return a[2]
+
     def log_probs(self, hs):  # noqa: ANN001, ANN201
         import numpy as np
 
@@ -143,62 +170,101 @@ class Gru:
         import numpy as np
 
         steps, lanes = lanes_in.shape
-        n, h = self.hidden, np.zeros((lanes, self.hidden), np.float32)
+        n, kind = self.hidden, self.p["u"].dtype
+        h = np.zeros((lanes, n), kind)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         t = 0
         for at in range(0, steps, window):
-            xs, ys, keep = lanes_in[at : at + window], lanes_out[at : at + window], 1 - fresh[at : at + window, :, None].astype(np.float32)
-            before, saved, after = [], [], []
+            xs, ys, first = lanes_in[at : at + window], lanes_out[at : at + window], fresh[at : at + window]
             long = len(xs)
+            keep, anew = (1 - first[:, :, None]).astype(kind), first.any(axis=1)
+            table, u, ub = self._gates()
+            gates = np.take(table, xs, axis=1)  # z, r and c, once the step is made
+            before, after, ac = (np.empty((long, lanes, n), kind) for _ in range(3))
             for k in range(long):
-                h = h * keep[k]
-                before.append(h)
-                h, s = self.step(self.p["x"][xs[k]], h)
-                saved.append(s)
-                after.append(h)
-            hs = np.concatenate(after)
+                before[k] = h * keep[k] if anew[k] else h
+                ac[k] = self._advance(gates[:, k], before[k], u, ub, after[k])
+                h = after[k]
+            hs = after.reshape(-1, n)
             d = np.exp(self.log_probs(hs))
             there = ys.ravel() >= 0
             d[np.arange(len(d)), np.where(there, ys.ravel(), 0)] -= 1
             d[~there] = 0
             d /= lanes * window
-            g = {k: np.zeros_like(x) for k, x in self.p.items()}
-            g["o"], g["b"] = hs.T @ d, d.sum(axis=0)
+            g = {"o": hs.T @ d, "b": d.sum(axis=0)}
             dh_flat = d @ self.p["o"].T
+            if "w" in self.p:
+                g |= {"w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
             if lanes_word is not None:
                 words = lanes_word[at : at + window].ravel()
-                for rows, first, end in self._by_class(words):
-                    s = hs[rows] @ self.p["w"][first:end].T + self.p["wb"][first:end]
-                    s = np.exp(s - s.max(axis=1, keepdims=True))
-                    s /= s.sum(axis=1, keepdims=True)
-                    s[np.arange(len(rows)), words[rows] - first] -= 1
-                    s /= lanes * window
-                    g["w"][first:end], g["wb"][first:end] = s.T @ hs[rows], s.sum(axis=0)
-                    dh_flat[rows] += s @ self.p["w"][first:end]
+                for rows, a, b in self._by_class(words):
+                    own = hs[rows]
+                    s = own @ self.p["w"][a:b].T
+                    s += self.p["wb"][a:b]
+                    s -= s.max(axis=1, keepdims=True)
+                    np.exp(s, out=s)
+                    s *= (1 / (lanes * window)) / s.sum(axis=1, keepdims=True)
+                    s[np.arange(len(rows)), words[rows] - a] -= 1 / (lanes * window)
+                    np.matmul(s.T, own, out=g["w"][a:b])
+                    g["wb"][a:b] = s.sum(axis=0)
+                    dh_flat[rows] += s @ self.p["w"][a:b]
             dh_out = dh_flat.reshape(long, lanes, n)
-            dx_all, da_all, dh = np.empty((long, lanes, 3 * n), np.float32), np.empty((long, lanes, 3 * n), np.float32), np.zeros_like(h)
+            ut, dh = np.ascontiguousarray(u.transpose(0, 2, 1)), np.zeros((lanes, n), kind)
+            da, dcs = np.empty((3, long, lanes, n), kind), np.empty((long, lanes, n), kind)
             for k in reversed(range(long)):
-                z, r, c, ac = saved[k]
-                dh = dh + dh_out[k]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before[k] - c) * z * (1 - z)
-                dr = dc * ac * r * (1 - r)
-                dx_all[k] = np.concatenate([dz, dr, dc], axis=1)
-                da_all[k] = np.concatenate([dz, dr, dc * r], axis=1)
-                dh = (dh * z + da_all[k] @ self.p["u"].T) * keep[k]
-            flat = da_all.reshape(-1, 3 * n)
-            g["u"], g["ub"] = np.concatenate(before).T @ flat, flat.sum(axis=0)
-            np.add.at(g["x"], xs.ravel(), dx_all.reshape(-1, 3 * n))
-            norm = float(np.sqrt(sum((x**2).sum() for x in g.values())))
+                z, r, c = gates[:, k]
+                dh += dh_out[k]
+                rest = 1 - z
+                rest *= dh
+                dc = np.multiply(c, c, out=dcs[k])
+                np.subtract(1, dc, out=dc)
+                dc *= rest
+                dz = np.subtract(before[k], c, out=da[0, k])
+                dz *= z
+                dz *= rest
+                dr = np.subtract(1, r, out=da[1, k])
+                dr *= r
+                dr *= ac[k]
+                dr *= dc
+                np.multiply(dc, r, out=da[2, k])
+                dh *= z
+                for more in np.matmul(da[:, k], ut):
+                    dh += more
+                if anew[k]:
+                    dh *= keep[k]
+            flat = da.reshape(3, -1, n)
+            g["u"] = np.concatenate(list(np.matmul(before.reshape(-1, n).T, flat)), axis=1)
+            g["ub"] = flat.sum(axis=1).ravel()
+            g["x"] = self._by_input(xs.ravel(), (flat[0], flat[1], dcs.reshape(-1, n)))
+            norm = float(np.sqrt(sum(np.vdot(x, x) for x in g.values())))
             t += 1
             done = progress[0] + (progress[1] - progress[0]) * at / steps
-            pace = rate * min(1.0, 0.1 + (1 - done) * 1.2)
-            for k in self.p:
-                x = g[k] * min(1.0, 1.0 / (norm + 1e-8))
-                m[k] = 0.9 * m[k] + 0.1 * x
-                v2[k] = 0.99 * v2[k] + 0.01 * x * x
-                self.p[k] -= (pace * m[k] / (1 - 0.9**t) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+            pace = rate * min(1.0, 0.1 + (1 - done) * 1.2) / (1 - 0.9**t)
+            for k, x in g.items():
+                x *= min(1.0, 1.0 / (norm + 1e-8))
+                m[k] *= 0.9
+                m[k] += 0.1 * x
+                v2[k] *= 0.99
+                x *= x
+                x *= 0.01
+                v2[k] += x
+                np.sqrt(np.multiply(v2[k], 1 / (1 - 0.99**t), out=x), out=x)
+                x += 1e-6
+                np.divide(m[k], x, out=x)
+                x *= pace
+                self.p[k] -= x
+
+    def _by_input(self, xs, parts):  # noqa: ANN001, ANN202
+        """Sums of rows by their inputs' numbers, the parts side by side."""
+        import numpy as np
+
+        out, n = np.zeros_like(self.p["x"]), self.hidden
+        order = np.argsort(xs, kind="stable")
+        own, first = np.unique(xs[order], return_index=True)
+        for k, x in enumerate(parts):
+            out[own, k * n : (k + 1) * n] = np.add.reduceat(x[order], first, axis=0)
+        return out
 
     def score(self, inputs: list, targets: list, lanes: int = 384, window: int = 64, words: list | None = None):  # noqa: ANN201
         """Sum of natural log probabilities of each sequence's classes and, if given, words (arrays of equal lengths).
@@ -228,7 +294,7 @@ class Gru:
         own = [np.repeat(np.array(dealt[k]), [len(inputs[i]) for i in dealt[k]]) for k in order]
         starts = [np.r_[True, np.diff(o) != 0] for o in own]
         load, shift = load[order], self._shifts()
-        h, table = np.zeros((lanes, self.hidden), np.float32), self.p["x"]
+        h, (table, u, ub) = np.zeros((lanes, self.hidden), np.float32), self._gates()
         for at in range(0, int(load[0]), window):
             live = int((load > at).sum())
             w = min(window, int(load[0]) - at)
@@ -246,8 +312,8 @@ class Gru:
             for k in range(w):
                 if restart[k]:
                     h = np.where(fresh[k][:, None], np.float32(0), h)
-                h, _ = self.step(table[x[k]], h)
-                hs[k] = h
+                self._advance(np.take(table, x[k], axis=1), h, u, ub, hs[k])
+                h = hs[k]
             flat = hs.reshape(-1, self.hidden)
             lp = np.empty(len(flat), np.float32)
             goal = y.ravel()
@@ -382,18 +448,18 @@ def train(
     n_classes: int = 64,
     hidden: int = 32,
     own_inputs: int = 2000,
-    learnt: float = 5e5,
+    learnt: float | None = None,
     rounds: int = 4,
-    task_tokens: int = 500_000,
+    task_tokens: int = 2_000_000,
 ) -> tuple[LanguageModel, DataFrame]:
     """The model and the table of all word counts (word, c).
 
-    Counts cover every training text. The network learns on sqrt(learnt x tokens)
-    tokens: the documents whose id's hash falls below that share of all, and where
-    that is more than there are, on all of them several times. Bounded, as
-    parameters: frequent words at the workers (max_words) and words with outputs
-    (max_outputs). Rows without an id are counted, not learnt from; rows that
-    repeat an id share their fate. An empty table gives a model that knows no word.
+    Counts and network cover every training text. learnt, if given, has the
+    network learn on about sqrt(learnt x tokens) tokens alone: the documents whose
+    id's hash falls below that share of all. A corpus of under 500,000 tokens is
+    gone through several times. Bounded, as parameters: frequent words at the
+    workers (max_words) and words with outputs (max_outputs). Rows that repeat an
+    id share their fate. An empty table gives a model that knows no word.
     """
     import math
 
@@ -427,13 +493,15 @@ def train(
             out = [np.fromiter(map(get, w := _words(t), repeat(-1)), np.int32, len(w)).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["idx"])
 
-    wanted = math.sqrt(learnt * max(1, n))
-    share = min(1.0, wanted / max(1, n))
-    passes = max(1, round(wanted / max(1.0, share * n)))
-    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11)  # 53 bits
-    some = docs.filter(F.col(id_col).isNotNull() & (h < F.lit(int(share * (1 << 53))))).select(F.col(text_col).cast("string"))
+    share, some = 1.0, docs
+    if learnt is not None:
+        share = min(1.0, math.sqrt(learnt / max(1, n)))
+        h = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11)  # 53 bits
+        some = docs.filter(F.col(id_col).isNotNull() & (h < F.lit(int(share * (1 << 53)))))
+    passes = max(1, round(math.sqrt((learnt or 5e5) / max(1, n))))
     # dealt by rows, not by a key, so that no document's copies fill a task
-    sample = scratch.put(some.mapInArrow(number, "idx binary").repartition(max(1, math.ceil(share * n / task_tokens))))
+    numbered = some.select(F.col(text_col).cast("string")).mapInArrow(number, "idx binary")
+    sample = scratch.put(numbered.repartition(max(1, math.ceil(share * n / task_tokens))))
 
     n_out = min(max_outputs, len(words))
     dim = 32
@@ -446,11 +514,23 @@ def train(
         r = np.random.default_rng(2).normal(size=(n_out + 1, dim)).astype(np.float32)
         r[-1] = 0
         out = np.zeros((n_out + 1, dim + 1), np.float64)
-        for d in texts(batches):
-            own, many = np.unique(np.where((d >= 0) & (d < n_out), d, n_out), return_counts=True)
-            doc = (r[own] * many[:, None]).sum(axis=0)
-            out[own, :dim] += many[:, None] * (doc / (np.linalg.norm(doc) + 1e-9))
-            out[own, dim] += many
+        all_texts = texts(batches)
+        ends = np.cumsum([len(d) for d in all_texts], dtype=np.int64)
+        for some in np.split(np.arange(len(all_texts)), np.flatnonzero(np.diff(ends // 300_000)) + 1):  # some 300,000 words at once
+            at = np.repeat(np.arange(len(some)), [len(all_texts[i]) for i in some])
+            if not len(at):
+                continue
+            d = np.concatenate([all_texts[i] for i in some])
+            pair, many = np.unique(at * (n_out + 1) + np.where((d >= 0) & (d < n_out), d, n_out), return_counts=True)
+            at, own = np.divmod(pair, n_out + 1)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            doc = np.add.reduceat(r[own] * many[:, None].astype(np.float32), first, axis=0)
+            doc /= np.linalg.norm(doc, axis=1, keepdims=True) + 1e-9
+            by = np.argsort(own, kind="stable")
+            words, start = np.unique(own[by], return_index=True)
+            at = (np.cumsum(np.r_[0, at[1:] != at[:-1]]))[by]
+            out[words, :dim] += np.add.reduceat(doc[at] * many[by, None].astype(np.float32), start, axis=0)
+            out[words, dim] += np.add.reduceat(many[by], start)
         return out.ravel(), 1
 
     near, tasks = _sums(sample, neighbours)
@@ -493,7 +573,7 @@ def train(
             x, y, w = (np.concatenate(a) for a in zip(*map(m.sequences, own), strict=True))
             fresh = np.zeros(len(x), np.int8)
             fresh[np.cumsum([0, *(len(d) + 1 for d in own[:-1])])] = 1
-            lanes = max(1, min(96, len(x) // 400))
+            lanes = max(1, min(96, len(x) // 400), min(384, len(x) // 5000))
             steps = -(-len(x) // lanes)
             short = lanes * steps - len(x)  # places at the end of the last lane, which teach nothing
             deal = lambda a, fill: np.r_[a, np.full(short, fill, a.dtype)].reshape(lanes, steps).T

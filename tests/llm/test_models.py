@@ -89,6 +89,13 @@ def test_frequent_words_outside_the_sample_have_their_share_of_the_corpus(spark)
     assert np.allclose(p[:, gru_lm.LOOSE], outside / model.train_tokens, rtol=1e-4) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_every_training_text_is_learnt_from(spark):
+    """A corpus beyond 500,000 tokens, and rows without an id: no frequent word is outside what the network learns from."""
+    docs = spark.createDataFrame([(k if k % 9 else None, f"only{k} only{k} " + " ".join(f"w{(k + i * i) % 50}" for i in range(600))) for k in range(1500)], "doc_id long, text string")
+    model, _ = gru_lm.train(docs, Scratch(spark, "t"))
+    assert model.train_tokens > 900_000 and len(model.words) == 1550 and (model.place[:1550] >= 0).all()
+
+
 def test_classes_are_balanced():
     rng = np.random.default_rng(4)
     for n, classes in ((1, 1), (7, 3), (100, 7), (1000, 64)):
