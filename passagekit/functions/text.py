@@ -199,8 +199,16 @@ def heuristic_stem(
 
 def affixes_off(c: Column | str, prefixes: tuple[str, ...] = STEM_PREFIXES, suffixes: tuple[str, ...] = STEM_SUFFIXES, least: int = 3) -> Column:
     """heuristic_stem() of a word that is letters alone, not joined by hyphens."""
-    w = F.regexp_replace(_col(c), f"^(?:{'|'.join(prefixes)})(?=.{{{least}}})", "")
-    return F.regexp_replace(w, f"^(.{{{least},}}?)(?:{'|'.join(suffixes)})$", "$1")
+
+    def without_prefix(w: Column) -> Column:
+        fits = lambda p: F.startswith(w, F.lit(p)) & (F.length(w) >= len(p) + least)
+        return reduce(lambda out, p: F.when(fits(p), F.substr(w, F.lit(len(p) + 1))).otherwise(out), reversed(prefixes), w)
+
+    def without_suffix(w: Column) -> Column:
+        fits = lambda s: F.endswith(w, F.lit(s)) & (F.length(w) >= len(s) + least)
+        return reduce(lambda out, s: F.when(fits(s), F.left(w, F.length(w) - len(s))).otherwise(out), sorted(suffixes, key=len), w)
+
+    return with_value(_col(c), lambda w: with_value(without_prefix(w), without_suffix))
 
 
 def clitic_candidates(w: Column, prefixes: tuple[str, ...] = CLITIC_PREFIXES, suffixes: tuple[str, ...] = CLITIC_SUFFIXES, least: int = 2) -> Column:

@@ -12,7 +12,7 @@ POOL_CAP = 60
 
 def root_weights(roots: DataFrame, posts: DataFrame, n: Column, qid: str = "qid") -> DataFrame:
     """(qid, root, ord, idf) for the roots that the index has; posts: (root, doc) once each."""
-    df = posts.groupBy("root").agg(F.count(F.lit(1)).alias("df"))
+    df = posts.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("df"))
     return roots.join(df, "root").select(qid, "root", "ord", idf(n, F.col("df")).alias("idf"))
 
 
@@ -23,8 +23,9 @@ def candidates(weights: DataFrame, posts: DataFrame, qid: str = "qid", cap: int
     """
     hits = weights.join(posts, "root").groupBy(qid, "doc").agg(F.sum("idf").alias("s"), F.min("ord").alias("o"))
     order = Window.partitionBy(qid).orderBy(F.round("s", 9).desc(), "o", "doc")
-    hits = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < cap)
-    return hits.select(qid, "doc", F.round("s", digits).alias("score"), "rank")
+    # filtered by the row number itself, so that every task passes on its cap best alone and no task sorts all of a question's documents
+    hits = hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
+    return hits.select(qid, "doc", F.round("s", digits).alias("score"), (F.col("rn") - 1).alias("rank"))
 
 
 def fractions(pairs: DataFrame, weights: DataFrame, posts: DataFrame, qid: str = "qid") -> DataFrame:

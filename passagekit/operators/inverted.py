@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clitic_candidates, normalize_root, normalize_search, parse_id, tokens, without_stop_words
@@ -27,9 +27,22 @@ def postings(segments: DataFrame) -> DataFrame:
     return segments.select("root", "verse_id").distinct()
 
 
-def resolution_map(segments: DataFrame, key: str, normalizer=normalize_root) -> DataFrame:  # noqa: ANN001
-    """(key, roots): sorted distinct roots of each non-empty normalised form or lemma."""
-    pairs = segments.select(normalizer(F.col(key)).alias("key"), "root").filter("key <> ''").distinct()
+def _key(c: Column, normalizer) -> Column:  # noqa: ANN001
+    """normalizer(c); normalize_root changes nothing but Arabic script and white space, so words without any stay as they are."""
+    return F.when(~F.rlike(c, F.lit(r"(?U)[\u0600-\u06ff\s]")), c).otherwise(normalizer(c)) if normalizer is normalize_root else normalizer(c)
+
+
+def resolution_map(segments: DataFrame, key: str, normalizer=normalize_root, wanted: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """(key, roots): sorted distinct roots of each non-empty normalised form or lemma.
+
+    A form is normalised once for each of its roots, not once a segment. wanted: (key), a small table of keys that
+    are looked up; other keys are left out as segments are read, so that nothing of their size is shuffled.
+    """
+    if wanted is None:
+        pairs = segments.select(F.col(key).alias("form"), "root").distinct().select(_key(F.col("form"), normalizer).alias("key"), "root")
+    else:
+        pairs = segments.select(_key(F.col(key), normalizer).alias("key"), "root").join(wanted, "key", "left_semi")
+    pairs = pairs.filter("key <> ''").distinct()
     return pairs.groupBy("key").agg(F.array_sort(F.collect_list("root")).alias("roots"))
 
 
@@ -73,16 +86,21 @@ def resolve(words: DataFrame, keys: DataFrame, forms: DataFrame, lemmas: DataFra
     return w.drop("__w", "__own", "__f", "__l")
 
 
+def word_tries(queries: DataFrame, text: str = "text", qid: str = "qid", stop=None, prefixes=None, suffixes=None) -> DataFrame:  # noqa: ANN001
+    """(qid, pos, rank, stem): what is looked up of each query's content words, in the order of the tries."""
+    words = without_stop_words(tokens(F.col(text), normalize_search), stop)
+    rows = queries.select(qid, F.posexplode(words).alias("pos", "token"))
+    extra = {k: v for k, v in (("prefixes", prefixes), ("suffixes", suffixes)) if v is not None}
+    return rows.select(qid, "pos", F.explode(clitic_candidates(F.col("token"), **extra)).alias("t")).select(qid, "pos", "t.rank", "t.stem")
+
+
 def content_roots(queries: DataFrame, keys: DataFrame, forms: DataFrame, lemmas: DataFrame, text: str = "text", qid: str = "qid", stop=None, prefixes=None, suffixes=None) -> DataFrame:  # noqa: ANN001
     """(qid, root, ord): roots of each query's content words, in order of first mention.
 
     A word that isn't known is tried again without each suffix, then each
     prefix, and the first stem that is known counts.
     """
-    words = without_stop_words(tokens(F.col(text), normalize_search), stop)
-    rows = queries.select(qid, F.posexplode(words).alias("pos", "token"))
-    extra = {k: v for k, v in (("prefixes", prefixes), ("suffixes", suffixes)) if v is not None}
-    tries = rows.select(qid, "pos", F.explode(clitic_candidates(F.col("token"), **extra)).alias("t")).select(qid, "pos", "t.rank", "t.stem")
+    tries = word_tries(queries, text, qid, stop, prefixes, suffixes)
     hits = resolve(tries, keys, forms, lemmas, "stem").filter(F.size("roots") > 0)
     best = hits.groupBy(qid, "pos").agg(F.min_by("roots", "rank").alias("roots"))
     each = best.select(qid, "pos", F.posexplode("roots").alias("k", "root"))
