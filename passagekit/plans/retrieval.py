@@ -213,8 +213,8 @@ def similar(
     pool = fusion.keep_first_union(by_root.select(*cols), by_term.select(*cols), keys=(qid,), id_col="doc", most=POOL_MAX)
     if scorer is None:
         return pool.filter(F.col("pos") < limit).select(qid, "doc", "score", F.col("pos").alias("rank"))
-    # written first, so that Spark sees how small it is and sends it to the passages, which stay where they are
-    pool = keep(pool).join(queries.select(qid, "text"), qid).join(docs, "doc")
+    # written first and joined to passages first, so that Spark sees how small it is and sends it to them, which stay where they are
+    pool = keep(pool).join(docs, "doc").join(queries.select(qid, "text"), qid)
     ranked = keep(rerank.rerank(pool, scorer(F.col("text"), F.col("passage")), qid=qid).drop("text", "passage"))
     ranked = coverage.fractions(ranked, weights, posts, qid)
     ranked = rerank.full_coverage_gate(rerank.blended(ranked, floor, qid), qid=qid)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from passagekit import queries
 from passagekit.functions.text import affixes_off
 from passagekit.operators import coverage, inverted, langdetect
+from passagekit.plans import retrieval
 from passagekit.queries import _posts
 
 
@@ -29,6 +31,16 @@ def test_root_candidates_are_cut_before_they_are_shuffled(spark):
     assert sorted((r["qid"], r["rank"], r["doc"], r["score"]) for r in got.collect()) == [(q, k, d, 3.0) for q in (1, 2) for k, d in enumerate((1, 2, 4, 5, 7, 8, 10))]
 
 
+def test_passages_meet_a_small_pool_where_they_are(spark, sf, monkeypatch):
+    """Neither side of the join of pool and passages is shuffled: the pool is sent."""
+    seen = []
+    old = retrieval.rerank.rerank
+    monkeypatch.setattr(retrieval.rerank, "rerank", lambda pool, *a, **k: seen.append(_plan(pool)) or old(pool, *a, **k))
+    queries.similar_pipeline(spark, sf)
+    physical = seen[0][seen[0].index("== Physical Plan") :]
+    assert "SortMergeJoin" not in physical and "Exchange hashpartitioning" not in physical
+
+
 def test_affixes_without_patterns(spark):
     """The first beginning and the longest ending that leave three letters."""
     rows = [("reunited",), ("undoing",), ("redo",), ("reds",), ("",), (None,), ("inflation",), ("xyzes",), ("unes",), ("innings",)]
