@@ -52,8 +52,13 @@ def test_affixes_without_patterns(spark):
     assert "regexp" not in _plan(df.select(new)).lower()
 
 
-def test_a_documents_postings_stand_in_one_file(spark, sf):
-    rows = _posts(spark, sf)
+def test_a_documents_postings_stand_in_one_file(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "_of", lambda spark, name, *at: f"{name}-apart")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = _posts(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     files = rows.select("doc", F.input_file_name().alias("file")).distinct()
     assert files.groupBy("doc").count().filter("count > 1").count() == 0
 
