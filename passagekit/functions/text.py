@@ -11,7 +11,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,21 +194,42 @@ def heuristic_stem(
     The first prefix of the list that leaves `least` letters goes; of suffixes
     that end alike, the longest that leaves as many.
     """
-    return F.regexp_replace(affixes_off(F.regexp_replace(_col(c), f"[^{letters}]", ""), prefixes, suffixes, least), "(?<=.)(?=.)", "-")
+    return hyphenated(affixes_off(F.regexp_replace(_col(c), f"[^{letters}]", ""), prefixes, suffixes, least))
+
+
+def hyphenated(c: Column | str) -> Column:
+    """Letters joined by hyphens."""
+    return F.regexp_replace(_col(c), "(?<=.)(?=.)", "-")
+
+
+def prefix_off(w: Column, prefixes: tuple[str, ...] = STEM_PREFIXES, least: int = 3) -> Column:
+    """w without the first prefix of the list that leaves `least` letters."""
+    fits = lambda p: F.startswith(w, F.lit(p)) & (F.length(w) >= len(p) + least)
+    return reduce(lambda out, p: F.when(fits(p), F.substr(w, F.lit(len(p) + 1))).otherwise(out), reversed(prefixes), w)
+
+
+def suffix_off(w: Column, suffixes: tuple[str, ...] = STEM_SUFFIXES, least: int = 3) -> Column:
+    """w without the longest suffix that leaves `least` letters."""
+    fits = lambda s: F.endswith(w, F.lit(s)) & (F.length(w) >= len(s) + least)
+    return reduce(lambda out, s: F.when(fits(s), F.left(w, F.length(w) - len(s))).otherwise(out), sorted(suffixes, key=len), w)
 
 
 def affixes_off(c: Column | str, prefixes: tuple[str, ...] = STEM_PREFIXES, suffixes: tuple[str, ...] = STEM_SUFFIXES, least: int = 3) -> Column:
     """heuristic_stem() of a word that is letters alone, not joined by hyphens."""
+    return with_value(_col(c), lambda w: with_value(prefix_off(w, prefixes, least), lambda x: suffix_off(x, suffixes, least)))
+
 
-    def without_prefix(w: Column) -> Column:
-        fits = lambda p: F.startswith(w, F.lit(p)) & (F.length(w) >= len(p) + least)
-        return reduce(lambda out, p: F.when(fits(p), F.substr(w, F.lit(len(p) + 1))).otherwise(out), reversed(prefixes), w)
+def stem_steps(letters: str | None = ARABIC_LETTERS, prefixes: tuple[str, ...] = STEM_PREFIXES, suffixes: tuple[str, ...] = STEM_SUFFIXES, least: int = 3) -> tuple:
+    """heuristic_stem() without its hyphens as steps for a projection each, which compiles where affixes_off() is interpreted; letters None: words are letters alone."""
+    own = () if letters is None else (lambda w: F.regexp_replace(w, f"[^{letters}]", ""),)
+    return (*own, lambda w: prefix_off(w, prefixes, least), lambda w: suffix_off(w, suffixes, least))
 
-    def without_suffix(w: Column) -> Column:
-        fits = lambda s: F.endswith(w, F.lit(s)) & (F.length(w) >= len(s) + least)
-        return reduce(lambda out, s: F.when(fits(s), F.left(w, F.length(w) - len(s))).otherwise(out), sorted(suffixes, key=len), w)
 
-    return with_value(_col(c), lambda w: with_value(without_prefix(w), without_suffix))
+def in_steps(df: DataFrame, source: str, out: str, steps: tuple) -> DataFrame:
+    """df with column `out`: the steps applied to column `source` one after the other."""
+    for k, step in enumerate(steps):
+        df = df.withColumn(out, step(F.col(source if k == 0 else out)))
+    return df
 
 
 def clitic_candidates(w: Column, prefixes: tuple[str, ...] = CLITIC_PREFIXES, suffixes: tuple[str, ...] = CLITIC_SUFFIXES, least: int = 2) -> Column:

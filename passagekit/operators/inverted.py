@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clitic_candidates, normalize_root, normalize_search, parse_id, tokens, without_stop_words
+from ..functions.text import clitic_candidates, in_steps, normalize_root, normalize_search, parse_id, tokens, without_stop_words
 
 
 def root_index(segments: DataFrame) -> DataFrame:
     """(root, forms_found, verses, count): distinct forms in code-point order, distinct verses in canonical order.
 
     segments: (verse_id, form, root, ...) with roots in key form. Copies are
-    dropped before anything is gathered, and a posting list is as long as the
-    root's verses, which is what the index is.
+    dropped within tasks and lists shuffled once, by root; a posting list is as long
+    as the root's verses, which is what the index is.
     """
-    s, a = parse_id("verse_id")
-    places = segments.select("root", s.alias("s"), a.alias("a"), "verse_id").distinct()
-    places = places.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("s", "a", "verse_id"))).alias("v"), F.count(F.lit(1)).alias("count"))
-    forms = segments.select("root", "form").distinct().groupBy("root").agg(F.array_sort(F.collect_list("form")).alias("forms_found"))
-    return places.join(forms, "root").select("root", "forms_found", F.transform("v", lambda x: x["verse_id"]).alias("verses"), "count")
+    rows = segments.filter(F.col("root").isNotNull()).groupBy("root").agg(F.collect_set("form").alias("f"), F.collect_set("verse_id").alias("v"), F.bool_or(F.col("verse_id").isNull()).alias("lost"))
+    rows = rows.withColumn("v", F.when(F.col("lost"), F.array_append("v", F.lit(None).cast("string"))).otherwise(F.col("v")))
+    # parsed once a posting, next to their lists, which are sorted as values and not by a comparator
+    places = F.transform("v", lambda x: F.struct(*(c.alias(n) for c, n in zip(parse_id(x), "sa", strict=True)), x.alias("verse_id")))
+    rows = rows.select("root", F.sort_array("f").alias("forms_found"), F.sort_array(places).alias("v"))
+    return rows.select("root", "forms_found", F.transform("v", lambda x: x["verse_id"]).alias("verses"), F.size("v").cast("long").alias("count"))
 
 
 def postings(segments: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def resolution_map(segments: DataFrame, key: str, normalizer=normalize_root, wan
 
 def passage_roots(segments: DataFrame) -> DataFrame:
     """(verse_id, roots): sorted distinct roots."""
-    return segments.select("verse_id", "root").distinct().groupBy("verse_id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
+    return segments.groupBy("verse_id").agg(F.sort_array(F.collect_set("root")).alias("roots"))
 
 
 def attach_roots(records: DataFrame, roots: DataFrame, id_col: str = "id") -> DataFrame:
@@ -57,13 +60,38 @@ def attach_roots(records: DataFrame, roots: DataFrame, id_col: str = "id") -> Da
     return out.withColumn("roots", F.coalesce("roots", F.array().cast("array<string>")))
 
 
-def stem_index(docs: DataFrame, id_col: str, words, stem, least: int = 2) -> DataFrame:  # noqa: ANN001
-    """(root, forms_found, docs, count) of stems of every word; stems under `least` letters are passed over."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("form")).distinct()
-    rows = rows.withColumn("root", stem(F.col("form"))).filter(F.length(F.replace(F.col("root"), F.lit("-"), F.lit(""))) >= least)
-    docs_of = rows.select("root", "doc").distinct().groupBy("root").agg(F.array_sort(F.collect_list("doc")).alias("docs"), F.count(F.lit(1)).alias("count"))
-    forms = rows.select("root", "form").distinct().groupBy("root").agg(F.array_sort(F.collect_list("form")).alias("forms_found"))
-    return docs_of.join(forms, "root")
+def documents_of_words(docs: DataFrame) -> DataFrame:
+    """(form, docs) of docs (doc, words: an array without repeats): a row a word and batch of documents, so that nothing is shuffled and no row is a single posting."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def turn(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            row, coded = np.asarray(pc.list_parent_indices(batch.column(1))), batch.column(1).flatten().dictionary_encode()
+            code = np.asarray(coded.indices)
+            ends = np.r_[0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))].astype(np.int32)
+            own = batch.column(0).take(pa.array(row[np.argsort(code, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends), own)], ["form", "docs"])
+
+    return docs.select("doc", "words").mapInArrow(turn, f"form string, docs array<{kind}>")
+
+
+def stem_index(docs: DataFrame, id_col: str, words, stem, least: int = 2, shown=lambda root: root) -> DataFrame:  # noqa: ANN001
+    """(root, forms_found, docs, count) of stems of every word; stems under `least` letters are passed over.
+
+    stem: a function of a column, or several for a projection each; a word is stemmed once a batch of documents, and
+    lists of documents are shuffled once, by root. shown is applied to each root once, at the end, and must keep
+    different roots apart.
+    """
+    rows = documents_of_words(docs.select(F.col(id_col).alias("doc"), F.array_compact(F.array_distinct(words)).alias("words")))
+    rows = in_steps(rows, "form", "root", stem if isinstance(stem, tuple) else (stem,))
+    rows = rows.filter(F.length(F.replace(F.col("root"), F.lit("-"), F.lit(""))) >= least)
+    roots = rows.groupBy("root").agg(F.collect_set("form").alias("forms"), F.collect_list("docs").alias("docs"))
+    roots = roots.select("root", F.sort_array("forms").alias("forms_found"), F.array_distinct(F.flatten("docs")).alias("docs"))
+    return roots.select(shown(F.col("root")).alias("root"), F.sort_array(F.array_compact("docs")).alias("docs"), F.size("docs").cast("long").alias("count"), "forms_found")
 
 
 def resolve(words: DataFrame, keys: DataFrame, forms: DataFrame, lemmas: DataFrame, word: str = "word", stem=None) -> DataFrame:  # noqa: ANN001

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from passagekit import queries
-from passagekit.functions.text import affixes_off
+from passagekit.functions.text import affixes_off, heuristic_stem, hyphenated, stem_steps, tokens
 from passagekit.operators import coverage, inverted, langdetect
 from passagekit.plans import retrieval
 from passagekit.queries import _posts
@@ -75,3 +75,27 @@ def test_language_grams_stay_in_their_row(spark):
     sums = docs.select("doc_id", F.explode(langdetect.grams("text")).alias("gram")).join(known, "gram").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("aa") >= F.sum("bb")).alias("aa")).collect()
     want = {r["doc_id"]: ("aa" if r["aa"] else "bb", r["n"]) for r in sums}
     assert {r["doc_id"]: (r["language"], r["grams"]) for r in found.collect()} == {k: want.get(k, ("unknown", 0)) for k in range(len(texts))}
+
+
+def test_stem_index_stems_without_lambdas(spark):
+    """Ids in several rows count once, stems are worked out in compiled steps, and documents' lists are shuffled once."""
+    docs = spark.createDataFrame([(1, "walking walked, x"), (1, "walks walking"), (2, "walk re-walk"), (3, None), (4, "talked")], "doc_id long, text string").repartition(3)
+    old = lambda w: heuristic_stem(w, "a-z", ("re",), ("ing", "ed", "s"))
+    want = inverted.stem_index(docs, "doc_id", tokens("text"), old)
+    got = inverted.stem_index(docs, "doc_id", tokens("text"), stem_steps("a-z", ("re",), ("ing", "ed", "s")), shown=hyphenated)
+    rows = lambda df: sorted((r["root"], r["forms_found"], r["docs"], r["count"]) for r in df.collect())
+    assert rows(got) == rows(want) and rows(got)[1] == ("w-a-l-k", ["re-walk", "walk", "walked,", "walking", "walks"], [1, 2], 2)
+    plan = _plan(got.select("root", "forms_found", "count")).split("== Physical Plan ==")[1]
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lists_of_an_index_are_shuffled_once(spark):
+    """The index of roots and a passage's roots: copies, malformed and missing places, no (root, verse) pair shuffled by itself."""
+    rows = [("1:2", "b", "r"), ("1:10", "a", "r"), ("1:2", "b", "r"), ("x", "c", "r"), (None, "c", "r"), ("1:2", "z", None), ("2:1", None, "q")]
+    seg = spark.createDataFrame(rows, "verse_id string, form string, root string")
+    index, of = inverted.root_index(seg), inverted.passage_roots(seg)
+    for df in (index, of):
+        plan = _plan(df).split("== Physical Plan ==")[1]
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert {r["root"]: (r["forms_found"], r["verses"], r["count"]) for r in index.collect()} == {"r": (["a", "b", "c"], [None, "x", "1:2", "1:10"], 4), "q": ([], ["2:1"], 1)}
+    assert {r["verse_id"]: r["roots"] for r in of.collect()} == {"1:2": ["r"], "1:10": ["r"], "x": ["r"], None: ["r"], "2:1": ["q"]}
