@@ -7,7 +7,9 @@ so for all of Unicode and is applied once, at ingestion.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -145,14 +147,37 @@ def tokens(c: Column | str, normalizer=normalize_search) -> Column:  # noqa: ANN
 
     The folds of normalize_search touch Arabic script alone, so texts without any are only trimmed.
     """
-    text = F.coalesce(_col(c), F.lit(""))
-    if normalizer is normalize_search:
-        t = F.lower(F.when(is_arabic(text), trimmed(normalizer(text))).otherwise(trimmed(text)))
-    else:
-        t = F.lower(trimmed(normalizer(text)))
+    t = F.lower(trimmed(_folded(c, normalizer)))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
 
 
+def _folded(c: Column | str, normalizer) -> Column:  # noqa: ANN001
+    text = F.coalesce(_col(c), F.lit(""))
+    return F.when(is_arabic(text), normalizer(text)).otherwise(text) if normalizer is normalize_search else normalizer(text)
+
+
+def words_in_tasks(df: DataFrame, own: list[Column], text: Column, make, columns: dict[str, str], normalizer=normalize_search) -> DataFrame:  # noqa: ANN001
+    """Columns of df and more (name: type), which make()(words) gives for tokens(text) of a row as values: for steps that are slow as expressions.
+
+    make is called once a task; rows go to workers with their folded texts and stay where they are.
+    """
+    like = df.select(*own).schema
+    kept = like.names
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        each, odd, space = make(), re.compile("[\x1c-\x1f]"), re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        for batch in batches:
+            # str.split() takes four control characters for white space that (?U)\s does not
+            texts = batch.column(len(kept)).to_pylist()
+            found = each(t.split() if not odd.search(t) else [w for w in space.split(t) if w] for t in texts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *found], [*kept, *columns])
+
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in like.fields), *(f"`{n}` {t}" for n, t in columns.items())])
+    return df.select(*own, F.lower(_folded(text, normalizer)).alias("__text")).mapInArrow(run, kind)
+
+
 def index_text(*cols: str) -> Column:
     """The non-empty columns joined by a space."""
     return F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in cols))

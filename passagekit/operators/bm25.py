@@ -7,13 +7,14 @@ hand: the query side is small or not, and Spark sees its size.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, with_value
+from ..functions.text import normalize_search, tokens, with_value, words_in_tasks
 from ..sinks.writers import write_index
 from ..sources.readers import read_table
 
@@ -50,9 +51,27 @@ def counted_terms(words: Column) -> Column:
 
 def document_terms(df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None) -> DataFrame:  # noqa: ANN001
     """(doc, ord, dl, terms): a row a document, terms an array of (term, tf). No shuffle."""
-    words = tokens(text) if normalizer is None else tokens(text, normalizer)
-    rows = df.select(F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord"), with_value(words, lambda w: F.struct(F.size(w).cast("long").alias("dl"), counted_terms(w).alias("terms"))).alias("c"))
-    return rows.select("doc", "ord", "c.dl", "c.terms")
+    own = [F.col(id_col).alias("doc"), (F.col(id_col) if ordinal is None else ordinal).alias("ord")]
+    return words_in_tasks(df, own, text, _counter, {"dl": "bigint", "terms": "array<struct<term:string,tf:bigint>>"}, normalizer or normalize_search)
+
+
+def _counter() -> Callable:
+    """counted_terms() and the number of words of many rows, within a task."""
+    import pyarrow as pa
+
+    def count(rows: Iterator) -> tuple:
+        sizes, ends, terms, tfs = [], [0], [], []
+        for words in rows:
+            found = Counter(words)
+            own = sorted(found)  # by code point, as sort_array has them
+            terms += own
+            tfs += map(found.__getitem__, own)
+            sizes.append(len(words))
+            ends.append(len(terms))
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
+        return pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return count
 
 
 def weighted(terms: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:

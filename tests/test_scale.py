@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from passagekit import queries
-from passagekit.functions.text import affixes_off, heuristic_stem, hyphenated, stem_steps, tokens
-from passagekit.operators import coverage, inverted, langdetect
+from passagekit.functions.text import affixes_off, heuristic_stem, hyphenated, normalize_clean, stem_steps, tokens
+from passagekit.operators import bm25, coverage, inverted, langdetect
 from passagekit.plans import retrieval
 from passagekit.queries import _posts
 
@@ -99,3 +99,16 @@ def test_lists_of_an_index_are_shuffled_once(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
     assert {r["root"]: (r["forms_found"], r["verses"], r["count"]) for r in index.collect()} == {"r": (["a", "b", "c"], [None, "x", "1:2", "1:10"], 4), "q": ([], ["2:1"], 1)}
     assert {r["verse_id"]: r["roots"] for r in of.collect()} == {"1:2": ["r"], "1:10": ["r"], "x": ["r"], None: ["r"], "2:1": ["q"]}
+
+
+def test_words_of_texts_are_counted_in_tasks(spark):
+    """Counts as the expressions have them, white space and letters of all kinds included; rows go to workers and stay where they are."""
+    texts = ["a b  a\x1cb a\x1fb", "\u2003x\u00a0X\u3000\u0085y\u200b ", "كتابٌ  كتاب", None, "", " \t\n", "İΣΑΣ ß \U00010400 \ufb01 z", "nul\x00 a\u180eb", "ئ\u0654 \u0671 a\u2028b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = bm25.document_terms(docs, "id", F.col("text"))
+    want = docs.select(F.col("id").alias("doc"), F.size(tokens("text")).cast("long").alias("dl"), bm25.counted_terms(tokens("text")).alias("terms"))
+    key = lambda r: (r["doc"], r["dl"], [tuple(t) for t in r["terms"]])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "MapInArrow" in _plan(got) and "Exchange" not in _plan(got)
+    clean = bm25.document_terms(docs, "id", F.col("text"), normalizer=normalize_clean)
+    assert sorted((r["doc"], r["dl"]) for r in clean.collect()) == sorted((r[0], r[1]) for r in docs.select("id", F.size(tokens("text", normalize_clean))).collect())
