@@ -121,7 +121,7 @@ def parse_morphology(lines: DataFrame, col: str = "value") -> DataFrame:
     feature = lambda key: F.coalesce(F.try_element_at(F.filter(F.split(F.try_element_at(f, F.lit(4)), "[|]"), lambda x: F.startswith(x, F.lit(key))), F.lit(-1)), F.lit(""))
     s, a = (F.try_element_at(place, F.lit(k)).try_cast("int") for k in (1, 2))
     rows = lines.filter(F.size(f) >= 4).select(
-        s.alias("s"), a.alias("a"), F.element_at(f, 2).alias("form"), F.substring(feature("ROOT:"), 6, 1 << 20).alias("root"), F.substring(feature("LEM:"), 5, 1 << 20).alias("lemma")
+        s.alias("s"), a.alias("a"), F.get(f, 1).alias("form"), F.substring(feature("ROOT:"), 6, 1 << 20).alias("root"), F.substring(feature("LEM:"), 5, 1 << 20).alias("lemma")
     )
     rows = rows.filter("s is not null and a is not null and root <> ''")
     return rows.select(passage_id("s", "a").alias("verse_id"), trimmed("form").alias("form"), trimmed("root").alias("root"), trimmed("lemma").alias("lemma"))
