@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -167,17 +167,69 @@ def words_in_tasks(df: DataFrame, own: list[Column], text: Column, make, columns
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        each, odd, space = make(), re.compile("[\x1c-\x1f]"), re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        each, split = make(), _splitter()
         for batch in batches:
-            # str.split() takes four control characters for white space that (?U)\s does not
-            texts = batch.column(len(kept)).to_pylist()
-            found = each(t.split() if not odd.search(t) else [w for w in space.split(t) if w] for t in texts)
+            found = each(map(split, batch.column(len(kept)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *found], [*kept, *columns])
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in like.fields), *(f"`{n}` {t}" for n, t in columns.items())])
     return df.select(*own, F.lower(_folded(text, normalizer)).alias("__text")).mapInArrow(run, kind)
 
 
+def _splitter() -> Callable[[str], list[str]]:
+    """The words of a lower-case folded text, as tokens() has them."""
+    odd, space = re.compile("[\x1c-\x1f]"), re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    # str.split() takes four control characters for white space that (?U)\s does not
+    return lambda t: t.split() if not odd.search(t) else [w for w in space.split(t) if w]
+
+
+def different_words(df: DataFrame, text: Column, normalizer=normalize_search, most: int = 200_000) -> DataFrame:  # noqa: ANN001
+    """(word): the words of all texts, those that a task meets again within some `most` different ones only once."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        split, seen, new = _splitter(), set(), set()
+        give = lambda ws: pa.RecordBatch.from_arrays([pa.array(list(ws), pa.string())], ["word"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                new.update(split(t))
+                if len(new) > most:
+                    yield give(new - seen)
+                    seen, new = new, set()
+        yield give(new - seen)
+
+    return df.select(F.lower(_folded(text, normalizer)).alias("__text")).mapInArrow(run, "word string")
+
+
+def lister(change: Callable[[str], str], most: int = 500_000) -> Callable:
+    """For words_in_tasks(): the different results of change for the words of each row, without empty ones; change is asked once a word of a task."""
+
+    def make() -> Callable:
+        import pyarrow as pa
+
+        class Known(dict):
+            def __missing__(self, w: str) -> str:
+                return self.setdefault(w, change(w))
+
+        known = Known()
+
+        def run(rows: Iterator) -> tuple:
+            ends, out = [0], []
+            for words in rows:
+                own = set(map(known.__getitem__, set(words)))
+                own.discard("")
+                out += own
+                ends.append(len(out))
+                if len(known) > most:
+                    known.clear()
+            return (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string())),)
+
+        return run
+
+    return make
+
+
 def index_text(*cols: str) -> Column:
     """The non-empty columns joined by a space."""
     return F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in cols))
