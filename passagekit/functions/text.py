@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 TASHKEEL = r"[ؐ-ًؚ-ٰٟ]"
 TATWEEL = "ـ"
 ANNOTATION = r"[ۖ-ۭ]"
+#: White space of any script.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Hamza carriers and what they fold to.
 HAMZA_FROM, HAMZA_TO = "أإآٱؤئ", "ااااوي"
 #: The folds of the clean text, and of its profile "fold".
@@ -202,8 +204,11 @@ def different_words(df: DataFrame, text: Column, normalizer=normalize_search, mo
     return df.select(F.lower(_folded(text, normalizer)).alias("__text")).mapInArrow(run, "word string")
 
 
-def lister(change: Callable[[str], str], most: int = 500_000) -> Callable:
-    """For words_in_tasks(): the different results of change for the words of each row, without empty ones; change is asked once a word of a task."""
+def lister(change: Callable[[str], str], different: bool = True, most: int = 500_000) -> Callable:
+    """For words_in_tasks(): change's results for the words of each row; the different ones without empty ones, or one a word in their order.
+
+    change is asked once a word of a task.
+    """
 
     def make() -> Callable:
         import pyarrow as pa
@@ -217,9 +222,8 @@ def lister(change: Callable[[str], str], most: int = 500_000) -> Callable:
         def run(rows: Iterator) -> tuple:
             ends, out = [0], []
             for words in rows:
-                own = set(map(known.__getitem__, set(words)))
-                own.discard("")
-                out += own
+                own = map(known.__getitem__, set(words) if different else words)
+                out += (w for w in set(own) if w) if different else own
                 ends.append(len(out))
                 if len(known) > most:
                     known.clear()
@@ -367,7 +371,11 @@ def point_id(chapter: Column | str, verse: Column | str) -> Column:
 
 def parse_id(c: Column | str) -> tuple[Column, Column]:
     """(chapter, verse); null where the id is malformed."""
-    parts = F.split(_col(c), ":")
+    return parsed_id(F.split(_col(c), ":"))
+
+
+def parsed_id(parts: Column) -> tuple[Column, Column]:
+    """parse_id() of an id split at its colons."""
     ok = F.size(parts) == 2
     return F.when(ok, F.try_element_at(parts, F.lit(1)).try_cast("int")), F.when(ok, F.try_element_at(parts, F.lit(2)).try_cast("int"))
 

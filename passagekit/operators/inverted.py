@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clitic_candidates, in_steps, normalize_root, normalize_search, parse_id, tokens, without_stop_words
+from ..functions.text import clitic_candidates, in_steps, normalize_root, normalize_search, parsed_id, tokens, with_value, without_stop_words
 
 
 def root_index(segments: DataFrame) -> DataFrame:
@@ -17,12 +17,47 @@ def root_index(segments: DataFrame) -> DataFrame:
     dropped within tasks and lists shuffled once, by root; a posting list is as long
     as the root's verses, which is what the index is.
     """
-    rows = segments.filter(F.col("root").isNotNull()).groupBy("root").agg(F.collect_set("form").alias("f"), F.collect_set("verse_id").alias("v"), F.bool_or(F.col("verse_id").isNull()).alias("lost"))
-    rows = rows.withColumn("v", F.when(F.col("lost"), F.array_append("v", F.lit(None).cast("string"))).otherwise(F.col("v")))
+    rows = _gathered(segments.filter(F.col("root").isNotNull()).select("root", "form", "verse_id")).groupBy("root").agg(F.collect_list("forms").alias("f"), F.collect_list("verses").alias("v"))
     # parsed once a posting, next to their lists, which are sorted as values and not by a comparator
-    places = F.transform("v", lambda x: F.struct(*(c.alias(n) for c, n in zip(parse_id(x), "sa", strict=True)), x.alias("verse_id")))
-    rows = rows.select("root", F.sort_array("f").alias("forms_found"), F.sort_array(places).alias("v"))
-    return rows.select("root", "forms_found", F.transform("v", lambda x: x["verse_id"]).alias("verses"), F.size("v").cast("long").alias("count"))
+    place = lambda x: with_value(F.split(x, ":"), lambda p: F.struct(*(c.alias(n) for c, n in zip(parsed_id(p), "sa", strict=True)), x.alias("verse_id")))
+    rows = rows.select("root", F.sort_array(F.array_distinct(F.flatten("f"))).alias("forms_found"), F.sort_array(F.transform(F.array_distinct(F.flatten("v")), place)).alias("v"))
+    return rows.select("root", "forms_found", F.col("v.verse_id").alias("verses"), F.size("v").cast("long").alias("count"))
+
+
+def _gathered(rows: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """(root, forms, verses) of (root, form, verse_id): different forms and verses of a root within `most` rows of a task; null forms are left out."""
+    kind = rows.schema["verse_id"].dataType.simpleString()
+
+    def lists(root, value, n_roots: int):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        coded = value.dictionary_encode("encode")
+        pair = np.unique(root.astype(np.int64) * len(coded.dictionary) + np.asarray(coded.indices))
+        at, code = np.divmod(pair, max(1, len(coded.dictionary)))
+        ends = np.searchsorted(at, np.arange(n_roots + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(code)))
+
+    def combined(batches: list):  # noqa: ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        root, form, verse = (pa.chunked_array([b.column(k) for b in batches]).combine_chunks() for k in range(3))
+        roots = root.dictionary_encode()
+        code, n, there = np.asarray(roots.indices), len(roots.dictionary), form.is_valid()
+        return pa.RecordBatch.from_arrays([roots.dictionary, lists(code[np.asarray(there)], form.filter(there), n), lists(code, verse, n)], ["root", "forms", "verses"])
+
+    def run(batches: Iterator) -> Iterator:
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield combined(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield combined(held)
+
+    return rows.mapInArrow(run, f"root string, forms array<string>, verses array<{kind}>")
 
 
 def postings(segments: DataFrame) -> DataFrame:

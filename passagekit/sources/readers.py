@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..functions.text import passage_id, trimmed
+from ..functions.text import WHITE_SPACE, passage_id, trimmed
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -114,17 +116,27 @@ def parse_morphology(lines: DataFrame, col: str = "value") -> DataFrame:
 
     Lines that are blank, have under four fields, no numeric place or no root
     are passed over; ROOT: and LEM: count anywhere among the features, the last
-    of several.
+    of several. Fields are taken apart a batch of lines at a time.
     """
-    f = F.split(F.col(col), "\t")
-    place = F.split(F.regexp_replace(F.try_element_at(f, F.lit(1)), r"[()]", ""), ":")
-    feature = lambda key: F.coalesce(F.try_element_at(F.filter(F.split(F.try_element_at(f, F.lit(4)), "[|]"), lambda x: F.startswith(x, F.lit(key))), F.lit(-1)), F.lit(""))
-    s, a = (F.try_element_at(place, F.lit(k)).try_cast("int") for k in (1, 2))
-    rows = lines.filter(F.size(f) >= 4).select(
-        s.alias("s"), a.alias("a"), F.get(f, 1).alias("form"), F.substring(feature("ROOT:"), 6, 1 << 20).alias("root"), F.substring(feature("LEM:"), 5, 1 << 20).alias("lemma")
-    )
-    rows = rows.filter("s is not null and a is not null and root <> ''")
-    return rows.select(passage_id("s", "a").alias("verse_id"), trimmed("form").alias("form"), trimmed("root").alias("root"), trimmed("lemma").alias("lemma"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            fields = pc.split_pattern(pc.drop_null(batch.column(0)), "\t")
+            fields = fields.filter(pc.greater_equal(pc.list_value_length(fields), 4))
+            place, form, features = (pc.list_element(fields, k) for k in (0, 1, 3))
+            place = pc.split_pattern(pc.replace_substring(pc.replace_substring(place, "(", ""), ")", ""), ":", max_splits=2)
+            root, lemma = (pc.struct_field(pc.extract_regex(features, rf"(?s)^(?:.*\|)?{key}:(?P<v>[^|]*)"), "v") for key in ("ROOT", "LEM"))
+            fine = pc.and_(pc.greater_equal(pc.list_value_length(place), 2), pc.fill_null(pc.not_equal(root, ""), False))
+            place = place.filter(fine)
+            said = [pc.utf8_trim(c.filter(fine), WHITE_SPACE) for c in (form, root, pc.coalesce(lemma, ""))]
+            yield pa.RecordBatch.from_arrays([pc.list_element(place, 0), pc.list_element(place, 1), *said], ["s", "a", "form", "root", "lemma"])
+
+    rows = lines.select(col).mapInArrow(run, "s string, a string, form string, root string, lemma string")
+    rows = rows.select(F.col("s").try_cast("int").alias("s"), F.col("a").try_cast("int").alias("a"), "form", "root", "lemma").filter("s is not null and a is not null")
+    return rows.select(passage_id("s", "a").alias("verse_id"), "form", "root", "lemma")
 
 
 def read_morphology(spark: SparkSession, path: str) -> DataFrame:
