@@ -124,21 +124,35 @@ def _by_term(table: DataFrame) -> DataFrame:
     return table.repartitionByRange("term").sortWithinPartitions(*(c for c in ("term", "doc") if c in table.columns))
 
 
-def create(path: str, df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None) -> Bm25Index:  # noqa: ANN001
-    """build() and save() in one: each table is written once and the next made of it. Texts are tokenised once, postings shuffled once."""
+def create(path: str, df: DataFrame, id_col: str, text: Column, ordinal: Column | None = None, normalizer=None, postings: bool = True) -> Bm25Index:  # noqa: ANN001
+    """build() and save() in one: each table is written once and the next made of it. Texts are tokenised once, postings shuffled once.
+
+    postings: False leaves them to add_postings(), for an index that answers tables of many questions, which read documents.
+    """
     spark = df.sparkSession
     write_index({"docs": document_terms(df, id_col, text, ordinal, normalizer)}, path)
     docs = read_table(spark, f"{path}/docs")
-    write_index({"postings": _by_term(_postings(docs))}, path)
-    counts = read_table(spark, f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms, corpus = weighted(counts, lengths(docs))
+    if postings:
+        add_postings(spark, path)
+    rows = read_table(spark, f"{path}/postings") if postings else docs.select(F.explode("terms.term").alias("term"))
+    write_index({"counts": rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))}, path)  # read three times
+    terms, corpus = weighted(read_table(spark, f"{path}/counts"), lengths(docs))
     write_index({"terms": _by_term(terms), "corpus": corpus}, path)
     return load(spark, path)
 
 
+def add_postings(spark: SparkSession, path: str) -> None:
+    """The postings of the index at path, made of its documents' counts."""
+    write_index({"postings": _by_term(_postings(read_table(spark, f"{path}/docs")))}, path)
+
+
 def load(spark: SparkSession, path: str) -> Bm25Index:
-    """The index that save() wrote; FileNotFoundError where there is none."""
-    return Bm25Index(*(read_table(spark, f"{path}/{name}") for name in ("docs", "postings", "terms", "corpus")))
+    """The index that save() or create() wrote; FileNotFoundError where there is none. Postings that weren't stored are read from the documents."""
+    docs, terms, corpus = (read_table(spark, f"{path}/{name}") for name in ("docs", "terms", "corpus"))
+    try:
+        return Bm25Index(docs, read_table(spark, f"{path}/postings"), terms, corpus)
+    except FileNotFoundError:
+        return Bm25Index(docs, _postings(docs), terms, corpus)
 
 
 def scores(index: Bm25Index, queries: DataFrame, text: Column, qid: str = "qid", k1: float = K1, b: float = B, normalizer=None, few: int = 1000, best: int | None = None, sent: int = 1_000_000) -> DataFrame:  # noqa: ANN001
