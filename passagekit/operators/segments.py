@@ -60,14 +60,21 @@ def _write(spark: SparkSession, path: str, number: int, content: dict) -> None:
 
 
 def _segment(rows: DataFrame, path: str) -> str:
-    """A segment of (doc, ord, dl, terms, gone) rows; returns its name."""
-    name = f"s{uuid.uuid4().hex}"
+    """A segment of (doc, ord, dl, terms, gone) rows, of those with one id the greatest; returns its name."""
+    name, spark = f"s{uuid.uuid4().hex}", rows.sparkSession
     at = f"{path}/segments/{name}"
     _put(rows.select("doc", "ord", "dl", "terms", "gone"), f"{at}/docs")  # texts are tokenised once
-    back = rows.sparkSession.read.parquet(f"{at}/docs")
+    back = spark.read.parquet(f"{at}/docs")
+    if not back.groupBy("doc").count().filter("count > 1").isEmpty():  # ids alone are shuffled, unless some come again
+        once = back.groupBy("doc").agg(F.max(F.struct("ord", "dl", "terms", "gone")).alias("r"))
+        _put(once.select("doc", "r.*"), f"{at}/once")
+        (old, fs), (new, _) = (path_of(spark, f"{at}/{n}") for n in ("docs", "once"))
+        if not (fs.delete(old, True) and fs.rename(new, old)):
+            raise RuntimeError(f"{at}/docs could not be replaced")
+        back = spark.read.parquet(f"{at}/docs")
     posts = back.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
-    _put(posts.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{at}/postings")
-    _put(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
+    _put(posts.repartition("term").sortWithinPartitions("term", "doc"), f"{at}/postings")  # by hash: ranges would take a pass over all for their bounds
+    _put(spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
     return name
 
 
@@ -90,9 +97,7 @@ def append(spark: SparkSession, path: str, df: DataFrame, id_col: str, text: Col
     Of rows with one id one counts (the greatest ordinal, then length). Rows without an id are passed over.
     """
     rows = bm25.document_terms(df.filter(F.col(id_col).isNotNull()), id_col, text, ordinal, normalizer)
-    fields = F.struct("ord", "dl", "terms")
-    rows = rows.groupBy("doc").agg(F.max(fields).alias("r")).select("doc", "r.ord", "r.dl", "r.terms", F.lit(False).alias("gone"))
-    return _commit(spark, path, rows, batch)
+    return _commit(spark, path, rows.withColumn("gone", F.lit(False)), batch)
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame, id_col: str, batch: str | None = None) -> bool:
