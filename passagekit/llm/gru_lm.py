@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .common import Scratch
 
 END, RARE, LOOSE = 0, 1, 2  # classes: end of text, rare or unseen words, frequent words that the sample lacks
 _CHUNK = 4096  # parameters in one row while means are taken
+_NEAR = 1 << 14  # numbers, and
+_ROWS = 512  # rows of scores, that are worked on at once, so that they stay in a core's own cache
 
 
 class Gru:
@@ -59,33 +62,38 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return c + z * (h - c), (z, r, c, a[:, 2 * n :])
 
-    def _gates(self) -> tuple:
-        """Input table, state matrix and biases with their three gates apart, so that each gate's numbers stand together."""
+    def _gates(self, rows: int) -> tuple:
+        """Input table (with the biases of z and r), state matrix and, for each row, the candidate's bias, three gates apart, so that each gate's numbers stand together.
+
+        z and r have their signs turned: exp() takes them as they are.
+        """
         import numpy as np
 
         apart = lambda a: np.ascontiguousarray(a.reshape(len(a), 3, self.hidden).transpose(1, 0, 2))
-        return apart(self.p["x"]), apart(self.p["u"]), apart(self.p["ub"][None])
+        table, u, ub = apart(self.p["x"]), apart(self.p["u"]), apart(self.p["ub"][None])
+        table[:2] += ub[:2]
+        np.negative(table[:2], out=table[:2])
+        np.negative(u[:2], out=u[:2])
+        return table, u, np.repeat(ub[2], rows, axis=0)
 
     @staticmethod
-    def _advance(x, h, u, ub, out):  # noqa: ANN001, ANN205
-        """step() on gates apart: x (3, rows, n) is overwritten by z, r and c; the new state goes to out. Returns what the candidate had of the state."""
+    def _advance(x, h, u, cb, a, ac, out) -> None:  # noqa: ANN001
+        """step() on gates apart: x (3, rows, n) is overwritten by z, r and c; ac gets what the candidate had of the state, out the new state. a: room."""
         import numpy as np
 
-        a = np.matmul(h, u)
-        a += ub
+        np.matmul(h, u, out=a)
         zr, c = x[:2], x[2]
         zr += a[:2]
-        np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(x[1], a[2], out=out)
+        np.add(a[2], cb, out=ac)
+        np.multiply(x[1], ac, out=out)
         c += out
         np.tanh(c, out=c)
         np.subtract(h, c, out=out)
         out *= x[0]
         out += c
-        return a[2]
 
     def log_probs(self, hs):  # noqa: ANN001, ANN201
         import numpy as np
@@ -108,57 +116,65 @@ class Gru:
         def bounds(b: str, size) -> tuple:  # noqa: ANN001
             return self.p[b] + size, self.p[b] - size
 
-        most, least = bounds("b", np.abs(self.p["o"]).sum(axis=0))
-        safe = most.max() < 60 and least.max() > -60
+        size = np.ones(self.hidden, self.p["o"].dtype) @ np.abs(self.p["o"])
+        most, least = bounds("b", size)
+        safe = max(most.max(), size.max()) < 60 and least.max() > -60
         if "w" in self.p:
-            most, least = bounds("wb", np.abs(self.p["w"]).sum(axis=1))
+            size = np.abs(self.p["w"]) @ np.ones(self.hidden, self.p["w"].dtype)
+            most, least = bounds("wb", size)
             first = np.unique(np.r_[0, self.ends[:-1]][np.diff(np.r_[0, self.ends]) > 0])
-            safe = safe and most.max() < 60 and np.maximum.reduceat(least, first).min() > -60
+            safe = safe and max(most.max(), size.max()) < 60 and np.maximum.reduceat(least, first).min() > -60
         return not safe
 
-    def _log_sums(self, s, shift: bool):  # noqa: ANN001, ANN202
-        """log of the sum of exp of each row of s, which it overwrites."""
+    @staticmethod
+    def _log_sums(s, bias, shift: bool):  # noqa: ANN001, ANN205
+        """log of the sum of exp(s + bias) of each row of s, which it overwrites."""
         import numpy as np
 
-        top = s.max(axis=1) if shift else 0
-        if shift:
-            s -= top[:, None]
-        np.exp(s, out=s)
-        return np.log(s @ np.ones(s.shape[1], np.float32)) + top
+        if not shift:
+            return np.log(np.exp(s, out=s) @ np.exp(bias))
+        s += bias
+        top = s.max(axis=1)
+        s -= top[:, None]
+        return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype)) + top
 
     def goal_log_probs(self, hs, goal, shift: bool = True):  # noqa: ANN001, ANN201
         """log P(class | state) of each row's class: what log_probs has at it."""
         import numpy as np
 
-        s = hs @ self.p["o"] + self.p["b"]
-        own = s[np.arange(len(s)), goal]
-        own = own - self._log_sums(s, shift)
+        out, b = np.empty(len(hs), hs.dtype), self.p["b"]
+        for i in range(0, len(hs), _ROWS):
+            y = goal[i : i + _ROWS]
+            s = hs[i : i + _ROWS] @ self.p["o"]
+            own = s[np.arange(len(y)), y] + b[y]
+            out[i : i + _ROWS] = own - self._log_sums(s, b, shift)
         if self.loose:
-            own = np.where(goal == LOOSE, np.float32(np.log(self.loose)), own + np.float32(np.log1p(-self.loose)))
-        return own
+            out = np.where(goal == LOOSE, np.float32(np.log(self.loose)), out + np.float32(np.log1p(-self.loose)))
+        return out
 
-    def _by_class(self, words):  # noqa: ANN001, ANN202
-        """(rows, first word, end of words) for each class of which there are words (-1: none)."""
+    def _by_class(self, words) -> tuple:  # noqa: ANN001
+        """The places of words class by class, and from and to where in them each class is, with its first word and the end of its words (-1: none)."""
         import numpy as np
 
         at = np.flatnonzero(words >= 0)
-        cls = np.searchsorted(self.ends, words[at], side="right")
-        order = np.argsort(cls, kind="stable")
-        at, cls = at[order], cls[order]
-        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(at) else []
-        for a, b in zip(first, np.r_[first[1:], len(at)] if len(at) else [], strict=True):
-            c = int(cls[a])
-            yield at[int(a) : int(b)], int(self.ends[c - 1]) if c else 0, int(self.ends[c])
+        sizes = np.diff(np.r_[0, self.ends])
+        cls = np.repeat(np.arange(self.n_class, dtype=np.min_scalar_type(self.n_class)), sizes)[words[at]]
+        at = at[np.argsort(cls, kind="stable")]
+        to = np.cumsum(np.bincount(cls, minlength=self.n_class))
+        return at, [(int(a), int(b), int(e - n), int(e)) for a, b, n, e in zip(np.r_[0, to[:-1]], to, sizes, self.ends, strict=True) if b > a]
 
     def word_log_probs(self, hs, words, shift: bool = True):  # noqa: ANN001, ANN201
         """log P(word | class, state) of each row's word; 0 where it is -1."""
         import numpy as np
 
         out = np.zeros(len(words), np.float32)
-        for at, a, b in self._by_class(words):
-            s = hs[at] @ self.p["w"][a:b].T + self.p["wb"][a:b]
-            own = s[np.arange(len(at)), words[at] - a]
-            out[at] = own - self._log_sums(s, shift)
+        at, parts = self._by_class(words)
+        for i, j, a, b in parts:
+            for k in range(i, j, _ROWS):
+                own = at[k : min(j, k + _ROWS)]
+                s, bias, goal = hs[own] @ self.p["w"][a:b].T, self.p["wb"][a:b], words[own] - a
+                mine = s[np.arange(len(own)), goal] + bias[goal]
+                out[own] = mine - self._log_sums(s, bias, shift)
         return out
 
     def train(self, lanes_in, lanes_out, fresh, window: int = 20, rate: float = 5e-3, lanes_word=None, progress: tuple[float, float] = (0.0, 1.0)) -> None:  # noqa: ANN001
@@ -174,48 +190,63 @@ class Gru:
         h = np.zeros((lanes, n), kind)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t = 0
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        size = min(window, steps), lanes, n
+        room = {k: np.empty(size, kind) for k in ("before", "after", "dh", "ac")} | {"da": np.empty((3, *size), kind)}
+        gates, spare = np.empty((size[0], 3, lanes, n), kind), np.empty((3, lanes, n), kind)  # gates: z, r and c, once a step is made
+        t, ones, places = 0, np.ones(max(window * lanes, 1), kind), np.arange(_ROWS)
         for at in range(0, steps, window):
             xs, ys, first = lanes_in[at : at + window], lanes_out[at : at + window], fresh[at : at + window]
-            long = len(xs)
-            keep, anew = (1 - first[:, :, None]).astype(kind), first.any(axis=1)
-            table, u, ub = self._gates()
-            gates = np.take(table, xs, axis=1)  # z, r and c, once the step is made
-            before, after, ac = (np.empty((long, lanes, n), kind) for _ in range(3))
+            long, share = len(xs), kind.type(1 / (lanes * window))
+            anew = [np.flatnonzero(x) for x in first]
+            table, u, cb = self._gates(lanes)
+            before, after, dh_out, ac = (room[k][:long] for k in ("before", "after", "dh", "ac"))
+            da, bias = room["da"][:, :long], np.repeat(self.p["b"][None], _ROWS, axis=0)
             for k in range(long):
-                before[k] = h * keep[k] if anew[k] else h
-                ac[k] = self._advance(gates[:, k], before[k], u, ub, after[k])
+                np.take(table, xs[k], axis=1, out=gates[k], mode="clip")
+                before[k] = h
+                before[k][anew[k]] = 0
+                self._advance(gates[k], before[k], u, cb, spare, ac[k], after[k])
                 h = after[k]
-            hs = after.reshape(-1, n)
-            d = np.exp(self.log_probs(hs))
-            there = ys.ravel() >= 0
-            d[np.arange(len(d)), np.where(there, ys.ravel(), 0)] -= 1
-            d[~there] = 0
-            d /= lanes * window
-            g = {"o": hs.T @ d, "b": d.sum(axis=0)}
-            dh_flat = d @ self.p["o"].T
+            hs, goal, dh_flat = after.reshape(-1, n), ys.ravel(), dh_out.reshape(-1, n)
+            shift = self._shifts()
+            g["o"][:], g["b"][:] = 0, 0
+            for i in range(0, len(hs), _ROWS):
+                own, y = hs[i : i + _ROWS], goal[i : i + _ROWS]
+                d = own @ self.p["o"]
+                self._shares(d, bias[: len(y)], share, shift, ones)
+                if y.min() < 0:
+                    d[y < 0] = 0
+                    there = np.flatnonzero(y >= 0)
+                    d[there, y[there]] -= share
+                else:
+                    d[places[: len(y)], y] -= share
+                g["o"] += own.T @ d
+                g["b"] += ones[: len(d)] @ d
+                np.matmul(d, self.p["o"].T, out=dh_flat[i : i + _ROWS])
             if "w" in self.p:
-                g |= {"w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
+                g["w"][:], g["wb"][:] = 0, 0
             if lanes_word is not None:
                 words = lanes_word[at : at + window].ravel()
-                for rows, a, b in self._by_class(words):
-                    own = hs[rows]
-                    s = own @ self.p["w"][a:b].T
-                    s += self.p["wb"][a:b]
-                    s -= s.max(axis=1, keepdims=True)
-                    np.exp(s, out=s)
-                    s *= (1 / (lanes * window)) / s.sum(axis=1, keepdims=True)
-                    s[np.arange(len(rows)), words[rows] - a] -= 1 / (lanes * window)
-                    np.matmul(s.T, own, out=g["w"][a:b])
-                    g["wb"][a:b] = s.sum(axis=0)
-                    dh_flat[rows] += s @ self.p["w"][a:b]
-            dh_out = dh_flat.reshape(long, lanes, n)
-            ut, dh = np.ascontiguousarray(u.transpose(0, 2, 1)), np.zeros((lanes, n), kind)
-            da, dcs = np.empty((3, long, lanes, n), kind), np.empty((long, lanes, n), kind)
+                by, parts = self._by_class(words)
+                sorted_hs, sorted_words, back = np.take(hs, by, axis=0), words[by], np.empty((len(by), n), kind)
+                for i, j, a, b in parts:
+                    w = self.p["w"][a:b]
+                    for k in range(i, j, _ROWS):
+                        to = min(j, k + _ROWS)
+                        own = sorted_hs[k:to]
+                        s = own @ w.T
+                        self._shares(s, self.p["wb"][a:b], share, shift, ones)
+                        s[places[: to - k], sorted_words[k:to] - a] -= share
+                        g["w"][a:b] += s.T @ own
+                        g["wb"][a:b] += ones[: to - k] @ s
+                        np.matmul(s, w, out=back[k:to])
+                dh_flat[by] += back
+            ut, dh, dcs = self.p["u"].reshape(n, 3, n).transpose(1, 2, 0).copy(), np.zeros((lanes, n), kind), dh_out  # dcs takes the place of what was read
             for k in reversed(range(long)):
-                z, r, c = gates[:, k]
+                z, r, c = gates[k]
                 dh += dh_out[k]
-                rest = 1 - z
+                rest = np.subtract(1, z, out=spare[0])
                 rest *= dh
                 dc = np.multiply(c, c, out=dcs[k])
                 np.subtract(1, dc, out=dc)
@@ -223,48 +254,91 @@ class Gru:
                 dz = np.subtract(before[k], c, out=da[0, k])
                 dz *= z
                 dz *= rest
+                da_c = np.multiply(dc, r, out=da[2, k])
                 dr = np.subtract(1, r, out=da[1, k])
-                dr *= r
                 dr *= ac[k]
-                dr *= dc
-                np.multiply(dc, r, out=da[2, k])
+                dr *= da_c
                 dh *= z
-                for more in np.matmul(da[:, k], ut):
+                for more in np.matmul(da[:, k], ut, out=spare):
                     dh += more
-                if anew[k]:
-                    dh *= keep[k]
-            flat = da.reshape(3, -1, n)
-            g["u"] = np.concatenate(list(np.matmul(before.reshape(-1, n).T, flat)), axis=1)
-            g["ub"] = flat.sum(axis=1).ravel()
-            g["x"] = self._by_input(xs.ravel(), (flat[0], flat[1], dcs.reshape(-1, n)))
+                dh[anew[k]] = 0
+            states = before.reshape(-1, n).T
+            for k in range(3):
+                flat = da[k].reshape(-1, n)
+                np.matmul(states, flat, out=g["u"][:, k * n : (k + 1) * n])
+                g["ub"][k * n : (k + 1) * n] = ones[: len(flat)] @ flat
+            self._by_input(xs.ravel(), [x.reshape(-1, n) for x in (da[0], da[1], dcs)], g["x"])
             norm = float(np.sqrt(sum(np.vdot(x, x) for x in g.values())))
             t += 1
             done = progress[0] + (progress[1] - progress[0]) * at / steps
             pace = rate * min(1.0, 0.1 + (1 - done) * 1.2) / (1 - 0.9**t)
-            for k, x in g.items():
-                x *= min(1.0, 1.0 / (norm + 1e-8))
-                m[k] *= 0.9
-                m[k] += 0.1 * x
-                v2[k] *= 0.99
-                x *= x
-                x *= 0.01
-                v2[k] += x
-                np.sqrt(np.multiply(v2[k], 1 / (1 - 0.99**t), out=x), out=x)
-                x += 1e-6
-                np.divide(m[k], x, out=x)
-                x *= pace
-                self.p[k] -= x
-
-    def _by_input(self, xs, parts):  # noqa: ANN001, ANN202
-        """Sums of rows by their inputs' numbers, the parts side by side."""
+            self._move(g, m, v2, min(1.0, 1.0 / (norm + 1e-8)), pace, 1 / (1 - 0.99**t))
+
+    @staticmethod
+    def _shares(s, bias, share, shift: bool, ones) -> None:  # noqa: ANN001
+        """Rows of s become their softmax with the bias, times share."""
+        import numpy as np
+
+        s += bias
+        if shift:
+            s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        s *= (share / (s @ (ones[: s.shape[1]] if s.shape[1] <= len(ones) else np.ones(s.shape[1], s.dtype))))[:, None]
+
+    def _move(self, g: dict, m: dict, v2: dict, clip: float, pace: float, up: float) -> None:
+        """One step of Adam along g, which it overwrites. m and v2: means of gradients and of their squares; up: what makes up for the squares' start."""
         import numpy as np
 
-        out, n = np.zeros_like(self.p["x"]), self.hidden
+        for k, p in self.p.items():
+            flat = [a.reshape(-1) for a in (g[k], m[k], v2[k], p)]
+            for i in range(0, p.size, _NEAR):
+                x, mean, squares, own = (a[i : i + _NEAR] for a in flat)
+                x *= 0.1 * clip
+                mean *= 0.9
+                mean += x
+                x *= x  # 0.01 of the gradient's square
+                squares *= 0.99
+                squares += x
+                np.sqrt(squares, out=x)
+                x += 1e-6 / up**0.5
+                np.divide(mean, x, out=x)
+                x *= pace / up**0.5
+                own -= x
+
+    @staticmethod
+    def _by_input(xs, parts: list, out) -> None:  # noqa: ANN001
+        """Sums of rows by their inputs' numbers, the parts side by side in out.
+
+        Eight rows of an input are added at once, then eight of these sums, until each input has one.
+        """
+        import numpy as np
+
+        n = parts[0].shape[1]
+        out[:] = 0
+        xs = xs.astype(np.min_scalar_type(len(out)))
         order = np.argsort(xs, kind="stable")
-        own, first = np.unique(xs[order], return_index=True)
+        xs = xs[order]
+        first = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
+        own, many = xs[first], np.diff(np.r_[first, len(xs)])
+        while True:
+            eights = -(-many // 8)
+            before = np.cumsum(eights) - eights
+            start = np.repeat(first - 8 * before, eights) + 8 * np.arange(eights.sum())
+            long = np.minimum(np.repeat(first + many, eights) - start, 8).astype(np.int8)
+            by = np.argsort(-long, kind="stable")  # the longest first
+            start, live = start[by], len(by) - np.cumsum(np.bincount(long, minlength=9))
+            parts = [np.take(x, order[start], axis=0) for x in parts], parts
+            for j in range(1, 8):
+                at = order[start[: live[j]] + j]
+                for total, x in zip(*parts, strict=True):
+                    total[: live[j]] += np.take(x, at, axis=0)
+            parts, first, many = parts[0], before, eights
+            order = np.empty_like(by)
+            order[by] = np.arange(len(by))
+            if len(by) == len(own):
+                break
         for k, x in enumerate(parts):
-            out[own, k * n : (k + 1) * n] = np.add.reduceat(x[order], first, axis=0)
-        return out
+            out[own, k * n : (k + 1) * n] = x[order]
 
     def score(self, inputs: list, targets: list, lanes: int = 384, window: int = 64, words: list | None = None):  # noqa: ANN201
         """Sum of natural log probabilities of each sequence's classes and, if given, words (arrays of equal lengths).
@@ -294,7 +368,7 @@ class Gru:
         own = [np.repeat(np.array(dealt[k]), [len(inputs[i]) for i in dealt[k]]) for k in order]
         starts = [np.r_[True, np.diff(o) != 0] for o in own]
         load, shift = load[order], self._shifts()
-        h, (table, u, ub) = np.zeros((lanes, self.hidden), np.float32), self._gates()
+        h, (table, u, cb) = np.zeros((lanes, self.hidden), np.float32), self._gates(lanes)
         for at in range(0, int(load[0]), window):
             live = int((load > at).sum())
             w = min(window, int(load[0]) - at)
@@ -306,19 +380,16 @@ class Gru:
                 if ws is not None:
                     word[:n, k] = ws[k][at : at + n]
                 fresh[:n, k] = starts[k][at : at + n]
-            h = h[:live]
+            h = h[:live].copy()
             hs = np.empty((w, live, self.hidden), np.float32)
-            restart = fresh.any(axis=1)
+            gates, a = (np.empty((3, live, self.hidden), np.float32) for _ in range(2))
+            ac = np.empty((live, self.hidden), np.float32)
             for k in range(w):
-                if restart[k]:
-                    h = np.where(fresh[k][:, None], np.float32(0), h)
-                self._advance(np.take(table, x[k], axis=1), h, u, ub, hs[k])
-                h = hs[k]
+                h[fresh[k]] = 0
+                self._advance(np.take(table, x[k], axis=1, out=gates, mode="clip"), h, u, cb[:live], a, ac, hs[k])
+                h[:] = hs[k]
             flat = hs.reshape(-1, self.hidden)
-            lp = np.empty(len(flat), np.float32)
-            goal = y.ravel()
-            for i in range(0, len(flat), 8192):
-                lp[i : i + 8192] = self.goal_log_probs(flat[i : i + 8192], goal[i : i + 8192], shift)
+            lp = self.goal_log_probs(flat, y.ravel(), shift)
             if ws is not None:
                 lp += self.word_log_probs(flat, word.ravel(), shift)
             seq = seq.ravel()
@@ -377,17 +448,47 @@ class LanguageModel:
         return self.__dict__["_n"]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_n"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_n", "_t")}
+
+    def tables(self) -> tuple:
+        """Input, target class and target word (-1: none) by number: of frequent words, then the end, what fills up lanes, and last, at -1, unknown words."""
+        import numpy as np
+
+        if "_t" not in self.__dict__:
+            place, at = self.place[:-1], np.arange(len(self.place) - 1)
+            cls = np.where(place >= 0, np.searchsorted(self.gru.ends, place, side="right"), np.where(place == -2, LOOSE, RARE))
+            inp = np.where(at < self.n_inputs_own, self.gru.n_class + at, cls)
+            self.__dict__["_t"] = np.r_[inp, END, END, RARE].astype(np.int32), np.r_[cls, END, -1, RARE].astype(np.int16), np.r_[np.maximum(place, -1), -1, -1, -1].astype(np.int32)
+        return self.__dict__["_t"]
 
     def sequences(self, idx):  # noqa: ANN001, ANN201
         """Inputs, target classes and target words (-1: none) of a text's word numbers (-1: unknown), the end included."""
         import numpy as np
 
-        word = np.where(idx >= 0, self.place[idx], -1)
-        cls = np.where(word >= 0, np.searchsorted(self.gru.ends, word, side="right"), np.where(word == -2, LOOSE, RARE))
-        word = np.maximum(word, -1)
-        inp = np.where((idx >= 0) & (idx < self.n_inputs_own), self.gru.n_class + idx, cls)
-        return np.r_[END, inp].astype(np.int32), np.r_[cls, END].astype(np.int16), np.r_[word, -1].astype(np.int32)
+        inp, cls, word = self.tables()
+        own = np.empty(len(idx) + 1, np.int32)
+        own[:-1], own[-1] = idx, len(self.place) - 1
+        before = np.empty(len(own), np.int32)
+        before[0], before[1:] = END, inp[idx]
+        return before, cls[own], word[own]
+
+    def lanes(self, texts: list, lanes: int, parts: list[tuple[int, int]]) -> Iterator[tuple]:
+        """Texts' word numbers one after the other, dealt over lanes; of each part (from, to) of the steps inputs, target classes, target words and first tokens."""
+        import numpy as np
+
+        end, fill = len(self.place) - 1, len(self.place)
+        sizes = [len(d) for d in texts]
+        steps = -(-(sum(sizes) + len(texts)) // lanes)
+        flat = np.full(lanes * steps + 1, fill, np.int32)
+        flat[0], at = end, 1  # what is before a text is the end of another
+        for d, n in zip(texts, sizes, strict=True):
+            flat[at : at + n], flat[at + n] = d, end
+            at += n + 1
+        before, own = flat[:-1].reshape(lanes, steps), flat[1:].reshape(lanes, steps)
+        inp, cls, word = self.tables()
+        for a, b in parts:
+            x, y = (np.ascontiguousarray(v[:, a:b].T) for v in (before, own))
+            yield inp[x].astype(np.int64), cls[y].astype(np.int64), word[y].astype(np.int64), (x == end) | (x == fill)
 
 
 def _sums(rows: DataFrame, make: Callable) -> object:
@@ -570,22 +671,18 @@ def train(
             own = texts(batches)
             if not own:
                 return np.zeros(0, np.float32), 0
-            x, y, w = (np.concatenate(a) for a in zip(*map(m.sequences, own), strict=True))
-            fresh = np.zeros(len(x), np.int8)
-            fresh[np.cumsum([0, *(len(d) + 1 for d in own[:-1])])] = 1
-            lanes = max(1, min(96, len(x) // 400), min(384, len(x) // 5000))
-            steps = -(-len(x) // lanes)
-            short = lanes * steps - len(x)  # places at the end of the last lane, which teach nothing
-            deal = lambda a, fill: np.r_[a, np.full(short, fill, a.dtype)].reshape(lanes, steps).T
-            x, y, fresh, w = deal(x, END), deal(y, -1), deal(fresh, 1), deal(w, -1)
+            tokens = sum(map(len, own)) + len(own)
+            lanes = max(1, min(96, tokens // 400), min(384, tokens // 5000))
+            steps = -(-tokens // lanes)
+            gru = deepcopy(m.gru)  # a worker's next task starts from the round's parameters, too
             # each round has its part of the steps, passes times where all of the corpus is not enough
             todo = range(k * passes, (k + 1) * passes)
-            for part in todo:
-                a, b = steps * (part % rounds) // rounds, steps * (part % rounds + 1) // rounds
-                window = min(20, b - a)
+            parts = [(steps * (part % rounds) // rounds, steps * (part % rounds + 1) // rounds) for part in todo]
+            for part, (x, y, w, fresh) in zip(todo, m.lanes(own, lanes, parts), strict=True):
+                window = min(20, len(x))
                 if window > 0:
-                    m.gru.train(x[a:b], y[a:b].astype(np.int64), fresh[a:b], window, lanes_word=w[a:b], progress=(part / (passes * rounds), (part + 1) / (passes * rounds)))
-            return np.concatenate([v.ravel() for v in m.gru.p.values()]), x.size - short
+                    gru.train(x, y, fresh, window, lanes_word=w, progress=(part / (passes * rounds), (part + 1) / (passes * rounds)))
+            return np.concatenate([v.ravel() for v in gru.p.values()]), tokens
 
         flat, _ = _sums(sample, learn)
         start.unpersist()
@@ -618,8 +715,9 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
         get, ln10 = m.numbers().get, np.log(10)
 
         def rows(items: list) -> pa.RecordBatch:
-            log = m.gru.score(*([x[4][k] for x in items] for k in (0, 1)), words=[x[4][2] for x in items]) / ln10
-            rid, doc, n, k, _, base, inside, rare = zip(*items, strict=True)
+            rid, doc, n, k, base, inside, rare, sequences = zip(*items, strict=True)
+            inputs, targets, words = (list(x) for x in zip(*sequences, strict=True))
+            log = m.gru.score(inputs, targets, words=words) / ln10
             values = pa.array([w for r in rare for w in r], pa.string()), pa.array([c for r in rare for c in r.values()], pa.int32())
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, ["w", "n"]))
@@ -628,18 +726,28 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
                 ["rid", "doc", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
+        def read(rid: list, doc: list, texts: list) -> Iterator:
+            """What rows() takes, of some texts."""
+            split = [_words(t) for t in texts]
+            ends = np.cumsum([0, *map(len, split)])
+            idx = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int32, ends[-1])
+            of = np.repeat(np.arange(len(split)), np.diff(ends))
+            base, inside, unknown = (np.bincount(of, weights=x, minlength=len(split)).tolist() for x in (m.base[idx], m.in_rare[idx], idx < 0))
+            for i, words in enumerate(split):
+                own = idx[ends[i] : ends[i + 1]]
+                rare = Counter([words[j] for j in np.flatnonzero(own < 0)]) if unknown[i] else {}
+                rare = {w.decode(): c for w, c in rare.items()}
+                yield rid[i], doc[i], len(words) + 1, len(words) - int(unknown[i]) + 1, base[i] + m.base_end, inside[i], rare, m.sequences(own)
+
         held, tokens = [], 0
         for batch in batches:
-            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = _words(text.as_py())
-                idx = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                there = idx[idx >= 0]
-                rare = Counter(words[i].decode() for i in np.flatnonzero(idx < 0))
-                held.append((rid, doc, len(words) + 1, len(there) + 1, m.sequences(idx), float(m.base[there].sum()) + m.base_end, float(m.in_rare[there].sum()), rare))
-                tokens += len(words) + 1
-                if tokens > 3_000_000 or len(held) >= 20_000:
-                    yield rows(held)
-                    held, tokens = [], 0
+            for at in range(0, batch.num_rows, 64):
+                for row in read(*(x.slice(at, 64).to_pylist() for x in batch.columns)):
+                    held.append(row)
+                    tokens += row[2]
+                    if tokens > 3_000_000 or len(held) >= 20_000:
+                        yield rows(held)
+                        held, tokens = [], 0
         if held:
             yield rows(held)
 

@@ -127,6 +127,49 @@ def test_one_id_on_many_rows(spark):
     assert len(rows) == 3000 and {r["n_known"] for r in rows} == {4} and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_a_workers_next_task_starts_from_the_rounds_parameters(spark, monkeypatch):
+    """Tasks of one worker share the sent model: what one learns must not be what the next begins with."""
+    import pyarrow as pa
+
+    def sums(rows, make):
+        batch = pa.RecordBatch.from_arrays([pa.array([bytes(r[0]) for r in rows.collect()], pa.binary())], ["idx"])
+        (first, weight), (again, _) = make(iter([batch])), make(iter([batch]))
+        assert np.array_equal(first, again)
+        return first, weight
+
+    monkeypatch.setattr(gru_lm, "_sums", sums)
+    docs = spark.createDataFrame([(k, f"g{k % 9} some g{k % 5} of these words g{k % 3}") for k in range(60)], "doc_id long, text string")
+    gru_lm.train(docs, Scratch(spark, "t"), rounds=2)
+
+
+def test_a_rounds_part_is_that_of_the_whole_sequences():
+    """Of each part of the steps only its own places are looked up; all parts are all tokens, in order."""
+    rng, words = np.random.default_rng(4), 30
+    net = gru_lm.Gru(9 + 12, 9, 4, ends=[0, 0, 0, 3, 8, 9, 15, 15, 20])
+    model = gru_lm.LanguageModel([], np.r_[rng.permutation(20), np.full(9, -1), -2, -1], None, None, 12, net, 0.0, 0, 1.0, 0, 0.5)
+    texts = [rng.integers(-1, words, n).astype(np.int32) for n in (0, 5, 40, 1, 0, 17, 0)]
+    want = [np.concatenate(a) for a in zip(*map(model.sequences, texts), strict=True)]
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    assert np.array_equal(np.flatnonzero(want[0] == gru_lm.END), starts)
+    for lanes in (1, 3, 7):
+        steps = -(-len(want[0]) // lanes)
+        parts = list(model.lanes(texts, lanes, [(0, steps // 3), (steps // 3, steps)]))
+        x, y, w, fresh = (np.concatenate(a).T.ravel() for a in zip(*parts, strict=True))
+        n = len(want[0])
+        assert all(np.array_equal(a[:n], b) for a, b in zip((x, y, w), want, strict=True))
+        assert np.array_equal(np.flatnonzero(fresh[:n]), starts) and (y[n:] == -1).all() and (w[n:] == -1).all() and fresh[n:].all()
+
+
+def test_rows_are_added_up_by_input():
+    rng = np.random.default_rng(6)
+    for n, kinds in ((1, 5), (700, 3), (700, 60), (50, 400)):
+        xs, parts = np.minimum(rng.zipf(1.3, n), kinds) - 1, [rng.normal(size=(n, 4)) for _ in range(3)]
+        want, got = np.zeros((kinds, 12)), np.ones((kinds, 12))
+        np.add.at(want, xs, np.concatenate(parts, axis=1))
+        gru_lm.Gru._by_input(xs, parts, got)
+        assert np.allclose(got, want)
+
+
 def test_lanes_score_like_single_sequences():
     rng = np.random.default_rng(2)
     net = gru_lm.Gru(9, 7, 8, ends=[0, 0, 3, 8, 8, 8, 8])
