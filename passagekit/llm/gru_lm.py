@@ -16,11 +16,9 @@ from window to window and starts anew with each document.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -398,8 +396,29 @@ class Gru:
         return out
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def _words(texts) -> Iterator[tuple]:  # noqa: ANN001
+    """Of some four million bytes of texts (an Arrow array; null: empty) at once all words, with A-Z lowered, and each text's number of them."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    some = max(1, 4_000_000 * len(texts) // max(1, texts.nbytes))
+    for at in range(0, len(texts), some):
+        listed = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, some).cast(pa.string()), "")))
+        words, sizes = listed.flatten(), np.diff(np.asarray(listed.offsets))
+        there = np.asarray(pc.binary_length(words)) > 0
+        if not there.all():  # what is before and after a text's outer spaces
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[there], minlength=len(sizes))
+            words = words.filter(pa.array(there))
+        yield words, sizes
+
+
+def _numbers(words, known):  # noqa: ANN001, ANN202
+    """Of each word its place among the known ones; -1: none."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return np.asarray(pc.fill_null(pc.index_in(words, value_set=known), -1))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", most: int = 300_000) -> DataFrame:
@@ -407,20 +426,25 @@ def word_counts(docs: DataFrame, text_col: str = "text", most: int = 300_000) ->
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        seen: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(_words(text.as_py()))
-                if len(seen) > most:
-                    yield flush()
-        if seen:
-            yield flush()
+            for words, _ in _words(batch.column(0)):
+                found = pc.value_counts(words)
+                held.append(pa.table([found.field(0), found.field(1)], ["word", "n"]))
+                n += len(found)
+                if n > 2 * most:
+                    held = [merged()]
+                    n = len(held[0])
+                    if n > most:
+                        yield from held[0].to_batches()
+                        held, n = [], 0
+        if held:
+            yield from merged().to_batches()
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
@@ -442,13 +466,14 @@ class LanguageModel:
     rare_total: int
     unseen: float  # share of unseen words in the rare class
 
-    def numbers(self) -> dict[bytes, int]:
-        if "_n" not in self.__dict__:
-            self.__dict__["_n"] = {w: i for i, w in enumerate(self.words)}
-        return self.__dict__["_n"]
+    def known(self):  # noqa: ANN201
+        """The frequent words as an Arrow array."""
+        import pyarrow as pa
+
+        return pa.array([w.decode() for w in self.words], pa.string())
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_n", "_t")}
+        return {k: v for k, v in self.__dict__.items() if k != "_t"}
 
     def tables(self) -> tuple:
         """Input, target class and target word (-1: none) by number: of frequent words, then the end, what fills up lanes, and last, at -1, unknown words."""
@@ -583,16 +608,17 @@ def train(
     words, c = [w for w, _ in frequent], np.array([x for _, x in frequent], float)
     once = counts.filter("c = 1").count()
 
-    known = {w: i for i, w in enumerate(words)}
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast([w.decode() for w in words])
 
     def number(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        get = sent.value.get
+        known = pa.array(sent.value, pa.string())
         for batch in batches:
-            out = [np.fromiter(map(get, w := _words(t), repeat(-1)), np.int32, len(w)).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["idx"])
+            for found, sizes in _words(batch.column(0)):
+                ends = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
+                idx = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(_numbers(found, known).tobytes())])
+                yield pa.RecordBatch.from_arrays([idx], ["idx"])
 
     share, some = 1.0, docs
     if learnt is not None:
@@ -712,44 +738,42 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, scratch: Scr
         import pyarrow as pa
 
         m = sent.value
-        get, ln10 = m.numbers().get, np.log(10)
-
-        def rows(items: list) -> pa.RecordBatch:
-            rid, doc, n, k, base, inside, rare, sequences = zip(*items, strict=True)
+        known = m.known()
+
+        def read(rid, doc, texts) -> Iterator:  # noqa: ANN001
+            """Rows without the network's part, and their sequences, some texts at once."""
+            at = 0
+            for words, sizes in _words(texts):
+                n, ends, idx = len(sizes), np.r_[0, np.cumsum(sizes)], _numbers(words, known)
+                of = np.repeat(np.arange(n), sizes)
+                base, inside, unknown = (np.bincount(of, weights=x, minlength=n) for x in (m.base[idx], m.in_rare[idx], idx < 0))
+                lost = np.flatnonzero(idx < 0)
+                rare = pa.table([of[lost], words.take(pa.array(lost))], ["of", "w"]).group_by(["of", "w"], use_threads=False).aggregate([([], "count_all")])
+                rare = rare.take(pa.array(np.argsort(rare["of"].to_numpy(), kind="stable"))).combine_chunks()  # groups come in no certain order
+                starts = np.r_[0, np.cumsum(np.bincount(rare["of"].to_numpy(), minlength=n))].astype(np.int32)
+                w, many = (rare[k].cast(t).combine_chunks() for k, t in (("w", pa.string()), ("count_all", pa.int32())))
+                values = pa.StructArray.from_arrays([w, many], ["w", "n"])
+                rows = [rid.slice(at, n), doc.slice(at, n), pa.array(sizes + 1, pa.int64()), pa.array((sizes - unknown + 1).astype(np.int64)), pa.array(base + m.base_end), pa.array(inside), pa.ListArray.from_arrays(pa.array(starts), values)]
+                yield pa.RecordBatch.from_arrays(rows, ["rid", "doc", "n_tokens", "n_known", "base", "model", "rare"]), [m.sequences(idx[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                at += n
+
+        def scored() -> Iterator:
             inputs, targets, words = (list(x) for x in zip(*sequences, strict=True))
-            log = m.gru.score(inputs, targets, words=words) / ln10
-            values = pa.array([w for r in rare for w in r], pa.string()), pa.array([c for r in rare for c in r.values()], pa.int32())
-            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, ["w", "n"]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(log + np.array(inside)), listed],
-                ["rid", "doc", "n_tokens", "n_known", "base", "model", "rare"],
-            )
-
-        def read(rid: list, doc: list, texts: list) -> Iterator:
-            """What rows() takes, of some texts."""
-            split = [_words(t) for t in texts]
-            ends = np.cumsum([0, *map(len, split)])
-            idx = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int32, ends[-1])
-            of = np.repeat(np.arange(len(split)), np.diff(ends))
-            base, inside, unknown = (np.bincount(of, weights=x, minlength=len(split)).tolist() for x in (m.base[idx], m.in_rare[idx], idx < 0))
-            for i, words in enumerate(split):
-                own = idx[ends[i] : ends[i + 1]]
-                rare = Counter([words[j] for j in np.flatnonzero(own < 0)]) if unknown[i] else {}
-                rare = {w.decode(): c for w, c in rare.items()}
-                yield rid[i], doc[i], len(words) + 1, len(words) - int(unknown[i]) + 1, base[i] + m.base_end, inside[i], rare, m.sequences(own)
-
-        held, tokens = [], 0
+            rows = pa.Table.from_batches(held)
+            log = m.gru.score(inputs, targets, words=words) / np.log(10) + rows["model"].to_numpy()
+            yield from rows.set_column(rows.schema.get_field_index("model"), "model", pa.array(log)).combine_chunks().to_batches()
+
+        held, sequences, tokens = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for row in read(*(x.slice(at, 64).to_pylist() for x in batch.columns)):
-                    held.append(row)
-                    tokens += row[2]
-                    if tokens > 3_000_000 or len(held) >= 20_000:
-                        yield rows(held)
-                        held, tokens = [], 0
+            for rows, more in read(*batch.columns):
+                held.append(rows)
+                sequences += more
+                tokens += sum(len(x[0]) for x in more)
+                if tokens > 3_000_000 or len(sequences) >= 20_000:
+                    yield from scored()
+                    held, sequences, tokens = [], [], 0
         if held:
-            yield rows(held)
+            yield from scored()
 
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
     found = scratch.put(texts.mapInArrow(run, kind))

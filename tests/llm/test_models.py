@@ -160,6 +160,18 @@ def test_a_rounds_part_is_that_of_the_whole_sequences():
         assert np.array_equal(np.flatnonzero(fresh[:n]), starts) and (y[n:] == -1).all() and (w[n:] == -1).all() and fresh[n:].all()
 
 
+def test_words_are_split_and_told_apart_some_texts_at_once():
+    import pyarrow as pa
+
+    texts = ["  A\x0bb\tÄÖ ß\r\n", None, "", " \x0c ", "one", "x\x1cy\x85z\u00a0w x\u2003y", "İI " * 40] * 3
+    found = list(gru_lm._words(pa.array(texts, pa.string())))
+    words, sizes = [w for f, _ in found for w in f.to_pylist()], np.concatenate([n for _, n in found])
+    want = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words == [w for t in want for w in t]
+    known = pa.array(["one", "b"], pa.string())
+    assert gru_lm._numbers(pa.array(words, pa.string()), known).tolist() == [{"one": 0, "b": 1}.get(w, -1) for w in words]
+
+
 def test_rows_are_added_up_by_input():
     rng = np.random.default_rng(6)
     for n, kinds in ((1, 5), (700, 3), (700, 60), (50, 400)):
