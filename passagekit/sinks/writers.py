@@ -9,8 +9,8 @@ from pyspark.sql.types import StructType
 from ..sources.readers import keep_last
 
 
-def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
+def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> None:
+    w = df.write.mode("overwrite").options(**(options or {}))
     w = w.option("compression", "zstd") if fmt == "parquet" else w
     (w.partitionBy(*partition_by) if partition_by else w).format(fmt).save(path)
 

@@ -118,6 +118,35 @@ def test_blocks_leave_postings_unread(spark, tmp_path):
         bm25_blocks.load(spark, f"file://{tmp_path}/none")
 
 
+def test_blocks_shuffle_no_postings_and_no_pairs(spark, corpus, tmp_path):
+    """A search leaves spans in place; of each question a task gives its k best, not every document that shares a word."""
+    docs, asked = corpus
+    blocks = bm25_blocks.create(f"file://{tmp_path}/b", docs, "id", F.col("text"), width=16)
+    hits, read = bm25_blocks.passes(blocks, asked, F.col("text"), 5, keep=materialized)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    matching = bm25.scores(bm25.build(docs, "id", F.col("text")), asked, F.col("text")).count()
+    assert hits.count() < 0.5 * matching
+    spans = blocks.blocks.select("span").collect()
+    assert len({r["span"] for r in spans}) == len(spans) >= docs.count() / 16
+    assert all(0 < r["read"] <= r["postings"] for r in read.collect())
+
+
+def test_blocks_take_questions_in_parts(spark, corpus):
+    """Many questions go in parts, terms and spans above `few` without filters: same rows, ties by ordinals that aren't numbers included."""
+    docs, asked = corpus
+    place = F.concat(F.lit("x"), F.lpad((1000 - F.col("id")).cast("string"), 4, "0"))
+    index = bm25.build(docs, "id", F.col("text"), ordinal=place, keep=materialized)
+    blocks = bm25_blocks.build(index, width=32)
+    want = found(bm25.search(index, asked, F.col("text"), 6))
+    for how in ({"sent": 20}, {"few": 0}):
+        hits, read = bm25_blocks.passes(blocks, asked, F.col("text"), 6, keep=materialized, **how)
+        assert found(bm25.ranked(hits, index.docs, asked, 6, "qid", True)) == want
+        assert read.count() == read.select("qid").distinct().count() == bm25.scores(index, asked, F.col("text")).select("qid").distinct().count()
+    for nothing in (asked.filter("qid = 92"), asked.filter("qid = 90"), asked.limit(0)):
+        assert bm25_blocks.passes(blocks, nothing, F.col("text"), 6)[0].count() == 0
+
+
 def test_segments_equal_a_rebuild(spark, corpus, tmp_path):
     docs, asked = corpus
     path, text = f"file://{tmp_path}/s", F.col("text")
