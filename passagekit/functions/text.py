@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 TASHKEEL = r"[ؐ-ًؚ-ٰٟ]"
 TATWEEL = "ـ"
 ANNOTATION = r"[ۖ-ۭ]"
+#: Bytes of texts that a task has as words at once.
+_AT_ONCE = 4_000_000
 #: White space of any script.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Hamza carriers and what they fold to.
@@ -170,9 +172,12 @@ def words_in_tasks(df: DataFrame, own: list[Column], text: Column, make, columns
         import pyarrow as pa
 
         each, split = make(), _splitter()
-        for batch in batches:
-            found = each(map(split, batch.column(len(kept)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *found], [*kept, *columns])
+        for whole in batches:
+            some = max(1, _AT_ONCE * whole.num_rows // max(1, whole.column(len(kept)).nbytes))
+            for i in range(0, whole.num_rows, some):  # words take many times their texts' memory
+                batch = whole.slice(i, some)
+                found = each(map(split, batch.column(len(kept)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *found], [*kept, *columns])
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in like.fields), *(f"`{n}` {t}" for n, t in columns.items())])
     return df.select(*own, F.lower(_folded(text, normalizer)).alias("__text")).mapInArrow(run, kind)

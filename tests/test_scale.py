@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from passagekit import queries
-from passagekit.functions.text import affixes_off, different_words, heuristic_stem, hyphenated, normalize_clean, stem_steps, tokens
+from passagekit.functions.text import affixes_off, different_words, heuristic_stem, hyphenated, normalize_clean, stem_steps, tokens, words_in_tasks
 from passagekit.operators import bm25, coverage, inverted, langdetect
 from passagekit.plans import retrieval
 from passagekit.queries import _posts
@@ -121,6 +121,23 @@ def test_expansion_reads_forms_and_not_places(spark, sf, monkeypatch):
     assert queries.query_expand(spark, sf).filter("terms <> ''").count() > 0
 
 
+def test_words_come_of_some_texts_at_once(spark):
+    """A worker has the words of a few million bytes of texts, not of a whole batch."""
+
+    def make():
+        import pyarrow as pa
+
+        def count(rows):
+            n = len(list(rows))
+            return (pa.array([n] * n, pa.int32()),)
+
+        return count
+
+    docs = spark.range(6).coalesce(1).select("id", F.repeat(F.lit("word "), 300_000).alias("text"))
+    got = words_in_tasks(docs, [F.col("id")], F.col("text"), make, {"n": "int"}).collect()
+    assert sorted(r["id"] for r in got) == list(range(6)) and max(r["n"] for r in got) <= 2
+
+
 def test_words_in_tasks_are_tokens(spark):
     """The vocabulary and the segments of odd texts are those of tokens() as an expression."""
     texts = ["The the, THE reation", None, "", "   ", "un\x1cdoing tab\tnew\nline", "İstanbul straße 12 ...", "كِتَاب the", "　reds  reds"]
